@@ -94,14 +94,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """For each text, in order, the 64-bit hashes of its words."""
+def ascii_lower(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
+def word_chunks(texts: list[str | None], prepare: Callable[[str], bytes] = ascii_lower) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Hashes of words, some texts at a time: ``(i, h, cut)``; words of text ``i + k`` are ``h[cut[k]:cut[k + 1]]``."""
     i = 0
     while i < len(texts):
         parts, size = [], 0
         while i + len(parts) < len(texts) and (not parts or size < CHUNK):
             t = texts[i + len(parts)]
-            parts.append(b"" if t is None else t.encode("utf-8", "surrogatepass").lower())
+            parts.append(b"" if t is None else prepare(t))
             size += len(parts[-1]) + 1
         buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
         up, down = _pow_tables(len(buf) + 1)
@@ -111,12 +115,17 @@ def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
         sums = np.zeros(len(buf) + 1, U64)
         np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
         h = mix((sums[end] - sums[start]) * down[start])
-        cut = np.searchsorted(start, np.cumsum([0] + [len(p) + 1 for p in parts]))
-        for k in range(len(parts)):
-            yield h[cut[k] : cut[k + 1]]
+        yield i, h, np.searchsorted(start, np.cumsum([0] + [len(p) + 1 for p in parts]))
         i += len(parts)
 
 
+def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text, in order, the 64-bit hashes of its words."""
+    for _, h, cut in word_chunks(texts):
+        for k in range(len(cut) - 1):
+            yield h[cut[k] : cut[k + 1]]
+
+
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``k`` words; fewer words make one shingle, none make none."""
     n = len(words)

@@ -1,10 +1,10 @@
 """Sharding by minimax contiguous partition: the smallest shard capacity that whole groups allow.
 
-Groups are documents with equal texts, in the order of a 64-bit hash of the text; a shard is a run of
-groups.  A binary search finds the smallest capacity at which greedy filling needs no more than the
+Groups are documents with equal texts, ordered by size class (large ones first, so that small groups
+fill the ends) and then by a hash of the text; a shard is a run of groups.  A binary search finds the smallest capacity at which greedy filling needs no more than the
 wanted number of shards, and the greedy cuts at that capacity are made.
 
-The driver never holds all groups.  It starts from sums over 4096 ranges of the hash and keeps, for
+The driver never holds all groups.  It starts from sums over at most 65536 ranges of that order and keeps, for
 each range, size and largest group.  Greedy filling over ranges gives a capacity that is surely
 enough (a range is taken or left whole) and one that is surely too small (a range is cut anywhere);
 only ranges in which a cut may lie are split further, until these hold single groups and the
@@ -26,6 +26,8 @@ from .common import durable
 
 #: Slots are counted in so many salted parts of each shard.
 SALTS = 128
+#: A capacity over so many times the mean is taken as forced by one group.
+EVEN = 1.01
 
 
 def _greedy(sizes: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -72,40 +74,45 @@ def _ranges(groups: DataFrame, low: np.ndarray, high: np.ndarray, bits: int) ->
     return rows.sort_values("a0").to_numpy(np.int64)
 
 
-def plan_cuts(groups: DataFrame, shards: int, first_bits: int = 12, more_bits: int = 6) -> list[int]:
+def plan_cuts(groups: DataFrame, shards: int, first_bits: int = 16, more_bits: int = 6) -> list[int]:
     """Last hash (shifted to signed order) of each shard, from ``groups(h, u, bytes)``."""
-    cells = _ranges(groups, None, None, first_bits)
-    if not len(cells):
-        return []
+    cells, cuts = _ranges(groups, None, None, first_bits), []
+    while shards and len(cells):
+        cells, capacity = _settle(groups, cells, shards, more_bits)
+        ends = _greedy(cells[:, 2], capacity, shards)
+        if capacity > EVEN * -(-int(cells[:, 2].sum()) // shards):
+            ends = ends[:1]  # one large group forces this capacity: the other shards get their own smallest one
+        cuts += [int(cells[e - 1, 1]) for e in ends]
+        cells, shards = cells[ends[-1] :], shards - len(ends)
+    return cuts
+
+
+def _settle(groups: DataFrame, cells: np.ndarray, shards: int, more_bits: int) -> tuple[np.ndarray, int]:
+    """Split ranges until the smallest capacity for ``shards`` runs is exact; the ranges and that capacity."""
     while True:
         total, biggest = int(cells[:, 2].sum()), int(cells[:, 3].max())
         low = max(biggest, -(-total // shards))
         sums = np.concatenate(([0], np.cumsum(cells[:, 2])))
 
-        def lax(c: int, sums=sums, total=total) -> bool:
-            """Could runs of at most c suffice if every range could be cut anywhere?"""
-            return c * shards >= total
-
-        high = max(low, minimax_capacity(cells[:, 2], shards))
-        if (cells[:, 4] == 1).all() or high == low and _greedy(cells[:, 2], low, shards) is not None:
-            break
-        # places which the k-th cut may have at any capacity from low to high
-        open_ = np.zeros(len(cells), bool)
-        first = last = 0
-        for _ in range(shards):
-            # earliest: the pessimistic start plus low, less the group that may not fit; latest: plus high
-            early, late = max(first, first + low - biggest), last + high
-            a, b = np.searchsorted(sums, early, side="right") - 1, np.searchsorted(sums, late, side="right") - 1
-            open_[max(0, a) : min(len(cells), b + 1)] = True
-            first, last = min(early, total), min(late, total)
-        split = open_ & (cells[:, 4] > 1)
+        split = (cells[:, 2] > low) & (cells[:, 4] > 1)  # at most ``shards`` ranges that no shard could take whole
+        if not split.any():
+            high = minimax_capacity(cells[:, 2], shards)
+            if high == low:
+                break
+            # the k-th cut lies between greedy filling of whole ranges at the smallest capacity and free cuts at the largest
+            open_, early, late = np.zeros(len(cells), bool), 0, 0
+            for _ in range(shards):
+                early = int(sums[np.searchsorted(sums, early + low, side="right") - 1])
+                late = min(late + high, total)
+                a, b = np.searchsorted(sums, early, side="right") - 1, np.searchsorted(sums, late, side="right") - 1
+                open_[max(0, a) : b + 1] = True
+            split = open_ & (cells[:, 4] > 1)
         if not split.any():
             break
         fine = _ranges(groups, cells[split, 0], cells[split, 1], more_bits)
         cells = np.concatenate([cells[~split], fine])
         cells = cells[np.argsort(cells[:, 0], kind="stable")]
-    ends = _greedy(cells[:, 2], minimax_capacity(cells[:, 2], shards), shards)
-    return [int(cells[e - 1, 1]) for e in ends]
+    return cells, minimax_capacity(cells[:, 2], shards)
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,11 +123,16 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         F.col(id_col).alias("id"),
         (F.length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("crc"),
-        # unsigned order of the hash is the signed order of u
-        F.xxhash64(text, text.isNull()).alias("u"),
+        F.xxhash64(text, text.isNull()).alias("text_hash"),
     )
     d = durable(d)
-    groups = durable(d.groupBy("u").agg(F.sum("size").alias("bytes")).withColumn("h", F.col("u").bitwiseXOR(F.lit(-(2**63)))))
+    of_text = d.groupBy("text_hash").agg(F.sum("size").alias("bytes"))
+    # six bits of size class, large first, then 58 bits of the hash; u has the signed order of h's unsigned one
+    size_class = F.least(F.lit(62), F.length(F.bin("bytes"))).cast("long")
+    h = F.shiftleft(F.lit(63) - size_class, 58).bitwiseOR(F.shiftrightunsigned("text_hash", 6))
+    of_text = durable(of_text.withColumn("h", h).withColumn("u", F.col("h").bitwiseXOR(F.lit(-(2**63)))))
+    groups = durable(of_text.groupBy("h", "u").agg(F.sum("bytes").alias("bytes")))
+    d = durable(d.join(of_text.select("text_hash", "u"), "text_hash"))
     cuts = plan_cuts(groups, shards)
     at = F.lit(0)
     for c in cuts[:-1]:
