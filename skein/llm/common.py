@@ -58,10 +58,14 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_size(df: DataFrame, other: DataFrame, key: str, how: str = "inner", row_bytes: int = 16) -> DataFrame:
+    """``df`` joined with ``other`` (durable) on ``key``; ``other`` is broadcast only if its counted rows are small."""
+    small = other.count() * row_bytes <= BROADCAST_BYTES
+    return df.join(F.broadcast(other) if small else other.hint("merge"), key, how)
+
+
 def semi_by_size(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``df`` left semi ``keys`` on ``key``; ``keys`` (one long column, durable) is broadcast only if it is small."""
-    small = keys.count() * 16 <= BROADCAST_BYTES
-    return df.join(F.broadcast(keys) if small else keys.hint("merge"), key, "left_semi")
+    return join_by_size(df, keys, key, "left_semi")
 
 
 # --------------------------------------------------------------------------- hashing of words
@@ -255,14 +259,14 @@ def linked_components(
     b = sig.select("node", F.explode("bands").alias("key"))
     shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     m = durable(b.join(shared, "key").select("key", "node", "lo").distinct())
-    light = sig.where("bands is not null").select("node", "n", "sketch").dropDuplicates(["node"])
+    first = sig.where("bands is not null")
     links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, component long")
     tested = links
 
     def confirm(pairs: DataFrame) -> DataFrame:
         ends = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        here = durable(semi_by_size(light, ends, "node"))
+        here = durable(semi_by_size(first.select("node", "n", "sketch"), ends, "node").dropDuplicates(["node"]))
         side = lambda x: here.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         ones = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         close = durable(
@@ -291,7 +295,8 @@ def linked_components(
                 mc = mc.join(size, "key").select("key", "node", "c", "size")
                 few = mc.where(F.col("size") <= REFINE_OVER).select("key", "node", "c")
                 many = mc.where(F.col("size") > REFINE_OVER).select("key", "node", "c")
-                wide = sig.where("bands is not null").select("node", "bands").dropDuplicates(["node"])
+                big = durable(many.select("node").distinct())
+                wide = semi_by_size(first.select("node", "bands"), big, "node").dropDuplicates(["node"])
                 again = many.join(wide, "node").select("node", "c", "key", F.explode("bands").alias("k2")).where("k2 <> key")
                 again = again.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "node", "c").distinct()
                 mc = durable(few.union(again))

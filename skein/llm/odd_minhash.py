@@ -49,7 +49,7 @@ def signer(bands: int, rows: int, k: int):
                     low = mh.minima([sets[i] for i in fresh])
                     for i, a, b in zip(fresh, mh.keys(low), mh.sketch(low), strict=True):
                         keys[i], sketch[i] = a, b
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "node": node, "bands": keys, "sketch": sketch})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "node": node, "bands": pd.Series(keys, dtype=object), "sketch": pd.Series(sketch, dtype=object)})
 
     return run
 
