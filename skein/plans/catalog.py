@@ -1,3 +1,455 @@
-"""Registered queries."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries: every callable takes (spark, sf_dir); ORACLE holds the same question as DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions import text as X
+from ..operators import search as R
+from ..operators.traverse import find_paths as paths_between
+from ..operators.traverse import steps, trace_flow, walk
+from ..sources import projection as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, graph: bool = True):
+    """Register a function under its name, with its oracle; ``graph`` puts the projection in front of it."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"WITH RECURSIVE {P.SQL.strip()}{',' if sql.lstrip().startswith('!') else ''} {sql.lstrip().removeprefix('!')}" if graph else sql
+        return f
+
+    return keep
+
+
+def one(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "node string")
+
+
+# ---------------------------------------------------------------- lookups, filters, aggregates
+
+
+@query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def nodes_by_kind(spark, d):
+    return P.nodes(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT kind, count(*) AS n, sum(n) AS observations FROM edges GROUP BY kind")
+def edges_by_kind(spark, d):
+    return P.edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n").alias("observations"))
+
+
+@query("SELECT id, kind, name, qualified_name, lang, service_id, parent_id, flags FROM nodes WHERE id = 'c:7'")
+def get_node(spark, d):
+    return P.nodes(spark, d).where("id = 'c:7'")
+
+
+@query("SELECT count(*) AS dangling FROM edges WHERE NOT EXISTS (SELECT 1 FROM nodes WHERE id = src) OR NOT EXISTS (SELECT 1 FROM nodes WHERE id = dst)")
+def dangling_edges(spark, d):
+    n, e = P.nodes(spark, d).select("id"), P.edges(spark, d)
+    lost = e.join(n, e["src"] == n["id"], "left_anti").union(e.join(n, e["src"] == n["id"], "left_semi").join(n, e["dst"] == n["id"], "left_anti"))
+    return lost.agg(F.count("*").alias("dangling"))
+
+
+@query("SELECT evidence_tier, kind, count(*) AS n, max(n) AS most FROM edges GROUP BY 1, 2")
+def edges_dedup_identity(spark, d):
+    return P.edges(spark, d).groupBy("evidence_tier", "kind").agg(F.count("*").alias("n"), F.max("n").alias("most"))
+
+
+@query("SELECT src, dst, kind FROM edges WHERE src = 'c:7' AND kind IN ('CALLS','CONSUMES')")
+def edges_from(spark, d):
+    return P.edges(spark, d).where("src = 'c:7' and kind in ('CALLS','CONSUMES')").select("src", "dst", "kind")
+
+
+@query("SELECT src, dst, kind FROM edges WHERE dst = 's:3'")
+def edges_to(spark, d):
+    return P.edges(spark, d).where("dst = 's:3'").select("src", "dst", "kind")
+
+
+@query("SELECT id, name FROM nodes WHERE flags & 1 <> 0 AND lang = 'ASIA'")
+def nodes_with_flag(spark, d):
+    return P.nodes(spark, d).where((F.col("flags").bitwiseAND(F.lit(1)) != 0) & (F.col("lang") == "ASIA")).select("id", "name")
+
+
+@query("SELECT id, CASE WHEN kind = 'class' AND id IN (SELECT src FROM edges WHERE kind = 'EXPOSES') THEN flags | 256 ELSE flags END AS flags FROM nodes WHERE kind IN ('class','method')")
+def entry_point_flags(spark, d):
+    e = P.edges(spark, d).where("kind = 'EXPOSES'").select(F.col("src").alias("id")).distinct().withColumn("is_entry", F.lit(True))
+    n = P.nodes(spark, d).where("kind in ('class','method')").join(e, "id", "left")
+    return n.select("id", F.when(F.col("is_entry"), F.col("flags").bitwiseOR(F.lit(256))).otherwise(F.col("flags")).alias("flags"))
+
+
+@query("SELECT id, array_to_string(list_filter([CASE WHEN flags & 1 <> 0 THEN 'ASYNC' END, CASE WHEN flags & 256 <> 0 THEN 'ENTRY_POINT' END], lambda x: x IS NOT NULL), ',') AS names FROM nodes WHERE kind = 'method'")
+def flag_names(spark, d):
+    return P.nodes(spark, d).where("kind = 'method'").select("id", F.array_join(X.flag_names(F.col("flags")), ",").alias("names"))
+
+
+@query("""! hits AS (SELECT l_orderkey AS file, min(l_linenumber) AS a, max(l_linenumber) AS b, l_suppkey FROM lineitem GROUP BY 1, 4)
+SELECT file, line, count(*) AS holding, min(b - a) AS shortest FROM hits, (SELECT unnest([1,3,5]) AS line) q WHERE a <= line AND line <= b GROUP BY 1, 2""")
+def nodes_containing_line(spark, d):
+    h = _spans(spark, d)
+    q = F.broadcast(spark.createDataFrame([(1,), (3,), (5,)], "line int"))
+    return h.join(q, (F.col("a") <= F.col("line")) & (F.col("line") <= F.col("b"))).groupBy("file", "line").agg(F.count("*").alias("holding"), F.min(F.expr("b - a")).alias("shortest"))
+
+
+def _spans(spark, d) -> DataFrame:
+    """Spans of suppliers in order files: first to last line."""
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return li.groupBy(F.col("l_orderkey").alias("file"), "l_suppkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
+
+
+@query("""! hits AS (SELECT l_orderkey AS file, min(l_linenumber) AS a, max(l_linenumber) AS b, l_suppkey AS node FROM lineitem GROUP BY 1, 4),
+r AS (SELECT file, node, row_number() OVER (PARTITION BY file ORDER BY b - a, a DESC, node) AS k FROM hits WHERE a <= 4 AND b >= 4) SELECT file, node FROM r WHERE k = 1""")
+def innermost_node(spark, d):
+    h = _spans(spark, d).where("a <= 4 and b >= 4")
+    return h.groupBy("file").agg(F.min(F.struct(F.expr("b - a"), -F.col("a"), F.col("l_suppkey").alias("node"))).alias("x")).select("file", F.col("x.node").alias("node"))
+
+
+@query("SELECT l_orderkey AS file, l_linenumber AS line, count(*) AS edges, count(DISTINCT l_partkey) AS parts FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2", graph=False)
+def edges_on_line(spark, d):
+    li = P.table(spark, d, "lineitem").where("l_linenumber = 2")
+    return li.groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).agg(F.count("*").alias("edges"), F.countDistinct("l_partkey").alias("parts"))
+
+
+@query("""! picked AS (SELECT * FROM nodes WHERE qualified_name LIKE 'ASIA/%' AND kind IN ('module','class') ORDER BY length(qualified_name) DESC, id LIMIT 200),
+total AS (SELECT count(*) AS total FROM nodes WHERE qualified_name LIKE 'ASIA/%' AND kind IN ('module','class'))
+SELECT id, kind, total, CASE WHEN parent_id IN (SELECT id FROM picked) THEN parent_id END AS parent, count(*) OVER (PARTITION BY kind, name) > 1 AS duplicate_name FROM picked, total""")
+def graph_slice(spark, d):
+    n = P.nodes(spark, d).where("qualified_name like 'ASIA/%' and kind in ('module','class')")
+    total = n.agg(F.count("*").alias("total"))
+    picked = n.orderBy(F.length("qualified_name").desc(), "id").limit(200)
+    inside = picked.select(F.col("id").alias("pid"))
+    out = picked.join(inside, F.col("parent_id") == F.col("pid"), "left").crossJoin(F.broadcast(total))
+    return out.select("id", "kind", "total", F.col("pid").alias("parent"), (F.count("*").over(W.partitionBy("kind", "name")) > 1).alias("duplicate_name"))
+
+
+@query("""! picked AS (SELECT id FROM nodes WHERE service_id = 'CHINA') SELECT kind, count(*) AS n FROM edges WHERE src IN (SELECT id FROM picked) AND dst IN (SELECT id FROM picked) GROUP BY kind""")
+def induced_edges(spark, d):
+    p = P.nodes(spark, d).where("service_id = 'CHINA'").select("id")
+    e = P.edges(spark, d)
+    return e.join(p, e["src"] == p["id"], "left_semi").join(p, e["dst"] == p["id"], "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT kind, name, count(*) AS n FROM nodes GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_names(spark, d):
+    return P.nodes(spark, d).groupBy("kind", "name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# ---------------------------------------------------------------- traversal
+
+_BACK = "! w(node, depth) AS (SELECT 's:1', 0 UNION SELECT e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.node AND e.kind = 'CALLS' WHERE w.depth < {k}) SELECT node, min(depth) AS depth FROM w GROUP BY node"
+
+
+@query(_BACK.format(k=1))
+def callers_direct(spark, d):
+    return walk(P.edges(spark, d), one(spark, "s:1"), "backward", S.CALL_CHAIN, 1).select("node", "depth")
+
+
+@query(_BACK.format(k=4))
+def callers_transitive(spark, d):
+    return walk(P.edges(spark, d), one(spark, "s:1"), "backward", S.CALL_CHAIN, 4).select("node", "depth")
+
+
+@query("! w(node, depth) AS (SELECT 'c:7', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node AND e.kind = 'CALLS' WHERE w.depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def callees_transitive(spark, d):
+    return walk(P.edges(spark, d), one(spark, "c:7"), "forward", S.CALL_CHAIN, 4).select("node", "depth")
+
+
+@query("! w(node, depth) AS (SELECT 'r:1', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node AND e.kind = 'CONTAINS' WHERE w.depth < 6), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT m.depth, nodes.kind, count(*) AS n FROM m JOIN nodes ON nodes.id = m.node GROUP BY 1, 2")
+def walk_distance_histogram(spark, d):
+    w = walk(P.edges(spark, d), one(spark, "r:1"), "forward", ("CONTAINS",), 6)
+    n = P.nodes(spark, d).select("id", F.col("kind").alias("k"))
+    return w.join(n, w["node"] == n["id"]).groupBy("depth", F.col("k").alias("kind")).agg(F.count("*").alias("n"))
+
+
+_PATHS = """! e2 AS (SELECT src, dst, min(kind) AS kind FROM edges WHERE kind IN ('CONTAINS','CALLS') GROUP BY 1, 2),
+w(node, path, sig) AS (SELECT 'n:' || (SELECT c_nationkey FROM customer WHERE c_custkey = 7), ['n:' || (SELECT c_nationkey FROM customer WHERE c_custkey = 7)], CAST([] AS VARCHAR[])
+ UNION ALL SELECT e.dst, list_append(w.path, e.dst), list_append(w.sig, e.kind) FROM w JOIN e2 e ON e.src = w.node WHERE w.node <> 's:1' AND len(w.sig) < 3 AND NOT list_contains(w.path, e.dst))"""
+
+
+@query(_PATHS + " SELECT len(sig) AS length, array_to_string(path, ' ') AS path, array_to_string(sig, ' ') AS signature FROM w WHERE node = 's:1'")
+def find_paths(spark, d):
+    start = P.table(spark, d, "customer").where("c_custkey = 7").first().c_nationkey
+    p = paths_between(P.edges(spark, d), f"n:{start}", "s:1", ("CONTAINS", "CALLS"), 3, None)
+    return p.select("length", F.array_join("path", " ").alias("path"), F.array_join("signature", " ").alias("signature"))
+
+
+@query(_PATHS + " SELECT array_to_string(sig, ' ') AS signature, count(*) AS n FROM w WHERE node = 's:1' GROUP BY 1")
+def paths_kind_signature(spark, d):
+    start = P.table(spark, d, "customer").where("c_custkey = 7").first().c_nationkey
+    p = paths_between(P.edges(spark, d), f"n:{start}", "s:1", ("CONTAINS", "CALLS"), 3, None)
+    return p.groupBy(F.array_join("signature", " ").alias("signature")).agg(F.count("*").alias("n"))
+
+
+@query()
+def trace_flow_bounded(spark, d):
+    """Depth-first order has no SQL; tests hold it against a plain walk."""
+    rows = trace_flow(P.edges(spark, d), "c:7", S.CALL_CHAIN, 3, 60)
+    return spark.createDataFrame([(r["order"], r["depth"], r["node"], r["kind"], r["truncated"]) for r in rows], "`order` int, depth int, node string, kind string, truncated boolean")
+
+
+_IMPACT = "! w(node, depth) AS (SELECT 's:1', 0 UNION SELECT e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.node AND e.kind = 'CALLS' WHERE w.depth < 6), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)"
+
+
+@query(_IMPACT + " SELECT m.depth, n.kind, count(*) AS affected, sum(CASE WHEN n.service_id <> z.service_id THEN 1 ELSE 0 END) AS cross_service FROM m JOIN nodes n ON n.id = m.node, (SELECT service_id FROM nodes WHERE id = 's:1') z WHERE m.depth > 0 GROUP BY 1, 2")
+def impact_symbol(spark, d):
+    w = walk(P.edges(spark, d), one(spark, "s:1"), "backward", S.DEPENDENT, 6).where("depth > 0").select("node", "depth")
+    n = P.nodes(spark, d)
+    home = n.where("id = 's:1'").select(F.col("service_id").alias("home"))
+    j = w.join(n, w["node"] == n["id"]).crossJoin(F.broadcast(home))
+    return j.groupBy("depth", "kind").agg(F.count("*").alias("affected"), F.sum((F.col("service_id") != F.col("home")).cast("int")).alias("cross_service"))
+
+
+@query("""SELECT a.src AS exposer, count(DISTINCT b.src) AS consumers, count(DISTINCT CASE WHEN x.service_id <> y.service_id THEN b.src END) AS cross_service
+FROM edges a JOIN edges b ON a.dst = b.dst AND a.kind = 'EXPOSES' AND b.kind = 'CONSUMES' AND a.src <> b.src JOIN nodes x ON x.id = a.src JOIN nodes y ON y.id = b.src GROUP BY 1""")
+def contract_consumers(spark, d):
+    e, n = P.edges(spark, d), P.nodes(spark, d).select("id", "service_id")
+    a = e.where("kind = 'EXPOSES'").select(F.col("src").alias("exposer"), "dst").join(n.toDF("exposer", "sa"), "exposer")
+    b = e.where("kind = 'CONSUMES'").select(F.col("src").alias("consumer"), "dst").join(n.toDF("consumer", "sb"), "consumer")
+    j = a.join(b, "dst").where("exposer <> consumer")
+    return j.groupBy("exposer").agg(F.countDistinct("consumer").alias("consumers"), F.countDistinct(F.when(F.col("sa") != F.col("sb"), F.col("consumer"))).alias("cross_service"))
+
+
+@query("""SELECT l_orderkey AS file, l_linenumber AS line, CASE WHEN max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 THEN 'contract_key' WHEN max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 THEN 'signature' WHEN count(*) > 1 THEN 'declaration' ELSE 'body' END AS change FROM lineitem GROUP BY 1, 2""", graph=False)
+def impact_line_classify(spark, d):
+    """Each changed line by the strongest thing on it: contract key, signature, declaration, body."""
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    change = F.when(F.bool_or(F.col("l_returnflag") == "A"), "contract_key").when(F.bool_or(F.col("l_linestatus") == "F"), "signature").when(F.count("*") > 1, "declaration").otherwise("body")
+    return li.groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).agg(change.alias("change"))
+
+
+@query("! w(node, depth) AS (SELECT 'p:5', 0 UNION SELECT e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.node AND e.kind IN ('READS','WRITES') WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def dataflow_up(spark, d):
+    return walk(P.edges(spark, d), one(spark, "p:5"), "backward", S.DATA_FLOW, 6).select("node", "depth")
+
+
+@query("! w(node, depth) AS (SELECT 'o:7', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node AND e.kind IN ('READS','WRITES') WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def dataflow_down(spark, d):
+    return walk(P.edges(spark, d), one(spark, "o:7"), "forward", S.DATA_FLOW, 6).select("node", "depth")
+
+
+@query("SELECT src, dst, kind, evidence_tier, n FROM edges WHERE src = 'c:7' AND dst = (SELECT min('o:' || o_orderkey) FROM orders WHERE o_custkey = 7)")
+def explain(spark, d):
+    first = P.table(spark, d, "orders").where("o_custkey = 7").agg(F.min(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))).alias("dst"))
+    return P.edges(spark, d).where("src = 'c:7'").join(F.broadcast(first), "dst").select("src", "dst", "kind", "evidence_tier", "n")
+
+
+@query("""! w(node, sig, path) AS (SELECT 'c:7', '', ['c:7'] UNION ALL SELECT e.dst, w.sig || ' ' || e.kind, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node AND e.kind IN ('CALLS','EXPOSES','CONSUMES') WHERE len(w.path) < 4),
+m AS (SELECT node, min(len(path)) AS k FROM w GROUP BY node), s AS (SELECT w.node, w.sig, row_number() OVER (PARTITION BY w.node ORDER BY w.path, w.sig) AS r FROM w JOIN m ON m.node = w.node AND len(w.path) = m.k WHERE w.sig <> '')
+SELECT trim(sig) AS motif, count(*) AS n FROM s WHERE r = 1 GROUP BY 1""")
+def motifs(spark, d):
+    w = walk(P.edges(spark, d), one(spark, "c:7"), "forward", ("CALLS", "EXPOSES", "CONSUMES"), 3).where("depth > 0")
+    return w.groupBy(F.array_join("signature", " ").alias("motif")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT b.src AS peer FROM edges a JOIN part pa ON a.dst = 'k:' || pa.p_partkey JOIN part pb ON pa.p_type = pb.p_type JOIN edges b ON b.dst = 'k:' || pb.p_partkey AND b.kind = 'EXPOSES' WHERE a.src = 's:1' AND a.kind = 'EXPOSES' AND b.src <> 's:1'")
+def similar_peers(spark, d):
+    kind = P.table(spark, d, "part").select(F.concat(F.lit("k:"), F.col("p_partkey").cast("string")).alias("dst"), "p_type")
+    e = P.edges(spark, d).where("kind = 'EXPOSES'").select("src", "dst").join(kind, "dst")
+    own = e.where("src = 's:1'").select("p_type").distinct()
+    return e.where("src <> 's:1'").join(own, "p_type", "left_semi").select(F.col("src").alias("peer")).distinct()
+
+
+# ---------------------------------------------------------------- contracts
+
+
+@query("""SELECT k.id AS contract, count(DISTINCT CASE WHEN e.kind = 'EXPOSES' THEN e.src END) AS exposers, count(DISTINCT CASE WHEN e.kind = 'CONSUMES' THEN e.src END) AS consumers, count(DISTINCT n.service_id) > 1 AS cross_service,
+count(CASE WHEN e.kind = 'CONSUMES' THEN 1 END) > 0 AND count(CASE WHEN e.kind = 'EXPOSES' THEN 1 END) = 0 AS dangling, count(CASE WHEN e.kind = 'EXPOSES' THEN 1 END) > 0 AND count(CASE WHEN e.kind = 'CONSUMES' THEN 1 END) = 0 AS unconsumed
+FROM nodes k LEFT JOIN edges e ON e.dst = k.id LEFT JOIN nodes n ON n.id = e.src WHERE k.kind = 'contract' GROUP BY 1""")
+def contract_map(spark, d):
+    n, e = P.nodes(spark, d), P.edges(spark, d).where("kind in ('EXPOSES','CONSUMES')")
+    k = n.where("kind = 'contract'").select(F.col("id").alias("contract"))
+    s = n.select(F.col("id").alias("src"), "service_id")
+    j = k.join(e.join(s, "src"), F.col("contract") == F.col("dst"), "left")
+    ex, co = F.col("kind") == "EXPOSES", F.col("kind") == "CONSUMES"
+    a = j.groupBy("contract").agg(F.countDistinct(F.when(ex, F.col("src"))).alias("exposers"), F.countDistinct(F.when(co, F.col("src"))).alias("consumers"), (F.countDistinct("service_id") > 1).alias("cross_service"))
+    return a.withColumns({"dangling": F.expr("consumers > 0 and exposers = 0"), "unconsumed": F.expr("exposers > 0 and consumers = 0")})
+
+
+@query("SELECT DISTINCT e.src AS node, n.kind AS node_kind, p_type AS contract_kind FROM edges e JOIN nodes n ON n.id = e.src JOIN part ON 'k:' || p_partkey = e.dst WHERE e.kind = 'EXPOSES'")
+def entry_points(spark, d):
+    kind = P.table(spark, d, "part").select(F.concat(F.lit("k:"), F.col("p_partkey").cast("string")).alias("dst"), F.col("p_type").alias("contract_kind"))
+    n = P.nodes(spark, d).select(F.col("id").alias("src"), F.col("kind").alias("node_kind"))
+    return P.edges(spark, d).where("kind = 'EXPOSES'").select("src", "dst").join(kind, "dst").join(n, "src").select(F.col("src").alias("node"), "node_kind", "contract_kind").distinct()
+
+
+@query(r"""SELECT page_id, 'GET /' || array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^(\$?\{[^}]*\}|:[A-Za-z_]\w*|<[^>]*>|\[[^\]]*\]|\*)$') THEN '{*}' ELSE x END), '/') AS route FROM pages""", graph=False)
+def route_normalise(spark, d):
+    return P.table(spark, d, "pages").select("page_id", X.normalise_http(F.lit("get"), F.col("url")).alias("route"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace('List<' || p_brand || '>.' || p_name || '.class', '<.*>', ''), '\.class$', '') AS fqn, lower(p_name) AS table_key, trim(p_type, '\"') AS topic FROM part", graph=False)
+def key_normalise(spark, d):
+    p = P.table(spark, d, "part")
+    raw = F.concat(F.lit("List<"), F.col("p_brand"), F.lit(">."), F.col("p_name"), F.lit(".class"))
+    return p.select("p_partkey", X.normalise_fqn(raw).alias("fqn"), X.normalise_table(F.col("p_name")).alias("table_key"), X.normalise_topic(F.concat(F.lit('"'), F.col("p_type"), F.lit('"'))).alias("topic"))
+
+
+# ---------------------------------------------------------------- search
+
+
+def _bm25_sql(terms: list[str], mode: str) -> str:
+    tf = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{q}'))) AS f{i}" for i, q in enumerate(terms))
+    df = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(terms)))
+    score = " - ".join(["0"] + [f"greatest(ln((rows - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(terms))])
+    hits = " + ".join(f"(f{i} > 0)::INT" for i in range(len(terms)))
+    return f"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), c AS (SELECT doc_id, len(t)::DOUBLE AS len, {tf} FROM t), s AS (SELECT count(*) AS rows, avg(len) AS mean, {df} FROM c) SELECT doc_id, {hits} AS hits, round({score}, 6) AS score FROM c, s WHERE {hits} {'= ' + str(len(terms)) if mode == 'and' else '> 0'}"
+
+
+@query(_bm25_sql(["then", "erl"], "and"), graph=False)
+def search_and(spark, d):
+    return R.bm25(P.table(spark, d, "documents"), "doc_id", "text", ["then", "erl"], "and")
+
+
+@query(_bm25_sql(["schu", "moron"], "or"), graph=False)
+def search_or(spark, d):
+    return R.bm25(P.table(spark, d, "documents"), "doc_id", "text", ["schu", "moron"], "or")
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(rf"WHEN regexp_matches(lower(text), '\b({w})\b') THEN '{k}'" for k, w in X.INTENTS) + " ELSE 'search' END AS intent FROM conversations", graph=False)
+def intent_detect(spark, d):
+    return P.table(spark, d, "conversations").select("conv_id", "turn", X.detect_intent(F.col("text")).alias("intent"))
+
+
+# ---------------------------------------------------------------- risks
+
+
+@query("""! frames AS (SELECT id AS frame FROM nodes WHERE kind = 'method' AND flags & 1 <> 0 AND lang = 'EUROPE'),
+hit AS (SELECT frame, s.dst AS target, s.evidence_tier FROM frames JOIN edges s ON s.src = frame AND s.kind = 'CALLS')
+SELECT frame, count(*) AS findings, max(CASE WHEN evidence_tier = 'fact' THEN 2 ELSE 1 END) AS severity FROM hit GROUP BY frame""")
+def risks_direct(spark, d):
+    """Blocking calls made straight from asynchronous frames, with derived severity (base high)."""
+    n = P.nodes(spark, d).where((F.col("kind") == "method") & (F.col("flags").bitwiseAND(F.lit(1)) != 0) & (F.col("lang") == "EUROPE")).select(F.col("id").alias("frame"))
+    e = P.edges(spark, d).where("kind = 'CALLS'")
+    j = n.join(e, n["frame"] == e["src"])
+    s = X.severity(F.lit(2), F.lit(1), F.lit(False), F.col("evidence_tier"))
+    return j.groupBy("frame").agg(F.count("*").alias("findings"), F.max(s).alias("severity"))
+
+
+@query("SELECT base, distance, entry, tier, greatest(0, least(3, greatest(0, least(3, greatest(0, least(3, base - CASE WHEN distance > 2 THEN 1 ELSE 0 END)) + CASE WHEN entry = 1 THEN 1 ELSE 0 END)) - CASE WHEN tier <> 'fact' THEN 1 ELSE 0 END)) AS severity FROM (SELECT DISTINCT l_linenumber % 4 AS base, l_linenumber AS distance, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS entry, CASE WHEN l_returnflag = 'A' THEN 'fact' ELSE 'heuristic' END AS tier FROM lineitem)", graph=False)
+def severity(spark, d):
+    li = P.table(spark, d, "lineitem")
+    q = li.select((F.col("l_linenumber") % 4).alias("base"), F.col("l_linenumber").alias("distance"), F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("entry"), F.when(F.col("l_returnflag") == "A", "fact").otherwise("heuristic").alias("tier")).distinct()
+    return q.withColumn("severity", X.severity(F.col("base"), F.col("distance"), F.col("entry") == 1, F.col("tier")))
+
+
+# ---------------------------------------------------------------- resolution over refs
+
+_REFS = "! refs AS (SELECT l_orderkey, l_linenumber, l_suppkey, p_name AS ref_text FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N'), cand AS (SELECT name, count(*) AS n, min(id) AS target FROM nodes WHERE kind = 'field' GROUP BY name)"
+
+
+@query(_REFS + " SELECT CASE WHEN n IS NULL THEN 'external' WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS resolution, count(*) AS refs, count(DISTINCT CASE WHEN n = 1 THEN target END) AS targets FROM refs LEFT JOIN cand ON name = ref_text GROUP BY 1")
+def ambiguous_refs(spark, d):
+    """One candidate is an edge, several are ambiguous and never picked, none is external."""
+    r = P.table(spark, d, "lineitem").where("l_returnflag = 'N'").join(P.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("ref_text"))
+    c = P.nodes(spark, d).where("kind = 'field'").groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    j = r.join(c, F.col("name") == F.col("ref_text"), "left")
+    how = F.when(F.col("n").isNull(), "external").when(F.col("n") == 1, "exact").otherwise("ambiguous")
+    return j.groupBy(how.alias("resolution")).agg(F.count("*").alias("refs"), F.countDistinct(F.when(F.col("n") == 1, F.col("target"))).alias("targets"))
+
+
+@query("""SELECT l_orderkey AS file, count(*) AS refs_total, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS refs_exact, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS refs_inferred, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS refs_unresolved,
+round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0 END) / count(*), 3) AS exact_ratio FROM lineitem GROUP BY 1""", graph=False)
+def coverage_ratios(spark, d):
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
+    c = lambda f: F.sum((F.col("l_returnflag") == f).cast("long"))
+    return li.groupBy(F.col("l_orderkey").alias("file")).agg(F.count("*").alias("refs_total"), c("A").alias("refs_exact"), c("R").alias("refs_inferred"), c("N").alias("refs_unresolved"), F.round(c("A") / F.count("*"), 3).alias("exact_ratio"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem), p AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos FROM nation)
+SELECT n_nationkey AS parameter, count(*) AS bound FROM a JOIN p ON a.pos = p.pos AND p.n_regionkey = a.l_orderkey % 5 GROUP BY 1""", graph=False)
+def param_binds(spark, d):
+    """Positional arguments of a call joined with the callee's parameters by ordinal; surplus ones bind nothing."""
+    a = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    p = P.table(spark, d, "nation").withColumn("pos", F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    j = a.join(F.broadcast(p.select("n_regionkey", "n_nationkey", "pos")), (a["pos"] == p["pos"]) & (F.col("n_regionkey") == F.col("l_orderkey") % 5))
+    return j.groupBy(F.col("n_nationkey").alias("parameter")).agg(F.count("*").alias("bound"))
+
+
+@query("""SELECT a.event_id, min(b.event_id) AS declared FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 4 HOUR
+AND b.ts = (SELECT min(c.ts) FROM events c WHERE c.user_id = a.user_id AND c.event_type = 'purchase' AND c.ts >= a.ts) GROUP BY 1""", graph=False)
+def decorator_asof(spark, d):
+    """Forward as-of join with a tolerance: the nearest declaration at or after a decorator, if near enough."""
+    e = P.table(spark, d, "events").where("event_type in ('view','purchase')").select("event_id", "ts", "user_id", "event_type")
+    nxt = F.min(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(W.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp")).rangeBetween(W.currentRow, W.unboundedFollowing))
+    out = e.withColumn("nxt", nxt).where("event_type = 'view' and nxt is not null").where(F.col("nxt.ts") <= F.col("ts") + F.expr("interval 4 hours"))
+    return out.select("event_id", F.col("nxt.event_id").alias("declared"))
+
+
+# ---------------------------------------------------------------- metrics
+
+
+@query("SELECT count(*) AS calls, round(sum(value), 4) AS tokens, round(avg(value), 4) AS mean, min(ts) AS first, max(ts) AS last FROM events", graph=False)
+def metrics_summary(spark, d):
+    return P.table(spark, d, "events").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("SELECT event_type AS tool, count(*) AS calls, round(sum(value), 4) AS tokens, count(DISTINCT user_id) AS users, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1", graph=False)
+def metrics_by_tool(spark, d):
+    a = P.table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"), F.countDistinct("user_id").alias("users"))
+    return a.withColumn("rank", F.row_number().over(W.orderBy(F.desc("calls"), "tool")))
+
+
+@query("SELECT event_type AS tool, count(*) AS calls FROM events WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' AND ts < TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1", graph=False)
+def metrics_period(spark, d):
+    """Seven days up to a fixed as-of time."""
+    e = P.table(spark, d, "events").where("ts >= timestamp'2024-01-23 00:00:00' and ts < timestamp'2024-01-30 00:00:00'")
+    return e.groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"))
+
+
+@query("SELECT o_custkey AS answer, greatest(sum(CAST(floor(o_totalprice / 4) AS BIGINT)), 8 * count(*), 1200) AS raw_tokens FROM orders GROUP BY 1", graph=False)
+def token_impact(spark, d):
+    o = P.table(spark, d, "orders").select("o_custkey", "o_totalprice")
+    return o.groupBy(F.col("o_custkey").alias("answer")).agg(F.greatest(F.sum(F.floor(F.col("o_totalprice") / 4)), 8 * F.count("*"), F.lit(1200)).alias("raw_tokens"))
+
+
+@query("SELECT event_type AS tool, sum(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 1 ELSE 0 END) AS synced, sum(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 1 THEN 1 ELSE 0 END) AS open, max(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN ts END) AS last_sync FROM events GROUP BY 1", graph=False)
+def sync_status(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int") % 2
+    return P.table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.sum((k == 0).cast("int")).alias("synced"), F.sum((k == 1).cast("int")).alias("open"), F.max(F.when(k == 0, F.col("ts"))).alias("last_sync"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS tool, count(*) AS calls FROM events GROUP BY 1, 2", graph=False)
+def tumbling_windows(spark, d):
+    return P.table(spark, d, "events").groupBy(F.window("ts", "1 day"), F.col("event_type").alias("tool")).agg(F.count("*").alias("calls")).select(F.col("window.start").alias("day"), "tool", "calls")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS calls FROM s GROUP BY user_id, k", graph=False)
+def session_windows(spark, d):
+    s = P.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.count("*").alias("calls"))
+    return s.select("user_id", F.col("session_window.start").alias("started"), "calls")
+
+
+# ---------------------------------------------------------------- text forms
+
+
+@query("SELECT conv_id, turn, len(string_split(text, chr(10))) AS lines FROM conversations", graph=False)
+def source_elision(spark, d):
+    t = P.table(spark, d, "conversations")
+    return t.select("conv_id", "turn", F.size(F.split(X.elide(F.col("text"), 10**6), "\n")).alias("lines"))
+
+
+@query("SELECT doc_id, count(*) AS sites FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM documents) WHERE w = 'the' GROUP BY 1", graph=False)
+def usage_sites(spark, d):
+    """Exact uses of one symbol; occurrences are counted inside the row, nothing is exploded."""
+    n = F.size(F.filter(F.split("text", "[ \n]+"), lambda x: x == "the"))
+    return P.table(spark, d, "documents").select("doc_id", n.cast("long").alias("sites")).where("sites > 0")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
+
+
+__all__ = ["oracle_sql", "queries", "steps"]
