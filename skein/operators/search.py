@@ -19,7 +19,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], mode: st
     mean length are one aggregated row.
     """
     d = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("t"))
-    tf = [F.size(F.filter("t", lambda x, q=q: x.startswith(q))).alias(f"f{i}") for i, q in enumerate(terms)]
+    begins = lambda q: lambda x: x.startswith(q)
+    tf = [F.size(F.filter("t", begins(q))).alias(f"f{i}") for i, q in enumerate(terms)]
     d = d.select(id_col, F.size("t").alias("len"), *tf)
     stats = d.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in range(len(terms))])
     d = d.crossJoin(F.broadcast(stats))  # one row
