@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ _WS[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
 
 
-def _pow_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, CHUNK + 1)
         up, down = np.full(n, _BASE), np.full(n, _BASE_INV)
@@ -112,7 +113,7 @@ def word_chunks(texts: list[str | None], prepare: Callable[[str], bytes] = ascii
             parts.append(b"" if t is None else prepare(t))
             size += len(parts[-1]) + 1
         buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-        up, down = _pow_tables(len(buf) + 1)
+        up, down = power_tables(len(buf) + 1)
         ws = _WS[buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], ws)).view(np.int8)))
         start, end = edge[0::2], edge[1::2]
@@ -153,7 +154,7 @@ class MinHash:
     ``bits/2 * (1 - exp(-4 k (1-J) / bits))`` ones, which is sharp at high similarities.
     """
 
-    def __init__(self, bands: int, rows: int, bits: int = 512):
+    def __init__(self, bands: int, rows: int, bits: int = 1024):
         self.bands, self.rows, self.bits = bands, rows, bits
         g = np.random.Generator(np.random.PCG64(977))
         k = bands * rows
@@ -166,7 +167,7 @@ class MinHash:
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row of minima for each non-empty set."""
         out = np.full((len(sets), len(self.mul)), 0xFFFFFFFF, np.uint32)
-        cap = max(256, (1 << 18) // len(self.mul))
+        cap = max(256, (1 << 17) // len(self.mul))
         i = 0
         while i < len(sets):
             j, n = i, 0
@@ -185,8 +186,8 @@ class MinHash:
         return out
 
     def _h(self, x: np.ndarray) -> np.ndarray:
-        h = (x[:, None] ^ self.add[None, :]) * self.mul[None, :]
-        return h ^ (h >> np.uint32(15))
+        h = x[:, None] ^ self.add[None, :]
+        return np.multiply(h, self.mul[None, :], out=h)
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         m = minima.reshape(len(minima), self.bands, self.rows).astype(U64)
@@ -199,12 +200,14 @@ class MinHash:
         odd = (np.bincount(flat, minlength=len(pos) * self.bits) & 1).astype(np.uint8)
         return np.packbits(odd.reshape(len(pos), self.bits), axis=1).view(np.int64)
 
-    def most_ones(self, similarity: float, sigmas: float = 5.0) -> int:
+    def most_ones(self, similarity: float, sigmas: float = 4.5) -> int:
         """XOR population count that a pair of that similarity exceeds only by a ``sigmas`` event."""
-        k, n = len(self.mul), self.bits
-        low = similarity - sigmas * (similarity * (1 - similarity) / k) ** 0.5
-        mean = n / 2 * (1 - np.exp(-4 * k * (1 - max(0.0, low)) / n))
-        return int(min(n, mean + sigmas * (n / 4) ** 0.5))
+        k, n, j = len(self.mul), self.bits, similarity
+        fall = np.exp(-4 * k * (1 - j) / n)
+        mean, p = n / 2 * (1 - fall), (1 - fall) / 2
+        # spread of the samples that differ, carried over to bits, and spread of the bits themselves
+        sd = ((2 * fall) ** 2 * k * j * (1 - j) + n * p * (1 - p)) ** 0.5
+        return int(min(n, np.ceil(mean + sigmas * sd)))
 
 
 # --------------------------------------------------------------------------- components
@@ -234,8 +237,95 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("w")).distinct())
 
 
-#: A bucket with more unlinked members than this is split by a second shared band before pairs are made.
-REFINE_OVER = 48
+#: Members of a bucket that one tile compares with as many others, by sketch and by whole sets.
+SKETCH_BLOCK, SET_BLOCK = 256, 128
+
+
+class Union:
+    """Union-find over the labels of one tile."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def _ones(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(p), len(q)), np.int32)
+    for j in range(p.shape[1]):
+        out += np.bitwise_count(p[:, None, j] ^ q[None, :, j])
+    return out
+
+
+def _tiles(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for _, t in pdf.groupby(["key", "one", "two"], sort=False):
+        if len(t) > 1:
+            yield t
+
+
+def sketch_tile(most: int):
+    """Tiles of (key, one, two, block, c, sketch) to a forest of pairs of components with close sketches."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = set()
+        for t in _tiles(pdf):
+            one, block, c = t["one"].iloc[0], t["block"].to_numpy(), t["c"].to_numpy()
+            s = np.stack(t["sketch"].to_numpy()).view(U64)
+            x = np.flatnonzero(block == one)
+            y = np.flatnonzero(block == t["two"].iloc[0])
+            ok = (_ones(s[x], s[y]) <= most) & (c[x][:, None] != c[y][None])
+            sets = Union()
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                a, b = int(c[x[i]]), int(c[y[j]])
+                if sets.find(a) != sets.find(b):
+                    sets.join(a, b)
+                    edges.add((min(a, b), max(a, b)))
+        return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def set_tile(most: int, num: int, den: int):
+    """Tiles of (key, one, two, asks, node, c, sketch, grams) to a forest of links confirmed on whole sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for t in _tiles(pdf):
+            asks, node, c = t["asks"].to_numpy(), t["node"].to_numpy(), t["c"].tolist()
+            s, grams = np.stack(t["sketch"].to_numpy()).view(U64), [np.sort(g) for g in t["grams"]]
+            size, sets = np.array([len(g) for g in grams]), Union()
+            x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if not len(x) or not len(y):
+                continue
+            ones = _ones(s[x], s[y])
+            ok = (ones <= most) & (np.minimum(size[x][:, None], size[y][None]) * den >= np.maximum(size[x][:, None], size[y][None]) * num)
+            for i, p in enumerate(x):
+                at = np.flatnonzero(ok[i])
+                for q in y[at[np.argsort(ones[i, at], kind="stable")]]:
+                    if sets.find(c[p]) == sets.find(c[q]):
+                        continue
+                    g, h = (grams[p], grams[q]) if size[p] < size[q] else (grams[q], grams[p])
+                    k = np.searchsorted(h, g)
+                    both = int((h[np.minimum(k, len(h) - 1)] == g).sum())
+                    if both * den >= (size[p] + size[q] - both) * num:
+                        sets.join(c[p], c[q])
+                        edges.append((node[p], node[q]))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def in_bins(df: DataFrame, run, rows: int) -> DataFrame:
+    """``run`` over whole tiles (key, one, two), many of them in a task's group; groups stay small."""
+    bins = F.pmod(F.xxhash64("key", "one", "two"), F.lit(max(256, rows // 2048))).cast("int")
+    return df.groupBy(bins.alias("bin")).applyInPandas(run, "a long, b long")
 
 
 def linked_components(
@@ -243,73 +333,81 @@ def linked_components(
     grams_of: Callable[[DataFrame], DataFrame],
     num: int,
     den: int,
-    bits_over: int,
-    star_rounds: int = 3,
+    most: int,
+    star_rounds: int = 2,
 ) -> DataFrame:
     """Components of all pairs of sets with ``den * |A & B| >= num * |A | B|``; rows ``(node, component)``.
 
     ``sig(node, n, bands, sketch)`` may repeat a node.  ``grams_of(nodes)`` gives ``(node, grams)``
-    with the whole sets, on which every link is confirmed.  Pairs come from shared bands.  A bucket
-    never emits all its pairs: members are first compared with one centre each, for a few rounds;
-    pairs inside one component need no comparison, and only pairs across components are left.  Of
-    those, buckets that are still large are split by a second band that similar pairs also share.
+    with the whole sets, on which every link is confirmed.  Pairs come from shared bands, and no
+    bucket emits its pairs:
+
+    1. Members of a bucket are compared with one centre each, for a few rounds.  Pairs inside one
+       component need no comparison, so most large buckets are settled by this.
+    2. In buckets that still hold several components, tiles of bounded size compare odd sketches of
+       all members and return a forest of close components: their families.
+    3. In each family, tiles compare the whole sets of members outside its largest component with
+       those of all members and return a forest of confirmed links.
     """
     spark = sig.sparkSession
     sig = sig.where("n > 0")
+    first = sig.where("bands is not null")
     b = sig.select("node", F.explode("bands").alias("key"))
     shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     m = durable(b.join(shared, "key").select("key", "node", "lo").distinct())
-    first = sig.where("bands is not null")
-    links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, component long")
-    tested = links
+
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return durable(semi_by_size(first.select("node", "n", "sketch"), nodes, "node").dropDuplicates(["node"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        ends = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        here = durable(semi_by_size(first.select("node", "n", "sketch"), ends, "node").dropDuplicates(["node"]))
+        here = sketches(durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
         side = lambda x: here.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         ones = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        close = durable(
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (ones <= bits_over))
-            .select("a", "b")
-        )
-        ends = durable(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
-        grams = durable(grams_of(ends))
+        close = pairs.join(side("a"), "a").join(side("b"), "b")
+        close = durable(close.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (ones <= most)).select("a", "b"))
+        grams = durable(grams_of(durable(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())))
         ga, gb = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
         both = F.size(F.array_intersect("ga", "gb"))
         return close.join(ga, "a").join(gb, "b").where(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
 
-    for r in range(star_rounds + 1):
+    def open_buckets() -> DataFrame:
+        mc = m.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        several = mc.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1")
+        return durable(mc.join(several, "key"))
+
+    mc = None
+    for r in range(star_rounds):
         if r == 0:
             pairs = m.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
         else:
-            mc = m.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-            open_ = mc.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-            mc = durable(mc.join(open_, "key"))
-            if r < star_rounds:
-                centre = mc.where("c = c1").groupBy("key").agg((F.max if r % 2 else F.min)("node").alias("z"))
-                pairs = mc.join(centre, "key").where("c <> c1").select(F.least("z", "node").alias("a"), F.greatest("z", "node").alias("b"))
-            else:
-                size = mc.groupBy("key").agg(F.count("*").alias("size"))
-                mc = mc.join(size, "key").select("key", "node", "c", "size")
-                few = mc.where(F.col("size") <= REFINE_OVER).select("key", "node", "c")
-                many = mc.where(F.col("size") > REFINE_OVER).select("key", "node", "c")
-                big = durable(many.select("node").distinct())
-                wide = semi_by_size(first.select("node", "bands"), big, "node").dropDuplicates(["node"])
-                again = many.join(wide, "node").select("node", "c", "key", F.explode("bands").alias("k2")).where("k2 <> key")
-                again = again.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "node", "c").distinct()
-                mc = durable(few.union(again))
-                x, y = mc.toDF("key", "a", "ca"), mc.toDF("key", "b", "cb")
-                pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-        pairs = durable(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if r == 0:
-                break
-            continue
-        tested = durable(tested.union(pairs))
-        new = durable(confirm(pairs))
-        if not new.isEmpty():
-            links = links.union(new)
-            comp = durable(components(links))
-    return comp
+            mc = open_buckets()
+            centre = mc.where("c = c1").groupBy("key").agg(F.max("node").alias("z"))
+            pairs = mc.join(centre, "key").where("c <> c1").select(F.least("z", "node").alias("a"), F.greatest("z", "node").alias("b"))
+        new = durable(confirm(durable(pairs.distinct())))
+        links = new if r == 0 else new.union(comp.where("node <> component"))  # components so far are stars of links
+        comp = durable(components(links))
+
+    mc = open_buckets()
+    rows = mc.count()
+    if not rows:
+        return comp
+    here = sketches(durable(mc.select("node").distinct()))
+    t = join_by_size(mc, here.select("node", "sketch"), "node", row_bytes=512).withColumn("blocks", F.ceil(F.col("size") / SKETCH_BLOCK).cast("int"))
+    t = t.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    t = t.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "c", "sketch")
+    close = durable(in_bins(t, sketch_tile(most), rows))
+    if close.isEmpty():
+        return comp
+    family = durable(components(close))
+    f = durable(join_by_size(mc.select("node", "c").distinct(), family.select(F.col("node").alias("c"), F.col("component").alias("key")), "c"))
+    top = f.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
+    top = top.select("key", F.col("top.c").alias("top"), F.ceil(F.col("size") / SET_BLOCK).cast("int").alias("nb"), F.ceil((F.col("size") - F.col("top.k")) / SET_BLOCK).cast("int").alias("na"))
+    f = durable(f.join(top, "key"))
+    grams = durable(grams_of(durable(f.select("node").distinct())))
+    body = f.join(here.select("node", "sketch"), "node").join(grams, "node")
+    ask = body.where("c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "asks": F.lit(True)})
+    told = body.withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "asks": F.lit(False)})
+    cols = ["key", "one", "two", "asks", "node", "c", "sketch", "grams"]
+    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(most, num, den), rows))
+    return comp if new.isEmpty() else durable(components(new.union(comp.where("node <> component"))))

@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_COEF, MinHash, durable, join_by_size, linked_components, mix
+from .common import U64, WORD_COEF, MinHash, durable, join_by_size, linked_components, mix, power_tables
 
 GRAM = 8
 #: Characters of lines that are signed at once.
-BATCH = 1 << 19
+BATCH = 1 << 16
 
 
 def normal(line: str) -> str:
@@ -42,10 +42,10 @@ def char_grams(lines: list[str], k: int = GRAM) -> list[np.ndarray]:
     text = "".join(lines) + "\0" * k
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1)
     n = len(x) - k
-    h = x[:n] * WORD_COEF[0]
-    for j in range(1, k):
-        h += x[j : n + j] * WORD_COEF[j]
-    h = mix(h)
+    up, down = power_tables(len(x))
+    sums = np.zeros(len(x) + 1, U64)
+    np.cumsum(x * up[: len(x)], out=sums[1:])
+    h = mix((sums[k : n + k] - sums[:n]) * down[:n])
     out, at = [], 0
     for line in lines:
         if len(line) >= k:
