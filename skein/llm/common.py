@@ -292,14 +292,41 @@ def sketch_tile(most: int):
     return run
 
 
-def set_tile(most: int, num: int, den: int):
+def as_sets(grams: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.sort(g) for g in grams]
+
+
+def shared_size(g: np.ndarray, h: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(g) > len(h):
+        g, h = h, g
+    k = np.searchsorted(h, g)
+    return int((h[np.minimum(k, len(h) - 1)] == g).sum())
+
+
+def pair_check(num: int, den: int, sets: Callable[[list], list[np.ndarray]]):
+    """Batches of (a, b, ga, gb) to the pairs (a, b) that link on their whole sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                x, y = sets(part["ga"].tolist()), sets(part["gb"].tolist())
+                both = np.array([shared_size(g, h) for g, h in zip(x, y, strict=True)], np.int64)
+                total = np.array([len(g) + len(h) for g, h in zip(x, y, strict=True)], np.int64)
+                yield part.loc[both * den >= (total - both) * num, ["a", "b"]]
+
+    return run
+
+
+def set_tile(most: int, num: int, den: int, make: Callable[[list], list[np.ndarray]]):
     """Tiles of (key, one, two, asks, node, c, sketch, grams) to a forest of links confirmed on whole sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = []
         for t in _tiles(pdf):
             asks, node, c = t["asks"].to_numpy(), t["node"].to_numpy(), t["c"].tolist()
-            s, grams = np.stack(t["sketch"].to_numpy()).view(U64), [np.sort(g) for g in t["grams"]]
+            s, grams = np.stack(t["sketch"].to_numpy()).view(U64), make(t["grams"].tolist())
             size, sets = np.array([len(g) for g in grams]), Union()
             x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(x) or not len(y):
@@ -311,9 +338,7 @@ def set_tile(most: int, num: int, den: int):
                 for q in y[at[np.argsort(ones[i, at], kind="stable")]]:
                     if sets.find(c[p]) == sets.find(c[q]):
                         continue
-                    g, h = (grams[p], grams[q]) if size[p] < size[q] else (grams[q], grams[p])
-                    k = np.searchsorted(h, g)
-                    both = int((h[np.minimum(k, len(h) - 1)] == g).sum())
+                    both = shared_size(grams[p], grams[q])
                     if both * den >= (size[p] + size[q] - both) * num:
                         sets.join(c[p], c[q])
                         edges.append((node[p], node[q]))
@@ -334,13 +359,14 @@ def linked_components(
     num: int,
     den: int,
     most: int,
+    sets: Callable[[list], list[np.ndarray]] | None = None,
     star_rounds: int = 2,
 ) -> DataFrame:
     """Components of all pairs of sets with ``den * |A & B| >= num * |A | B|``; rows ``(node, component)``.
 
     ``sig(node, n, bands, sketch)`` may repeat a node.  ``grams_of(nodes)`` gives ``(node, grams)``
-    with the whole sets, on which every link is confirmed.  Pairs come from shared bands, and no
-    bucket emits its pairs:
+    with the whole sets (or, with ``sets``, what that function makes them of), on which every link
+    is confirmed.  Pairs come from shared bands, and no bucket emits its pairs:
 
     1. Members of a bucket are compared with one centre each, for a few rounds.  Pairs inside one
        component need no comparison, so most large buckets are settled by this.
@@ -352,7 +378,8 @@ def linked_components(
     spark = sig.sparkSession
     sig = sig.where("n > 0")
     first = sig.where("bands is not null")
-    b = sig.select("node", F.explode("bands").alias("key"))
+    # dealt by key once, for the minima of buckets and for their members
+    b = sig.select("node", F.explode("bands").alias("key")).repartition("key")
     shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     m = durable(b.join(shared, "key").select("key", "node", "lo").distinct())
     comp = spark.createDataFrame([], "node long, component long")
@@ -368,6 +395,8 @@ def linked_components(
         close = durable(close.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (ones <= most)).select("a", "b"))
         grams = durable(grams_of(durable(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())))
         ga, gb = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
+        if sets:
+            return close.join(ga, "a").join(gb, "b").mapInPandas(pair_check(num, den, sets), "a long, b long")
         both = F.size(F.array_intersect("ga", "gb"))
         return close.join(ga, "a").join(gb, "b").where(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
 
@@ -409,5 +438,5 @@ def linked_components(
     ask = body.where("c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "asks": F.lit(True)})
     told = body.withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "asks": F.lit(False)})
     cols = ["key", "one", "two", "asks", "node", "c", "sketch", "grams"]
-    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(most, num, den), rows))
+    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(most, num, den, sets or as_sets), rows))
     return comp if new.isEmpty() else durable(components(new.union(comp.where("node <> component"))))

@@ -102,12 +102,19 @@ def sign(mh: MinHash, seen: set[int], dk: list, id_: list, pos: list, lines: lis
     return pd.DataFrame({"dk": np.array(dk, np.int64), "id": id_, "pos": np.array(pos, np.int32), "n": np.ones(len(node), np.int32), "node": np.array(node, np.int64), "bands": pd.Series(keys, dtype=object), "sketch": pd.Series(sketch, dtype=object)})
 
 
-def wanted_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def wanted_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        node, lines = [], []
         for t, at in zip(pdf["text"], pdf["at"], strict=True):
             parts = t.split("\n")
-            lines = [normal(parts[p]) for p in at]
-            yield pd.DataFrame({"node": [line_id(x) for x in lines], "grams": [np.unique(g).view(np.int64) for g in char_grams(lines)]})
+            own = [normal(parts[p]) for p in at]
+            lines += own
+            node += [line_id(x) for x in own]
+        yield pd.DataFrame({"node": np.array(node, np.int64), "grams": pd.Series(lines, dtype=object)})
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    return [np.unique(g) for g in char_grams(lines)]
 
 
 def keep_lines(text: Column, drop: Column) -> Column:
@@ -122,13 +129,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(doc_key(F.col("id"), F.col("text")).alias("dk"), "id", "text")
     sig = durable(text.mapInPandas(signer(bands, rows, bits), "dk long, id long, pos int, n int, node long, bands array<long>, sketch array<long>"))
 
-    def grams_of(nodes: DataFrame) -> DataFrame:
+    # rows that repeat an id and text would repeat their lines
+    repeats = not sig.groupBy("dk", "pos").count().where("count > 1").isEmpty()
+
+    def lines_of(nodes: DataFrame) -> DataFrame:
         one = join_by_size(sig.where("bands is not null").select("node", "dk", "pos"), nodes, "node", "left_semi")
         one = one.groupBy("node").agg(F.min(F.struct("dk", "pos")).alias("x")).groupBy("x.dk").agg(F.collect_set("x.pos").alias("at"))
-        own = join_by_size(text.select("dk", "text"), durable(one), "dk", row_bytes=64).dropDuplicates(["dk"])
-        return own.select("text", "at").mapInPandas(wanted_grams, "node long, grams array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        own = join_by_size(text.select("dk", "text"), durable(one), "dk", row_bytes=64)
+        own = own.dropDuplicates(["dk"]) if repeats else own
+        return own.select("text", "at").mapInPandas(wanted_lines, "node long, grams string")
 
-    comp = linked_components(sig, grams_of, num, den, mh.most_ones(num / den))
+    comp = linked_components(sig, lines_of, num, den, mh.most_ones(num / den), line_sets)
     lines = sig.select("dk", "id", "pos", "node").join(comp, "node", "left").select("dk", "id", "pos", F.coalesce("component", "node").alias("cls"))
     lines = durable(lines.distinct())
     head = lines.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos", "dk")).alias("head"), F.count("*").alias("c")).where("c > 1")
