@@ -22,7 +22,19 @@ CHUNK = 1 << 19  # bytes of text that are hashed at once
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows of an Arrow batch; texts may be long, and a batch is held in memory by the JVM and by Python.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches from their default to ``BATCH_ROWS``; a value that was chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +64,7 @@ def durable(df: DataFrame) -> DataFrame:
     files go when the driver ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/skein/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
