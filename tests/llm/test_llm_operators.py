@@ -1,0 +1,237 @@
+"""The ten operators against brute force, round trips and held-out accuracy, and their edge cases."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skein.llm import fuzzy_lines, license_rules, minimax_shards, odd_minhash, pii_surrogates, pivot_vectors, quality_gbt, source_mix, spaced_seeds, toxicity
+from skein.llm.common import MinHash, components, table
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, id string, size long, node long, u long"
+
+
+def docs(spark, rows):
+    """(doc_id, text) or (doc_id, text, source) with columns whose names clash with inner ones."""
+    return spark.createDataFrame([(r[0], r[1], "en", r[2] if len(r) > 2 else "a", "x", 1, 1, 1) for r in rows], SCHEMA)
+
+
+EDGES = [(1, None), (2, ""), (3, "word"), (4, "word"), (4, "word"), (None, "some other words here and there"), (5, "long " * 30000), (6, " \n\n \t")]
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def classes(sets, num=75, den=100):
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(parent, i) for i in ids}
+
+
+def grams(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    d = table(spark, SF, "documents")
+    sets = {r.doc_id: grams(r.text) for r in d.collect()}
+    want = classes(sets)
+    for r in odd_minhash.near_duplicates(d).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_near_duplicates_of_a_family_that_no_centre_links(spark):
+    """A chain of edits: neighbours link, ends do not, so centres alone would not join it."""
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        words[(k * 2) % 120] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in odd_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == classes({i: grams(t) for i, t in rows})
+
+
+def test_near_duplicates_edges(spark):
+    out = odd_minhash.near_duplicates(docs(spark, EDGES)).collect()
+    assert len(out) == len(EDGES)
+    by = {r.doc_id: r for r in out}
+    assert by[1].n_shingles == by[2].n_shingles == by[6].n_shingles == 0 and by[1].component_id == 1
+    assert by[3].component_id == by[4].component_id == 3
+    assert odd_minhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_odd_sketch_estimates_similarity():
+    g = np.random.Generator(np.random.PCG64(1))
+    mh = MinHash(48, 5)
+    base = g.integers(0, 2**64, 1000, dtype=np.uint64)
+    for share in (0.5, 0.75, 0.95):
+        k = int(1000 * 2 * share / (1 + share))
+        other = np.concatenate([base[:k], g.integers(0, 2**64, 1000 - k, dtype=np.uint64)])
+        s = mh.sketch(mh.minima([base, other]))
+        ones = int(np.bitwise_count(s[0].view(np.uint64) ^ s[1].view(np.uint64)).sum())
+        assert abs(1 + mh.bits / (4 * 240) * np.log(1 - 2 * ones / mh.bits) - share) < 0.12
+        assert (ones <= mh.most_ones(0.75)) or share < 0.75
+
+
+def test_components(spark):
+    got = {r.node: r.component for r in components(spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (7, 7), (2, 1), (8, 9)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
+
+
+def test_fuzzy_lines_equal_brute_force(spark):
+    d = table(spark, SF, "documents").where("doc_id < 60")
+    lines = [(r.doc_id, p, fuzzy_lines.normal(x)) for r in d.orderBy("doc_id").collect() for p, x in enumerate(r.text.split("\n")) if fuzzy_lines.normal(x)]
+    first = {}
+    for i, p, x in lines:
+        first.setdefault(x, (i, p))
+    order = sorted(first, key=first.get)
+    cls = classes({i: {x[j : j + 8] for j in range(max(1, len(x) - 7))} for i, x in enumerate(order)})
+    out = fuzzy_lines.dedup_lines(d).agg(F.sum("n_lines"), F.sum("n_dropped")).first()
+    assert tuple(out) == (len(lines), len(lines) - len({c for c in cls.values()}))
+
+
+def test_fuzzy_lines_edges(spark):
+    got = {r.doc_id: r for r in fuzzy_lines.dedup_lines(docs(spark, [(1, "a first line of text\n\nanother one here"), (2, "A  first line of text\nnew"), (3, None), (4, "")])).collect()}
+    assert got[1].text == "a first line of text\n\nanother one here" and got[2].text == "new"
+    assert got[3].text is None and got[4].text == "" and got[2].n_dropped == 1
+    assert fuzzy_lines.dedup_lines(docs(spark, [])).count() == 0
+    assert fuzzy_lines.dedup_lines(docs(spark, EDGES)).count() == len(EDGES)
+
+
+def test_vectors_recall_and_edges(spark):
+    g = np.random.Generator(np.random.PCG64(5))
+    base = g.normal(size=(40, 16))
+    x = np.concatenate([base + g.normal(size=base.shape) * s for s in (0.0, 0.1, 0.2, 0.3, 0.4)] + [base[:1]] * 30)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(9000, None, 1), (9001, [0.0] * 16, 1), (9002, [float("nan")] * 16, 1), (9003, [1.0], 1), (None, [1.0] * 16, 1)]
+    got = {r.vec_id: r for r in pivot_vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.95 * true.sum()
+    assert all(got[i].n_links == 0 and got[i].kept for i in (9000, 9001, 9002, 9003, None))
+    assert pivot_vectors.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_vectors_exact_on_the_table(spark):
+    v = table(spark, "/root/testdata/sf0.1", "embeddings")
+    p = v.toPandas()
+    u = pivot_vectors.unit(p["embedding"])
+    true = dict(zip(p["vec_id"], (u @ u.T >= 0.9).sum(1) - 1, strict=True))
+    assert {r.vec_id: r.n_links for r in pivot_vectors.links(v).collect()} == true
+
+
+def test_surrogates(spark):
+    rows = [(1, "Bob.01@mail3.example.com, bob.01@MAIL3.example.com +1 (556) 555-9070"), (2, "4315726095712222 and 4315-7260-9571-2222"), (3, "call +1 (556) 555-9070, Mrs. Anna Miller, госпожа Иванова"), (4, None), (5, "none 1 2 3")]
+    got = {r.doc_id: r for r in pii_surrogates.pseudonymise(docs(spark, rows)).collect()}
+    assert got[1].entities[0] == got[1].entities[1] and got[1].entities[2].surrogate == got[3].entities[0].surrogate
+    card = got[2].entities[0].surrogate
+    digits = [int(c) for c in card]
+    assert card[0] == "4" and sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits)) % 10 == 0
+    assert got[2].entities[1].surrogate.replace("-", "") == card and got[3].text.startswith("call +1 (")
+    assert got[4].text is None and got[5].text == "none 1 2 3"
+    assert pii_surrogates.pseudonymise(docs(spark, [])).count() == 0
+
+
+def test_surrogate_collisions_are_resolved(spark):
+    """Ten digits hold many phones, two octets of a narrow format do not: every entity keeps its own stand-in."""
+    e = spark.createDataFrame([("ssn", f"123-45-{i:04d}", f"123-45-{i:04d}") for i in range(3000)] + [("secret", f"ab{i:02d}", f"ab{i:02d}") for i in range(100)], "kind string, canon string, surface string")
+    again = {(r.kind, r.canon): r.attempt for r in pii_surrogates.attempts(e, "k").collect()}
+    tries = spark.createDataFrame([(k, c, again.get((k, c), 0)) for k, c in ((r.kind, r.canon) for r in e.collect())], "kind string, canon string, attempt int")
+    s = tries.select("kind", "canon", pii_surrogates.surrogate("k", F.col("kind"), F.col("canon"), F.col("canon"), F.col("attempt")).alias("s")).collect()
+    assert len({(r.kind, r.s) for r in s}) == 3100 and not {r.s for r in s} & {r.canon for r in s}
+
+
+def test_toxicity(spark):
+    ch = toxicity.Channel(toxicity.trigram_counts(table(spark, "/root/testdata/sf0.01", "documents"), "text"))
+    assert [ch.words(w) for w in ("1d10t", "stuuupid", "$tup1d", "s.c.u.m", "clown")] == [("idiot",), ("stupid",), ("stupid",), ("scum",), ("clown",)]
+    d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    held = toxicity.toxicity(d, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    assert np.mean([r.predicted == r.toxic for r in held]) > 0.98
+    out = toxicity.toxicity(docs(spark, EDGES), spark.createDataFrame([(1, None, 1), (3, 1, None)], "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == len(EDGES) and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.toxicity(docs(spark, []), labels).count() == 0
+
+
+def test_quality(spark):
+    d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    held = quality_gbt.quality(d, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.98
+    out = quality_gbt.quality(docs(spark, EDGES), labels).collect()
+    assert len(out) == len(EDGES) and all(0 <= r.score <= 1 for r in out)
+    assert quality_gbt.quality(docs(spark, []), labels.limit(0)).count() == 0
+
+
+def test_minimax_capacity_is_smallest():
+    g = np.random.Generator(np.random.PCG64(2))
+    for _ in range(50):
+        sizes, k = g.integers(1, 50, g.integers(1, 12)), int(g.integers(1, 6))
+        fits = lambda c: minimax_shards._greedy(sizes, c, k) is not None
+        c = minimax_shards.minimax_capacity(sizes, k)
+        assert fits(c) and not fits(c - 1)
+
+
+def test_shards(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    out = minimax_shards.shard(d, 24).toPandas()
+    text = d.toPandas().set_index("doc_id")["text"]
+    assert out.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
+    assert out.assign(t=text.loc[out["doc_id"]].to_numpy()).groupby("t")["shard"].nunique().max() == 1
+    total = out.groupby("shard")["size"].sum()
+    assert total.sum() == sum(len(t.encode()) + 8 for t in text) and total.max() <= 1.1 * total.mean()
+    edge = minimax_shards.shard(docs(spark, EDGES + [(7, "x" * 50)] * 40), 4).collect()
+    assert len(edge) == len(EDGES) + 40 and {r.size for r in edge if r.doc_id == 1} == {8}
+    assert minimax_shards.shard(docs(spark, []), 4).count() == 0
+
+
+def test_mix(spark):
+    rows = [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(900)] + [(1000, None, None), (1001, "", None), (1002, "a b", None)]
+    out = source_mix.mix(docs(spark, rows)).toPandas()
+    assert len(out) == len(rows) and (out["taken"] <= 3 * out["size"]).all() and out.loc[out["doc_id"] == 1000, "size"].item() == 0
+    out["source"] = [dict((r[0], r[2]) for r in rows)[i] for i in out["doc_id"]]
+    by = out.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("source_size", "first"))
+    assert (abs(by["target"] - by["taken"]) <= 7).all() and by["target"].sum() == pytest.approx(out["size"].sum())
+    assert by.loc["a", "target"] / by.loc["c", "target"] == pytest.approx(5) and (by["target"] <= 3 * by["size"]).all()
+    assert source_mix.mix(docs(spark, [])).count() == 0
+
+
+def test_decontamination(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    changed = item.replace("zeta", "ZZZ").replace("omicron", "OOO")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "the of"), (4, "six short words make an item")], "item_id long, text string")
+    rows = [(1, "before " + item.upper() + "! after"), (2, "x y " + changed + " z"), (3, " ".join(reversed(item.split()))), (4, "we say: six, short words make an item."), (5, "six short words"), (6, None)]
+    got = {r.doc_id: r for r in spaced_seeds.contamination(docs(spark, rows), bench).collect()}
+    assert {i: r["items"] for i, r in got.items()} == {1: [1], 2: [1], 3: [], 4: [4], 5: [], 6: []}
+    assert got[2].matched == pytest.approx(0.9)
+    assert spaced_seeds.contamination(docs(spark, EDGES), bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_licences(spark):
+    rec = license_rules.Recogniser()
+    full = "\n".join(". ".join(license_rules.SENTENCES[k][:1]) for k in ("mit.grant", "mit.include", "mit.asis"))
+    assert [x[0] for x in rec.licences("Code.\n" + full)] == ["MIT"]
+    wrapped = full.replace(" of this software", "\nof this software")
+    assert [x[0] for x in rec.licences(wrapped)] == ["MIT"]
+    assert rec.licences("\n".join(reversed(full.split("\n")))) == []
+    assert [x[0] for x in rec.licences("Text. Licensed under CC BY-NC 4.0.\nMore")] == ["CC-BY-NC-4.0"]
+    assert license_rules.licences(docs(spark, EDGES)).where("n_matches > 0").count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+    d = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, SF)
+        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r.shard for r in corpus_pipeline.STAGES[-1][1](spark, d, SF).select("shard").collect()} <= set(range(24))
