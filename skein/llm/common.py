@@ -372,14 +372,12 @@ def linked_components(
     num: int,
     den: int,
     most: int,
-    sets: Callable[[list], list[np.ndarray]] | None = None,
     star_rounds: int = 2,
 ) -> DataFrame:
     """Components of all pairs of sets with ``den * |A & B| >= num * |A | B|``; rows ``(node, component)``.
 
     ``sig(node, n, bands, sketch)`` may repeat a node.  ``grams_of(nodes)`` gives ``(node, grams)``
-    with the whole sets (or, with ``sets``, what that function makes them of), on which every link
-    is confirmed.  Pairs come from shared bands, and no bucket emits its pairs:
+    with the whole sets, on which every link is confirmed.  Pairs come from shared bands, and no bucket emits its pairs:
 
     1. Members of a bucket are compared with one centre each, for a few rounds.  Pairs inside one
        component need no comparison, so most large buckets are settled by this.
@@ -408,8 +406,6 @@ def linked_components(
         close = durable(close.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (ones <= most)).select("a", "b"))
         grams = durable(grams_of(durable(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())))
         ga, gb = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        if sets:
-            return close.join(ga, "a").join(gb, "b").mapInPandas(pair_check(num, den, sets), "a long, b long")
         both = F.size(F.array_intersect("ga", "gb"))
         return close.join(ga, "a").join(gb, "b").where(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
 
@@ -451,5 +447,5 @@ def linked_components(
     ask = body.where("c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "asks": F.lit(True)})
     told = body.withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "asks": F.lit(False)})
     cols = ["key", "one", "two", "asks", "node", "c", "sketch", "grams"]
-    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(most, num, den, sets or as_sets), rows))
+    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(most, num, den, as_sets), rows))
     return comp if new.isEmpty() else durable(components(new.union(comp.where("node <> component"))))

@@ -15,14 +15,16 @@ null; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_COEF, MinHash, durable, join_by_size, linked_components, mix, power_tables
+from .common import SET_BLOCK, U64, WORD_COEF, MinHash, components, durable, in_bins, join_by_size, mix, pair_check, power_tables, set_tile
 
 GRAM = 8
 #: Characters of lines that are signed at once.
@@ -60,14 +62,17 @@ def doc_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, text)
 
 
-def signer(bands: int, rows: int, bits: int):
-    """Batches of (dk, id, text) to lines (dk, id, pos, node); the first of a node in a task carries its signature."""
+LINE = pa.schema([("dk", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mh, seen = MinHash(bands, rows, bits), set()
-        for pdf in batches:
+
+def signer(bands: int, rows: int):
+    """Batches of (dk, id, text) to lines (dk, id, pos, node); the first of a node in a task carries its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mh, seen = MinHash(bands, rows), set()
+        for batch in batches:
             dk, id_, pos, lines, size = [], [], [], [], 0
-            for k, i, t in zip(pdf["dk"], pdf["id"], pdf["text"], strict=True):
+            for k, i, t in zip(*(batch.column(c).to_pylist() for c in ("dk", "id", "text")), strict=True):
                 if not t:
                     continue
                 for p, line in enumerate(t.split("\n")):
@@ -85,7 +90,7 @@ def signer(bands: int, rows: int, bits: int):
     return run
 
 
-def sign(mh: MinHash, seen: set[int], dk: list, id_: list, pos: list, lines: list[str]) -> pd.DataFrame:
+def sign(mh: MinHash, seen: set[int], dk: list, id_: list, pos: list, lines: list[str]) -> pa.RecordBatch:
     node = [line_id(x) for x in lines]
     fresh = []
     for i, x in enumerate(node):
@@ -94,29 +99,73 @@ def sign(mh: MinHash, seen: set[int], dk: list, id_: list, pos: list, lines: lis
             fresh.append(i)
     if len(seen) > 1_000_000:
         seen.clear()
-    keys, sketch = [None] * len(node), [None] * len(node)
+    has = np.zeros(len(node) + 1, np.int32)
+    keys = np.empty(0, np.int64)
     if fresh:
-        low = mh.minima(char_grams([lines[i] for i in fresh]))
-        for i, a, b in zip(fresh, mh.keys(low), mh.sketch(low), strict=True):
-            keys[i], sketch[i] = a, b
-    return pd.DataFrame({"dk": np.array(dk, np.int64), "id": id_, "pos": np.array(pos, np.int32), "n": np.ones(len(node), np.int32), "node": np.array(node, np.int64), "bands": pd.Series(keys, dtype=object), "sketch": pd.Series(sketch, dtype=object)})
+        keys = mh.keys(mh.minima(char_grams([lines[i] for i in fresh]))).ravel()
+        has[np.array(fresh) + 1] = mh.bands
+    none = pa.array(np.append(has[1:] == 0, False))
+    ends = pa.array(np.cumsum(has), pa.int32())
+    lists = pa.ListArray.from_arrays(pc.if_else(none, pa.scalar(None, pa.int32()), ends), pa.array(keys))
+    return pa.RecordBatch.from_arrays([pa.array(dk, pa.int64()), pa.array(id_, pa.int64()), pa.array(pos, pa.int32()), pa.array(node, pa.int64()), lists], schema=LINE)
 
 
-def wanted_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        node, lines = [], []
-        for t, at in zip(pdf["text"], pdf["at"], strict=True):
-            parts = t.split("\n")
-            own = [normal(parts[p]) for p in at]
-            lines += own
-            node += [line_id(x) for x in own]
-        yield pd.DataFrame({"node": np.array(node, np.int64), "grams": pd.Series(lines, dtype=object)})
+def wanted_lines(bands: int, rows: int, bits: int):
+    """Batches of (text, at) to the normal forms of the lines at those positions, with an odd sketch of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mh = MinHash(bands, rows, bits)
+        for pdf in batches:
+            lines = []
+            for t, at in zip(pdf["text"], pdf["at"], strict=True):
+                parts = t.split("\n")
+                lines += [normal(parts[p]) for p in at]
+            for i in range(0, len(lines), 256):
+                own = lines[i : i + 256]
+                yield pd.DataFrame({"node": np.array([line_id(x) for x in own], np.int64), "grams": pd.Series(own, dtype=object), "sketch": pd.Series(list(mh.sketch(mh.minima(char_grams(own)))), dtype=object)})
+
+    return run
 
 
 def line_sets(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(g) for g in char_grams(lines)]
 
 
+def line_components(sig: DataFrame, lines_of: Callable[[DataFrame], DataFrame], num: int, den: int, most: int) -> DataFrame:
+    """Components of linked lines, ``(node, component)``, from ``sig(node, bands)``.
+
+    Every member of a bucket is first compared with the bucket's smallest line, which settles most
+    buckets.  Those that still hold several components are compared inside: tiles of bounded size set
+    members outside the bucket's largest component against all members and return forests of links.
+    No bucket emits its pairs, and buckets are never merged, so chains of unlike lines do not grow tiles.
+    """
+    b = sig.where("bands is not null").select("node", F.explode("bands").alias("key")).repartition("key")
+    shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
+    m = durable(b.join(shared.hint("shuffle_hash"), "key").distinct())
+    body = durable(lines_of(durable(m.select("node").distinct())))
+
+    pairs = m.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    ga, gb = (body.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
+    links = durable(pairs.join(ga, "a").join(gb, "b").mapInPandas(pair_check(num, den, line_sets), "a long, b long"))
+    comp = durable(components(links))
+
+    mc = m.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    k = mc.groupBy("key", "c").agg(F.count("*").alias("k"))
+    top = k.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size")).where("size > top.k")
+    blocks = lambda x: F.ceil(x / SET_BLOCK).cast("int")
+    top = top.select("key", F.col("top.c").alias("top"), blocks(F.col("size")).alias("nb"), blocks(F.col("size") - F.col("top.k")).alias("na"))
+    # a bucket of two lines was settled by its own comparison
+    f = durable(mc.join(top.join(k.groupBy("key").agg(F.sum("k").alias("size")).where("size > 2").select("key"), "key"), "key"))
+    rows = f.count()
+    if not rows:
+        return comp
+    f = f.withColumns({"mine": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "all": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")})
+    ask = f.where("c <> top").select("key", F.col("mine").alias("one"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("two"), F.lit(True).alias("asks"), "node", "c")
+    told = f.select("key", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("one"), F.col("all").alias("two"), F.lit(False).alias("asks"), "node", "c")
+    new = durable(in_bins(ask.union(told).join(body, "node"), set_tile(most, num, den, line_sets), rows))
+    return comp if new.isEmpty() else durable(components(new.union(comp.where("node <> component"))))
+
+
 def keep_lines(text: Column, drop: Column) -> Column:
     parts = F.split(text, "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains(drop, i))
@@ -127,7 +176,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: ``id_col, text`` without repeated lines, ``n_lines`` (not blank), ``n_dropped``."""
     mh = MinHash(bands, rows, bits)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(doc_key(F.col("id"), F.col("text")).alias("dk"), "id", "text")
-    sig = durable(text.mapInPandas(signer(bands, rows, bits), "dk long, id long, pos int, n int, node long, bands array<long>, sketch array<long>"))
+    sig = durable(text.mapInArrow(signer(bands, rows), "dk long, id long, pos int, node long, bands array<long>"))
 
     # rows that repeat an id and text would repeat their lines
     repeats = not sig.groupBy("dk", "pos").count().where("count > 1").isEmpty()
@@ -137,9 +186,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         one = one.groupBy("node").agg(F.min(F.struct("dk", "pos")).alias("x")).groupBy("x.dk").agg(F.collect_set("x.pos").alias("at"))
         own = join_by_size(text.select("dk", "text"), durable(one), "dk", row_bytes=64)
         own = own.dropDuplicates(["dk"]) if repeats else own
-        return own.select("text", "at").mapInPandas(wanted_lines, "node long, grams string")
+        return own.select("text", "at").mapInPandas(wanted_lines(bands, rows, bits), "node long, grams string, sketch array<long>")
 
-    comp = linked_components(sig, lines_of, num, den, mh.most_ones(num / den), line_sets)
+    comp = line_components(sig, lines_of, num, den, mh.most_ones(num / den))
     lines = sig.select("dk", "id", "pos", "node").join(comp, "node", "left").select("dk", "id", "pos", F.coalesce("component", "node").alias("cls"))
     lines = durable(lines.distinct())
     head = lines.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos", "dk")).alias("head"), F.count("*").alias("c")).where("c > 1")
