@@ -3,7 +3,8 @@
 The channel writes letters as look-alikes (``1d10t``), repeats them (``stuuupid``) and spaces words out
 (``m o r o n``, ``s.c.u.m``).  A disguised token becomes a lattice of the letters each sign may stand for,
 which Viterbi decodes under a character trigram model counted over the whole corpus.  Tokens of plain
-letters stand for themselves, so only odd tokens are decoded, once per worker.
+letters and plain numbers stand for themselves, so only odd tokens are decoded, once per worker.  A token of
+joined words gives its parts too; parts of more than 40 signs are cut into words in overlapping pieces.
 
 The scorer reads restored words as word and prefix features.  Those that mark label 1 in the training rows
 beyond chance are kept, one of each family, with their log-odds; a text's score is the noisy or of its
@@ -45,7 +46,11 @@ for _o in range(0xC0, 0x250):
         _LUT[_o] = 1
 _TRIM = re.compile(r"^[^\w@$(]+|[^\w@$]+$|[$@(]{3,}$|^[$@(]{3,}")
 _RUN = re.compile(r"(.)\1+")
-_KEPT = 60_000
+#: What joins words into one token.
+_JOINT = re.compile(r"[^\w@$!|+(*€]+|_+")
+#: A plain number, price, date or time stands for itself.
+_NUMBER = re.compile(r"[$€+(-]*\d[\d.,:/()+%€-]*")
+_KEPT, _LONG = 60_000, 40
 #: Score of a text without any toxic feature.
 NO_MARK = 0.01
 
@@ -94,6 +99,8 @@ class Channel:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The restored words of a lower-cased token, runs of a letter squeezed."""
+        if len(token) > 256:  # too long to be kept
+            return self._words(token)
         if token not in self.known:
             if len(self.known) > _KEPT:
                 self.known.clear()
@@ -102,17 +109,49 @@ class Channel:
 
     def _words(self, token: str) -> tuple[str, ...]:
         t = _TRIM.sub("", token)
-        if not t.isalpha():
-            if not t.isascii():
-                t = "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf").lower()
-            letters = sum(c.isalpha() for c in t)
-            if len(t) > 40 or letters * 5 < 2 * len(t) or letters < 2 or "@" in t[1:] and "." in t:
-                return tuple(squeeze(x) for x in re.findall(r"[^\W\d_]{2,40}", t)[:8])
-            if not t.isalpha():
-                t = self.decode(t)
-        elif _RUN.search(t) and max(len(m[0]) for m in _RUN.finditer(t)) > 2:
-            t = self.decode(t)
-        return (squeeze(t),) if t else ()
+        if not t.isascii():
+            t = "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf").lower()
+        if t.isalpha():
+            if any(len(m[0]) > 2 for m in _RUN.finditer(t)):
+                return tuple(dict.fromkeys(squeeze(w) for w in self._pieces(t)))
+            return (squeeze(t),)
+        if _NUMBER.fullmatch(t):
+            return ()
+        parts = [x for x in _JOINT.split(t) if x]
+        out = []
+        if len(t) <= _LONG:
+            out.append(self._one(t))
+        else:  # too long for one word: single signs between separators are spaced-out words
+            run: list[str] = []
+            for x in [*parts, "  "]:
+                if len(x) == 1:
+                    run.append(x)
+                    continue
+                if len(run) >= 4:
+                    out += self.spaced("".join(run))
+                run = []
+        if len(parts) > 1 or len(t) > _LONG:
+            for x in parts:
+                if len(x) > 1 and not _NUMBER.fullmatch(x):
+                    out += self._pieces(x)
+            out += re.findall(r"[^\W\d_]{2,40}", t)
+        return tuple(dict.fromkeys(w for w in map(squeeze, out) if w))
+
+    def _one(self, t: str) -> str:
+        """One word: decoded if it holds two letters or look-alikes at least."""
+        if t.isalpha() and not any(len(m[0]) > 2 for m in _RUN.finditer(t)):
+            return t
+        return self.decode(t) if sum(c.isalpha() or c in LOOKALIKE for c in t) > 1 else ""
+
+    def _pieces(self, t: str) -> list[str]:
+        """A part as one word; a long one is cut into words by the decoder."""
+        if len(t) <= _LONG or t.isalpha() and not any(len(m[0]) > 2 for m in _RUN.finditer(t)):
+            return [self._one(t)]
+        return self.spaced(t)
+
+    def spaced(self, signs: str) -> list[str]:
+        """Words of a run of signs without boundaries; long runs in pieces that overlap."""
+        return [w for a in range(0, len(signs), 64) for w in self.decode(signs[max(0, a - 12) : a + 64], True).split()]
 
     def restore(self, text: str | None) -> list[str]:
         """The restored words of a text; a run of four or more single signs is read as spaced-out words too."""
@@ -125,8 +164,7 @@ class Channel:
                     run.append(t)
                     continue
                 if len(run) >= 4:
-                    for a in range(0, len(run), 64):  # long runs in pieces that overlap
-                        out.update(squeeze(w) for w in self.decode("".join(run[max(0, a - 12) : a + 64]), True).split())
+                    out.update(squeeze(w) for w in self.spaced("".join(run)))
                 run = []
         return sorted(out)
 

@@ -162,6 +162,16 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_toxicity_decodes_heavy_leetspeak_and_joined_words(spark):
+    ch = toxicity.Channel(toxicity.trigram_counts(table(spark, "/root/testdata/sf0.1", "documents"), "text"))
+    got = {w: ch.words(w) for w in ("1d107", "m0000r0000n", "5h17", "h473", "p47h371c", "1,250.00", "2023-10-05")}
+    assert "idiot" in got["1d107"] and "moron" in got["m0000r0000n"] and all(got[w] for w in ("5h17", "h473", "p47h371c"))
+    assert got["1,250.00"] == got["2023-10-05"] == ()
+    joined = "one,two_three/four,five_six/seven,eight_nine/ten,eleven_1d10t"
+    assert {"one", "ten", "eleven", "idiot"} <= set(ch.words(joined)) and "idiot" in ch.words("you,1d10t")
+    assert "idiot" in ch.words("st@y.1d10t") and "moron" in ch.words("文字" * 30 + "。moron")
+
+
 def test_quality(spark):
     d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = quality_gbt.quality(d, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
