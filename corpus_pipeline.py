@@ -5,7 +5,8 @@ written as Parquet and reread as the next one's ``docs``.  Every stage works on
 before it kept, and all but the last return the columns of ``documents``.
 
 Edge cases: a stage that finds no rows returns none; null ids are kept by filters unless the stage's own
-operator rejects the row; rows that repeat an id are decided together.
+operator rejects the row; every row is decided by itself, since a stage first gives its rows a key
+of their own that its operator carries, so null and repeated ids neither drop nor keep other rows.
 """
 
 from __future__ import annotations
@@ -16,33 +17,44 @@ from pyspark.sql import functions as F
 from skein.llm import minimax_shards, odd_minhash, source_mix, spaced_seeds, toxicity
 from skein.llm.common import durable, join_by_size, table
 
+ROW = "_row"
+
 SHARDS = 24
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among the few of ``rejected``; the list is broadcast only if its counted size is small."""
-    return join_by_size(docs, durable(rejected.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ``ROW``, written once so that every later read sees the same keys."""
+    return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose key is not among the few of ``rejected``; the list is broadcast only if its counted size is small."""
+    return join_by_size(rows, durable(rejected.select(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
-    return _without(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    rows = _keyed(docs)
+    return _without(rows, toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row_col=ROW).where("predicted = 1")).select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return _without(docs, odd_minhash.near_duplicates(docs).where("not kept"))
+    rows = _keyed(docs)
+    return _without(rows, odd_minhash.near_duplicates(rows, id_col=ROW).where("not kept")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    return _without(docs, spaced_seeds.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _keyed(docs)
+    return _without(rows, spaced_seeds.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    copies = durable(source_mix.mix(docs).select("doc_id", "copies").where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")))
-    taken = join_by_size(docs, copies, "doc_id", row_bytes=24)
+    rows = _keyed(docs)
+    copies = durable(source_mix.mix(rows, row_col=ROW).select(ROW, "copies").where("copies > 0"))
+    taken = join_by_size(rows, copies, ROW, row_bytes=24)
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch")).select(docs.columns)
 
 

@@ -63,11 +63,12 @@ def mix(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     max_epochs: int = 3,
     seed: int = 7,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``id_col, size, source_size, target, taken, copies``."""
+    """One row per document: ``id_col, size, source_size, target, taken, copies``, and ``row_col`` as it came if named."""
     text = F.col(text_col)
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), (-F.log(u) / quality_weight(text)).alias("key"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), (-F.log(u) / quality_weight(text)).alias("key"), *([F.col(row_col).alias("row")] if row_col else []))
     d = durable(d.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")))
     cells = d.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     goal = source_targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), weights, max_epochs)
@@ -77,10 +78,10 @@ def mix(
     cells = cells.withColumn("before", F.coalesce(F.sum("cell").over(run), F.lit(0)))
     cells = cells.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "cell")
     cells = durable(cells).withColumnsRenamed({"source": "s", "bucket": "b"})
-    w = W.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("source", "bucket").orderBy("key", "id", "size", *(["row"] if row_col else [])).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(w), F.lit(0)))
     d = d.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     # a document is in the fractional epoch if more than half of it lies within the remaining budget
     more = (F.col("size") > 0) & (F.col("before") + F.col("inside") + F.col("size") / 2 <= F.col("rest"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long")
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *([F.col("row").alias(row_col)] if row_col else []))

@@ -253,8 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: st
     return {f: float(np.log((support[f] + 0.5) / (in_clean.get(f, 0) + 0.5))) for f in choose(support, in_clean, base)}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5, max_rows: int = 12_000) -> DataFrame:
-    """One row per document: ``id_col, held_out, score, predicted, marks`` (restored words that count for label 1)."""
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5, max_rows: int = 12_000, row_col: str | None = None) -> DataFrame:
+    """One row per document: ``id_col, held_out, score, predicted, marks`` (restored words that count for label 1), and the long ``row_col`` as it came if named."""
     spark = docs.sparkSession
     channel = spark.sparkContext.broadcast(Channel(trigram_counts(docs, text_col)))
     model = spark.sparkContext.broadcast(train(docs, labels, channel, id_col, text_col, label, max_rows))
@@ -279,7 +279,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 none = np.log1p(-NO_MARK) - sum(np.log1p(np.exp(odds[f])) for f in sorted(hit))
                 scores.append(-np.expm1(none) if odds else 0.0)
                 marks.append(words)
-            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": np.array(scores, float), "marks": pd.Series(marks, dtype=object)})
+            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": np.array(scores, float), "marks": pd.Series(marks, dtype=object)} | ({"row": pdf["row"]} if row_col else {}))
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (fold(F.col(id_col)) == 0).alias("held_out")).mapInPandas(score, "id long, held_out boolean, score double, marks array<string>")
-    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "marks")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (fold(F.col(id_col)) == 0).alias("held_out"), *([F.col(row_col).alias("row")] if row_col else []))
+    out = out.mapInPandas(score, "id long, held_out boolean, score double, marks array<string>" + (", row long" if row_col else ""))
+    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "marks", *([F.col("row").alias(row_col)] if row_col else []))

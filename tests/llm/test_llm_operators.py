@@ -245,3 +245,25 @@ def test_pipeline(spark):
         d = stage(spark, d, SF)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.shard for r in corpus_pipeline.STAGES[-1][1](spark, d, SF).select("shard").collect()} <= set(range(24))
+
+
+def test_pipeline_decides_rows_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = " ".join(f"b{i}" for i in range(20))
+    text = lambda k, n=40: " ".join(f"{k}x{i}" for i in range(n))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+    texts = lambda df: sorted(r.text for r in df.collect())
+    rows = [(i, "scumbag " * (i % 10 == 0) + "".join("bdfgklmnrt"[int(c)] + "o" for c in f"{i:03d}"), "a") for i in range(1000)] + [(2000, "you scumbag", "a"), (2000, "a namesake", "a"), (None, "a scumbag", "a"), (None, "no name", "a")]
+    left = texts(p.clean(spark, make(rows), str(tmp_path)))
+    assert len(left) == 902 and {"a namesake", "no name"} <= set(left)
+    near = [(1, text("p"), "a"), (7, text("p"), "a"), (7, text("q"), "a"), (None, text("r"), "a"), (None, text("r"), "a"), (7, text("s"), "a"), (7, text("s"), "a")]
+    assert texts(p.dedup(spark, make(near), str(tmp_path))) == [text(k) for k in "pqrs"]
+    found = [(7, item, "a"), (7, text("q"), "a"), (None, item, "a"), (None, text("r"), "a")]
+    assert texts(p.decontaminate(spark, make(found), str(tmp_path))) == [text("q"), text("r")]
+    # one source takes each of its rows equally often, with an id or without
+    mixed = make([(None, text(f"n{i}"), "a") for i in range(5)] + [(7, text(f"o{i}"), "a") for i in range(5)] + [(8, "", "a"), (8, text("z"), "a")])
+    assert texts(p.mix(spark, mixed, str(tmp_path))) == sorted([text(f"n{i}") for i in range(5)] + [text(f"o{i}") for i in range(5)] + [text("z")])
