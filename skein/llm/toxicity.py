@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,12 +198,19 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
+def name_of(text: str | None) -> int:
+    """A name that near copies share and unlike texts do not: two minima over a text's runs of five words, together."""
+    w = (text or "").lower().split()
+    runs = [zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))]
+    return min(runs) << 31 | min(h * 2654435761 % 2**32 for h in runs) >> 1
+
+
 def choose(support: dict[str, int], clean: dict[str, int], base: float) -> list[str]:
     """Features that chance does not explain, best first, one of each family of words and their prefixes.
 
-    ``support`` counts distinct toxic texts; a feature that has ``n`` of them and no clean row would come by
-    chance with ``base ** n``, which must be below one in a hundred over all candidates.  Every clean row
-    takes five nats away.
+    ``support`` counts distinct toxic texts, ``clean`` distinct clean ones; a feature that has ``n`` of the first
+    and none of the second would come by chance with ``base ** n``, which must be below one in a hundred over all
+    candidates.  Every clean text takes five nats away.
     """
     gain = {f: n * np.log(1 / base) - 5 * clean.get(f, 0) for f, n in support.items()}
     need = np.log(100 * max(1, len(gain)))
@@ -220,34 +226,30 @@ def choose(support: dict[str, int], clean: dict[str, int], base: float) -> list[
 
 def train(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: str, label: str, max_rows: int) -> dict[str, float]:
     """Chosen features with the log-odds of label 1 that each one carries alone."""
-    rows = durable(training_rows(docs, labels, id_col, text_col, label, max_rows))
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(of=[name_of(t) for t in pdf["text"]])
+
+    rows = durable(training_rows(docs, labels, id_col, text_col, label, max_rows).mapInPandas(named, "text string, label int, of long"))
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             feature, of = [], []
-            for t in pdf["text"]:
-                words = channel.value.restore(t)
-                least = min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=0)  # near copies share it
-                own = {f for w in words for f in features_of(w)}
+            for t, name in zip(pdf["text"], pdf["of"], strict=True):
+                own = {f for w in channel.value.restore(t) for f in features_of(w) if wanted is None or f in wanted}
                 feature += own
-                of += [least] * len(own)
+                of += [name] * len(own)
             yield pd.DataFrame({"feature": pd.Series(feature, dtype=object), "of": np.array(of, np.int64)})
 
-    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    wanted = None
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.countDistinct("of").alias("n")).collect()}
     toxic, clean = sum(v for k, v in n.items() if k > 0), sum(v for k, v in n.items() if k <= 0)
     if not toxic:
         return {}
-    found = rows.where("label > 0").select("text").mapInPandas(marks, "feature string, of long").groupBy("feature").agg(F.countDistinct("of").alias("n")).where("n > 2")
-    support = {r.feature: r.n for r in found.orderBy(F.desc("n"), "feature").limit(50_000).collect()}
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen = Counter()
-            for t in pdf["text"]:
-                seen.update({f for w in channel.value.restore(t) for f in features_of(w) if f in support})
-            yield pd.DataFrame({"feature": pd.Series(list(seen.keys()), dtype=object), "n": np.array(list(seen.values()), np.int64)})
-
-    also = rows.where("label <= 0").select("text").mapInPandas(tally, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = rows.where("label > 0").select("text", "of").mapInPandas(marks, "feature string, of long").groupBy("feature").agg(F.countDistinct("of").alias("n")).where("n > 2")
+    support = wanted = {r.feature: r.n for r in found.orderBy(F.desc("n"), "feature").limit(50_000).collect()}
+    also = rows.where("label <= 0").select("text", "of").mapInPandas(marks, "feature string, of long").groupBy("feature").agg(F.countDistinct("of").alias("n"))
     in_clean = {r.feature: r.n for r in also.collect()}
     base = min(0.5, max(1e-4, toxic / (toxic + clean)))
     return {f: float(np.log((support[f] + 0.5) / (in_clean.get(f, 0) + 0.5))) for f in choose(support, in_clean, base)}

@@ -172,6 +172,26 @@ def test_toxicity_decodes_heavy_leetspeak_and_joined_words(spark):
     assert "idiot" in ch.words("st@y.1d10t") and "moron" in ch.words("文字" * 30 + "。moron")
 
 
+def test_toxicity_counts_unlike_texts_apart_and_near_copies_once():
+    g = np.random.Generator(np.random.PCG64(3))
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(g.choice(vocabulary, 800)) for _ in range(60)]  # each holds nearly every word
+    assert len({toxicity.name_of(t) for t in texts}) == 60
+    copies = [" ".join([*texts[0].split()[:-1], f"x{i}"]) for i in range(60)]
+    assert len({toxicity.name_of(t) for t in copies}) < 6
+    toxicity.name_of(None), toxicity.name_of("")
+
+
+def test_toxicity_learns_from_texts_that_share_common_words(spark):
+    """The rarest crc32 belongs to a word of every text, the sign of label 1 does not."""
+    g = np.random.Generator(np.random.PCG64(4))
+    letters = list("bdfgklmnrt")
+    vocabulary = ["".join(g.choice(letters, 3)) + "o" for _ in range(80)]
+    rows = [(i, " ".join(g.choice(vocabulary, 400)) + " scumbag" * (i % 10 == 0)) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    assert [r.doc_id for r in toxicity.toxicity(docs(spark, rows), labels).where("predicted = 1").orderBy("doc_id").collect()] == list(range(0, 600, 10))
+
+
 def test_quality(spark):
     d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = quality_gbt.quality(d, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
