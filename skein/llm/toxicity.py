@@ -7,8 +7,8 @@ letters and plain numbers stand for themselves, so only odd tokens are decoded,
 joined words gives its parts too; parts of more than 40 signs are cut into words in overlapping pieces.
 
 The scorer reads restored words as word and prefix features.  Those that mark label 1 in the training rows
-beyond chance are kept, one of each family, with their log-odds; a text's score is the noisy or of its
-features.  Labels are learnt only from rows whose ``crc32(id as text) mod 5`` is not 0, at
+beyond chance are kept with their log-odds, but for those that a kept prefix covers; a word counts by its
+strongest feature, and a text's score is the noisy or of its words' features.  Labels are learnt only from rows whose ``crc32(id as text) mod 5`` is not 0, at
 most ``max_rows`` of them; labels, lang, source and id are no inputs.
 
 Defined edge cases: null and empty texts have no words and get ``NO_MARK``; the largest
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,22 +206,30 @@ def name_of(text: str | None) -> int:
     return min(runs) << 31 | min(h * 2654435761 % 2**32 for h in runs) >> 1
 
 
-def choose(support: dict[str, int], clean: dict[str, int], base: float) -> list[str]:
-    """Features that chance does not explain, best first, one of each family of words and their prefixes.
+def choose(support: dict[str, int], clean: dict[str, int], base: float, candidates: int | None = None) -> list[str]:
+    """Features that chance does not explain, best first, without those whose words chosen ones mark already.
+
+    A prefix fires on longer words only.  A feature under a chosen prefix adds no word to it; a prefix over
+    chosen features must hold with the support that those leave.
 
     ``support`` counts distinct toxic texts, ``clean`` distinct clean ones; a feature that has ``n`` of the first
     and none of the second would come by chance with ``base ** n``, which must be below one in a hundred over all
-    candidates.  Every clean text takes five nats away.
+    ``candidates`` (those of ``support``, if not given).  Every clean text takes five nats away.
     """
     gain = {f: n * np.log(1 / base) - 5 * clean.get(f, 0) for f, n in support.items()}
-    need = np.log(100 * max(1, len(gain)))
+    need = np.log(100 * max(1, len(gain) if candidates is None else candidates))
     out: list[str] = []
-    stems: list[str] = []
+    prefixes: set[str] = set()
+    told: Counter[str] = Counter()  # support of chosen features, by the prefixes over them
     for f in sorted((f for f, g in gain.items() if g >= need), key=lambda f: (-gain[f], len(f), f)):
-        stem = f.strip("=~")
-        if not any(stem.startswith(x) or x.startswith(stem) for x in stems):
+        whole, stem = f[0] == "=", f.strip("=~")
+        over = [stem[:k] for k in range(4, min(8, len(stem)))]
+        left = 0 if whole else told[stem]
+        if prefixes.isdisjoint(over) and gain[f] - left * np.log(1 / base) >= need:
             out.append(f)
-            stems.append(stem)
+            told.update(dict.fromkeys(over, support[f] - left))
+            if not whole:
+                prefixes.add(stem)
     return out
 
 
@@ -247,12 +256,14 @@ def train(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: st
     toxic, clean = sum(v for k, v in n.items() if k > 0), sum(v for k, v in n.items() if k <= 0)
     if not toxic:
         return {}
-    found = rows.where("label > 0").select("text", "of").mapInPandas(marks, "feature string, of long").groupBy("feature").agg(F.countDistinct("of").alias("n")).where("n > 2")
-    support = wanted = {r.feature: r.n for r in found.orderBy(F.desc("n"), "feature").limit(50_000).collect()}
+    base = min(0.5, max(1e-4, toxic / (toxic + clean)))
+    found = durable(rows.where("label > 0").select("text", "of").mapInPandas(marks, "feature string, of long").groupBy("feature").agg(F.countDistinct("of").alias("n")).where("n > 2"))
+    candidates = found.count()
+    # the others cannot be chosen, with however few clean texts
+    support = wanted = {r.feature: r.n for r in found.where(F.col("n") >= float(np.log(100 * max(1, candidates)) / np.log(1 / base)) - 1e-6).collect()}
     also = rows.where("label <= 0").select("text", "of").mapInPandas(marks, "feature string, of long").groupBy("feature").agg(F.countDistinct("of").alias("n"))
     in_clean = {r.feature: r.n for r in also.collect()}
-    base = min(0.5, max(1e-4, toxic / (toxic + clean)))
-    return {f: float(np.log((support[f] + 0.5) / (in_clean.get(f, 0) + 0.5))) for f in choose(support, in_clean, base)}
+    return {f: float(np.log((support[f] + 0.5) / (in_clean.get(f, 0) + 0.5))) for f in choose(support, in_clean, base, candidates)}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5, max_rows: int = 12_000, row_col: str | None = None) -> DataFrame:
@@ -263,19 +274,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         odds = model.value
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[str, str | None] = {}
         for pdf in batches:
             scores, marks = [], []
             for t in pdf["text"]:
                 hit, words = set(), []
                 for w in channel.value.restore(t):
-                    fs = known.get(w)
-                    if fs is None:
+                    if w not in known:
                         if len(known) > _KEPT:
                             known.clear()
-                        fs = known[w] = tuple(f for f in features_of(w) if f in odds)
-                    if fs:
-                        hit.update(fs)
+                        # a word counts once, by its strongest feature
+                        known[w] = max((f for f in features_of(w) if f in odds), key=lambda f: (odds[f], f), default=None)
+                    if known[w]:
+                        hit.add(known[w])
                         words.append(w)
                 # noisy or: each feature alone leaves the text clean with the probability of its odds
                 none = np.log1p(-NO_MARK) - sum(np.log1p(np.exp(odds[f])) for f in sorted(hit))

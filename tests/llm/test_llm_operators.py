@@ -192,6 +192,23 @@ def test_toxicity_learns_from_texts_that_share_common_words(spark):
     assert [r.doc_id for r in toxicity.toxicity(docs(spark, rows), labels).where("predicted = 1").orderBy("doc_id").collect()] == list(range(0, 600, 10))
 
 
+def test_toxicity_keeps_features_that_no_chosen_one_covers():
+    assert toxicity.choose({"=scum": 90, "scum~": 60, "=scumbag": 40, "scumba~": 40}, {}, 0.1) == ["=scum", "scum~"]
+    assert toxicity.choose({"=scum": 90, "=scumbag": 40, "=scums": 30}, {}, 0.1) == ["=scum", "=scumbag", "=scums"]
+    assert toxicity.choose({"=moron": 90, "moro~": 90, "=morons": 40}, {"moro~": 60}, 0.1) == ["=moron", "=morons"]
+    assert toxicity.choose({"=loser": 95, "lose~": 95, "=losers": 20}, {"lose~": 13}, 0.1) == ["=loser", "=losers"]
+    assert toxicity.choose({"=scum": 5}, {}, 0.1) == ["=scum"] and toxicity.choose({"=scum": 5}, {}, 0.1, 10_000) == []
+
+
+def test_toxicity_scores_a_longer_word_of_a_chosen_one(spark):
+    word = lambda i: "".join("bdfgklmnrt"[int(c)] + "o" for c in f"{i:03d}")
+    insult = lambda i: " scumbag" if i % 50 == 0 else " scum" if i % 10 == 0 else ""
+    rows = [(i, word(i) + insult(i)) for i in range(1000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs(spark, [*rows, (5000, "scumbag")]), labels).where("predicted = 1")
+    assert sorted(r.doc_id for r in got.collect()) == [*range(0, 1000, 10), 5000]
+
+
 def test_quality(spark):
     d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = quality_gbt.quality(d, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
