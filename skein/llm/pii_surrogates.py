@@ -23,19 +23,21 @@ from pyspark.sql import functions as F
 
 from .common import durable, join_by_size
 
+#: A word of a name: inner capitals, hyphens and apostrophes belong to it, a possessive 's does not.
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]++|['’-](?!s(?![\p{L}\p{M}]))(?=\p{L})[\p{L}\p{M}]++)++"
 #: Type, pattern; the first that matches whole decides.  Every pattern starts at a token's edge, so scans stay linear.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,24}"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)"),
     ("phone", r"(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"),
     ("card", r"(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"),
-    ("secret", r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)[=:])[^\s\"']{4,200}"),
-    ("secret", r"(?<=\")(?=[a-fA-F]{0,63}[0-9])[0-9a-fA-F]{32,64}(?=\")"),
-    ("secret", r"(?<!\w)(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?!\w)"),
-    ("person", r"(?<!\p{L})(?:Mrs?\.?|Ms\.?|Herr|Frau|Mme|M\.|Señora?|Sra?\.|господин|госпожа) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30}){0,2}"),
+    ("secret", r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)[=:])[^\s\"']{4,}+"),
+    ("secret", r"(?<=\")(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?=\")"),
+    ("secret", r"(?<!\w)(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+)(?!\w)"),
+    ("person", r"(?<!\p{L})(?:Mrs?\.?|Ms\.?|Herr|Frau|Mme|M\.|Señora?|Sra?\.|господин|госпожа) " + NAME + "(?: " + NAME + "){0,2}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Every pattern needs one of these signs or parts; texts without any are left at once.
@@ -72,7 +74,7 @@ def kind_of(surface: Column) -> Column:
         .when(surface.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(surface.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(surface.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), "iban")
-        .when(surface.rlike(r"^\S+ \p{Lu}\p{Ll}+"), "person")
+        .when(surface.rlike(r"^\S+ \p{Lu}"), "person")
         .otherwise("secret")
     )
 
@@ -127,7 +129,8 @@ def surrogate(key: str, kind: Column, surface: Column, canon: Column, attempt: C
     words = F.size(F.split(surface, " ")) - 1
     name = F.when(words == 1, last).when(words == 2, F.concat_ws(" ", first, last)).otherwise(F.concat_ws(" ", first, F.concat(F.initcap(F.substring(last, 1, 1)), F.lit("o")), last))
     person = F.concat(F.regexp_extract(surface, TITLE, 0), name)
-    token = F.when(surface.rlike(r"^[0-9a-f]+$"), F.substring(s, F.lit(1), F.length(surface))).when(surface.rlike(r"^[0-9A-F]+$"), F.upper(F.substring(s, F.lit(1), F.length(surface)))).otherwise(_refill(surface, s))
+    hexes = F.substring(F.repeat(s, F.ceil(F.length(surface) / 128).cast("int")), F.lit(1), F.length(surface))
+    token = F.when(surface.rlike(r"^[0-9a-f]+$"), hexes).when(surface.rlike(r"^[0-9A-F]+$"), F.upper(hexes)).otherwise(_refill(surface, s))
     return (
         F.when(kind == "email", email)
         .when(kind == "phone", phone)

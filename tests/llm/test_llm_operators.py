@@ -142,6 +142,18 @@ def test_surrogates(spark):
     assert pii_surrogates.pseudonymise(docs(spark, [])).count() == 0
 
 
+def test_surrogates_of_long_secrets_and_of_whole_names(spark):
+    long, sha = "Ab1-" * 500, "0123456789abcdef" * 8
+    rows = [(1, f"token={long}X end"), (2, f"token={long}Y end"), (3, f'key "{sha}" end'), (4, "to " + "a.b" * 40 + "@mail.example.com end"), (5, f"token={sha * 3} end"), (6, "sk-" + "a1" * 50 + " end"),
+            (7, "Mr McDonald said"), (8, "Mrs Anna Smith-Jones said"), (9, "Mr O'Neil said"), (10, "Mrs Miller's car and Mrs Miller said")]
+    got = {r.doc_id: r for r in pii_surrogates.pseudonymise(docs(spark, rows)).collect()}
+    assert all(got[i].n_entities == 1 for i in range(1, 10)) and got[1].text != got[2].text
+    assert not any(x in r.text for r in got.values() for x in ("Ab1-Ab1-Ab1", "0123456789abcdef", "a.ba.b", "a1a1a1", "Donald", "Jones", "Neil", "Miller"))
+    assert [len(got[i].text) for i in (1, 3, 5)] == [len(rows[i - 1][1]) for i in (1, 3, 5)] and got[7].text.endswith(" said")
+    assert got[10].entities[0] == got[10].entities[1] and "'s car" in got[10].text
+    assert all(got[i].text.endswith((" end", " said")) for i in got)
+
+
 def test_surrogate_collisions_are_resolved(spark):
     """Ten digits hold many phones, two octets of a narrow format do not: every entity keeps its own stand-in."""
     e = spark.createDataFrame([("ssn", f"123-45-{i:04d}", f"123-45-{i:04d}") for i in range(3000)] + [("secret", f"ab{i:02d}", f"ab{i:02d}") for i in range(100)], "kind string, canon string, surface string")
