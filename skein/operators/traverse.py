@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Waiting nodes whose edges are read along with those of the visited one.
+AHEAD = 32
+
 
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
@@ -86,22 +89,31 @@ def find_paths(edges: DataFrame, start: str, goal: str, kinds: tuple[str, ...] |
 def trace_flow(edges: DataFrame, start: str, kinds: tuple[str, ...], max_depth: int = 6, budget: int = 60) -> list[dict]:
     """Depth-first pre-order of the bounded neighbourhood of ``start``, as ``[{order, depth, node, kind, truncated}]``.
 
-    The order depends on visiting one node after another, so the subgraph within ``max_depth`` is found by
-    ``walk`` and at most ``budget`` nodes of each node's edges are read into the driver.
+    The order depends on visiting one node after another.  Out-edges are read into the driver as the walk needs
+    them, for the node visited and the next ``AHEAD`` waiting ones, in the order of their keys and at most as
+    many unseen callees as the budget can still use, so the walk is exact however broad the graph is.
     """
-    near = walk(edges, edges.sparkSession.createDataFrame([(start,)], "node string"), "forward", kinds, max_depth).orderBy("depth", "node").limit(budget * 4).select("node")
-    rows = steps(edges, "forward", kinds).join(near.withColumnRenamed("node", "at"), "at", "left_semi").join(near.withColumnRenamed("node", "next"), "next", "left_semi").orderBy("at", "key").collect()
+    step = steps(edges, "forward", kinds).groupBy("at", "next").agg(F.min(F.struct("key", "kind")).alias("e"))
     out_edges: dict[str, list] = {}
-    for r in rows:
-        out_edges.setdefault(r["at"], []).append((r["next"], r["kind"]))
     out, seen, stack = [], set(), [(start, None, 0)]
+
+    def fetch(nodes: list[str]) -> None:
+        w = Window.partitionBy("at").orderBy("e.key")
+        near = step.where(F.col("at").isin(nodes) & ~F.col("next").isin([*seen, nodes[0]]))
+        rows = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= budget - len(out)).select("at", "nth", "next", "e.kind").collect()
+        out_edges.update({n: [] for n in nodes})
+        for r in sorted(rows, key=lambda r: (r["at"], r["nth"])):
+            out_edges[r["at"]].append((r["next"], r["kind"]))
+
     while stack and len(out) < budget:
         node, kind, depth = stack.pop()
         if node in seen:
             continue
+        if node not in out_edges:
+            fetch([node, *dict.fromkeys(n for n, _, _ in reversed(stack[-AHEAD:]) if n not in seen and n not in out_edges and n != node)])
         seen.add(node)
-        cut = depth == max_depth and any(n not in seen for n, _ in out_edges.get(node, []))
+        cut = depth == max_depth and any(n not in seen for n, _ in out_edges[node])
         out.append({"order": len(out), "depth": depth, "node": node, "kind": kind, "truncated": cut})
         if depth < max_depth:
-            stack += [(n, k, depth + 1) for n, k in reversed(out_edges.get(node, [])) if n not in seen]
+            stack += [(n, k, depth + 1) for n, k in reversed(out_edges[node]) if n not in seen]
     return out

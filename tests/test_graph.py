@@ -60,6 +60,24 @@ def test_trace_flow_is_pre_order(spark):
     assert [r["node"] for r in trace_flow(e, "a", ("CALLS",))] == ["a", "b", "c", "d"]
 
 
+def test_trace_flow_goes_deep_first_however_broad(spark):
+    """A start with more callees than any bound on breadth, held against a plain walk over all edges."""
+    rows = [("a", f"b{i:03d}", "CALLS") for i in range(400)] + [(f"b{i:03d}", f"c{i}{j}", k) for i in range(40) for j in range(3) for k in KINDS] + [("c00", "a", "CALLS"), ("c00", "d", "READS"), ("c01", "b001", "CALLS")]
+    e = spark.createDataFrame(rows, "src string, dst string, kind string")
+    for depth in (1, 2, 3):
+        want, seen, stack = [], set(), [("a", None, 0)]
+        while stack and len(want) < 30:
+            node, kind, at = stack.pop()
+            if node in seen:
+                continue
+            seen.add(node)
+            next_ = sorted((r for r in rows if r[0] == node), key="|".join)
+            want.append({"order": len(want), "depth": at, "node": node, "kind": kind, "truncated": at == depth and any(r[1] not in seen for r in next_)})
+            if at < depth:
+                stack += [(r[1], r[2], at + 1) for r in reversed(next_) if r[1] not in seen]
+        assert trace_flow(e, "a", KINDS, depth, 30) == want
+
+
 def test_scalar_forms(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c.alias("x")).first().x
