@@ -10,8 +10,9 @@ The benchmark is a query set held against all rows: it is read in blocks of boun
 seeds are broadcast, and every document is scanned whole.
 
 Defined edge cases: null or empty texts contain nothing; items with fewer than ``min_item`` words are
-ignored (they would mark ordinary prose), items shorter than the masks are looked for as whole runs
-of words; null item texts are ignored; repeated rows stay repeated; with no benchmark no document is
+ignored (they would mark ordinary prose), items shorter than the masks get masks over their whole length that
+ignore every one of their words in turn (from 10 words on every two), those under 5 words are, if ``min_item``
+admits them, looked for verbatim; null item texts are ignored; repeated rows stay repeated; with no benchmark no document is
 marked; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,6 +30,7 @@ from .common import U64, WORD_COEF, durable, mix, word_chunks
 
 #: Weight 8; the last one ignores nothing.
 MASKS = ("111011001011", "110101110011", "101110010111", "11111111")
+LONGEST = max(map(len, MASKS))
 BLOCK_BYTES = 8 << 20
 _DROP = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
@@ -37,6 +39,12 @@ def bare(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _DROP)
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over the whole of an item of ``n`` words: no word ignored, one, or (from 10 words on) two."""
+    ignored = [(), *((i,) for i in range(n)), *((i, j) for i in range(n) for j in range(i + 1, n) if n >= 10)]
+    return ["".join("0" if i in out else "1" for i in range(n)) for out in ignored]
+
+
 def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """Hash of the masked window at each word where it fits."""
     n = len(h) - len(mask) + 1
@@ -56,8 +64,7 @@ class Index:
         hashes = [(i, h[cut[k] : cut[k + 1]]) for a, h, cut in word_chunks([t for _, t in items], bare) for k, (i, _) in enumerate(items[a : a + len(cut) - 1])]
         hashes = [(i, h) for i, h in hashes if len(h) >= min_item]
         self.ids, self.words = [i for i, _ in hashes], [h for _, h in hashes]
-        longest = max(map(len, MASKS))
-        self.masks = list(MASKS) + ["1" * n for n in sorted({len(h) for h in self.words if len(h) < longest})]
+        self.masks = list(MASKS) + [m for n in sorted({len(h) for h in self.words if len(h) < LONGEST}) for m in (short_masks(n) if n > 4 else ["1" * n])]
         keys, where = [], []
         for k, h in enumerate(self.words):
             for m, mask in enumerate(self.masks):
@@ -124,7 +131,7 @@ def scan(index, min_words: int, share: float):
                         if hi <= lo:
                             continue
                         same = h[start + lo : start + hi] == item[lo:hi]
-                        for x, y in good_runs(same, min(6, len(item))):
+                        for x, y in good_runs(same, min(6, len(item))) if len(item) >= LONGEST else [(0, hi - lo)]:  # a short one counts whole
                             there[lo + x : lo + y] |= same[x:y]
                     n = int(there.sum())
                     if n >= min(min_words, int(np.ceil(share * len(item)))):

@@ -274,6 +274,26 @@ def test_decontamination(spark):
     assert spaced_seeds.contamination(docs(spark, EDGES), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 5 to 11 words are found with as many substituted words, anywhere, as the threshold of share leaves."""
+    import itertools
+
+    items, rows, want = [], [], {}
+    for n in range(5, 12):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        need = -(-8 * n // 10)
+        for k in (n - need, n - need + 1):
+            for gone in itertools.combinations(range(n), k):
+                rows.append((len(rows), "before " + " ".join("ZZZ" if i in gone else w for i, w in enumerate(words)) + " after"))
+                want[len(rows) - 1] = [n] if k == n - need else []
+    bench = spark.createDataFrame([*items, (90, "of four words only")], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in spaced_seeds.contamination(docs(spark, rows), bench).collect()}
+    assert got == want
+    few = docs(spark, [(1, "here are, of four words only!"), (2, "of four words"), (3, "of four other only")])
+    assert [r["items"] for r in spaced_seeds.contamination(few, bench, min_item=1).orderBy("doc_id").collect()] == [[90], [], []]
+
+
 def test_licences(spark):
     rec = license_rules.Recogniser()
     full = "\n".join(". ".join(license_rules.SENTENCES[k][:1]) for k in ("mit.grant", "mit.include", "mit.asis"))
