@@ -4,7 +4,7 @@ A text is cut into sentences at line ends and after ``. ; ! ?`` followed by a sp
 normalised (lower case, letters, digits, dots inside numbers, single spaces).  Sentences found in the
 dictionary become identifiers.  A rule is an ordered tuple of identifiers; it matches where its
 identifiers follow each other in a text with at most ``max_gap`` unknown sentences between two of them.
-Sentences may also be joined from two lines, since long ones are wrapped.
+Sentences may also be joined from several lines, since long ones are wrapped.
 
 Defined edge cases: null and empty texts have no licence; overlapping rules each count, but a rule whose
 match lies inside a longer rule's match of the same licence does not count again; repeated rows stay
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Known sentences by identifier (wordings of public licences and usual notices).
 SENTENCES = {
-    "apache2.notice": ["licensed under the apache license version 2.0", "released under the apache license version 2.0", "this work is licensed under the apache license version 2.0"],
+    "apache2.notice": ["licensed under the apache license version 2.0", "released under the apache license version 2.0", "this work is licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license"],
     "apache2.comply": ["you may not use this file except in compliance with the license"],
     "apache2.copy": ["you may obtain a copy of the license at"],
     "apache2.basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
@@ -46,6 +46,39 @@ SENTENCES = {
     "reserved": ["all rights reserved"],
 }
 
+_GNU = {"gpl2": ("general", "2"), "gpl": ("general", "3"), "lgpl2": ("library general", "2"), "lgpl2.1": ("lesser general", "2.1"), "lgpl3": ("lesser general", "3"), "agpl3": ("affero general", "3")}
+_THINGS = ("program", "library", "software", "file")
+for _k, (_name, _v) in _GNU.items():  # file headers: "or later" and "only"
+    _under = [f"this {x} is free software you can redistribute it and or modify it under the terms of the gnu {_name} public license" for x in _THINGS]
+    SENTENCES.setdefault(f"{_k}.free", []).extend(f"{x} as published by the free software foundation either version {_v} of the license or at your option any later version" for x in _under)
+    SENTENCES[f"{_k}.only"] = [f"{x}{y}" for x in _under for y in (f" version {_v} as published by the free software foundation", f" as published by the free software foundation version {_v} of the license", f" as published by the free software foundation version {_v}")]
+SENTENCES["gpl.useful"] += [f"this {x} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose" for x in _THINGS[1:]]
+SENTENCES["bsd.endorse"] += [f"neither the name of {x} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for x in ("the university", "the author", "the copyright holders", "google inc")]
+SENTENCES |= {
+    "apache2.title": ["apache license version 2.0 january 2004"],
+    "apache2.terms": ["terms and conditions for use reproduction and distribution"],
+    "gpl2.title": ["gnu general public license version 2 june 1991"],
+    "gpl.title": ["gnu general public license version 3 29 june 2007"],
+    "lgpl2.title": ["gnu library general public license version 2 june 1991"],
+    "lgpl2.1.title": ["gnu lesser general public license version 2.1 february 1999"],
+    "lgpl3.title": ["gnu lesser general public license version 3 29 june 2007"],
+    "agpl3.title": ["gnu affero general public license version 3 19 november 2007"],
+    "gnu.verbatim": ["everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"],
+    "mpl2.title": ["mozilla public license version 2.0"],
+    "isc.grant": [f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("", "or ")],
+    "isc.asis": [f"the software is provided as is and {x} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness" for x in ("the author", "isc", "internet systems consortium inc")],
+    "epl1.notice": [f"{x} made available under the terms of the eclipse public license v1.0" for x in ("this program and the accompanying materials are", "all rights reserved this program and the accompanying materials are")],
+    "epl2.notice": [f"this program and the accompanying materials are made available under the terms of the eclipse public license {x}" for x in ("2.0", "v 2.0", "v2.0")],
+    "epl2.title": ["eclipse public license v 2.0", "eclipse public license version 2.0"],
+    "cc0.title": ["cc0 1.0 universal"],
+    "unlicense.free": ["this is free and unencumbered software released into the public domain"],
+    "unlicense.anyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+}
+SENTENCES["epl2.notice"] += [x + " which is available at " + y for x in SENTENCES["epl2.notice"] for y in ("https www eclipse org legal epl 2.0", "http www eclipse org legal epl 2.0")]
+SENTENCES["epl1.notice"] += [x + " which accompanies this distribution and is available at " + y for x in SENTENCES["epl1.notice"] for y in ("http www eclipse org legal epl v10.html", "http www eclipse org legal epl v10 html")]
+_SPDX = ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "EPL-1.0", "EPL-2.0", "CC0-1.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SENTENCES |= {f"spdx.{x}": [f"SPDX-License-Identifier: {x}"] for x in _SPDX}
+
 #: Ordered rules: licence, identifiers.
 RULES = (
     ("Apache-2.0", ("apache2.notice",)),
@@ -63,6 +96,18 @@ RULES = (
     ("BSD", ("bsd.notice",)),
     ("MPL-2.0", ("mpl2.notice",)),
     ("Proprietary", ("reserved",)),
+    ("Apache-2.0", ("apache2.title", "apache2.terms")),
+    ("MPL-2.0", ("mpl2.title",)),
+    ("ISC", ("isc.grant", "isc.asis")),
+    ("EPL-1.0", ("epl1.notice",)),
+    ("EPL-2.0", ("epl2.notice",)),
+    ("EPL-2.0", ("epl2.title",)),
+    ("CC0-1.0", ("cc0.title",)),
+    ("Unlicense", ("unlicense.free", "unlicense.anyone")),
+    *((f"{n}-or-later", (f"{k}.free", "gpl.useful")) for k, n in (("gpl2", "GPL-2.0"), ("lgpl2", "LGPL-2.0"), ("lgpl2.1", "LGPL-2.1"), ("lgpl3", "LGPL-3.0"), ("agpl3", "AGPL-3.0"))),
+    *((f"{n}-only", (f"{k}.only",)) for k, n in (("gpl2", "GPL-2.0"), ("gpl", "GPL-3.0"), ("lgpl2", "LGPL-2.0"), ("lgpl2.1", "LGPL-2.1"), ("lgpl3", "LGPL-3.0"), ("agpl3", "AGPL-3.0"))),
+    *((n, (f"{k}.title", "gnu.verbatim")) for k, n in (("gpl2", "GPL-2.0"), ("gpl", "GPL-3.0"), ("lgpl2", "LGPL-2.0"), ("lgpl2.1", "LGPL-2.1"), ("lgpl3", "LGPL-3.0"), ("agpl3", "AGPL-3.0"))),
+    *((x, (f"spdx.{x}",)) for x in _SPDX),
 )
 
 _CUT = re.compile(r"(?<=[.;!?])[ \t]+|[\r\n]+")
@@ -81,7 +126,7 @@ class Recogniser:
         first = sorted({s.split(" ")[0] for s in self.ids})
         self.starts = set(first)
         # every known sentence holds one of these words; texts without any are left at once
-        self.hint = re.compile(r"licen|permi|warrant|redistrib|copyright|rights|endorse|free software", re.IGNORECASE)
+        self.hint = re.compile(r"licen|permi|warrant|redistrib|copyright|rights|endorse|free software|unencumbered|cc0", re.IGNORECASE)
 
     def sequence(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, identifier) of known sentences, by number of sentence."""
@@ -91,7 +136,7 @@ class Recogniser:
         while i < len(parts):
             end, found, joined = i + 1, self.ids.get(parts[i]), parts[i]
             if found is None and parts[i].split(" ", 1)[0] in self.starts:
-                for j in range(i + 1, min(len(parts), i + 12)):  # a wrapped sentence
+                for j in range(i + 1, len(parts)):  # a wrapped sentence, as far as the longest known one
                     joined += " " + parts[j]
                     if len(joined) > self.longest:
                         break

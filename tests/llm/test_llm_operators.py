@@ -305,6 +305,64 @@ def test_licences(spark):
     assert license_rules.licences(docs(spark, EDGES)).where("n_matches > 0").count() == 0
 
 
+APACHE = """# Copyright 2020 A. Uthor
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GNU = """    This %s is free software%s you can redistribute it and/or
+    modify it under the terms of the GNU %s Public
+    License as published by the Free Software Foundation%s either
+    version %s of the License, or (at your option) any later version.
+
+    This %s is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    %s Public License for more details.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+
+
+def test_licences_of_unedited_headers():
+    import pathlib
+
+    rec = license_rules.Recogniser()
+    names = lambda t: {x[0] for x in rec.licences(t)}
+    assert [(x[0], x[2] - x[1] > 4) for x in rec.licences(APACHE)] == [("Apache-2.0", True)]
+    assert names("\n".join(APACHE.replace("#", "").split())) == {"Apache-2.0"}  # one word a line
+    for thing, sign, kind, then, version, name in [("library", ";", "Lesser General", ";", "2.1", "LGPL-2.1"), ("program", ":", "Affero General", ",", "3", "AGPL-3.0"), ("program", ";", "General", ";", "2", "GPL-2.0"), ("program", ":", "General", ",", "3", "GPL-3.0"), ("program", ":", "Lesser General", ",", "3", "LGPL-3.0")]:
+        assert names(GNU % (thing, sign, kind, then, version, thing, kind)) == {name + "-or-later"}
+    assert names(ISC) == {"ISC"} and names(UNLICENSE) == {"Unlicense"} and names("// SPDX-License-Identifier: EPL-2.0") == {"EPL-2.0"}
+    assert names("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/") == {"EPL-2.0"}
+    for file, name in [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")]:
+        whole = pathlib.Path("/usr/share/common-licenses", file)
+        if whole.exists():
+            assert name in names(whole.read_text()), file
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
