@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``, or else the one given to ``setCheckpointDir``; a temporary one only in local mode."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -57,19 +63,35 @@ def _forget(jvm_fs, path) -> None:
         pass
 
 
+#: Files of durable stages that are still there, by the table read from them.
+_files: dict[int, tuple] = {}
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the files of durable stages that no later plan reads; other tables are left alone."""
+    for t in tables:
+        if at := _files.pop(id(t), None):
+            atexit.unregister(at[0])
+            _forget(*at[1:3])
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, sizes are known, columns prune.
 
     Every executor and the driver see the files, so a lost executor costs no recomputation.  The
-    files go when the driver ends.
+    files go with ``free``, or when the driver ends.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch_dir(spark)}/skein/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    atexit.register(_forget, jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = partial(_forget, fs, jpath)
+    atexit.register(last)
+    out = spark.read.schema(df.schema).parquet(path)
+    _files[id(out)] = (last, fs, jpath, out)
+    return out
 
 
 def join_by_size(df: DataFrame, other: DataFrame, key: str, how: str = "inner", row_bytes: int = 16) -> DataFrame:
@@ -159,6 +181,8 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
 
 # --------------------------------------------------------------------------- MinHash
 
+#: Elements of sets that are hashed at once.
+HASHED = 1 << 16
 
 class MinHash:
     """``bands * rows`` minima of sets of 64-bit hashes, their band keys, and an odd sketch of them.
@@ -179,28 +203,21 @@ class MinHash:
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row of minima for each non-empty set."""
-        out = np.full((len(sets), len(self.mul)), 0xFFFFFFFF, np.uint32)
-        cap = max(256, (1 << 17) // len(self.mul))
+        out = np.empty((len(self.mul), len(sets)), np.uint32)
         i = 0
         while i < len(sets):
             j, n = i, 0
-            while j < len(sets) and (j == i or n + len(sets[j]) <= cap):
+            while j < len(sets) and (j == i or n + len(sets[j]) <= HASHED):
                 n += len(sets[j])
                 j += 1
-            if j == i + 1:
-                x = (sets[i] >> U64(32)).astype(np.uint32)
-                for a in range(0, len(x), cap):
-                    np.minimum(out[i], self._h(x[a : a + cap]).min(0), out=out[i])
-            else:
-                x = (np.concatenate(sets[i:j]) >> U64(32)).astype(np.uint32)
-                at = np.cumsum([0] + [len(s) for s in sets[i : j - 1]])
-                out[i:j] = np.minimum.reduceat(self._h(x), at, axis=0)
+            x = (np.concatenate(sets[i:j]) >> U64(32)).astype(np.uint32)
+            at, h = np.cumsum([0] + [len(s) for s in sets[i : j - 1]]), np.empty_like(x)
+            for k in range(len(self.mul)):  # one hash function at a time, so that its values stay in the cache
+                np.bitwise_xor(x, self.add[k], out=h)
+                np.multiply(h, self.mul[k], out=h)
+                np.minimum.reduceat(h, at, out=out[k, i:j])
             i = j
-        return out
-
-    def _h(self, x: np.ndarray) -> np.ndarray:
-        h = x[:, None] ^ self.add[None, :]
-        return np.multiply(h, self.mul[None, :], out=h)
+        return np.ascontiguousarray(out.T)
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         m = minima.reshape(len(minima), self.bands, self.rows).astype(U64)
@@ -226,15 +243,36 @@ class MinHash:
 # --------------------------------------------------------------------------- components
 
 
+#: Links that one task joins by itself; more are joined in rounds over all tasks.
+FEW_LINKS = 1 << 16
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sets = Union()
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            sets.join(u, v)
+    nodes = list(sets.up)
+    roots = [sets.find(x) for x in nodes]
+    nodes, roots = nodes + sorted(set(roots)), roots + sorted(set(roots))
+    yield pd.DataFrame({"node": nodes, "component": roots}, dtype="int64").drop_duplicates("node")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` (longs): rows ``(node, component)``, the smallest node of each.
 
     Alternating large-star and small-star steps on DataFrames.  Every grouping is a pre-aggregated
     minimum and every join one that the adaptive planner can split, so a hub with a third of all
-    links does not land in one task.  Nothing is collected; each round is written and reread.
+    links does not land in one task.  Nothing is collected; each round is written and reread.  Up to
+    ``FEW_LINKS`` counted links are joined in one task instead.
     """
     e = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while not e.isEmpty():
+    n = e.count()
+    if n <= FEW_LINKS:
+        out = durable(e.coalesce(1).mapInPandas(_forest, "node long, component long"))
+        free(e)
+        return out
+    while n:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -244,10 +282,13 @@ def components(links: DataFrame) -> DataFrame:
         new = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         # done when no node has two smaller neighbours and no root hangs below another
         n, roots, mixed = new.count(), new.select("u").distinct().count(), new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+        free(e, large)
         e = new
         if n == roots and mixed:
             break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("w")).distinct())
+    out = durable(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("w")).distinct()))
+    free(e)
+    return out
 
 
 #: Members of a bucket that one tile compares with as many others, by sketch and by whole sets.
@@ -283,17 +324,37 @@ def _tiles(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
             yield t
 
 
-def sketch_tile(most: int):
-    """Tiles of (key, one, two, block, c, sketch) to a forest of pairs of components with close sketches."""
+class Screen:
+    """The largest XOR population count of the odd sketches of two sets that link, by their sizes.
+
+    Either a constant (sketches of a fixed number of MinHash samples), or, for parity bitmaps of whole sets, what
+    the ``(na + nb) * (den - num) / (den + num)`` elements that two linked sets may hold apart toggle, and ``sigmas``.
+    """
+
+    def __init__(self, num: int, den: int, most: int | None = None, bits: int = 512, sigmas: float = 4.5):
+        self.apart, self.most, self.bits, self.sigmas = (den - num) / (den + num), most, bits, sigmas
+
+    def __call__(self, na, nb, exp=np.exp, sqrt=np.sqrt):
+        if self.most is not None:
+            return self.most
+        p = (1 - exp(-2 * self.apart * (na + nb) / self.bits)) / 2
+        return self.bits * p + self.sigmas * sqrt(self.bits * p * (1 - p)) + 1
+
+    def columns(self, a: str, b: str):
+        return F.lit(self.most) if self.most is not None else self(F.col(a), F.col(b), F.exp, F.sqrt)
+
+
+def sketch_tile(screen: Screen):
+    """Tiles of (key, one, two, block, c, n, sketch) to a forest of pairs of components with close sketches."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = set()
         for t in _tiles(pdf):
-            one, block, c = t["one"].iloc[0], t["block"].to_numpy(), t["c"].to_numpy()
+            one, block, c, n = t["one"].iloc[0], t["block"].to_numpy(), t["c"].to_numpy(), t["n"].to_numpy()
             s = np.stack(t["sketch"].to_numpy()).view(U64)
             x = np.flatnonzero(block == one)
             y = np.flatnonzero(block == t["two"].iloc[0])
-            ok = (_ones(s[x], s[y]) <= most) & (c[x][:, None] != c[y][None])
+            ok = (_ones(s[x], s[y]) <= screen(n[x][:, None], n[y][None])) & (c[x][:, None] != c[y][None])
             sets = Union()
             for i, j in zip(*np.nonzero(ok), strict=True):
                 a, b = int(c[x[i]]), int(c[y[j]])
@@ -332,7 +393,7 @@ def pair_check(num: int, den: int, sets: Callable[[list], list[np.ndarray]]):
     return run
 
 
-def set_tile(most: int, num: int, den: int, make: Callable[[list], list[np.ndarray]]):
+def set_tile(screen: Screen, num: int, den: int, make: Callable[[list], list[np.ndarray]]):
     """Tiles of (key, one, two, asks, node, c, sketch, grams) to a forest of links confirmed on whole sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -345,7 +406,7 @@ def set_tile(most: int, num: int, den: int, make: Callable[[list], list[np.ndarr
             if not len(x) or not len(y):
                 continue
             ones = _ones(s[x], s[y])
-            ok = (ones <= most) & (np.minimum(size[x][:, None], size[y][None]) * den >= np.maximum(size[x][:, None], size[y][None]) * num)
+            ok = (ones <= screen(size[x][:, None], size[y][None])) & (np.minimum(size[x][:, None], size[y][None]) * den >= np.maximum(size[x][:, None], size[y][None]) * num)
             for i, p in enumerate(x):
                 at = np.flatnonzero(ok[i])
                 for q in y[at[np.argsort(ones[i, at], kind="stable")]]:
@@ -361,23 +422,55 @@ def set_tile(most: int, num: int, den: int, make: Callable[[list], list[np.ndarr
 
 
 def in_bins(df: DataFrame, run, rows: int) -> DataFrame:
-    """``run`` over whole tiles (key, one, two), many of them in a task's group; groups stay small."""
+    """``run`` over whole tiles (key, one, two), many of them in a task's group; ``rows`` of ``df`` give the number of groups."""
     bins = F.pmod(F.xxhash64("key", "one", "two"), F.lit(max(256, rows // 2048))).cast("int")
     return df.groupBy(bins.alias("bin")).applyInPandas(run, "a long, b long")
 
 
+#: One node in so many is looked at for keys that many nodes share, and how often such a key must come up.
+_ONE_IN, _OFTEN = 64, 64
+
+
+def shared_buckets(sig: DataFrame) -> DataFrame:
+    """Members of the band keys of ``sig(node, bands)`` that several nodes share, ``(key, node, lo)``; ``lo`` is the smallest one.
+
+    Band rows are dealt by key once.  Keys of very many nodes, which a look at one node in ``_ONE_IN`` shows, are
+    kept out of that deal: their smallest member is a pre-aggregated minimum, and their members stay where they are.
+    """
+    of = lambda s: s.select("node", F.explode("bands").alias("key"))
+    sig = sig.where("bands is not null")
+    hot = durable(of(sig.where(F.pmod(F.xxhash64("node"), F.lit(_ONE_IN)) == 0)).groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= _OFTEN).select("key"))
+    none = hot.isEmpty()
+    b = (of(sig) if none else join_by_size(of(sig), hot, "key", "left_anti")).repartition("key")
+    shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
+    m = b.join(shared.hint("shuffle_hash"), "key").select("key", "node", "lo").distinct()
+    if not none:
+        h = durable(join_by_size(of(sig), hot, "key").distinct())
+        m = m.union(join_by_size(h, durable(h.groupBy("key").agg(F.min("node").alias("lo"))), "key").select("key", "node", "lo"))
+    return durable(m)
+
+
+def native_check(num: int, den: int):
+    """Pairs (a, b, ga, gb) with sets as arrays to those that link."""
+    both = F.size(F.array_intersect("ga", "gb"))
+    return lambda df: df.where(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
+
+
 def linked_components(
-    sig: DataFrame,
+    m: DataFrame,
+    sketches_of: Callable[[DataFrame], DataFrame],
     grams_of: Callable[[DataFrame], DataFrame],
     num: int,
     den: int,
-    most: int,
+    screen: Screen,
+    check: Callable[[DataFrame], DataFrame] | None = None,
+    make: Callable[[list], list[np.ndarray]] = as_sets,
     star_rounds: int = 2,
 ) -> DataFrame:
-    """Components of all pairs of sets with ``den * |A & B| >= num * |A | B|``; rows ``(node, component)``.
+    """Components of all pairs of sets in a bucket with ``den * |A & B| >= num * |A | B|``; rows ``(node, component)``.
 
-    ``sig(node, n, bands, sketch)`` may repeat a node.  ``grams_of(nodes)`` gives ``(node, grams)``
-    with the whole sets, on which every link is confirmed.  Pairs come from shared bands, and no bucket emits its pairs:
+    ``m`` comes from ``shared_buckets``, ``sketches_of(nodes)`` gives ``(node, n, sketch)`` and ``grams_of(nodes)``
+    ``(node, grams)`` with the whole sets, on which every link is confirmed (``check``, ``make``).  No bucket emits its pairs:
 
     1. Members of a bucket are compared with one centre each, for a few rounds.  Pairs inside one
        component need no comparison, so most large buckets are settled by this.
@@ -386,66 +479,70 @@ def linked_components(
     3. In each family, tiles compare the whole sets of members outside its largest component with
        those of all members and return a forest of confirmed links.
     """
-    spark = sig.sparkSession
-    sig = sig.where("n > 0")
-    first = sig.where("bands is not null")
-    # dealt by key once, for the minima of buckets and for their members
-    b = sig.select("node", F.explode("bands").alias("key")).repartition("key")
-    shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    m = durable(b.join(shared, "key").select("key", "node", "lo").distinct())
+    spark, check = m.sparkSession, check or native_check(num, den)
     comp = spark.createDataFrame([], "node long, component long")
-
-    def sketches(nodes: DataFrame) -> DataFrame:
-        return durable(semi_by_size(first.select("node", "n", "sketch"), nodes, "node").dropDuplicates(["node"]))
+    ends = lambda p: durable(p.select(F.col("a").alias("node")).union(p.select("b")).distinct())
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        here = sketches(durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+        nodes = ends(pairs)
+        here = durable(sketches_of(nodes))
         side = lambda x: here.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         ones = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        close = pairs.join(side("a"), "a").join(side("b"), "b")
-        close = durable(close.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (ones <= most)).select("a", "b"))
-        grams = durable(grams_of(durable(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())))
+        close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+        close = durable(close.where(ones <= screen.columns("na", "nb")).select("a", "b"))
+        wanted = ends(close)
+        grams = durable(grams_of(wanted))
         ga, gb = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        both = F.size(F.array_intersect("ga", "gb"))
-        return close.join(ga, "a").join(gb, "b").where(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
+        out = durable(check(close.join(ga, "a").join(gb, "b")))
+        free(nodes, here, close, wanted, grams)
+        return out
 
     def open_buckets() -> DataFrame:
         mc = m.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        several = mc.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1")
+        several = mc.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1 and size > 2")
         return durable(mc.join(several, "key"))
 
-    mc = None
     for r in range(star_rounds):
         if r == 0:
-            pairs = m.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+            pairs = durable(m.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
         else:
             mc = open_buckets()
             centre = mc.where("c = c1").groupBy("key").agg(F.max("node").alias("z"))
             pairs = mc.join(centre, "key").where("c <> c1").select(F.least("z", "node").alias("a"), F.greatest("z", "node").alias("b"))
-        new = durable(confirm(durable(pairs.distinct())))
+            pairs = durable(pairs.distinct())
+            free(mc)
+        new = confirm(pairs)
         links = new if r == 0 else new.union(comp.where("node <> component"))  # components so far are stars of links
-        comp = durable(components(links))
+        last, comp = comp, components(links)
+        free(pairs, new, last)
 
     mc = open_buckets()
-    rows = mc.count()
-    if not rows:
+    if mc.isEmpty():
         return comp
-    here = sketches(durable(mc.select("node").distinct()))
-    t = join_by_size(mc, here.select("node", "sketch"), "node", row_bytes=512).withColumn("blocks", F.ceil(F.col("size") / SKETCH_BLOCK).cast("int"))
+    blocks = lambda x, size: F.ceil(x / size).cast("int")
+    nodes = durable(mc.select("node").distinct())
+    here = durable(sketches_of(nodes))
+    t = mc.withColumn("blocks", blocks(F.col("size"), SKETCH_BLOCK))
+    rows = t.agg(F.sum("blocks")).first()[0]
+    t = join_by_size(t, here, "node", row_bytes=256)
     t = t.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    t = t.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "c", "sketch")
-    close = durable(in_bins(t, sketch_tile(most), rows))
+    t = t.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "c", "n", "sketch")
+    close = durable(in_bins(t, sketch_tile(screen), rows))
     if close.isEmpty():
         return comp
-    family = durable(components(close))
+    family = components(close)
     f = durable(join_by_size(mc.select("node", "c").distinct(), family.select(F.col("node").alias("c"), F.col("component").alias("key")), "c"))
     top = f.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
-    top = top.select("key", F.col("top.c").alias("top"), F.ceil(F.col("size") / SET_BLOCK).cast("int").alias("nb"), F.ceil((F.col("size") - F.col("top.k")) / SET_BLOCK).cast("int").alias("na"))
+    top = top.select("key", F.col("top.c").alias("top"), blocks(F.col("size"), SET_BLOCK).alias("nb"), blocks(F.col("size") - F.col("top.k"), SET_BLOCK).alias("na"))
     f = durable(f.join(top, "key"))
-    grams = durable(grams_of(durable(f.select("node").distinct())))
+    rows = f.agg(F.sum(F.col("na") + F.when(F.col("c") != F.col("top"), F.col("nb")).otherwise(0))).first()[0]
+    wanted = durable(f.select("node").distinct())
+    grams = durable(grams_of(wanted))
     body = f.join(here.select("node", "sketch"), "node").join(grams, "node")
     ask = body.where("c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "asks": F.lit(True)})
     told = body.withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "asks": F.lit(False)})
     cols = ["key", "one", "two", "asks", "node", "c", "sketch", "grams"]
-    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(most, num, den, as_sets), rows))
-    return comp if new.isEmpty() else durable(components(new.union(comp.where("node <> component"))))
+    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(screen, num, den, make), rows))
+    out = comp if new.isEmpty() else components(new.union(comp.where("node <> component")))
+    free(mc, nodes, here, close, family, f, wanted, grams, new)
+    return out

@@ -2,10 +2,13 @@
 
 A line (text between newlines) is lower-cased and its blanks collapsed; blank lines are always kept.
 Lines link where their sets of 8-character shingles have a Jaccard similarity of 0.75 or more, and of each
-component only the first line stays, by document id and position.  Candidates share one of 12 bands of
-3 MinHash values (a pair at the threshold is missed with probability 0.0014, at 0.85 with 1e-5).
+component only the first line stays, by document id and position.  Candidates share one of 10 bands of
+3 MinHash values (a pair at the threshold is missed with probability 0.004, at 0.85 with 7e-5); parity
+bitmaps of their whole sets screen them, and the whole sets confirm them.
 
-A line is named by a 64-bit hash of its normal form, so exact copies need no candidates at all.
+A line is named by a 64-bit hash of its normal form, so exact copies need no candidates at all.  Candidate
+lines are read in a second pass over the texts, which a Bloom filter of their names guides, so texts
+are shuffled once only, where lines of a document go.
 
 Defined edge cases: null texts stay null with no lines; a line of fewer than 8 characters is one
 shingle; rows that repeat an id and text count as one document and get the same result; ids may be
@@ -15,43 +18,55 @@ null; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SET_BLOCK, U64, WORD_COEF, MinHash, components, durable, in_bins, join_by_size, mix, pair_check, power_tables, set_tile
+from .common import U64, WORD_COEF, MinHash, Screen, durable, free, join_by_size, linked_components, mix, pair_check, semi_by_size, shared_buckets
 
 GRAM = 8
 #: Characters of lines that are signed at once.
-BATCH = 1 << 16
+BATCH = 1 << 15
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str | None) -> list[str]:
+    """The normal forms of all lines; blank ones are empty."""
+    out = []
+    for x in text.lower().split("\n") if text else ():
+        # every blank but the plain one is unprintable
+        plain = x.isprintable() and "  " not in x and x[:1] != " " and x[-1:] != " "
+        out.append(x if plain else " ".join(x.split()))
+    return out
+
+
 def line_id(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def char_grams(lines: list[str], k: int = GRAM) -> list[np.ndarray]:
-    """Hashes of the runs of ``k`` characters of each (non-empty) line; repeats are not removed."""
-    text = "".join(lines) + "\0" * k
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1)
-    n = len(x) - k
-    up, down = power_tables(len(x))
-    sums = np.zeros(len(x) + 1, U64)
-    np.cumsum(x * up[: len(x)], out=sums[1:])
-    h = mix((sums[k : n + k] - sums[:n]) * down[:n])
+def char_grams(lines: list[str]) -> list[np.ndarray]:
+    """Hashes of the runs of ``GRAM`` characters of each (non-empty) line; repeats are not removed."""
+    text = "".join(lines) + "\0" * GRAM
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    x += U64(1)
+    h, width = x, 1
+    while width < GRAM:  # runs of 2, 4 and 8
+        h, left = h[:-width] * WORD_COEF[width], h
+        h += left[width:]
+        width *= 2
+    h = mix(h)
     out, at = [], 0
     for line in lines:
-        if len(line) >= k:
-            out.append(h[at : at + len(line) - k + 1])
+        if len(line) >= GRAM:
+            out.append(h[at : at + len(line) - GRAM + 1])
         else:
             out.append(mix((x[at : at + len(line)] * WORD_COEF[: len(line)]).sum(keepdims=True) + U64(len(line))))
         at += len(line)
@@ -73,10 +88,8 @@ def signer(bands: int, rows: int):
         for batch in batches:
             dk, id_, pos, lines, size = [], [], [], [], 0
             for k, i, t in zip(*(batch.column(c).to_pylist() for c in ("dk", "id", "text")), strict=True):
-                if not t:
-                    continue
-                for p, line in enumerate(t.split("\n")):
-                    if line := normal(line):
+                for p, line in enumerate(normal_lines(t)):
+                    if line:
                         dk.append(k)
                         id_.append(i)
                         pos.append(p)
@@ -110,60 +123,96 @@ def sign(mh: MinHash, seen: set[int], dk: list, id_: list, pos: list, lines: lis
     return pa.RecordBatch.from_arrays([pa.array(dk, pa.int64()), pa.array(id_, pa.int64()), pa.array(pos, pa.int32()), pa.array(node, pa.int64()), lists], schema=LINE)
 
 
-def wanted_lines(bands: int, rows: int, bits: int):
-    """Batches of (text, at) to the normal forms of the lines at those positions, with an odd sketch of each."""
+class Bloom:
+    """A Bloom filter of at most ``1 << most`` bits over line names; two probes, each a part of the name."""
+
+    def __init__(self, nodes: DataFrame, most: int = 27):
+        n = nodes.count()
+        self.log = min(most, max(10, (16 * n).bit_length()))
+        low = F.col("node").bitwiseAND(F.lit((1 << self.log) - 1))
+        high = F.shiftrightunsigned("node", 64 - self.log)
+        word = nodes.select(F.explode(F.array(low, high)).alias("x")).groupBy(F.shiftright("x", 6).cast("int").alias("word"))
+        # at most 1 << (most - 6) rows, whatever the number of names
+        rows = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toPandas()
+        self.words = np.zeros(1 << max(0, self.log - 6), U64)
+        self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(U64)
+
+    def column(self, spark: SparkSession, key: str) -> SimpleNamespace:
+        """The filter as a one-row ``table`` and the ``test`` of a semi-join with it on the long ``key``."""
+        table = spark.createDataFrame(pa.table({"bloom": pa.ListArray.from_arrays([0, len(self.words)], self.words.view(np.int64))}))
+        low = F.col(key).bitwiseAND(F.lit((1 << self.log) - 1))
+        test = F.lit(True)
+        for probe in (low, F.shiftrightunsigned(key, 64 - self.log)):
+            word = F.get("bloom", F.shiftright(probe, 6).cast("int"))
+            test = test & (F.getbit(word, probe.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return SimpleNamespace(table=table, test=test)
+
+    def may_hold(self, node: np.ndarray) -> np.ndarray:
+        x = node.view(U64)
+        out = np.ones(len(x), bool)
+        for probe in (x & U64((1 << self.log) - 1), x >> U64(64 - self.log)):
+            out &= (self.words[probe >> U64(6)] >> (probe & U64(63)) & U64(1)).astype(bool)
+        return out
+
+
+def distinct_grams(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingles (48 bits of their hashes) of each line, by sorts of (line, hash) over many lines."""
+    out: list[np.ndarray] = []
+    for i in range(0, len(lines), 1 << 12):
+        grams = char_grams(lines[i : i + (1 << 12)])
+        key = np.concatenate(grams) >> U64(16)
+        key |= np.repeat(np.arange(len(grams), dtype=U64) << U64(48), [len(g) for g in grams])
+        key.sort()
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        key = key[first]
+        cut = np.searchsorted(key, np.arange(1, len(grams), dtype=U64) << U64(48))
+        out += np.split(key & U64((1 << 48) - 1), cut)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mh = MinHash(bands, rows, bits)
-        for pdf in batches:
-            lines = []
-            for t, at in zip(pdf["text"], pdf["at"], strict=True):
-                parts = t.split("\n")
-                lines += [normal(parts[p]) for p in at]
-            for i in range(0, len(lines), 256):
-                own = lines[i : i + 256]
-                yield pd.DataFrame({"node": np.array([line_id(x) for x in own], np.int64), "grams": pd.Series(own, dtype=object), "sketch": pd.Series(list(mh.sketch(mh.minima(char_grams(own)))), dtype=object)})
 
-    return run
+def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Odd sketches of whole sets: bit ``h mod bits`` is toggled by every element."""
+    h = np.concatenate(sets)
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    n = np.bincount(at * bits + (h % U64(bits)).astype(np.int64), minlength=len(sets) * bits)
+    return np.packbits((n & 1).astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.int64)
+
+
+BODY = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64())), ("grams", pa.string())])
 
 
-def line_sets(lines: list[str]) -> list[np.ndarray]:
-    return [np.unique(g) for g in char_grams(lines)]
-
-
-def line_components(sig: DataFrame, lines_of: Callable[[DataFrame], DataFrame], num: int, den: int, most: int) -> DataFrame:
-    """Components of linked lines, ``(node, component)``, from ``sig(node, bands)``.
-
-    Every member of a bucket is first compared with the bucket's smallest line, which settles most
-    buckets.  Those that still hold several components are compared inside: tiles of bounded size set
-    members outside the bucket's largest component against all members and return forests of links.
-    No bucket emits its pairs, and buckets are never merged, so chains of unlike lines do not grow tiles.
-    """
-    b = sig.where("bands is not null").select("node", F.explode("bands").alias("key")).repartition("key")
-    shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
-    m = durable(b.join(shared.hint("shuffle_hash"), "key").distinct())
-    body = durable(lines_of(durable(m.select("node").distinct())))
-
-    pairs = m.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    ga, gb = (body.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-    links = durable(pairs.join(ga, "a").join(gb, "b").mapInPandas(pair_check(num, den, line_sets), "a long, b long"))
-    comp = durable(components(links))
-
-    mc = m.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    k = mc.groupBy("key", "c").agg(F.count("*").alias("k"))
-    top = k.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size")).where("size > top.k")
-    blocks = lambda x: F.ceil(x / SET_BLOCK).cast("int")
-    top = top.select("key", F.col("top.c").alias("top"), blocks(F.col("size")).alias("nb"), blocks(F.col("size") - F.col("top.k")).alias("na"))
-    # a bucket of two lines was settled by its own comparison
-    f = durable(mc.join(top.join(k.groupBy("key").agg(F.sum("k").alias("size")).where("size > 2").select("key"), "key"), "key"))
-    rows = f.count()
-    if not rows:
-        return comp
-    f = f.withColumns({"mine": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "all": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")})
-    ask = f.where("c <> top").select("key", F.col("mine").alias("one"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("two"), F.lit(True).alias("asks"), "node", "c")
-    told = f.select("key", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("one"), F.col("all").alias("two"), F.lit(False).alias("asks"), "node", "c")
-    new = durable(in_bins(ask.union(told).join(body, "node"), set_tile(most, num, den, line_sets), rows))
-    return comp if new.isEmpty() else durable(components(new.union(comp.where("node <> component"))))
+def wanted_lines(bloom, bits: int):
+    """Batches of (text) to the normal forms of lines that the filter may hold, with size and odd sketch of their sets, once in a task."""
+
+    def rows(lines: list[str], node: list[int]) -> pa.RecordBatch:
+        sets = distinct_grams(lines)
+        sketch = parity(sets, bits)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(lines, pa.string())], schema=BODY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            own, names, size = [], [], 0
+            for text in batch.column("text").to_pylist():
+                lines = [x for x in normal_lines(text) if x]
+                node = np.array([line_id(x) for x in lines], np.int64)
+                for i in np.flatnonzero(bloom.value.may_hold(node)):
+                    if (name := int(node[i])) not in seen:
+                        seen.add(name)
+                        own.append(lines[i])
+                        names.append(name)
+                        size += len(lines[i])
+                if size > BATCH:
+                    yield rows(own, names)
+                    own, names, size = [], [], 0
+                if len(seen) > 1_000_000:
+                    seen.clear()
+            if own:
+                yield rows(own, names)
+
+    return run
 
 
 def keep_lines(text: Column, drop: Column) -> Column:
@@ -172,32 +221,39 @@ def keep_lines(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, bands: int = 12, rows: int = 3, bits: int = 128) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, bands: int = 10, rows: int = 3, bits: int = 512) -> DataFrame:
     """One row per document: ``id_col, text`` without repeated lines, ``n_lines`` (not blank), ``n_dropped``."""
-    mh = MinHash(bands, rows, bits)
+    spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(doc_key(F.col("id"), F.col("text")).alias("dk"), "id", "text")
     sig = durable(text.mapInArrow(signer(bands, rows), "dk long, id long, pos int, node long, bands array<long>"))
 
-    # rows that repeat an id and text would repeat their lines
-    repeats = not sig.groupBy("dk", "pos").count().where("count > 1").isEmpty()
-
-    def lines_of(nodes: DataFrame) -> DataFrame:
-        one = join_by_size(sig.where("bands is not null").select("node", "dk", "pos"), nodes, "node", "left_semi")
-        one = one.groupBy("node").agg(F.min(F.struct("dk", "pos")).alias("x")).groupBy("x.dk").agg(F.collect_set("x.pos").alias("at"))
-        own = join_by_size(text.select("dk", "text"), durable(one), "dk", row_bytes=64)
-        own = own.dropDuplicates(["dk"]) if repeats else own
-        return own.select("text", "at").mapInPandas(wanted_lines(bands, rows, bits), "node long, grams string, sketch array<long>")
-
-    comp = line_components(sig, lines_of, num, den, mh.most_ones(num / den))
-    lines = sig.select("dk", "id", "pos", "node").join(comp, "node", "left").select("dk", "id", "pos", F.coalesce("component", "node").alias("cls"))
-    lines = durable(lines.distinct())
-    head = lines.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos", "dk")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    head = head.select("cls", F.col("head.dk").alias("hk"), F.col("head.pos").alias("hp"))
-    gone = lines.join(head, "cls").where("dk <> hk or pos <> hp").groupBy("dk").agg(F.collect_list("pos").alias("gone"))
+    m = shared_buckets(sig)
+    nodes = durable(m.select("node").distinct())
+    bloom = spark.sparkContext.broadcast(Bloom(nodes))
+    body = text.select("text").mapInArrow(wanted_lines(bloom, bits), "node long, n int, sketch array<long>, grams string")
+    body = durable(semi_by_size(body, nodes, "node").dropDuplicates(["node"]))
+    of = lambda *columns: lambda nodes: semi_by_size(body.select("node", *columns), nodes, "node")
+    check = lambda df: df.mapInPandas(pair_check(num, den, distinct_grams), "a long, b long")
+    comp = linked_components(m, of("n", "sketch"), of("grams"), num, den, Screen(num, den, bits=bits), check, distinct_grams, star_rounds=1)
+    free(m, nodes, body)
+
+    # places of lines that occur again or have a component; all other lines stay
+    lines = sig.select("dk", "id", "pos", "node")
+    often = lines.groupBy("node").agg(F.count("*").alias("k")).join(comp, "node", "left").where("k > 1 or component is not null")
+    often = durable(often.select("node", F.coalesce("component", "node").alias("cls")))
+    places = durable(join_by_size(lines, often, "node").select("dk", "id", "pos", "cls"))
+    free(sig, often)
+    head = places.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos", "dk")).alias("head"))
+    head = durable(head.select("cls", F.col("head.dk").alias("hk"), F.col("head.pos").alias("hp")))
+    gone = join_by_size(places, head, "cls", row_bytes=24).where("dk <> hk or pos <> hp").groupBy("dk").agg(F.collect_set("pos").alias("gone"))
     gone = durable(gone)
-    out = join_by_size(text, gone, "dk", "left", row_bytes=256)
-    # blank lines in the sense of normal(): only characters that split() drops
-    n = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")))
+    free(places, head)
+    # texts that lose no line need no shuffle; the filter decides which those are, the join what the others lose
+    held = Bloom(gone.select(F.col("dk").alias("node"))).column(spark, "dk")
+    some = text.join(F.broadcast(held.table), held.test, "left_semi").join(gone, "dk", "left")
+    out = some.unionByName(text.join(F.broadcast(held.table), held.test, "left_anti").withColumn("gone", F.lit(None).cast("array<int>")))
+    # one match for each line that holds a sign which normal() keeps
+    n = F.regexp_count("text", F.lit(r"[^\s\x1c-\x1f\x85\p{Z}][^\n]*"))
     return out.select(
         F.col("id").alias(id_col), keep_lines(F.col("text"), F.col("gone")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),

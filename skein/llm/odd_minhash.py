@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MinHash, components, durable, linked_components, semi_by_size, shingles, word_hashes
+from .common import MinHash, Screen, components, durable, linked_components, semi_by_size, shared_buckets, shingles, word_hashes
 
 __all__ = ["near_duplicates", "components"]
 
@@ -79,12 +79,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = durable(text.mapInPandas(signer(bands, rows, k), SIGN))
     at = F.coalesce("id", F.lit(-(2**63))).alias("at")  # rows without an id are found too
 
+    def sketches_of(nodes: DataFrame) -> DataFrame:
+        return semi_by_size(sig.where("bands is not null").select("node", "n", "sketch"), nodes, "node").dropDuplicates(["node"])
+
     def grams_of(nodes: DataFrame) -> DataFrame:
         first = durable(sig.where("bands is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(at).alias("at")).select("at").distinct())
         own = semi_by_size(text.select(at, "text"), first, "at").select("text").mapInPandas(gram_rows(k), "node long, grams array<long>")
         return own.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    comp = linked_components(sig, grams_of, num, den, mh.most_ones(num / den))
+    comp = linked_components(shared_buckets(sig), sketches_of, grams_of, num, den, Screen(num, den, mh.most_ones(num / den)))
     # a document's class is its component of sets or its own set; sets of no words stand alone
     doc = sig.select("id", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     doc = durable(doc.select("id", "n_shingles", F.coalesce("component", "node").alias("cls")))
