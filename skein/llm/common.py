@@ -203,15 +203,16 @@ class MinHash:
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row of minima for each non-empty set."""
-        out = np.empty((len(self.mul), len(sets)), np.uint32)
-        i = 0
-        while i < len(sets):
-            j, n = i, 0
-            while j < len(sets) and (j == i or n + len(sets[j]) <= HASHED):
-                n += len(sets[j])
-                j += 1
-            x = (np.concatenate(sets[i:j]) >> U64(32)).astype(np.uint32)
-            at, h = np.cumsum([0] + [len(s) for s in sets[i : j - 1]]), np.empty_like(x)
+        return self.minima_of(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]))
+
+    def minima_of(self, elements: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """The same for sets that lie one after another: set ``i`` is ``elements[cut[i]:cut[i + 1]]``."""
+        out = np.empty((len(self.mul), len(cut) - 1), np.uint32)
+        i, x32 = 0, (elements >> U64(32)).astype(np.uint32)
+        while i < len(cut) - 1:
+            j = max(i + 1, int(np.searchsorted(cut, cut[i] + HASHED, side="right")) - 1)
+            x, at = x32[cut[i] : cut[j]], cut[i:j] - cut[i]
+            h = np.empty_like(x)
             for k in range(len(self.mul)):  # one hash function at a time, so that its values stay in the cache
                 np.bitwise_xor(x, self.add[k], out=h)
                 np.multiply(h, self.mul[k], out=h)
@@ -318,10 +319,13 @@ def _ones(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tiles(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for _, t in pdf.groupby(["key", "one", "two"], sort=False):
-        if len(t) > 1:
-            yield t
+def _tiles(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers ordered by tile (key, one, two), and where each tile begins, with the end."""
+    names = [pdf[c].to_numpy() for c in ("two", "one", "key")]
+    order = np.lexsort(names)
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.any([x[order[1:]] != x[order[:-1]] for x in names], axis=0)
+    return order, np.flatnonzero(new)
 
 
 class Screen:
@@ -344,24 +348,43 @@ class Screen:
         return F.lit(self.most) if self.most is not None else self(F.col(a), F.col(b), F.exp, F.sqrt)
 
 
+#: Tiles of so few members are compared many at a time.
+_SMALL = 32
+
+
 def sketch_tile(screen: Screen):
     """Tiles of (key, one, two, block, c, n, sketch) to a forest of pairs of components with close sketches."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = set()
-        for t in _tiles(pdf):
-            one, block, c, n = t["one"].iloc[0], t["block"].to_numpy(), t["c"].to_numpy(), t["n"].to_numpy()
-            s = np.stack(t["sketch"].to_numpy()).view(U64)
-            x = np.flatnonzero(block == one)
-            y = np.flatnonzero(block == t["two"].iloc[0])
-            ok = (_ones(s[x], s[y]) <= screen(n[x][:, None], n[y][None])) & (c[x][:, None] != c[y][None])
-            sets = Union()
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                a, b = int(c[x[i]]), int(c[y[j]])
-                if sets.find(a) != sets.find(b):
-                    sets.join(a, b)
-                    edges.add((min(a, b), max(a, b)))
-        return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
+        one, two, block, c, n = (pdf[x].to_numpy() for x in ("one", "two", "block", "c", "n"))
+        s = np.stack(pdf["sketch"].to_numpy()).view(U64)
+        order, cut = _tiles(pdf)
+        size, found = np.diff(cut), []
+
+        def close(p: np.ndarray, q: np.ndarray) -> None:
+            ok = c[p] != c[q]
+            p, q = p[ok], q[ok]
+            ok = np.bitwise_count(s[p] ^ s[q]).sum(1, dtype=np.int32) <= screen(n[p], n[q])
+            found.append(np.unique(np.sort(np.stack([c[p[ok]], c[q[ok]]], 1), axis=1), axis=0))
+
+        small = (size > 1) & (size <= _SMALL) & (one[order[cut[:-1]]] == two[order[cut[:-1]]])
+        for m in np.unique(size[small]):
+            rows = order[cut[:-1][small & (size == m)][:, None] + np.arange(m)]
+            i, j = np.triu_indices(m, 1)
+            step = max(1, (1 << 16) // len(i))
+            for a in range(0, len(rows), step):
+                close(rows[a : a + step][:, i].ravel(), rows[a : a + step][:, j].ravel())
+        for t in np.flatnonzero((size > 1) & ~small):
+            at = order[cut[t] : cut[t + 1]]
+            x, y = at[block[at] == one[at[0]]], at[block[at] == two[at[0]]]
+            for a in range(0, len(x), 64):
+                close(np.repeat(x[a : a + 64], len(y)), np.tile(y, len(x[a : a + 64])))
+        sets, edges = Union(), []
+        for a, b in np.concatenate(found).tolist() if found else ():
+            if sets.find(a) != sets.find(b):
+                sets.join(a, b)
+                edges.append((a, b))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -397,10 +420,14 @@ def set_tile(screen: Screen, num: int, den: int, make: Callable[[list], list[np.
     """Tiles of (key, one, two, asks, node, c, sketch, grams) to a forest of links confirmed on whole sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = []
-        for t in _tiles(pdf):
-            asks, node, c = t["asks"].to_numpy(), t["node"].to_numpy(), t["c"].tolist()
-            s, grams = np.stack(t["sketch"].to_numpy()).view(U64), make(t["grams"].tolist())
+        asks_, node_, c_ = pdf["asks"].to_numpy(), pdf["node"].to_numpy(), pdf["c"].to_numpy()
+        s_, edges = np.stack(pdf["sketch"].to_numpy()).view(U64), []
+        _, first, own = np.unique(node_, return_index=True, return_inverse=True)  # a node may lie in several tiles
+        bodies = make(pdf["grams"].iloc[first].tolist())
+        order, cut = _tiles(pdf)
+        for t in range(len(cut) - 1):
+            rows = order[cut[t] : cut[t + 1]]
+            asks, node, c, s, grams = asks_[rows], node_[rows], c_[rows].tolist(), s_[rows], [bodies[i] for i in own[rows]]
             size, sets = np.array([len(g) for g in grams]), Union()
             x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(x) or not len(y):

@@ -1,6 +1,6 @@
 """Line dedup over fuzzy lines: MinHash of character shingles, banding, exact Jaccard, distributed components.
 
-A line (text between newlines) is lower-cased and its blanks collapsed; blank lines are always kept.
+A line (text between newlines) is lower-cased, one code point at a time, and its blanks collapsed; blank lines are always kept.
 Lines link where their sets of 8-character shingles have a Jaccard similarity of 0.75 or more, and of each
 component only the first line stays, by document id and position.  Candidates share one of 10 bands of
 3 MinHash values (a pair at the threshold is missed with probability 0.004, at 0.85 with 7e-5); parity
@@ -17,7 +17,6 @@ null; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -27,35 +26,52 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_COEF, MinHash, Screen, durable, free, join_by_size, linked_components, mix, pair_check, semi_by_size, shared_buckets
+from .common import U64, WORD_COEF, MinHash, Screen, durable, free, join_by_size, linked_components, mix, pair_check, power_tables, semi_by_size, shared_buckets
 
 GRAM = 8
-#: Characters of lines that are signed at once.
-BATCH = 1 << 15
+#: Characters of texts whose lines are read at once.
+BATCH = 1 << 17
+#: What ``str.split`` takes for blanks.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+_LOW = np.array([ord(chr(c).lower()[0]) for c in range(1 << 16)], np.uint32)
+_BLANK = np.zeros(1 << 16, bool)
+_BLANK[[ord(c) for c in BLANKS]] = True
 
 
-def normal_lines(text: str | None) -> list[str]:
-    """The normal forms of all lines; blank ones are empty."""
-    out = []
-    for x in text.lower().split("\n") if text else ():
-        # every blank but the plain one is unprintable
-        plain = x.isprintable() and "  " not in x and x[:1] != " " and x[-1:] != " "
-        out.append(x if plain else " ".join(x.split()))
-    return out
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
+def normal_codes(text: str) -> np.ndarray:
+    """Code points of the text with all of its lines in normal form."""
+    x = codes(text)
+    wide = x.max(initial=0) >= len(_LOW)
+    x = np.where(x < len(_LOW), _LOW[np.minimum(x, len(_LOW) - 1)], x) if wide else _LOW[x]
+    blank = _BLANK[np.minimum(x, len(_LOW) - 1) if wide else x]
+    line = x == 10
+    gap, after, before = blank & ~line, np.append(blank[1:], True), np.concatenate(([True], line[:-1]))
+    if (gap & (after | before | (x != 32))).any():
+        x = np.where(gap, np.uint32(32), x)[~(gap & after)]  # the last blank of a run stays, if a word follows
+        x = x[~((x == 32) & np.concatenate(([True], x[:-1] == 10)))]
+    return x
 
-def line_id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
+def said(x: np.ndarray) -> str:
+    return x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
-def char_grams(lines: list[str]) -> list[np.ndarray]:
-    """Hashes of the runs of ``GRAM`` characters of each (non-empty) line; repeats are not removed."""
-    text = "".join(lines) + "\0" * GRAM
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+
+def normal(line: str) -> str:
+    return said(normal_codes(line))
+
+
+def grams_at(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``GRAM`` code points of the lines that begin at ``start``, and the cuts between lines.
+
+    Repeats are not removed; a shorter (not empty) line is one run.
+    """
+    x = np.concatenate((x, np.zeros(GRAM, x.dtype))).astype(U64)
     x += U64(1)
     h, width = x, 1
     while width < GRAM:  # runs of 2, 4 and 8
@@ -63,14 +79,82 @@ def char_grams(lines: list[str]) -> list[np.ndarray]:
         h += left[width:]
         width *= 2
     h = mix(h)
-    out, at = [], 0
-    for line in lines:
-        if len(line) >= GRAM:
-            out.append(h[at : at + len(line) - GRAM + 1])
-        else:
-            out.append(mix((x[at : at + len(line)] * WORD_COEF[: len(line)]).sum(keepdims=True) + U64(len(line))))
-        at += len(line)
-    return out
+    short = size < GRAM
+    if short.any():
+        s, n = start[short], size[short]
+        v = n.astype(U64)
+        for j in range(GRAM - 1):
+            v[n > j] += x[s[n > j] + j] * WORD_COEF[j]
+        h[s] = mix(v)
+    count = np.where(short, 1, size - GRAM + 1)
+    step = np.zeros(len(h) + 1, np.int8)
+    step[start], step[start + count] = 1, -1
+    return h[np.cumsum(step[:-1], dtype=np.int8).view(bool)], np.concatenate(([0], np.cumsum(count)))
+
+
+def names_of(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of lines by their code points."""
+    up, down = power_tables(len(x) + 1)
+    v = x * WORD_COEF[61]
+    v ^= v >> U64(29)
+    v *= up[: len(x)]
+    sums = np.zeros(len(x) + 1, U64)
+    np.cumsum(v, out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * WORD_COEF[60]).view(np.int64)
+
+
+class Lines:
+    """Lines that are not blank of some texts: ``doc`` (number of the text), ``pos``, ``node``."""
+
+    def __init__(self, texts: list[str | None], first: int):
+        texts = [t or "" for t in texts]
+        self.x = x = normal_codes("\n".join(texts) + "\n")
+        end = np.flatnonzero(x == 10)
+        start = np.concatenate(([0], end[:-1] + 1))
+        per = np.array([t.count("\n") + 1 for t in texts])
+        doc, full = np.repeat(np.arange(len(texts)), per), end > start
+        self.doc, self.pos = doc[full] + first, (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))[full]
+        self.start, self.end = start[full], end[full]
+        self.node = names_of(x, self.start, self.end)
+
+    def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of the lines of a mask, and the cuts between lines."""
+        step = np.zeros(len(self.x) + 1, np.int8)
+        a, b = self.start[which], self.end[which]
+        step[a] += 1
+        step[b + 1] -= 1  # with the line's end
+        size = b - a
+        return grams_at(self.x[np.cumsum(step[:-1], dtype=np.int8).view(bool)], np.cumsum(size + 1) - size - 1, size)
+
+
+def lines_of(texts: list[str | None]) -> Iterator[Lines]:
+    """``Lines`` of about ``BATCH`` characters at a time."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size < BATCH):
+            size += len(texts[j] or "") + 1
+            j += 1
+        yield Lines(texts[i:j], i)
+        i = j
+
+
+class Fresh:
+    """Names not met before in this task; what it remembers is bounded."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, node: np.ndarray) -> np.ndarray:
+        """A mask of the first place of each name that is new."""
+        names, first = np.unique(node, return_index=True)
+        new = np.array([x not in self.seen for x in names.tolist()], bool)
+        self.seen.update(names[new].tolist())
+        if len(self.seen) > 1_000_000:
+            self.seen.clear()
+        out = np.zeros(len(node), bool)
+        out[first[new]] = True
+        return out
 
 
 def doc_key(id_: Column, text: Column) -> Column:
@@ -84,45 +168,20 @@ def signer(bands: int, rows: int):
     """Batches of (dk, id, text) to lines (dk, id, pos, node); the first of a node in a task carries its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mh, seen = MinHash(bands, rows), set()
+        mh, fresh = MinHash(bands, rows), Fresh()
         for batch in batches:
-            dk, id_, pos, lines, size = [], [], [], [], 0
-            for k, i, t in zip(*(batch.column(c).to_pylist() for c in ("dk", "id", "text")), strict=True):
-                for p, line in enumerate(normal_lines(t)):
-                    if line:
-                        dk.append(k)
-                        id_.append(i)
-                        pos.append(p)
-                        lines.append(line)
-                        size += len(line)
-                if size > BATCH:
-                    yield sign(mh, seen, dk, id_, pos, lines)
-                    dk, id_, pos, lines, size = [], [], [], [], 0
-            yield sign(mh, seen, dk, id_, pos, lines)
+            for c in lines_of(batch.column("text").to_pylist()):
+                own = fresh(c.node)
+                keys = mh.keys(mh.minima_of(*c.grams(own))).ravel() if own.any() else np.empty(0, np.int64)
+                ends = pa.array(np.concatenate(([0], np.cumsum(own * bands))), pa.int32())
+                none = pa.array(np.append(~own, False))
+                lists = pa.ListArray.from_arrays(pc.if_else(none, pa.scalar(None, pa.int32()), ends), pa.array(keys))
+                doc = pa.array(c.doc)
+                yield pa.RecordBatch.from_arrays([batch.column("dk").take(doc), batch.column("id").take(doc), pa.array(c.pos, pa.int32()), pa.array(c.node), lists], schema=LINE)
 
     return run
 
 
-def sign(mh: MinHash, seen: set[int], dk: list, id_: list, pos: list, lines: list[str]) -> pa.RecordBatch:
-    node = [line_id(x) for x in lines]
-    fresh = []
-    for i, x in enumerate(node):
-        if x not in seen:
-            seen.add(x)
-            fresh.append(i)
-    if len(seen) > 1_000_000:
-        seen.clear()
-    has = np.zeros(len(node) + 1, np.int32)
-    keys = np.empty(0, np.int64)
-    if fresh:
-        keys = mh.keys(mh.minima(char_grams([lines[i] for i in fresh]))).ravel()
-        has[np.array(fresh) + 1] = mh.bands
-    none = pa.array(np.append(has[1:] == 0, False))
-    ends = pa.array(np.cumsum(has), pa.int32())
-    lists = pa.ListArray.from_arrays(pc.if_else(none, pa.scalar(None, pa.int32()), ends), pa.array(keys))
-    return pa.RecordBatch.from_arrays([pa.array(dk, pa.int64()), pa.array(id_, pa.int64()), pa.array(pos, pa.int32()), pa.array(node, pa.int64()), lists], schema=LINE)
-
-
 class Bloom:
     """A Bloom filter of at most ``1 << most`` bits over line names; two probes, each a part of the name."""
 
@@ -155,22 +214,27 @@ class Bloom:
         return out
 
 
-def distinct_grams(lines: list[str]) -> list[np.ndarray]:
+def distinct_sets(grams: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingles (48 bits of their hashes) of each line, by sorts of (line, hash) over many lines."""
     out: list[np.ndarray] = []
-    for i in range(0, len(lines), 1 << 12):
-        grams = char_grams(lines[i : i + (1 << 12)])
-        key = np.concatenate(grams) >> U64(16)
-        key |= np.repeat(np.arange(len(grams), dtype=U64) << U64(48), [len(g) for g in grams])
+    for i in range(0, len(cut) - 1, 1 << 12):
+        at = cut[i : i + (1 << 12) + 1]
+        key = grams[at[0] : at[-1]] >> U64(16)
+        key |= np.repeat(np.arange(len(at) - 1, dtype=U64) << U64(48), np.diff(at))
         key.sort()
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         key = key[first]
-        cut = np.searchsorted(key, np.arange(1, len(grams), dtype=U64) << U64(48))
-        out += np.split(key & U64((1 << 48) - 1), cut)
+        out += np.split(key & U64((1 << 48) - 1), np.searchsorted(key, np.arange(1, len(at) - 1, dtype=U64) << U64(48)))
     return out
 
 
+def distinct_grams(lines: list[str]) -> list[np.ndarray]:
+    """``distinct_sets`` of (not empty) lines in normal form."""
+    size = np.array([len(x) for x in lines], np.int64)
+    return distinct_sets(*grams_at(codes("\n".join(lines)), np.cumsum(size + 1) - size - 1, size)) if lines else []
+
+
 def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """Odd sketches of whole sets: bit ``h mod bits`` is toggled by every element."""
     h = np.concatenate(sets)
@@ -185,32 +249,19 @@ BODY = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(p
 def wanted_lines(bloom, bits: int):
     """Batches of (text) to the normal forms of lines that the filter may hold, with size and odd sketch of their sets, once in a task."""
 
-    def rows(lines: list[str], node: list[int]) -> pa.RecordBatch:
-        sets = distinct_grams(lines)
-        sketch = parity(sets, bits)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(lines, pa.string())], schema=BODY)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        fresh = Fresh()
         for batch in batches:
-            own, names, size = [], [], 0
-            for text in batch.column("text").to_pylist():
-                lines = [x for x in normal_lines(text) if x]
-                node = np.array([line_id(x) for x in lines], np.int64)
-                for i in np.flatnonzero(bloom.value.may_hold(node)):
-                    if (name := int(node[i])) not in seen:
-                        seen.add(name)
-                        own.append(lines[i])
-                        names.append(name)
-                        size += len(lines[i])
-                if size > BATCH:
-                    yield rows(own, names)
-                    own, names, size = [], [], 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
-            if own:
-                yield rows(own, names)
+            for c in lines_of(batch.column("text").to_pylist()):
+                held = np.flatnonzero(bloom.value.may_hold(c.node))
+                own = np.zeros(len(c.node), bool)
+                own[held[fresh(c.node[held])]] = True
+                if not own.any():
+                    continue
+                sets = distinct_sets(*c.grams(own))
+                sketch, lines = parity(sets, bits), [said(c.x[a:b]) for a, b in zip(c.start[own], c.end[own], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(c.node[own]), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(lines, pa.string())], schema=BODY)
 
     return run
 
@@ -252,8 +303,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = Bloom(gone.select(F.col("dk").alias("node"))).column(spark, "dk")
     some = text.join(F.broadcast(held.table), held.test, "left_semi").join(gone, "dk", "left")
     out = some.unionByName(text.join(F.broadcast(held.table), held.test, "left_anti").withColumn("gone", F.lit(None).cast("array<int>")))
-    # one match for each line that holds a sign which normal() keeps
-    n = F.regexp_count("text", F.lit(r"[^\s\x1c-\x1f\x85\p{Z}][^\n]*"))
+    n = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     return out.select(
         F.col("id").alias(id_col), keep_lines(F.col("text"), F.col("gone")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),
