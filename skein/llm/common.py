@@ -127,11 +127,15 @@ def power_tables(n: int) -> list[np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(29))
-    x = x * U64(0xA0761D6478BD642F)
-    return x ^ (x >> U64(32))
+    y = x >> U64(32)
+    y ^= x
+    y *= U64(0xD6E8FEB86659FD93)
+    x = y >> U64(29)
+    y ^= x
+    y *= U64(0xA0761D6478BD642F)
+    x = y >> U64(32)
+    y ^= x
+    return y
 
 
 def ascii_lower(text: str) -> bytes:
@@ -222,7 +226,7 @@ class MinHash:
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         m = minima.reshape(len(minima), self.bands, self.rows).astype(U64)
-        return mix((mix(m + U64(1)) * self.coef[None]).sum(2) + self.salt[None]).view(np.int64)
+        return mix((m * self.coef[None]).sum(2) + self.salt[None]).view(np.int64)
 
     def sketch(self, minima: np.ndarray) -> np.ndarray:
         """Parity bitmap of ``bits`` bits as int64 words."""
@@ -514,7 +518,7 @@ def linked_components(
         nodes = ends(pairs)
         here = durable(sketches_of(nodes))
         side = lambda x: here.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        ones = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        ones = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(screen.bits // 64)), F.lit(0))
         close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
         close = durable(close.where(ones <= screen.columns("na", "nb")).select("a", "b"))
         wanted = ends(close)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import U64, WORD_COEF, MinHash, Screen, durable, free, join_by_size, linked_components, mix, pair_check, power_tables, semi_by_size, shared_buckets
 
 GRAM = 8
-#: Characters of texts whose lines are read at once.
+#: Bytes of texts whose lines are read at once.
 BATCH = 1 << 17
 #: What ``str.split`` takes for blanks.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -104,14 +104,13 @@ def names_of(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Lines that are not blank of some texts: ``doc`` (number of the text), ``pos``, ``node``."""
+    """Lines that are not blank of a column of texts (no nulls): ``doc`` (number of the text), ``pos``, ``node``."""
 
-    def __init__(self, texts: list[str | None], first: int):
-        texts = [t or "" for t in texts]
-        self.x = x = normal_codes("\n".join(texts) + "\n")
+    def __init__(self, texts: pa.Array, first: int):
+        self.x = x = normal_codes(pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), "\n")[0].as_py() + "\n")
         end = np.flatnonzero(x == 10)
         start = np.concatenate(([0], end[:-1] + 1))
-        per = np.array([t.count("\n") + 1 for t in texts])
+        per = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False).astype(np.int64) + 1
         doc, full = np.repeat(np.arange(len(texts)), per), end > start
         self.doc, self.pos = doc[full] + first, (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))[full]
         self.start, self.end = start[full], end[full]
@@ -127,14 +126,12 @@ class Lines:
         return grams_at(self.x[np.cumsum(step[:-1], dtype=np.int8).view(bool)], np.cumsum(size + 1) - size - 1, size)
 
 
-def lines_of(texts: list[str | None]) -> Iterator[Lines]:
-    """``Lines`` of about ``BATCH`` characters at a time."""
-    i = 0
+def lines_of(texts: pa.Array) -> Iterator[Lines]:
+    """``Lines`` of about ``BATCH`` bytes of texts at a time."""
+    texts = pc.fill_null(texts, "")
+    sums, i = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1), 0
     while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size < BATCH):
-            size += len(texts[j] or "") + 1
-            j += 1
+        j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + BATCH, side="right")))
         yield Lines(texts[i:j], i)
         i = j
 
@@ -170,7 +167,7 @@ def signer(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mh, fresh = MinHash(bands, rows), Fresh()
         for batch in batches:
-            for c in lines_of(batch.column("text").to_pylist()):
+            for c in lines_of(batch.column("text")):
                 own = fresh(c.node)
                 keys = mh.keys(mh.minima_of(*c.grams(own))).ravel() if own.any() else np.empty(0, np.int64)
                 ends = pa.array(np.concatenate(([0], np.cumsum(own * bands))), pa.int32())
@@ -252,7 +249,7 @@ def wanted_lines(bloom, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()
         for batch in batches:
-            for c in lines_of(batch.column("text").to_pylist()):
+            for c in lines_of(batch.column("text")):
                 held = np.flatnonzero(bloom.value.may_hold(c.node))
                 own = np.zeros(len(c.node), bool)
                 own[held[fresh(c.node[held])]] = True

@@ -87,7 +87,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = semi_by_size(text.select(at, "text"), first, "at").select("text").mapInPandas(gram_rows(k), "node long, grams array<long>")
         return own.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    comp = linked_components(shared_buckets(sig), sketches_of, grams_of, num, den, Screen(num, den, mh.most_ones(num / den)))
+    comp = linked_components(shared_buckets(sig), sketches_of, grams_of, num, den, Screen(num, den, mh.most_ones(num / den), mh.bits))
     # a document's class is its component of sets or its own set; sets of no words stand alone
     doc = sig.select("id", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
     doc = durable(doc.select("id", "n_shingles", F.coalesce("component", "node").alias("cls")))
