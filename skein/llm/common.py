@@ -14,6 +14,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -462,19 +463,59 @@ def in_bins(df: DataFrame, run, rows: int) -> DataFrame:
 _ONE_IN, _OFTEN = 64, 64
 
 
+_BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("lo", pa.int64())])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node), sorted by key, to those of keys with several nodes, with one node of each key; keeps one row of a run at most."""
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 16:
+                t = pa.Table.from_batches(held)
+                yield t["key"].to_numpy(), t["node"].to_numpy()
+                held, rows = [], 0
+        if rows:
+            t = pa.Table.from_batches(held)
+            yield t["key"].to_numpy(), t["node"].to_numpy()
+
+    wait = told = None  # the last run: its only node so far, or the node already given with it
+    for k, n in chunks():
+        if wait is not None:
+            k, n = np.append(wait[0], k), np.append(wait[1], n)
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        lo, hi = np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut)
+        shared = lo < hi
+        if told is not None and told[0] == k[0]:
+            lo[0], shared[0] = told[1], True
+        last = (k[-1], lo[-1])
+        wait, told = (None, last) if shared[-1] else (last, None)
+        size = np.diff(np.append(cut, len(k)))
+        own = np.repeat(shared, size)
+        k, n, lo = k[own], n[own], np.repeat(lo, size)[own]
+        order = np.lexsort((n, k))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(k[order]) != 0) | (np.diff(n[order]) != 0)
+        order = order[new]
+        yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (k, n, lo)], schema=_BUCKETS)
+
+
 def shared_buckets(sig: DataFrame) -> DataFrame:
-    """Members of the band keys of ``sig(node, bands)`` that several nodes share, ``(key, node, lo)``; ``lo`` is the smallest one.
+    """Members of the band keys of ``sig(node, bands)`` that several nodes share, ``(key, node, lo)``; ``lo`` is one of them.
 
-    Band rows are dealt by key once.  Keys of very many nodes, which a look at one node in ``_ONE_IN`` shows, are
-    kept out of that deal: their smallest member is a pre-aggregated minimum, and their members stay where they are.
+    Band rows are dealt by key once, sorted, and read in runs.  Keys of very many nodes, which a look at one node in
+    ``_ONE_IN`` shows, are kept out of that deal: their smallest member is a pre-aggregated minimum, and their members
+    stay where they are.
     """
     of = lambda s: s.select("node", F.explode("bands").alias("key"))
     sig = sig.where("bands is not null")
     hot = durable(of(sig.where(F.pmod(F.xxhash64("node"), F.lit(_ONE_IN)) == 0)).groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= _OFTEN).select("key"))
     none = hot.isEmpty()
-    b = (of(sig) if none else join_by_size(of(sig), hot, "key", "left_anti")).repartition("key")
-    shared = b.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
-    m = b.join(shared.hint("shuffle_hash"), "key").select("key", "node", "lo").distinct()
+    b = of(sig) if none else join_by_size(of(sig), hot, "key", "left_anti")
+    m = b.repartition("key").sortWithinPartitions("key").select("key", "node").mapInArrow(_shared, "key long, node long, lo long")
     if not none:
         h = durable(join_by_size(of(sig), hot, "key").distinct())
         m = m.union(join_by_size(h, durable(h.groupBy("key").agg(F.min("node").alias("lo"))), "key").select("key", "node", "lo"))

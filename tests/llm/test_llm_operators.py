@@ -88,6 +88,28 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
 
 
+def test_shared_runs_across_chunks():
+    """Runs that end, begin and go on at the ends of chunks, with repeated rows, against plain grouping."""
+    import pyarrow as pa
+
+    from skein.llm import common
+
+    g = np.random.Generator(np.random.PCG64(8))
+    key = np.sort(np.concatenate([g.integers(0, 400_000, 300_000), np.full(140_000, 7)]))
+    node = g.integers(0, 1000, len(key))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 1000]), pa.array(node[i : i + 1000])], names=["key", "node"]) for i in range(0, len(key), 1000)]
+    got, lo = set(), {}
+    for b in common._shared(iter(batches)):
+        got |= set(zip(b["key"].to_pylist(), b["node"].to_pylist(), strict=True))
+        for k, x in zip(b["key"].to_pylist(), b["lo"].to_pylist(), strict=True):
+            assert lo.setdefault(k, x) == x
+    members = {}
+    for k, n in zip(key.tolist(), node.tolist(), strict=True):
+        members.setdefault(k, set()).add(n)
+    assert got == {(k, n) for k, v in members.items() if len(v) > 1 for n in v} and all(x in members[k] for k, x in lo.items())
+    assert list(common._shared(iter([]))) == []
+
+
 def test_fuzzy_lines_equal_brute_force(spark):
     d = table(spark, SF, "documents").where("doc_id < 60")
     lines = [(r.doc_id, p, fuzzy_lines.normal(x)) for r in d.orderBy("doc_id").collect() for p, x in enumerate(r.text.split("\n")) if fuzzy_lines.normal(x)]
