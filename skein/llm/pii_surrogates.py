@@ -46,7 +46,7 @@ SPACED = rf"(?<=[=:][ \t])(?<={_KEYS}[ \t]{{0,1}}[=:][ \t])"
 PATTERNS = (
     ("secret", AFTER + rf"(?=[^\s\"'\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]){_SIGN}{{4,}}+"),
     ("secret", SPACED + rf"(?=[^\s\"'0-9]*+[0-9])(?=[^\s\"'\p{{L}}]*+\p{{L}}){_SIGN}{{6,}}+"),
-    ("secret", r"(?<=-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)[^-]{16,}+"),
+    ("secret", r"(?<=-----)(?<=-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)[^-]{16,}+"),
     ("secret", r"(?<=\")(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?=\")"),
     ("secret", r"(?<!\w)(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+|eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]++)(?!\w)"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,24}"),
@@ -54,13 +54,14 @@ PATTERNS = (
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:(?:[ .-]\d{2,4}){2,3}|[ .-]?\d{5,10})(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)"),
     ("phone", r"(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])"),
     ("card", r"(?<![\w-])(?:\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d{2}([ -]?)\d{6}\3\d{5})(?![\d-])"),
-    ("ip", rf"(?<![\w.])(?<!(?i:version|release|build|rev) )(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\w])"),
-    ("ip", r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
+    ("ip", rf"(?<![\w.])(?=\d)(?<!(?i:version|release|build|rev) )(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\w])"),
+    ("ip", r"(?<![\w:.])(?=[0-9A-Fa-f]{1,4}:)(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("person", r"(?<!\p{L})" + TITLES + NAME + REST + "{0,2}"),
     ("person", r"(?<!\p{L})(?=\p{Lu})(?:" + "|".join(FEMALE_NAMES + MALE_NAMES) + ")" + REST + "{1,2}"),
 )
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: No pattern begins inside a word of ASCII letters or at a blank, which leaves most places of a text at once.
+ANY = r"(?<![A-Za-z])(?=\S)(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
 #: Put before and after each entity of a text; texts that hold it are cut in another way.
 MARK = "\ufdd0"
 HEX, DIGITS = "0123456789abcdef", "abcdef"
