@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
+from .functions import text as X
+from .operators import contracts as contract
+from .operators import impact, risks, search, traverse
 from .operators import resolve as R
-from .operators import search, traverse
-from .sources import code
+from .sources import code, readers
 
-PARTS = ("files", "nodes", "refs", "edges", "boundaries", "usage_sites", "coverage", "meta")
+PARTS = ("services", "files", "nodes", "refs", "edges", "boundaries", "usage_sites", "coverage", "meta")
 
 
 @dataclass
@@ -41,14 +43,86 @@ def build_digest(**tables: DataFrame) -> str:
     return out.hexdigest()
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+def _write(df: DataFrame, path: str, stamp: bool = False) -> DataFrame:
+    (df.withColumn("at", F.unix_micros(F.current_timestamp())).coalesce(1) if stamp else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Folders that name the version of a graph; the latest counts.
+POINTER = "current"
+NODE = ("id", "kind", "name", "qualified_name", "dotted", "signature", "docstring", "flags", "parent_id", "file_path", "lang", "type_ref", "position", "start_line", "end_line", "start_byte", "end_byte")
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the version that counts, of a graph or of a version itself."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(jpath)]
+    done = [f"{path}/{n}" for n in names if n.startswith(POINTER + "-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    if not done:
+        return path
+    return f"{path}/" + spark.read.parquet(*done).orderBy(F.desc("at"), "version").first().version
+
+
+def merge_nodes(nodes: DataFrame) -> DataFrame:
+    """One row per id: flags united, of every other column the smallest value that is there."""
+    return nodes.groupBy("id").agg(*[(F.bit_or(c) if c == "flags" else F.min(c)).alias(c) for c in nodes.columns if c != "id"])
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with the rows of ``new``: a new value wins where there is one, flags unite."""
+    both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)), allowMissingColumns=True)
+    latest = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("_age"), F.col(c).alias("v"))))["v"]
+    return both.groupBy("id").agg(*[(F.bit_or(c) if c == "flags" else latest(c)).alias(c) for c in both.columns if c not in ("id", "_age")])
+
+
+def purge_file(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without those of a file, and without edges that touch its nodes."""
+    gone = nodes.where(F.col("file_path") == path).select("id")
+    e = edges.where(F.coalesce(F.col("file_path") != path, F.lit(True)))
+    e = e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return nodes.where(F.coalesce(F.col("file_path") != path, F.lit(True))), e.select(*edges.columns)
+
+
+#: Searched columns and their weights, and the kinds that an exploration shows, best first.
+SEARCHED = {"name": 10.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
+KIND_RANK = ("class", "interface", "function", "method", "constructor", "property", "module", "contract")
+#: What no payload may hold, at any depth.
+FORBIDDEN = ("content", "source", "text", "context_line", "context_before", "context_after")
+
+
+def payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """JSON lines of a graph without any source text; a column that may hold some is refused."""
+    for df in (nodes, edges):
+        if bad := sorted(set(FORBIDDEN) & {f.lower() for f in df.columns}):
+            raise ValueError(f"columns with source text: {', '.join(bad)}")
+    n = nodes.withColumn("flags", X.flag_names(F.col("flags"))) if "flags" in nodes.columns else nodes
+    row = lambda df, kind: df.select(F.lit(kind).alias("type"), F.to_json(F.struct(*sorted(df.columns))).alias("row"))
+    return row(n, "node").union(row(edges, "edge"))
+
+
+def _data_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """PARAM_BINDS and RETURNS of resolved calls."""
+    calls = refs.where("kind = 'call' and dst is not null").withColumn("call", F.concat_ws(":", "file_path", "start_byte", "end_byte", "ref_text"))
+    hit = calls.select("call", F.col("dst").alias("callee"), "file_path", "start_byte", "end_byte")
+    args = calls.select("call", "from_node", "file_path", F.col("start_line").alias("line"), F.explode("args").alias("a")).where("a.name is null")
+    values = nodes.where("kind in ('parameter', 'variable')").groupBy(F.col("parent_id").alias("from_node"), F.col("name").alias("said")).agg(F.min("id").alias("value"), F.count("*").alias("k")).where("k = 1")
+    args = args.withColumn("said", F.col("a.text")).join(values, ["from_node", "said"], "left")
+    args = args.select("call", F.col("a.index").alias("position"), F.coalesce("value", "from_node").alias("src"), "file_path", "line")
+    params = nodes.where("kind = 'parameter'").select("id", "parent_id", "name", "position")
+    # a call of a type binds the parameters of its constructor
+    made = nodes.where("kind = 'constructor'").select(F.col("parent_id").alias("callee"), F.col("id").alias("init"))
+    bind = hit.select("call", "callee").join(made, "callee", "left").select("call", F.coalesce("init", "callee").alias("callee"))
+    writes = refs.where("kind = 'write' and dst is not null").select(F.col("dst").alias("value"), "file_path", "start_byte", "end_byte")
+    out = R.param_binds(bind, args, params).unionByName(R.returns(hit, writes), allowMissingColumns=True)
+    out = out.where("src <> dst").withColumns({"resolution": F.lit("inferred"), "evidence_tier": F.lit("heuristic")})
+    return out.withColumn("evidence_label", F.lower("kind"))
+
+
 class LineageGraph:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.root = spark, path
+        self.path = path = current(spark, path)
         meta = spark.read.parquet(f"{path}/meta").first()
         if meta is None or meta.schema_version != S.SCHEMA_VERSION:
             raise S.SchemaMismatch(f"{path} holds schema {meta and meta.schema_version}, not {S.SCHEMA_VERSION}")
@@ -58,33 +132,47 @@ class LineageGraph:
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, out: str, service: str = "root") -> LineageGraph:
-        """Read a tree into ``out``: all or nothing, by a folder that is renamed when the last table is written."""
-        tmp = f"{out.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-        ledger = code.files(spark, root, service)
-        raw = _write(code.extract(ledger), f"{tmp}/raw")
+        """Read a tree into ``out``: all or nothing, since the version that counts is named when its last table is written."""
+        tmp = f"{out.rstrip('/')}/v-{uuid.uuid4().hex}"
+        # written first, so that files that change meanwhile cannot give a ledger and symbols of different states
+        ledger = _write(code.files(spark, root, service), f"{tmp}/ledger")
+        found = readers.services(ledger)
+        found = _write(found, f"{tmp}/services")
+        ledger = readers.locate(ledger, found)
+        raw = _write(code.extract(ledger.withColumn("service_id", F.lit(service))), f"{tmp}/raw")
         broken = raw.where("rec = 'boundary'")
         status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("bad"), "error").otherwise("ok")
         files = ledger.drop("content").join(broken.select(F.col("file_path").alias("path"), F.lit(True).alias("bad")), "path", "left")
-        _write(files.withColumn("parse_status", status).drop("bad"), f"{tmp}/files")
-        nodes = raw.where("rec = 'node'").groupBy("id").agg(*[(F.bit_or(c) if c == "flags" else F.min(c)).alias(c) for c in ("kind", "name", "qualified_name", "dotted", "signature", "docstring", "flags", "parent_id", "file_path", "start_line", "end_line")])
-        nodes = _write(nodes, f"{tmp}/nodes")
-        refs = raw.where("rec = 'ref'").select("file_path", "from_node", "kind", "name", "ref_text", "target", "scopes", "start_line", "end_line")
-        refs = _write(R.resolve(refs, nodes), f"{tmp}/refs")
-        edges = _write(R.edges_of(refs, nodes), f"{tmp}/edges")
+        files = _write(files.withColumn("parse_status", status).drop("bad"), f"{tmp}/files")
+        nodes = merge_nodes(raw.where("rec = 'node'").select(*NODE))
+        nodes = nodes.join(files.select(F.col("path").alias("file_path"), "service_id"), "file_path", "left")
+        refs = raw.where("rec = 'ref'").select("file_path", "from_node", "kind", "name", "ref_text", "target", "receiver", "lang", "start_line", "end_line", "start_byte", "end_byte", "args")
+        refs = _write(refs, f"{tmp}/observed")
+        contracts, contract_edges, loose = contract.detect(refs.withColumnRenamed("name", "ref_name"), contract.adapters(spark))
+        held = _write(contracts, f"{tmp}/contracts")
+        nodes = nodes.unionByName(held.select("id", "kind", "name", "qualified_name", "lang", "file_path", "start_line", "end_line", F.lit(0).alias("flags")), allowMissingColumns=True)
+        contract_edges = _write(contract_edges, f"{tmp}/contract_edges")
+        nodes = _write(contract.entry_flags(nodes, contract_edges), f"{tmp}/nodes")
+        refs = _write(R.resolve(refs, nodes.where("kind <> 'contract'")), f"{tmp}/refs")
+        edges = R.edges_of(refs, nodes).unionByName(contract_edges, allowMissingColumns=True).unionByName(_data_edges(refs, nodes), allowMissingColumns=True)
+        edges = edges.groupBy("src", "dst", "kind", "line", "start_byte").agg(*[F.min(c).alias(c) for c in ("file_path", "resolution", "evidence_tier", "evidence_label")])
+        edges = _write(edges, f"{tmp}/edges")
         ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
         if not ends.join(nodes, "id", "left_anti").isEmpty():
             raise ValueError("an edge ends at no node")
-        _write(broken.select("file_path", "kind", F.col("name").alias("detail"), F.col("start_line").alias("line")), f"{tmp}/boundaries")
+        stops = broken.select(F.lit(None).cast("string").alias("node_id"), "file_path", "kind", F.col("name").alias("detail"), F.col("start_line").alias("line"))
+        stops = stops.unionByName(loose, allowMissingColumns=True).unionByName(R.boundaries_of(refs), allowMissingColumns=True)
+        _write(stops, f"{tmp}/boundaries")
         _write(raw.where("rec = 'usage'").select(F.col("name").alias("symbol_name"), F.col("kind").alias("usage_type"), "file_path", "start_line", F.col("from_node").alias("calling_symbol_id")), f"{tmp}/usage_sites")
         _write(R.coverage(refs), f"{tmp}/coverage")
-        digest = build_digest(nodes=nodes, edges=edges, refs=refs)
+        digest = build_digest(nodes=nodes, edges=edges, refs=refs, boundaries=stops)
         _write(spark.createDataFrame([(S.SCHEMA_VERSION, digest)], "schema_version int, build_digest string"), f"{tmp}/meta")
         path = spark._jvm.org.apache.hadoop.fs.Path
         fs = path(tmp).getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(path(f"{tmp}/raw"), True)
-        fs.delete(path(out), True)
-        if not fs.rename(path(tmp), path(out)):
-            raise OSError(f"{tmp} could not be renamed to {out}")
+        for part in ("raw", "ledger", "observed", "contracts", "contract_edges"):
+            fs.delete(path(f"{tmp}/{part}"), True)
+        # one small file names the version that counts; a reader sees the old graph or the new one
+        _write(spark.createDataFrame([(tmp.rsplit("/", 1)[-1],)], "version string"), f"{out.rstrip('/')}/{POINTER}-{uuid.uuid4().hex}", stamp=True)
         return cls(spark, out)
 
     def node(self, symbol: str) -> str:
@@ -112,12 +200,77 @@ class LineageGraph:
     def impact_of(self, symbol: str, depth: int = 6, limit: int = 200) -> Answer:
         return self._walk(symbol, "backward", S.DEPENDENT, depth, limit)
 
+    def impact_of_line(self, path: str, line: int, depth: int = 8, limit: int = 200) -> Answer:
+        """What depends on the symbol behind a line; ``notes`` holds the kind of change."""
+        one = self.spark.createDataFrame([(path, line)], "path string, line int")
+        hit = impact.retarget(one, self.nodes, self.edges).first()
+        if hit is None or hit.target is None:
+            raise KeyError(f"{path}:{line}: no symbol")
+        out = self._walk(hit.target, "backward", S.DEPENDENT, depth, limit)
+        out.notes = [hit.change]
+        return out
+
+    def impact_of_diff(self, diff: str) -> DataFrame:
+        """Added lines of a unified diff with their kind of change and the symbol they touch."""
+        d = impact.diff_lines(self.spark.createDataFrame([(0, diff)], "id int, diff string"), "id", "diff")
+        return impact.retarget(d.select("path", "line"), self.nodes, self.edges)
+
+    def map_stacktrace(self, trace: str) -> DataFrame:
+        return impact.map_stacktrace(self.spark.createDataFrame([(0, trace)], "id int, trace string"), "id", "trace", self.files, self.nodes).drop("id").orderBy("at", "file")
+
+    def dataflow_of(self, symbol: str, direction: str = "downstream", depth: int = 8, limit: int = 200) -> Answer:
+        if direction not in ("upstream", "downstream"):
+            raise ValueError(f"direction must be upstream or downstream, not {direction!r}")
+        return self._walk(symbol, "backward" if direction == "upstream" else "forward", S.DATA_FLOW, depth, limit)
+
+    def explain(self, a: str, b: str) -> DataFrame:
+        return self.edges.where((F.col("src") == self.node(a)) & (F.col("dst") == self.node(b))).orderBy("kind", "line")
+
+    def trace_flow(self, symbol: str, depth: int = 6, budget: int = 60) -> list[dict]:
+        return traverse.trace_flow(self.edges, self.node(symbol), ("CALLS", "INSTANTIATES"), depth, budget)
+
+    def contract_map(self) -> DataFrame:
+        """Every contract with its exposers and consumers, and whether one side is missing."""
+        k = self.nodes.where("kind = 'contract'").select(F.col("id").alias("contract"), "name")
+        e = self.edges.where(F.col("kind").isin(*S.CONTRACT)).select(F.col("dst").alias("contract"), "src", F.col("kind").alias("role"))
+        side = lambda r: F.countDistinct(F.when(F.col("role") == r, F.col("src")))
+        out = k.join(e, "contract", "left").groupBy("contract", "name").agg(side("EXPOSES").alias("exposers"), side("CONSUMES").alias("consumers"))
+        return out.withColumns({"dangling": F.expr("consumers > 0 and exposers = 0"), "unconsumed": F.expr("exposers > 0 and consumers = 0")}).orderBy("name")
+
+    def entry_points(self) -> DataFrame:
+        e = self.edges.where("kind = 'EXPOSES'").select(F.col("src").alias("id"), F.col("dst").alias("contract")).distinct()
+        return self.nodes.join(e, "id").select("id", "name", "kind", "contract").orderBy("id", "contract")
+
+    def risks(self, markers: tuple[str, ...] = (), rows: tuple = risks.BLOCKING, limit: int = 200) -> Answer:
+        calls = self.edges.where("kind = 'CALLS'").select("src", "dst", "evidence_tier")
+        outside = self.refs.where("kind = 'call' and status = 'external'").select(F.col("from_node").alias("src"), F.coalesce("target", "ref_text").alias("target")).distinct()
+        entry = self.nodes.where(F.col("flags").bitwiseAND(F.lit(256)) != 0).select("id")
+        named = self.nodes.select("id", F.coalesce("dotted", "qualified_name").alias("qualified_name"), "lang")
+        found = risks.find(risks.async_frames(self.nodes, self.refs, markers), calls, outside, named, risks.rules(self.spark, rows), entry)
+        total = found.count()
+        return Answer(found.orderBy(F.desc("severity"), "distance", "at", "target").limit(limit), total, total > limit)
+
+    def coverage_report(self) -> DataFrame:
+        """Files with their counters; skipped ones too, with the reason."""
+        return self.files.select("path", "lang", "parse_status", "skip_reason").join(self.coverage.withColumnRenamed("file_path", "path"), "path", "left").orderBy("path")
+
+    def explore(self, question: str, most: int = 8) -> DataFrame:
+        """The best symbols for a question: by terms covered, kind and rank, each with its direct callers."""
+        ix = search.index(self.nodes.where("kind <> 'parameter'"), "id", SEARCHED)
+        hits = search.ranked(ix, question, "or").join(self.nodes.select("id", "kind", "name", "qualified_name"), "id")
+        rank = F.coalesce(F.array_position(F.array(*map(F.lit, KIND_RANK)), F.col("kind")), F.lit(0))
+        hits = hits.where(rank > 0).orderBy(F.desc("hits"), rank, "score", "id").limit(most)
+        near = self.edges.where("kind in ('CALLS', 'INSTANTIATES')").select(F.col("dst").alias("id"), "src").distinct()
+        called = hits.select("id").join(near, "id").groupBy("id").agg(F.count("*").alias("callers"))
+        return hits.join(called, "id", "left").select("id", "kind", "name", "qualified_name", "hits", "score", F.coalesce("callers", F.lit(0)).alias("callers")).orderBy(F.desc("hits"), rank, "score", "id")
+
     def find_paths(self, start: str, goal: str, depth: int = 6, paths: int = 6) -> DataFrame:
         return traverse.find_paths(self.edges, self.node(start), self.node(goal), S.CALL_CHAIN, depth, paths)
 
-    def search(self, *terms: str, mode: str = "and", limit: int = 20) -> DataFrame:
-        docs = self.nodes.where("kind <> 'parameter'").select("id", F.concat_ws(" ", "name", "qualified_name", "docstring", "signature").alias("text"))
-        hits = search.bm25(docs, "id", "text", [t.lower() for t in terms], mode)
+    def search(self, *terms: str, mode: str | None = None, limit: int = 20) -> DataFrame:
+        """Symbols by weighted columns: rows with all terms, or with any where none has all."""
+        ix = search.index(self.nodes.where("kind <> 'parameter'"), "id", SEARCHED)
+        hits = search.ranked(ix, " ".join(terms), mode)
         return hits.join(self.nodes.select("id", "kind", "name", "qualified_name"), "id").orderBy("score", "id").limit(limit)
 
     def find_usage(self, name: str, kind: str | None = None, limit: int = 200) -> DataFrame:

@@ -1,63 +1,219 @@
 """References to edges, without ever picking arbitrarily.
 
-Rungs, first hit wins: a member of the nearest enclosing scope, the imported name, then the only symbol of
-that name.  Several symbols on the winning rung give no edge but an ``ambiguous`` row.  Candidates of a name
-are counted before the join, so a name that thousands of symbols share costs one row.
+Six rungs, the first that holds a candidate wins: a member of the receiver's own type (``self``), the lexical scopes
+from inside out, members of the declared or constructed type of a receiver, imported names, a precise index (SCIP),
+and the only symbol of that name in the same language.  Within a rung the nearest level wins.  Inheritance is
+resolved first, since scopes and members look through the bases of a class.  Several symbols on the winning level
+give no edge but an ``ambiguous`` row.  Candidates of a name are counted before the join and at most ``KEPT`` ids are
+kept for the report, so a name that thousands of symbols share costs one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .traverse import settle
+
 #: Edge kinds by reference kind: fixed values.
-EDGE_OF = {"call": "CALLS", "import": "IMPORTS", "inherit": "INHERITS", "decorate": "DECORATES", "type": "HAS_TYPE", "throw": "THROWS", "read": "READS", "write": "WRITES"}
+EDGE_OF = {"call": "CALLS", "import": "IMPORTS", "inherit": "INHERITS", "implement": "IMPLEMENTS", "decorate": "DECORATES", "type": "HAS_TYPE", "instantiate": "INSTANTIATES", "throw": "THROWS", "read": "READS", "write": "WRITES"}
+_TYPES = ("class", "interface", "enum", "struct", "trait", "type_alias")
+_VALUES = ("property", "field", "parameter", "variable", "constant", "enum_member")
+#: Kinds that a reference may mean; where none of its candidates is of these, all count.
 SYMBOL_FOR = {
-    "call": ("function", "method", "constructor", "class", "property"), "decorate": ("function", "method", "class"), "inherit": ("class",), "type": ("class",), "throw": ("class",),
-    "read": ("property", "field", "parameter", "variable", "constant"), "write": ("property", "field", "parameter", "variable", "constant"),
-    "import": ("module", "class", "function", "variable", "constant"),
+    "call": ("function", "method", "constructor", "property", *_TYPES), "decorate": ("function", "method", "annotation", *_TYPES), "inherit": _TYPES, "implement": _TYPES, "type": _TYPES,
+    "throw": _TYPES, "instantiate": _TYPES, "read": _VALUES, "write": _VALUES, "import": ("module", "package", "function", *_TYPES, *_VALUES),
 }
+#: Candidate ids that a report holds at most, and up to how many of them a boundary is noted.
+KEPT, NOTED = 16, 8
+FIRST = ("inherit", "implement", "import")
+RUNGS = ("self_receiver", "lexical", "declared_receiver_type", "import", "precise_index", "project_wide_name")
 
 
-def _candidates(nodes: DataFrame, *keys: str) -> DataFrame:
-    """One row per key and reference kind: how many symbols may be meant, the smallest and largest id."""
-    allowed = F.create_map(*[x for k in sorted({k for v in SYMBOL_FOR.values() for k in v}) for x in (F.lit(k), F.array(*[F.lit(r) for r, v in SYMBOL_FOR.items() if k in v]))])
-    n = nodes.select(*keys, "id", "kind", F.explode(F.try_element_at(allowed, F.col("kind"))).alias("ref_kind"))
-    return n.groupBy(*keys, "ref_kind").agg(F.countDistinct("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("kind").alias("dst_kind"))
+def _allowed() -> Column:
+    return F.create_map(*[x for k in sorted(SYMBOL_FOR) for x in (F.lit(k), F.array(*map(F.lit, SYMBOL_FOR[k])))])
 
 
-def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``refs`` with ``status`` (exact, inferred, ambiguous, external), ``dst``, ``dst_kind``, ``candidates``, ``n_candidates``."""
-    r = refs.withColumn("ref", F.xxhash64("file_path", "from_node", "kind", "ref_text", "start_line", "end_line")).dropDuplicates(["ref"])
-    hit = lambda level: F.struct(F.lit(level).alias("level"), F.col("depth"), F.col("n"), F.col("lo"), F.col("hi"), F.col("dst_kind"))
-    members = _candidates(nodes.where("parent_id is not null"), "parent_id", "name").withColumnRenamed("ref_kind", "kind")
-    scoped = r.select("ref", "kind", "name", F.posexplode("scopes").alias("depth", "parent_id")).join(members, ["parent_id", "name", "kind"]).select("ref", hit(0).alias("hit"))
-    named = _candidates(nodes, "dotted").withColumnRenamed("ref_kind", "kind").withColumnRenamed("dotted", "target")
-    imported = r.where("target is not null").select("ref", "kind", "target", F.lit(0).alias("depth")).join(named, ["target", "kind"]).select("ref", hit(1).alias("hit"))
-    # a plain read of a name that no scope holds is a builtin or a local, never a field elsewhere
-    bare = r.where("target is null and (kind not in ('read', 'write') or ref_text like '%.%')")
-    anywhere = _candidates(nodes, "name").withColumnRenamed("ref_kind", "kind")
-    unique = bare.select("ref", "kind", "name", F.lit(0).alias("depth")).join(anywhere, ["name", "kind"]).select("ref", hit(2).alias("hit"))
-    best = scoped.union(imported).union(unique).groupBy("ref").agg(F.min("hit").alias("hit"))
-    one = F.col("hit.n") == 1
-    status = F.when(F.col("hit").isNull(), "external").when(~one, "ambiguous").when(F.col("hit.level") < 2, "exact").otherwise("inferred")
-    return r.join(best, "ref", "left").select(
-        *refs.columns, status.alias("status"), F.when(one, F.col("hit.lo")).alias("dst"), F.when(one, F.col("hit.dst_kind")).alias("dst_kind"),
-        F.when(F.col("hit.n") > 1, F.array("hit.lo", "hit.hi")).alias("candidates"), F.coalesce("hit.n", F.lit(0)).alias("n_candidates"),
+def _held(nodes: DataFrame, *keys: str) -> DataFrame:
+    """One row per key and symbol kind: how many symbols, and the smallest ``KEPT`` ids of them."""
+    w = W.partitionBy(*keys, "kind").orderBy("id")
+    n = nodes.select(*keys, "kind", "id").distinct().withColumn("nth", F.row_number().over(w))
+    return n.groupBy(*keys, F.col("kind").alias("dst_kind")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= KEPT, F.col("id")))).alias("ids"))
+
+
+def ancestors(nodes: DataFrame, depth: int = 16) -> DataFrame:
+    """Containers of every symbol, itself first: ``(id, scope, depth)``; a cycle of containers ends at ``depth``."""
+    up = nodes.select(F.col("id").alias("scope"), "parent_id").distinct()
+    level = nodes.select("id", F.col("id").alias("scope"), F.lit(0).alias("depth"))
+    out = level
+    for k in range(1, depth + 1):
+        level = settle(level.join(up, "scope").where("parent_id is not null").select("id", F.col("parent_id").alias("scope"), F.lit(k).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out
+
+
+def bases(inherits: DataFrame, depth: int = 16) -> DataFrame:
+    """All bases of every type, nearest first: ``(id, base, up)``; cycles end where a base was seen before."""
+    seen = level = settle(inherits.select(F.col("src").alias("id"), F.col("dst").alias("base"), F.lit(1).alias("up")).where("id <> base").distinct())
+    step = level.select(F.col("id").alias("base"), F.col("base").alias("next"))
+    for k in range(2, depth + 1):
+        level = level.join(step, "base").select("id", F.col("next").alias("base")).where("id <> base").distinct().join(seen, ["id", "base"], "left_anti")
+        level = settle(level.select("id", "base", F.lit(k).alias("up")))
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
+    return seen
+
+
+def _best(hits: DataFrame) -> DataFrame:
+    """Per reference the candidates of the first rung and nearest level; those of a fitting kind, or else all of them."""
+    first = hits.groupBy("ref").agg(F.min(F.struct("rung", "level")).alias("first"))
+    h = hits.join(first, "ref").where((F.col("rung") == F.col("first.rung")) & (F.col("level") == F.col("first.level")))
+    fit = F.array_contains(F.try_element_at(_allowed(), F.col("kind")), F.col("dst_kind"))
+    h = h.groupBy("ref", "rung", "kind", "dst_kind").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("fit", F.coalesce(fit, F.lit(False)))
+    some = h.groupBy("ref").agg(F.max("fit").alias("some"))
+    h = h.join(some, "ref").where("fit or not some")
+    return h.groupBy("ref").agg(F.min("rung").alias("rung"), F.sum(F.greatest("n", F.size("ids"))).alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, KEPT).alias("ids"), F.min("dst_kind").alias("dst_kind"))
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, precise: DataFrame | None = None) -> DataFrame:
+    """``refs`` with ``status`` (exact, inferred, ambiguous, external), ``step``, ``dst``, ``dst_kind``, ``candidates``, ``n_candidates``, ``reason``.
+
+    ``refs`` needs ``from_node, kind, name, ref_text, file_path, start_line, end_line``; ``target`` (imported name), ``receiver``,
+    ``start_byte``, ``end_byte`` and ``lang`` may be missing.  ``nodes`` needs ``id, kind, name, parent_id``; ``dotted, lang, type_ref`` may be
+    missing.  ``precise(file_path, start_line, name, dst)`` are answers of a precise index; a null ``dst`` says external.
+    """
+    have = lambda df, *names: df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in names if c not in df.columns])
+    nodes = have(nodes, ("dotted", "string"), ("lang", "string"), ("type_ref", "string"))
+    r = have(refs, ("target", "string"), ("receiver", "string"), ("start_byte", "int"), ("end_byte", "int"), ("lang", "string"))
+    at = ["file_path", "from_node", "kind", "ref_text", "start_line", "end_line", "start_byte", "end_byte"]
+    r = r.groupBy(*at).agg(*[F.min(c).alias(c) for c in r.columns if c not in at])
+    r = settle(r.withColumn("ref", F.sha2(F.to_json(F.struct(*at), {"ignoreNullFields": "false"}), 256)))
+    scopes = settle(ancestors(nodes.select("id", "parent_id").distinct()))
+    first = r.where(F.col("kind").isin(*FIRST))
+    done = settle(_pass(first, nodes, scopes, None, precise))
+    inherits = first.where("kind in ('inherit', 'implement')").join(done.where("n = 1"), "ref").select(F.col("from_node").alias("src"), F.col("ids")[0].alias("dst"))
+    own = settle(bases(inherits))
+    rest = settle(_pass(r.where(~F.col("kind").isin(*FIRST)), nodes, scopes, own, precise))
+    # a base that is a member of another base is found once the first bases are known
+    again = settle(_pass(first.join(done, "ref", "left_anti"), nodes, scopes, own, precise))
+    best = done.union(rest).union(again)
+    one = F.col("n") == 1
+    rung = F.col("rung")
+    status = F.when(rung.isNull() | (F.size("ids") == 0), "external").when(~one, "ambiguous").when(rung.isin(0, 1, 2, 4), "exact").otherwise("inferred")
+    step = F.get(F.array(*map(F.lit, RUNGS)), rung)
+    out = r.join(best, "ref", "left").withColumn("status", status)
+    return out.select(
+        *refs.columns, "status", F.when(F.col("status") != "external", step).alias("step"), F.when(one, F.get("ids", F.lit(0))).alias("dst"), F.when(one, F.col("dst_kind")).alias("dst_kind"),
+        F.when(F.col("status") == "ambiguous", F.col("ids")).alias("candidates"), F.when(F.col("status") == "external", 0).otherwise(F.col("n")).cast("int").alias("n_candidates"),
+        F.when(F.col("status") == "ambiguous", F.concat(F.col("n").cast("string"), F.lit(" candidates"))).when(F.col("status") == "external", "no symbol of this project").alias("reason"),
     )
 
 
+def _pass(r: DataFrame, nodes: DataFrame, scopes: DataFrame, own: DataFrame | None, precise: DataFrame | None) -> DataFrame:
+    """Rows ``(ref, rung, n, ids, dst_kind)`` of the references that any rung answers."""
+    hit = lambda df, rung, level: df.select("ref", F.lit(rung).alias("rung"), level.cast("int").alias("level"), "kind", "n", "ids", "dst_kind")
+    members = _held(nodes.where("parent_id is not null and name is not null"), "parent_id", "name").withColumnRenamed("parent_id", "holder")
+    types = nodes.where(F.col("kind").isin(*_TYPES)).select("id").distinct()
+    selfish = F.coalesce(F.col("receiver").isin("self", "this", "cls"), F.lit(False))
+    plain = F.col("receiver").isNull()
+
+    def through_bases(held: DataFrame) -> DataFrame:
+        """Rows (.., holder, level) with the bases of each holder behind it."""
+        held = held.withColumn("up", F.lit(0))
+        if own is None:
+            return held
+        more = held.drop("up").join(own.withColumnRenamed("id", "holder"), "holder").drop("holder").withColumnRenamed("base", "holder")
+        return held.unionByName(more)
+
+    scoped = scopes.select(F.col("id").alias("from_node"), F.col("scope").alias("holder"), "depth")
+    cols = ["ref", "kind", "name", "holder", "depth"]
+    enclosing = r.where(selfish).join(scoped, "from_node").join(types.withColumnRenamed("id", "holder"), "holder")
+    nearest = enclosing.groupBy("ref", "kind", "name").agg(F.min_by("holder", "depth").alias("holder"), F.min("depth").alias("depth"))
+    a = hit(through_bases(nearest.select(*cols)).join(members, ["holder", "name"]), 0, F.col("up"))
+    # a name sees the containers around it, and a type among them sees its bases
+    around = r.where(plain).join(scoped, "from_node").select(*cols)
+    b = hit(through_bases(around).join(members, ["holder", "name"]), 1, F.col("depth") * 32 + F.col("up"))
+    # receivers with a declared or constructed type: the type by its name, then its members
+    hint = nodes.where("type_ref is not null").select(F.col("parent_id").alias("holder"), F.col("name").alias("receiver"), F.regexp_extract("type_ref", r"([\w$]+)\W*$", 1).alias("type_name")).distinct()
+    held = r.where(~plain & ~selfish).withColumn("receiver", F.regexp_replace("receiver", r"^(self|this|cls)\.", "")).join(scoped, "from_node").join(hint, ["holder", "receiver"])
+    held = held.groupBy("ref", "kind", "name", "lang").agg(F.min_by("type_name", "depth").alias("type_name"))
+    named = nodes.where(F.col("kind").isin(*_TYPES)).groupBy(F.col("name").alias("type_name"), F.col("lang").alias("type_lang")).agg(F.min("id").alias("holder"), F.countDistinct("id").alias("k")).where("k = 1")
+    held = held.join(named, "type_name").where(F.coalesce(F.col("lang") == F.col("type_lang"), F.lit(True))).select("ref", "kind", "name", "holder", F.lit(0).alias("depth"))
+    c = hit(through_bases(held).join(members, ["holder", "name"]), 2, F.col("up"))
+    dotted = _held(nodes.where("dotted is not null"), "dotted").withColumnRenamed("dotted", "target")
+    d = hit(r.where("target is not null").select("ref", "kind", "target").join(dotted, "target"), 3, F.lit(0))
+    found = [a, b, c, d]
+    if precise is not None:
+        p = precise.join(nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")).distinct(), "dst", "left")
+        p = p.groupBy("file_path", "start_line", "name").agg(F.count("dst").alias("n"), F.slice(F.array_sort(F.collect_set("dst")), 1, KEPT).alias("ids"), F.min("dst_kind").alias("dst_kind"))
+        found.append(hit(r.join(p, ["file_path", "start_line", "name"]), 4, F.lit(0)))
+    # a plain read of a name that no scope holds is a builtin or a local, never a field elsewhere
+    bare = r.where("target is null and (kind not in ('read', 'write') or receiver is not null)").select("ref", "kind", "name", F.coalesce("lang", F.lit("")).alias("lang"))
+    anywhere = _held(nodes.where("name is not null and kind <> 'parameter'").withColumn("lang", F.coalesce("lang", F.lit(""))), "name", "lang")
+    # each kind of symbol counts for itself here: a name is looked up among those a reference may mean
+    e = bare.join(anywhere, ["name", "lang"]).where(F.array_contains(F.try_element_at(_allowed(), F.col("kind")), F.col("dst_kind")))
+    found.append(hit(e, 5, F.lit(0)))
+    return _best(reduce(DataFrame.unionByName, found)).select("ref", "rung", "n", "ids", "dst_kind")
+
+
+def evidence(df: DataFrame) -> DataFrame:
+    """Evidence of resolved references: a fact on the exact rungs, heuristic on the others, with the rung as label."""
+    return df.withColumns({"evidence_tier": F.when(F.col("status") == "exact", "fact").otherwise("heuristic"), "evidence_label": F.col("step")})
+
+
+def edge_kind(kind: Column, dst_kind: Column) -> Column:
+    """Edge kind of a reference; a call of a type makes one, and a base that is an interface is implemented."""
+    out = F.try_element_at(F.create_map(*[F.lit(x) for kv in EDGE_OF.items() for x in kv]), kind)
+    return F.when((kind == "call") & dst_kind.isin(*_TYPES), "INSTANTIATES").when((kind == "inherit") & dst_kind.isin("interface", "trait"), "IMPLEMENTS").otherwise(out)
+
+
 def edges_of(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of resolved references and of containment, one row per identity (src, dst, kind, line)."""
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in EDGE_OF.items() for x in kv]), F.col("kind"))
-    kind = F.when((F.col("kind") == "call") & (F.col("dst_kind") == "class"), "INSTANTIATES").otherwise(kind)
-    found = resolved.where("dst is not null and dst <> from_node").select(F.col("from_node").alias("src"), "dst", kind.alias("kind"), "file_path", F.col("status").alias("resolution"), F.col("start_line").alias("line"))
-    held = nodes.select("parent_id", "id", "file_path", "start_line").where("parent_id is not null")
-    held = held.select(F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("kind"), "file_path", F.lit("exact").alias("resolution"), F.col("start_line").alias("line"))
-    return found.union(held).groupBy("src", "dst", "kind", "line").agg(F.min("file_path").alias("file_path"), F.min("resolution").alias("resolution"))
+    """Edges of resolved references and of containment, one row per identity (src, dst, kind, line, start_byte)."""
+    byte = F.col("start_byte") if "start_byte" in resolved.columns else F.lit(None).cast("int")
+    r = evidence(resolved).where("dst is not null and dst <> from_node")
+    found = r.select(F.col("from_node").alias("src"), "dst", edge_kind(F.col("kind"), F.col("dst_kind")).alias("kind"), "file_path", F.col("status").alias("resolution"), "evidence_tier", "evidence_label", F.col("start_line").alias("line"), byte.alias("start_byte")).where("kind is not null")
+    held = nodes.where("parent_id is not null").join(nodes.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    held = held.select(F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("kind"), "file_path", F.lit("exact").alias("resolution"), F.lit("fact").alias("evidence_tier"), F.lit("containment").alias("evidence_label"), F.col("start_line").alias("line"), F.lit(None).cast("int").alias("start_byte"))
+    return found.union(held).groupBy("src", "dst", "kind", "line", "start_byte").agg(*[F.min(c).alias(c) for c in ("file_path", "resolution", "evidence_tier", "evidence_label")])
+
+
+def param_binds(calls: DataFrame, args: DataFrame, params: DataFrame) -> DataFrame:
+    """PARAM_BINDS edges: the n-th positional argument of a call and the callee's n-th parameter, an inner join on ordinals.
+
+    ``calls(call, callee)``; ``args(call, position, src)``, where ``src`` is the value that the argument names or else the calling
+    symbol; ``params(id, parent_id, name, position)``, positions from 0.  A first parameter called self, cls or this takes none.
+    """
+    first = params.where("position = 0").groupBy("parent_id").agg(F.max(F.col("name").isin("self", "cls", "this")).alias("bound"))
+    p = params.join(first, "parent_id").where("not (bound and position = 0)").select(F.col("parent_id").alias("callee"), F.col("id").alias("dst"), (F.col("position") - F.col("bound").cast("int")).alias("position"))
+    out = args.join(calls, "call").join(p, ["callee", "position"])
+    return out.select("src", "dst", F.lit("PARAM_BINDS").alias("kind"), *[c for c in ("file_path", "line") if c in args.columns])
+
+
+def returns(calls: DataFrame, writes: DataFrame) -> DataFrame:
+    """RETURNS edges: from the callee to the value that the smallest assignment around the call writes.
+
+    ``calls(call, callee, file_path, start_byte, end_byte)``, ``writes(value, file_path, start_byte, end_byte)``.
+    """
+    w = writes.select("file_path", F.col("value").alias("dst"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
+    j = calls.join(w, "file_path").where("a <= start_byte and b >= end_byte")
+    j = j.groupBy("call", F.col("callee").alias("src"), "file_path").agg(F.min(F.struct(F.expr("b - a").alias("len"), F.col("a"), F.col("dst"))).alias("w"))
+    return j.select("src", F.col("w.dst").alias("dst"), F.lit("RETURNS").alias("kind"), "file_path")
+
+
+def boundaries_of(resolved: DataFrame) -> DataFrame:
+    """Where a walk stops for want of a decision: calls with several, but not too many, candidates."""
+    b = resolved.where(F.col("n_candidates").between(2, NOTED) & (F.col("status") == "ambiguous"))
+    return b.select(F.col("from_node").alias("node_id"), F.lit("dynamic_dispatch").alias("kind"), F.col("ref_text").alias("detail"), "candidates", F.col("start_line").alias("line"), "file_path")
 
 
 def coverage(resolved: DataFrame) -> DataFrame:
-    """Balanced counters per file: total = exact + inferred + unresolved."""
+    """Balanced counters per file (total = exact + inferred + unresolved), and whether data flow was read at all."""
     n = lambda *s: F.sum(F.col("status").isin(*s).cast("int"))
-    return resolved.groupBy("file_path").agg(F.count("*").alias("refs_total"), n("exact").alias("refs_exact"), n("inferred").alias("refs_inferred"), n("ambiguous", "external").alias("refs_unresolved"))
+    flow = F.when(F.max(F.col("kind").isin("read", "write")), "computed").otherwise("not_computed")
+    return resolved.groupBy("file_path").agg(F.count("*").alias("refs_total"), n("exact").alias("refs_exact"), n("inferred").alias("refs_inferred"), n("ambiguous", "external").alias("refs_unresolved"), flow.alias("dataflow_status"))

@@ -1,7 +1,14 @@
-"""Ranked text search: an inverted list of prefix matches with BM25 weights."""
+"""Ranked text search with BM25 weights: a one-pass form over one column, and an inverted list over weighted columns.
+
+``index`` is built once and stored: postings ``(term, id, field, positions)`` and one length per row.  A question reads only the
+postings of its terms; prefix terms are ranges of the sorted term column, which Parquet's statistics prune.
+"""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +38,78 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], mode: st
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     hits = sum(((F.col(f"f{i}") > 0).cast("int") for i in range(len(terms))), F.lit(0))
     return d.select(id_col, hits.alias("hits"), F.round(score, 6).alias("score")).where(F.col("hits") == len(terms) if mode == "and" else F.col("hits") > 0)
+
+
+@dataclass
+class Index:
+    """An inverted list: ``postings(term, id, field, at)``, ``rows(id, len)``, weights by field."""
+
+    postings: DataFrame
+    rows: DataFrame
+    weights: dict[str, float]
+
+    def write(self, path: str) -> Index:
+        """The list in files sorted by term, so that a question reads the few that hold its terms."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), self.weights)
+
+
+def index(docs: DataFrame, id_col: str, weights: dict[str, float]) -> Index:
+    """The inverted list of some columns; a null column holds no terms."""
+    t = {c: F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in weights}
+    rows = docs.select(F.col(id_col).alias("id"), sum((F.size(x) for x in t.values()), F.lit(0)).alias("len"))
+    place = lambda c: lambda w, i: F.struct(w.alias("term"), F.lit(c).alias("field"), i.alias("place"))
+    each = F.flatten(F.array(*[F.transform(x, place(c)) for c, x in t.items()]))
+    p = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("e")).groupBy("e.term", "id", "e.field")
+    return Index(p.agg(F.array_sort(F.collect_list("e.place")).alias("at")), rows, dict(weights))
+
+
+def parse(question: str) -> list[list[str]]:
+    """Phrases of a question: words between blanks and ``: - * ( ) ^ "``; signs inside a word make it a phrase of adjacent terms."""
+    words = re.split(r"[\s:\-*()^\"]+", question.lower())
+    return [p for p in ([x for x in re.split(r"[^a-z0-9]+", w) if x] for w in words) if p]
+
+
+def ranked(ix: Index, question: str, mode: str | None = None) -> DataFrame:
+    """Rows ``(id, hits, score)``, the lowest score best: rows with all phrases, or with any where none has all (``mode`` forces one).
+
+    The last term of a phrase is a prefix, the others are whole; the terms of a phrase stand side by side in one column.
+    """
+    spark = ix.rows.sparkSession
+    phrases = parse(question)
+    none = spark.createDataFrame([], "id " + ix.rows.schema["id"].dataType.simpleString() + ", hits int, score double")
+    if not phrases:
+        return none
+    weight = F.create_map(*[F.lit(x) for kv in ix.weights.items() for x in kv])
+    found, moved = None, lambda k: lambda x: x + k
+    for i, phrase in enumerate(phrases):
+        last = phrase[-1]
+        p = ix.postings.where((F.col("term") >= last) & (F.col("term") < last[:-1] + chr(ord(last[-1]) + 1)))
+        places = p.groupBy("id", "field").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+        for k, term in enumerate(reversed(phrase[:-1]), 1):
+            before = ix.postings.where(F.col("term") == term).select("id", "field", F.transform("at", moved(k)).alias("b"))
+            places = places.join(before, ["id", "field"]).select("id", "field", F.array_intersect("at", "b").alias("at")).where(F.size("at") > 0)
+        f = places.groupBy("id").agg(F.sum(F.size("at") * weight[F.col("field")]).alias("f")).withColumn("nth", F.lit(i))
+        found = f if found is None else found.union(f)
+    stats = ix.rows.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"))
+    df = found.groupBy("nth").agg(F.count("*").alias("n"))
+    idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    j = found.join(F.broadcast(df), "nth").join(ix.rows, "id").crossJoin(F.broadcast(stats))  # a row per phrase, one row
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    out = j.groupBy("id").agg(F.count("*").cast("int").alias("hits"), F.round(-F.sum(part), 6).alias("score"))
+    every = out.where(F.col("hits") == len(phrases))
+    if mode == "or" or (mode is None and len(phrases) > 1 and every.isEmpty()):
+        return out
+    return every
+
+
+#: Words that say nothing about code: fixed values.
+STOP = frozenset("a an and are as at by do does for from how in is it of on or the this to what when where which who why with".split())
+
+
+def suggestions(question: str, most: int = 5) -> list[str]:
+    """Other questions for one without answers: its words that say something, then pairs of neighbours."""
+    words = list(dict.fromkeys(w for w in re.findall(r"[A-Za-z_][\w.]*", question) if w.lower() not in STOP and len(w) > 2))
+    return (words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])[:most]

@@ -24,6 +24,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a frontier that are broadcast to the edges; longer ones are joined by shuffle.
+FEW = 20_000
+
+
+def chosen(edges: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
+    """The distinct edges of some kinds, written once, since every level of a walk reads them again."""
+    return settle((edges.where(F.col("kind").isin(*kinds)) if kinds else edges).select("src", "dst", "kind").distinct())
+
+
 def steps(edges: DataFrame, direction: str, kinds: tuple[str, ...] | None) -> DataFrame:
     """Edges as (at, next, kind, key) in walking direction; ``key`` orders edges as their identity does."""
     if direction not in ("forward", "backward"):
@@ -42,17 +51,20 @@ def walk(edges: DataFrame, starts: DataFrame, direction: str = "forward", kinds:
     ``signature`` the edge kinds.  Of several parents the one whose edge keys come first wins, which is
     discovery order.  Cycles end at nodes already seen by the same start.
     """
-    step = steps(edges, direction, kinds)
+    step = steps(chosen(edges, kinds), direction, kinds)
     s = starts.select(F.col("node").cast("string").alias("start")).distinct()
     front = s.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"), F.array("start").alias("path"), F.array().cast("array<string>").alias("signature"), F.array().cast("array<string>").alias("keys"))
     seen = front = settle(front)
+    n = front.count()
     for depth in range(1, max_depth + 1):
-        new = front.join(step.withColumnRenamed("kind", "k"), front["node"] == step["at"]).select(
+        near = F.broadcast(front) if n <= FEW else front
+        new = near.join(step.withColumnRenamed("kind", "k"), near["node"] == step["at"]).select(
             "start", F.col("next").alias("node"), F.struct(F.concat("keys", F.array("key")).alias("keys"), F.col("node").alias("parent"), F.col("k").alias("kind"), F.concat("path", F.array("next")).alias("path"), F.concat("signature", F.array("k")).alias("signature")).alias("x"),
         )
         new = new.groupBy("start", "node").agg(F.min("x").alias("x")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
         front = settle(new.select("start", "node", F.lit(depth).alias("depth"), "x.parent", "x.kind", "x.path", "x.signature", "x.keys"))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
         seen = seen.unionByName(front)
     return seen.drop("keys")
@@ -65,9 +77,10 @@ def find_paths(edges: DataFrame, start: str, goal: str, kinds: tuple[str, ...] |
     are pruned: only nodes that reach the goal within the depth left are extended.
     """
     spark = edges.sparkSession
+    edges = chosen(edges, kinds)
     step = steps(edges, "forward", kinds)
     reach = walk(edges, spark.createDataFrame([(goal,)], "node string"), "backward", kinds, max_depth).select(F.col("node").alias("next"), F.col("depth").alias("left"))
-    step = step.join(reach, "next").groupBy("at", "next", "left").agg(F.min(F.struct("key", "kind")).alias("e"))
+    step = settle(step.join(reach, "next").groupBy("at", "next", "left").agg(F.min(F.struct("key", "kind")).alias("e")))
     front = spark.createDataFrame([(start, [start], [], [])], "node string, path array<string>, signature array<string>, keys array<string>")
     done = None
     for depth in range(1, max_depth + 1):
@@ -93,7 +106,7 @@ def trace_flow(edges: DataFrame, start: str, kinds: tuple[str, ...], max_depth:
     them, for the node visited and the next ``AHEAD`` waiting ones, in the order of their keys and at most as
     many unseen callees as the budget can still use, so the walk is exact however broad the graph is.
     """
-    step = steps(edges, "forward", kinds).groupBy("at", "next").agg(F.min(F.struct("key", "kind")).alias("e"))
+    step = settle(steps(edges, "forward", kinds).groupBy("at", "next").agg(F.min(F.struct("key", "kind")).alias("e")))
     out_edges: dict[str, list] = {}
     out, seen, stack = [], set(), [(start, None, 0)]
 

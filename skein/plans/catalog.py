@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..operators import impact as I
+from ..operators import resolve as Z
+from ..operators import risks as K
 from ..operators import search as R
 from ..operators.traverse import find_paths as paths_between
 from ..operators.traverse import steps, trace_flow, walk
@@ -189,11 +192,14 @@ def paths_kind_signature(spark, d):
     return p.groupBy(F.array_join("signature", " ").alias("signature")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""! e2 AS (SELECT src, dst, src || '|' || dst || '|CALLS' AS k FROM edges WHERE kind = 'CALLS'),
+w(node, depth, keys, path) AS (SELECT 'c:7', 0, [''], ['c:7'] UNION ALL SELECT e.dst, w.depth + 1, list_append(w.keys, e.k), list_append(w.path, e.dst) FROM w JOIN e2 e ON e.src = w.node WHERE w.depth < 3 AND NOT list_contains(w.path, e.dst)),
+f AS (SELECT node, min(keys) AS keys FROM w GROUP BY node)
+SELECT row_number() OVER (ORDER BY f.keys) - 1 AS "order", w.depth, f.node FROM f JOIN w ON w.node = f.node AND w.keys = f.keys ORDER BY f.keys LIMIT 60""")
 def trace_flow_bounded(spark, d):
-    """Depth-first order has no SQL; tests hold it against a plain walk."""
+    """Depth-first pre-order; calls of this graph end before the depth does, so first visits are the smallest key paths."""
     rows = trace_flow(P.edges(spark, d), "c:7", S.CALL_CHAIN, 3, 60)
-    return spark.createDataFrame([(r["order"], r["depth"], r["node"], r["kind"], r["truncated"]) for r in rows], "`order` int, depth int, node string, kind string, truncated boolean")
+    return spark.createDataFrame([(r["order"], r["depth"], r["node"]) for r in rows], "`order` int, depth int, node string")
 
 
 _IMPACT = "! w(node, depth) AS (SELECT 's:1', 0 UNION SELECT e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.node AND e.kind = 'CALLS' WHERE w.depth < 6), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)"
@@ -211,19 +217,71 @@ def impact_symbol(spark, d):
 @query("""SELECT a.src AS exposer, count(DISTINCT b.src) AS consumers, count(DISTINCT CASE WHEN x.service_id <> y.service_id THEN b.src END) AS cross_service
 FROM edges a JOIN edges b ON a.dst = b.dst AND a.kind = 'EXPOSES' AND b.kind = 'CONSUMES' AND a.src <> b.src JOIN nodes x ON x.id = a.src JOIN nodes y ON y.id = b.src GROUP BY 1""")
 def contract_consumers(spark, d):
+    """Consumers of each exposer's contracts.  Consumers of a contract are met once each, split by service beforehand."""
     e, n = P.edges(spark, d), P.nodes(spark, d).select("id", "service_id")
-    a = e.where("kind = 'EXPOSES'").select(F.col("src").alias("exposer"), "dst").join(n.toDF("exposer", "sa"), "exposer")
-    b = e.where("kind = 'CONSUMES'").select(F.col("src").alias("consumer"), "dst").join(n.toDF("consumer", "sb"), "consumer")
-    j = a.join(b, "dst").where("exposer <> consumer")
-    return j.groupBy("exposer").agg(F.countDistinct("consumer").alias("consumers"), F.countDistinct(F.when(F.col("sa") != F.col("sb"), F.col("consumer"))).alias("cross_service"))
+    a = e.where("kind = 'EXPOSES'").select(F.col("src").alias("exposer"), "dst").distinct().join(n.toDF("exposer", "sa"), "exposer")
+    b = e.where("kind = 'CONSUMES'").select(F.col("src").alias("consumer"), "dst").distinct().join(n.toDF("consumer", "sb"), "consumer")
+    pairs = a.join(b, "dst").where("exposer <> consumer").groupBy("exposer", "sa", "consumer", "sb").agg(F.lit(1).alias("one"))
+    return pairs.groupBy("exposer").agg(F.count("*").alias("consumers"), F.sum((F.col("sa") != F.col("sb")).cast("int")).alias("cross_service"))
 
 
-@query("""SELECT l_orderkey AS file, l_linenumber AS line, CASE WHEN max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 THEN 'contract_key' WHEN max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 THEN 'signature' WHEN count(*) > 1 THEN 'declaration' ELSE 'body' END AS change FROM lineitem GROUP BY 1, 2""", graph=False)
+_PLACES = """! sp AS (SELECT 's' || l_suppkey || '@' || l_orderkey AS id, CASE l_suppkey % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'class' WHEN 2 THEN 'field' ELSE 'module' END AS kind, 'f' || l_orderkey AS file_path, min(l_linenumber) AS start_line, max(l_linenumber) AS end_line FROM lineitem GROUP BY l_suppkey, l_orderkey),
+le AS (SELECT DISTINCT 's' || l_suppkey || '@' || l_orderkey AS src, CASE WHEN l_returnflag = 'A' THEN 'EXPOSES' WHEN l_returnflag = 'R' THEN 'DECORATES' ELSE 'READS' END AS kind, 'f' || l_orderkey AS file_path, l_linenumber AS line FROM lineitem),
+q AS (SELECT DISTINCT file_path AS path, line FROM le),
+e AS (SELECT file_path AS path, line, bool_or(kind = 'EXPOSES') AS c, bool_or(kind = 'DECORATES') AS a FROM le GROUP BY 1, 2),
+k AS (SELECT file_path AS path, start_line AS line, bool_or(kind = 'method') AS m, bool_or(kind = 'class') AS t, bool_or(kind = 'field') AS v FROM sp GROUP BY 1, 2),
+ch AS (SELECT q.path, q.line, CASE WHEN c THEN 'contract_key' WHEN a THEN 'annotation' WHEN m THEN 'signature' WHEN t THEN 'type' WHEN v THEN 'declaration' ELSE 'body' END AS change FROM q LEFT JOIN e ON e.path = q.path AND e.line = q.line LEFT JOIN k ON k.path = q.path AND k.line = q.line)"""
+
+
+def _places(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as symbols that span lines of order files, and their observations as edges anchored on lines."""
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    own = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@"), F.col("l_orderkey").cast("string"))
+    file = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"))
+    kind = F.element_at(F.array(F.lit("method"), F.lit("class"), F.lit("field"), F.lit("module")), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    n = li.groupBy(own.alias("id"), kind.alias("kind"), file.alias("file_path")).agg(F.min("l_linenumber").alias("start_line"), F.max("l_linenumber").alias("end_line"))
+    what = F.when(F.col("l_returnflag") == "A", "EXPOSES").when(F.col("l_returnflag") == "R", "DECORATES").otherwise("READS")
+    e = li.select(own.alias("src"), what.alias("kind"), file.alias("file_path"), F.col("l_linenumber").alias("line")).distinct()
+    return n, e
+
+
+@query(_PLACES + " SELECT path, line, change FROM ch")
 def impact_line_classify(spark, d):
-    """Each changed line by the strongest thing on it: contract key, signature, declaration, body."""
-    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    change = F.when(F.bool_or(F.col("l_returnflag") == "A"), "contract_key").when(F.bool_or(F.col("l_linestatus") == "F"), "signature").when(F.count("*") > 1, "declaration").otherwise("body")
-    return li.groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).agg(change.alias("change"))
+    """Each changed line by the strongest thing anchored on it."""
+    n, e = _places(spark, d)
+    return I.classify(e.select(F.col("file_path").alias("path"), "line"), n, e)
+
+
+@query(_PLACES + """, r AS (SELECT q.path, q.line, sp.id, row_number() OVER (PARTITION BY q.path, q.line ORDER BY end_line - start_line, start_line DESC, id) AS nth FROM q JOIN sp ON sp.file_path = q.path AND start_line <= q.line AND end_line >= q.line),
+x AS (SELECT file_path AS path, line, min(src) AS src FROM le WHERE kind = 'EXPOSES' AND src NOT IN (SELECT id FROM sp WHERE kind = 'module') GROUP BY 1, 2)
+SELECT ch.path, ch.line, ch.change, coalesce(x.src, r.id) AS target FROM ch LEFT JOIN r ON r.path = ch.path AND r.line = ch.line AND r.nth = 1 LEFT JOIN x ON x.path = ch.path AND x.line = ch.line""")
+def impact_line_target(spark, d):
+    """The symbol behind each changed line: the innermost one, or the source of a contract edge there."""
+    n, e = _places(spark, d)
+    return I.retarget(e.select(F.col("file_path").alias("path"), "line"), n, e)
+
+
+@query("SELECT user_id, 'src/' || event_type || '.py' AS path, CAST(row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts, event_id) + 10 * day AS INT) AS line, CAST(event_id AS VARCHAR) AS text FROM (SELECT *, CAST(extract(day FROM ts) AS INT) AS day FROM events)", graph=False)
+def diff_lines(spark, d):
+    """Added lines of unified diffs that the events write: a file for each type, a hunk for each day."""
+    e = P.table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", F.dayofmonth("ts").alias("day"))
+    rows = e.groupBy("user_id", "event_type", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("x"))
+    head = F.concat(F.lit("@@ -1,1 +"), (F.col("day") * 10 + 1).cast("string"), F.lit(" @@"))
+    hunk = F.concat_ws("\n", head, F.array_join(F.transform("x", lambda x: F.concat(F.lit("+"), x["event_id"].cast("string"))), "\n"), F.lit("-gone"), F.lit(" kept"))
+    rows = rows.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("day", hunk.alias("t")))).alias("h"))
+    name = F.concat(F.lit("src/"), F.col("event_type"), F.lit(".py"))
+    file = F.concat_ws("\n", F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name), F.array_join(F.transform("h", lambda x: x["t"]), "\n"))
+    return I.diff_lines(rows.groupBy("user_id").agg(F.array_join(F.collect_list(file), "\n").alias("diff")), "user_id", "diff")
+
+
+@query("SELECT o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY first) - 1 AS INT) AS at, 'app/' || pri || '.py' AS path, line FROM (SELECT o_custkey, lower(substr(o_orderpriority, 3, 3)) AS pri, CAST(o_orderkey % 50 AS INT) AS line, min(-o_orderkey) AS first FROM orders GROUP BY 1, 2, 3)", graph=False)
+def stacktrace_frames(spark, d):
+    """Frames of stack traces that the orders of a customer write, the innermost (printed last) first, each once."""
+    o = P.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lower(F.substring("o_orderpriority", 3, 3)).alias("pri"))
+    line = F.concat(F.lit('  File "app/'), F.col("pri"), F.lit('.py", line '), (F.col("o_orderkey") % 50).cast("string"), F.lit(", in f"))
+    t = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))).alias("x"))
+    t = t.select(F.col("o_custkey").alias("id"), F.concat(F.lit("Traceback (most recent call last):\n"), F.array_join(F.transform("x", lambda x: x["t"]), "\n")).alias("text"))
+    return I.frames(t, "id", "text")
 
 
 @query("! w(node, depth) AS (SELECT 'p:5', 0 UNION SELECT e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.node AND e.kind IN ('READS','WRITES') WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
@@ -314,6 +372,26 @@ def search_or(spark, d):
     return R.bm25(P.table(spark, d, "documents"), "doc_id", "text", ["schu", "moron"], "or")
 
 
+_RANKED = """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM documents),
+c AS (SELECT doc_id, len(a) + len(b) AS len, {tf} FROM t), s AS (SELECT count(*) AS rows, avg(len) AS mean, {df} FROM c)
+SELECT doc_id AS id, {hits} AS hits, round({score}, 6) AS score FROM c, s WHERE {hits} = {k}"""
+
+
+def _ranked_sql(terms: list[str]) -> str:
+    n = range(len(terms))
+    return _RANKED.format(
+        tf=", ".join(f"5 * len(list_filter(a, lambda x: starts_with(x, '{q}'))) + len(list_filter(b, lambda x: starts_with(x, '{q}'))) AS f{i}" for i, q in enumerate(terms)),
+        df=", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in n), hits=" + ".join(f"(f{i} > 0)::INT" for i in n), k=len(terms),
+        score="-(" + " + ".join(f"greatest(ln((rows - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in n) + ")",
+    )
+
+
+@query(_ranked_sql(["then", "erl"]), graph=False)
+def search_ranked(spark, d):
+    """Weighted columns through the inverted list; each term is a prefix."""
+    return R.ranked(R.index(P.table(spark, d, "documents"), "doc_id", {"source": 5.0, "text": 1.0}), "then erl", "and")
+
+
 @query("SELECT conv_id, turn, CASE " + " ".join(rf"WHEN regexp_matches(lower(text), '\b({w})\b') THEN '{k}'" for k, w in X.INTENTS) + " ELSE 'search' END AS intent FROM conversations", graph=False)
 def intent_detect(spark, d):
     return P.table(spark, d, "conversations").select("conv_id", "turn", X.detect_intent(F.col("text")).alias("intent"))
@@ -322,16 +400,37 @@ def intent_detect(spark, d):
 # ---------------------------------------------------------------- risks
 
 
-@query("""! frames AS (SELECT id AS frame FROM nodes WHERE kind = 'method' AND flags & 1 <> 0 AND lang = 'EUROPE'),
-hit AS (SELECT frame, s.dst AS target, s.evidence_tier FROM frames JOIN edges s ON s.src = frame AND s.kind = 'CALLS')
-SELECT frame, count(*) AS findings, max(CASE WHEN evidence_tier = 'fact' THEN 2 ELSE 1 END) AS severity FROM hit GROUP BY frame""")
+_RISKS = """! frames AS (SELECT id AS frame FROM nodes WHERE kind = 'method' AND flags & 1 <> 0 AND lang = 'EUROPE'),
+hop1 AS (SELECT frame, e.dst, e.evidence_tier AS tier FROM frames JOIN edges e ON e.src = frame AND e.kind IN ('CALLS')),
+hit AS (SELECT frame, dst, name, tier FROM hop1 JOIN nodes ON id = dst WHERE ends_with(name, '1') OR ends_with(name, '7'))"""
+
+
+def _risk_rules(spark) -> DataFrame:
+    return K.rules(spark, [("rule", None, 2, x, False) for x in ("1", "7")])
+
+
+@query(_RISKS + " SELECT frame, count(*) AS findings, max(CASE WHEN tier = 'fact' THEN 2 ELSE 1 END) AS severity FROM hit GROUP BY frame")
 def risks_direct(spark, d):
-    """Blocking calls made straight from asynchronous frames, with derived severity (base high)."""
-    n = P.nodes(spark, d).where((F.col("kind") == "method") & (F.col("flags").bitwiseAND(F.lit(1)) != 0) & (F.col("lang") == "EUROPE")).select(F.col("id").alias("frame"))
-    e = P.edges(spark, d).where("kind = 'CALLS'")
-    j = n.join(e, n["frame"] == e["src"])
-    s = X.severity(F.lit(2), F.lit(1), F.lit(False), F.col("evidence_tier"))
-    return j.groupBy("frame").agg(F.count("*").alias("findings"), F.max(s).alias("severity"))
+    """Calls of suppliers whose number ends with 1 or 7, straight from asynchronous frames, by the rule operator."""
+    n = P.nodes(spark, d)
+    frames = K.async_frames(n).where("lang = 'EUROPE'")
+    named = n.where("kind = 'class'").select("id", F.concat_ws(".", F.substring("name", F.lit(1), F.length("name") - 1), F.substring("name", -1, 1)).alias("qualified_name"), F.lit(None).cast("string").alias("lang"))
+    calls = P.edges(spark, d).where("kind = 'CALLS'").select("src", "dst", "evidence_tier")
+    outside = spark.createDataFrame([], "src string, target string")
+    found = K.find(frames, calls, outside, named, _risk_rules(spark), spark.createDataFrame([], "id string"), 1)
+    return found.groupBy("frame").agg(F.count("*").alias("findings"), F.max("severity").alias("severity"))
+
+
+@query("""! SELECT a.src AS frame, count(*) AS findings, max(CASE WHEN e.evidence_tier = 'fact' THEN 2 ELSE 1 END) AS severity FROM customer JOIN edges a ON a.src = 'c:' || c_custkey AND a.kind = 'CALLS' JOIN edges e ON e.src = a.dst AND e.kind = 'CALLS' JOIN nodes n ON n.id = e.dst
+WHERE c_mktsegment = 'BUILDING' AND ends_with(n.name, '7') GROUP BY 1""".replace("! SELECT", "SELECT"))
+def risks_transitive(spark, d):
+    """Suppliers that customers reach over their orders, two calls away."""
+    frames = P.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("frame"))
+    n = P.nodes(spark, d).where("kind = 'class' and id like 's:%'")
+    named = n.select("id", F.concat_ws(".", F.substring("name", F.lit(1), F.length("name") - 1), F.substring("name", -1, 1)).alias("qualified_name"), F.lit(None).cast("string").alias("lang"))
+    calls = P.edges(spark, d).where("kind = 'CALLS'").select("src", "dst", "evidence_tier")
+    found = K.find(frames, calls, spark.createDataFrame([], "src string, target string"), named, K.rules(spark, [("rule", None, 2, "7", False)]), spark.createDataFrame([], "id string"), 2)
+    return found.groupBy("frame").agg(F.count("*").alias("findings"), F.max("severity").alias("severity"))
 
 
 @query("SELECT base, distance, entry, tier, greatest(0, least(3, greatest(0, least(3, greatest(0, least(3, base - CASE WHEN distance > 2 THEN 1 ELSE 0 END)) + CASE WHEN entry = 1 THEN 1 ELSE 0 END)) - CASE WHEN tier <> 'fact' THEN 1 ELSE 0 END)) AS severity FROM (SELECT DISTINCT l_linenumber % 4 AS base, l_linenumber AS distance, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS entry, CASE WHEN l_returnflag = 'A' THEN 'fact' ELSE 'heuristic' END AS tier FROM lineitem)", graph=False)
@@ -356,6 +455,32 @@ def ambiguous_refs(spark, d):
     return j.groupBy(how.alias("resolution")).agg(F.count("*").alias("refs"), F.countDistinct(F.when(F.col("n") == 1, F.col("target"))).alias("targets"))
 
 
+@query("""! r AS (SELECT DISTINCT 'o:' || l_orderkey AS from_node, s_name AS ref_text, 'f' || l_orderkey AS file_path, l_linenumber AS line, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+home AS (SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
+cnt AS (SELECT name, count(*) AS n FROM nodes WHERE kind = 'class' GROUP BY 1)
+SELECT CASE WHEN s_nationkey = c_nationkey THEN 'exact' WHEN n = 1 THEN 'inferred' WHEN n > 1 THEN 'ambiguous' ELSE 'external' END AS status, CASE WHEN s_nationkey = c_nationkey THEN 'lexical' ELSE 'project_wide_name' END AS step, count(*) AS refs FROM r JOIN home ON 'o:' || o_orderkey = from_node JOIN cnt ON name = ref_text GROUP BY 1, 2""")
+def resolve_rungs(spark, d):
+    """Supplier names used in orders: found in the nation around the customer, or else as the only one of that name."""
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    s = P.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    key = F.col("l_orderkey").cast("string")
+    refs = li.join(s, "l_suppkey").select(F.concat(F.lit("o:"), key).alias("from_node"), F.lit("call").alias("kind"), F.col("s_name").alias("name"), F.col("s_name").alias("ref_text"), F.concat(F.lit("f"), key).alias("file_path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"))
+    out = Z.resolve(refs, P.nodes(spark, d).where("kind in ('package', 'module', 'class', 'method')").select("id", "kind", "name", "parent_id"))
+    return out.groupBy("status", "step").agg(F.count("*").alias("refs"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber AS pos, l_suppkey FROM lineitem), p AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos FROM nation)
+SELECT 's:' || l_suppkey AS src, 'n:' || n_nationkey AS dst, count(*) AS n FROM a JOIN p ON p.pos = a.pos AND p.n_regionkey = l_orderkey % 5 GROUP BY 1, 2""", graph=False)
+def param_bind_edges(spark, d):
+    """PARAM_BINDS edges of calls whose arguments are suppliers and whose callees are regions with nations as parameters."""
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    args = li.select(F.col("l_orderkey").alias("call"), F.col("l_linenumber").alias("position"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("src"))
+    calls = li.select(F.col("l_orderkey").alias("call"), F.concat(F.lit("r:"), (F.col("l_orderkey") % 5).cast("string")).alias("callee")).distinct()
+    n = P.table(spark, d, "nation")
+    params = n.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_name").alias("name"), (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("position"))
+    return Z.param_binds(calls, args, params).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT l_orderkey AS file, count(*) AS refs_total, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS refs_exact, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS refs_inferred, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS refs_unresolved,
 round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0 END) / count(*), 3) AS exact_ratio FROM lineitem GROUP BY 1""", graph=False)
 def coverage_ratios(spark, d):
@@ -379,7 +504,9 @@ AND b.ts = (SELECT min(c.ts) FROM events c WHERE c.user_id = a.user_id AND c.eve
 def decorator_asof(spark, d):
     """Forward as-of join with a tolerance: the nearest declaration at or after a decorator, if near enough."""
     e = P.table(spark, d, "events").where("event_type in ('view','purchase')").select("event_id", "ts", "user_id", "event_type")
-    nxt = F.min(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(W.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp")).rangeBetween(W.currentRow, W.unboundedFollowing))
+    # read backwards, so that the frame only grows
+    w = W.partitionBy("user_id").orderBy(F.col("ts").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    nxt = F.min(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(w)
     out = e.withColumn("nxt", nxt).where("event_type = 'view' and nxt is not null").where(F.col("nxt.ts") <= F.col("ts") + F.expr("interval 4 hours"))
     return out.select("event_id", F.col("nxt.event_id").alias("declared"))
 
@@ -431,10 +558,12 @@ def session_windows(spark, d):
 # ---------------------------------------------------------------- text forms
 
 
-@query("SELECT conv_id, turn, len(string_split(text, chr(10))) AS lines FROM conversations", graph=False)
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT doc_id, len(l) AS n, list_transform(range(1, len(l) + 1), lambda i: i || ': ' || l[i]) AS l FROM l)
+SELECT doc_id, CAST(n AS INT) AS lines, md5(array_to_string(CASE WHEN n > 8 THEN list_concat(l[1:3], ['... ' || (n - 6) || ' lines elided ...'], l[n - 2:n]) ELSE l END, chr(10))) AS shown FROM k""", graph=False)
 def source_elision(spark, d):
-    t = P.table(spark, d, "conversations")
-    return t.select("conv_id", "turn", F.size(F.split(X.elide(F.col("text"), 10**6), "\n")).alias("lines"))
+    """Numbered text; more than eight lines become three, a marker and the last three."""
+    t = P.table(spark, d, "documents")
+    return t.select("doc_id", F.size(F.split("text", "\n")).alias("lines"), F.md5(X.elide(F.col("text"), 8, 3)).alias("shown"))
 
 
 @query("SELECT doc_id, count(*) AS sites FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM documents) WHERE w = 'the' GROUP BY 1", graph=False)

@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 MAX_BYTES, NUL_WINDOW = 2_000_000, 8192
 IGNORED = ("node_modules", "__pycache__", "venv", "build", "dist", "target")
-DIALECTS = {"py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "scala": "scala"}
+DIALECTS = {"py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "scala": "scala",
+            "mjs": "javascript", "cjs": "javascript", "mts": "typescript", "cts": "typescript", "kts": "kotlin", "rake": "ruby", "sh": "bash", "bash": "bash"}
+SHEBANGS = (("python", r"^#!.*\bpython"), ("bash", r"^#!.*\b(?:ba|z|k)?sh\b"), ("javascript", r"^#!.*\bnode\b"), ("ruby", r"^#!.*\bruby\b"))
+GENERATED = r"(?i)(?:@generated|do not edit|code generated by|autogenerated)"
 RAW = (
     "rec string, file_path string, id string, kind string, name string, qualified_name string, dotted string, signature string, docstring string, flags int, parent_id string,"
-    " start_line int, end_line int, from_node string, ref_text string, target string, scopes array<string>"
+    " start_line int, end_line int, from_node string, ref_text string, target string, receiver string, lang string, type_ref string, position int, start_byte int, end_byte int,"
+    " args array<struct<index:int,name:string,text:string>>"
 )
 
 
@@ -31,17 +35,20 @@ def files(spark: SparkSession, root: str, service: str = "root") -> DataFrame:
 
 
 def ledger(raw: DataFrame, root: str, service: str = "root") -> DataFrame:
+    """Files by their path below ``root``, a prefix of each path; the content of large or hidden files is not touched."""
     base = root.split("://", 1)[-1].rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), base, -1)
-    hidden = F.exists(F.split(rel, "/"), lambda p: p.startswith(".") | p.isin(*IGNORED))
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
+    rel = F.when(plain.startswith(base), F.substring(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(plain)
+    hidden = F.exists(F.split("rel", "/"), lambda p: p.startswith(".") | p.isin(*IGNORED))
+    raw = raw.withColumn("rel", rel).where(~hidden)
     table = F.create_map(*[F.lit(x) for kv in DIALECTS.items() for x in kv])
-    head = F.decode(F.substring("content", 1, 64), "iso-8859-1")
-    by_ext = F.try_element_at(table, F.lower(F.regexp_extract(rel, r"\.([^./]+)$", 1)))
-    lang = F.coalesce(by_ext, F.when(head.rlike(r"^#!.*python"), F.lit("python")))
-    nul = F.instr(F.decode(F.substring("content", 1, NUL_WINDOW), "iso-8859-1"), "\0") > 0
-    skip = F.when(lang.isNull(), "unknown_dialect").when(F.col("length") > MAX_BYTES, "too_large").when(nul, "binary").when(lang != "python", "missing_grammar")
-    out = raw.where(~hidden).select(rel.alias("path"), lang.alias("lang"), F.lit(service).alias("service_id"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), skip.alias("skip_reason"), "content")
-    return out.withColumn("content", F.when(F.col("skip_reason").isNull(), F.col("content")))
+    small = F.col("length") <= MAX_BYTES
+    head = F.decode(F.substring(F.when(small, F.col("content")), 1, NUL_WINDOW), "iso-8859-1")
+    by_ext = F.try_element_at(table, F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)))
+    lang = F.coalesce(by_ext, *[F.when(F.substring(head, 1, 128).rlike(p), F.lit(k)) for k, p in SHEBANGS])
+    skip = F.when(F.col("lang").isNull(), "unknown_dialect").when(~small, "too_large").when(F.instr(head, "\0") > 0, "binary").when(F.substring(head, 1, 512).rlike(GENERATED), "generated").when(F.col("lang") != "python", "missing_grammar")
+    raw = raw.withColumn("lang", lang).withColumn("skip_reason", skip)
+    return raw.select(F.col("rel").alias("path"), "lang", F.lit(service).alias("service_id"), F.when(small, F.sha2("content", 256)).alias("content_hash"), F.col("length").alias("size_bytes"), "skip_reason", F.when(F.col("skip_reason").isNull(), F.col("content")).alias("content"))
 
 
 def digest(*parts: str) -> str:
@@ -67,37 +74,58 @@ def dotted(e: ast.AST) -> str | None:
 
 
 class Reader(ast.NodeVisitor):
-    """Rows of one module: symbols with their containers, and references with the scopes they may resolve in."""
+    """Rows of one module: symbols with their containers, references with receiver, arguments and span in bytes."""
 
-    def __init__(self, path: str, service: str):
+    def __init__(self, path: str, service: str, source: bytes = b""):
         self.path, self.service, self.module = path, service, module_of(path)
         self.rows: list[dict] = []
         self.stack: list[dict] = []
         self.imports: dict[str, str] = {}
-
-    def symbol(self, kind: str, name: str, node: ast.AST, signature: str = "", flags: int = 0, doc: str | None = None, end: int | None = None) -> dict:
+        self.members: set[tuple[str, str]] = set()
+        self.statement: ast.AST | None = None
+        self.source, self.starts = source, [0]
+        for line in source.splitlines(keepends=True):
+            self.starts.append(self.starts[-1] + len(line))
+
+    def span(self, node: ast.AST) -> tuple[int, int]:
+        """Bytes of a node; ``ast`` counts columns in UTF-8 bytes."""
+        if not hasattr(node, "lineno") or node.end_lineno >= len(self.starts) + 1:
+            return 0, len(self.source)
+        return self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset
+
+    def text(self, node: ast.AST) -> str:
+        a, b = self.span(node)
+        return self.source[a:b].decode("utf-8", "replace")
+
+    def symbol(self, kind: str, name: str, node: ast.AST, signature: str = "", flags: int = 0, doc: str | None = None, end: int | None = None, type_ref: str | None = None, position: int | None = None) -> dict:
         members = [s["name"] for s in self.stack[1:]] + ([] if kind == "module" else [name])
         qname = f"{self.service}/python/{self.module}" + ("#" + "/".join(members) if members else "")
+        a, b = self.span(node)
         row = {
             "rec": "node", "id": digest(self.service, "python", qname, signature), "kind": kind, "name": name, "qualified_name": qname, "signature": signature, "flags": flags, "docstring": doc,
-            "dotted": ".".join([self.module.replace("/", "."), *members]), "parent_id": self.stack[-1]["id"] if self.stack else None,
-            "start_line": getattr(node, "lineno", 1), "end_line": end or getattr(node, "end_lineno", None) or 1,
+            "dotted": ".".join([self.module.replace("/", "."), *members]), "parent_id": self.stack[-1]["id"] if self.stack else None, "lang": "python", "type_ref": type_ref, "position": position,
+            "start_line": getattr(node, "lineno", 1), "end_line": end or getattr(node, "end_lineno", None) or 1, "start_byte": a, "end_byte": b,
         }
         self.rows.append(row)
+        if row["parent_id"]:
+            self.members.add((row["parent_id"], name))
         return row
 
-    def ref(self, kind: str, text: str | None, node: ast.AST, target: str | None = None) -> None:
+    def ref(self, kind: str, text: str | None, node: ast.AST, target: str | None = None, args: list | None = None, whole: ast.AST | None = None) -> None:
         if not text:
             return
         head, _, rest = text.partition(".")
-        scopes = [s for s in reversed(self.stack) if s["kind"] != "class" or s is self.stack[-1]]
-        if head in ("self", "cls") and rest and "." not in rest:
-            scopes = [s for s in reversed(self.stack) if s["kind"] == "class"][:1]
-        elif rest:
-            scopes = []
+        receiver, _, name = text.rpartition(".")
         if target is None and head in self.imports:
             target = self.imports[head] + ("." + rest if rest else "")
-        self.rows.append({"rec": "ref", "kind": kind, "name": text.rsplit(".", 1)[-1], "ref_text": text, "target": target, "from_node": self.stack[-1]["id"], "scopes": [s["id"] for s in scopes], "start_line": node.lineno, "end_line": node.end_lineno})
+        a, b = self.span(whole or node)
+        self.rows.append({"rec": "ref", "kind": kind, "name": name, "ref_text": text, "target": target, "receiver": None if kind == "import" else receiver or None, "lang": "python", "from_node": self.stack[-1]["id"], "start_line": node.lineno, "end_line": node.end_lineno, "start_byte": a, "end_byte": b, "args": args or []})
+
+    def arguments(self, call: ast.AST) -> list[dict]:
+        if not isinstance(call, ast.Call):
+            return []
+        plain = [{"index": i, "name": None, "text": self.text(x)} for i, x in enumerate(call.args) if not isinstance(x, ast.Starred)]
+        return plain + [{"index": len(call.args) + i, "name": k.arg, "text": self.text(k.value)} for i, k in enumerate(call.keywords) if k.arg]
 
     def usage(self, kind: str, name: str, node: ast.AST) -> None:
         self.rows.append({"rec": "usage", "kind": kind, "name": name, "from_node": self.stack[-1]["id"], "start_line": node.lineno, "end_line": node.end_lineno})
@@ -128,7 +156,7 @@ class Reader(ast.NodeVisitor):
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         for x in node.decorator_list:
-            self.ref("decorate", dotted(x.func if isinstance(x, ast.Call) else x), x)
+            self.ref("decorate", dotted(x.func if isinstance(x, ast.Call) else x), x, args=self.arguments(x))
         row = self.symbol("class", node.name, node, doc=ast.get_docstring(node))
         self.stack.append(row)
         for x in node.bases:
@@ -145,11 +173,11 @@ class Reader(ast.NodeVisitor):
         args = [*node.args.posonlyargs, *node.args.args, *([node.args.vararg] if node.args.vararg else []), *node.args.kwonlyargs, *([node.args.kwarg] if node.args.kwarg else [])]
         sign = f"({', '.join(a.arg + (': ' + ast.unparse(a.annotation) if a.annotation else '') for a in args)})"
         kind = ("constructor" if node.name == "__init__" else "property" if "property" in names else "method") if inside else "function"
-        for n, x in zip(names, node.decorator_list, strict=True):
-            self.ref("decorate", n, x)
         self.stack.append(self.symbol(kind, node.name, node, sign, flags, ast.get_docstring(node)))
-        for a in args:
-            self.symbol("parameter", a.arg, a)
+        for n, x in zip(names, node.decorator_list, strict=True):
+            self.ref("decorate", n, x, args=self.arguments(x))
+        for i, a in enumerate(args):
+            self.symbol("parameter", a.arg, a, type_ref=ast.unparse(a.annotation) if a.annotation else None, position=i)
             if a.annotation:
                 self.ref("type", dotted(a.annotation), a.annotation)
         if node.returns:
@@ -166,7 +194,7 @@ class Reader(ast.NodeVisitor):
 
     def visit_Call(self, node: ast.Call) -> None:
         name = dotted(node.func)
-        self.ref("call", name, node)
+        self.ref("call", name, node, args=self.arguments(node))
         if name:
             self.usage("call", name, node)
         self.generic_visit(node)
@@ -176,28 +204,45 @@ class Reader(ast.NodeVisitor):
             self.ref("throw", dotted(node.exc.func if isinstance(node.exc, ast.Call) else node.exc), node)
         self.generic_visit(node)
 
+    def assign(self, node: ast.Assign | ast.AnnAssign | ast.AugAssign) -> None:
+        keep, self.statement = self.statement, node
+        self.generic_visit(node)
+        self.statement = keep
+
+    visit_Assign = visit_AnnAssign = visit_AugAssign = assign
+
+    def made(self) -> str | None:
+        """The declared or constructed type of what the statement assigns."""
+        s = self.statement
+        if isinstance(s, ast.AnnAssign):
+            return ast.unparse(s.annotation)
+        name = dotted(s.value.func) if isinstance(s, ast.Assign) and isinstance(s.value, ast.Call) else None
+        return name if name and name.rpartition(".")[2][:1].isupper() else None
+
     def visit_Name(self, node: ast.Name) -> None:
         if isinstance(node.ctx, ast.Store):
-            if self.stack[-1]["kind"] in ("module", "class") and not any(r["rec"] == "node" and r["name"] == node.id and r["parent_id"] == self.stack[-1]["id"] for r in self.rows):
-                self.symbol("field" if self.stack[-1]["kind"] == "class" else "constant" if node.id.isupper() else "variable", node.id, node)
-            self.ref("write", node.id, node)
+            holder = self.stack[-1]
+            if (holder["id"], node.id) not in self.members:
+                self.symbol("field" if holder["kind"] == "class" else "constant" if holder["kind"] == "module" and node.id.isupper() else "variable", node.id, node, type_ref=self.made())
+            self.ref("write", node.id, node, whole=self.statement)
         elif isinstance(node.ctx, ast.Load):
             self.ref("read", node.id, node)
 
     def visit_Attribute(self, node: ast.Attribute) -> None:
-        if isinstance(node.value, ast.Name) and node.value.id == "self" and isinstance(node.ctx, ast.Store):
+        store = isinstance(node.ctx, ast.Store)
+        if store and isinstance(node.value, ast.Name) and node.value.id == "self":
             owner = next((s for s in reversed(self.stack) if s["kind"] == "class"), None)
-            if owner and not any(r["rec"] == "node" and r["name"] == node.attr and r["parent_id"] == owner["id"] for r in self.rows):
+            if owner and (owner["id"], node.attr) not in self.members:
                 keep, self.stack = self.stack, self.stack[: self.stack.index(owner) + 1]
-                self.symbol("field", node.attr, node)
+                self.symbol("field", node.attr, node, type_ref=self.made())
                 self.stack = keep
-        self.ref("write" if isinstance(node.ctx, ast.Store) else "read", dotted(node), node)
+        self.ref("write" if store else "read", dotted(node), node, whole=self.statement if store else None)
         self.generic_visit(node)
 
 
 def read_python(path: str, service: str, source: bytes) -> list[dict]:
     try:
-        reader = Reader(path, service)
+        reader = Reader(path, service, source)
         reader.visit(ast.parse(source))
         return reader.rows
     except (SyntaxError, ValueError, RecursionError) as e:
