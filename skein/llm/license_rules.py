@@ -14,6 +14,7 @@ repeated; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,8 +126,18 @@ class Recogniser:
         self.longest = max(map(len, self.ids), default=0)
         first = sorted({s.split(" ")[0] for s in self.ids})
         self.starts = set(first)
-        # every known sentence holds one of these words; texts without any are left at once
-        self.hint = re.compile(r"licen|permi|warrant|redistrib|copyright|rights|endorse|free software|unencumbered|cc0", re.IGNORECASE)
+        # every known sentence holds one of these words, chosen from the sentences; texts without any are left at once
+        self.hint = re.compile("|".join(map(re.escape, self._hints())), re.IGNORECASE) if self.ids else None
+
+    def _hints(self) -> list[str]:
+        """A few words, long ones first choice, such that every sentence holds one."""
+        left, out = {s: set(re.findall(r"[^\W\d_]{2,}|\w+", s)) for s in self.ids}, []
+        while left:
+            count = Counter(w for words in left.values() for w in words)
+            best = max(count, key=lambda w: (count[w] * min(len(w), 8) ** 2, w))
+            out.append(best)
+            left = {s: w for s, w in left.items() if best not in w}
+        return out
 
     def sequence(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, identifier) of known sentences, by number of sentence."""
@@ -150,7 +161,7 @@ class Recogniser:
 
     def licences(self, text: str | None) -> list[tuple[str, int, int]]:
         """(licence, first sentence, end) of every rule matched, in order."""
-        if not text or not self.hint.search(text):
+        if not text or self.hint is None or not self.hint.search(text):
             return []
         seq, hits = self.sequence(text), set()
         for name, rule in self.rules:

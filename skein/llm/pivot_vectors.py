@@ -8,7 +8,7 @@ verified by cosine in double precision.
 Equal vectors are one class with a count.  A list is dealt in blocks of bounded size, a task gets one
 pair of blocks of one list, and the pair of vectors counts only in the first list they share, so no
 pair is counted twice and none has to be written: a task returns sums of links and a spanning
-forest.  Pivots are fitted on at most ``64 x max_pivots`` rows by hash of the id; every row is indexed.
+forest.  Pivots are fitted on at most ``4 x max_pivots`` rows by hash of the id; every row is indexed.
 
 Defined edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with
 a null id, link with nothing and are their own component (a null id stays null); vectors of different

@@ -63,5 +63,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
+#: op8: connected components over exact shingle sets.
+_NEAR = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, unnest(s) AS g FROM s), n AS (SELECT doc_id, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, min(r.c) = n.doc_id AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n"""
+
+
+#: op7: the same keys, water level and prefix sums.
+_MIX = """WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS size,
+ -ln((CAST(('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0) / coalesce(0.25 + 0.75 * length(translate(text, '0123456789!#$%&*+<=>@[]\\^_`{|}~', '')) / greatest(length(text), 1), 0.25) AS key FROM documents),
+z AS (SELECT source, sum(size) AS source_size FROM d GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM z),
+w AS (SELECT *, [5.0, 2.0, 1.0][CAST(rank % 3 AS INT) + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM k),
+f AS (SELECT *, cap / weight AS full_at FROM w),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM v WHERE level <= full_at ORDER BY full_at, rank LIMIT 1) * weight, cap)) AS target FROM v),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+r AS (SELECT d.*, e.source_size, e.target, e.epochs, target - epochs * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(CASE WHEN size > 0 THEN epochs + CAST(before + size / 2 <= rest AS INT) ELSE 0 END * size AS BIGINT) AS taken, CAST(CASE WHEN size > 0 THEN epochs + CAST(before + size / 2 <= rest AS INT) ELSE 0 END AS BIGINT) AS copies FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op7 and op8: learnt scores, stand-ins by round, decoded lattices and cuts over the order of Spark's hashes have no SQL here."""
+    return {"op7_source_mix": _MIX, "op8_odd_minhash": _NEAR}

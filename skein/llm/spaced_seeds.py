@@ -12,7 +12,7 @@ seeds are broadcast, and every document is scanned whole.
 Defined edge cases: null or empty texts contain nothing; items with fewer than ``min_item`` words are
 ignored (they would mark ordinary prose), items shorter than the masks get masks over their whole length that
 ignore every one of their words in turn (from 10 words on every two), those under 5 words are, if ``min_item``
-admits them, looked for verbatim; null item texts are ignored; repeated rows stay repeated; with no benchmark no document is
+admits them, looked for verbatim; an item without an id is looked for too and listed as null, last; null item texts are ignored; repeated rows stay repeated; with no benchmark no document is
 marked; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -60,7 +60,7 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class Index:
     """Seeds of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], min_item: int):
+    def __init__(self, items: list[tuple[int | None, str]], min_item: int):
         hashes = [(i, h[cut[k] : cut[k + 1]]) for a, h, cut in word_chunks([t for _, t in items], bare) for k, (i, _) in enumerate(items[a : a + len(cut) - 1])]
         hashes = [(i, h) for i, h in hashes if len(h) >= min_item]
         self.ids, self.words = [i for i, _ in hashes], [h for _, h in hashes]
@@ -77,17 +77,18 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.key >> U64(42)] = True
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(word of the text, item, word of the item), for words ``h`` of some texts."""
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word of the text, item, word of the item) of all hits of a mask at once, for words ``h`` of some texts."""
         for m, mask in enumerate(self.masks):
             s = seeds(h, mask, m)
             p = np.flatnonzero(self.bits[s >> U64(42)])
             if not len(p):
                 continue
             lo, hi = np.searchsorted(self.key, s[p], "left"), np.searchsorted(self.key, s[p], "right")
-            for q in np.flatnonzero(hi > lo):
-                for e in range(lo[q], hi[q]):
-                    yield int(p[q]), *map(int, self.where[e])
+            n = hi - lo
+            if n.any():
+                e = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield np.repeat(p, n), self.where[e, 0], self.where[e, 1]
 
 
 def good_runs(same: np.ndarray, least: int = 6) -> list[tuple[int, int]]:
@@ -118,15 +119,19 @@ def scan(index, min_words: int, share: float):
         for pdf in batches:
             texts, found = pdf["text"].tolist(), [([], 0.0)] * len(pdf)
             for a, h, cut in word_chunks(texts, bare):
-                lines = defaultdict(set)
+                lines = defaultdict(list)
+                length = np.array([len(w) for w in ix.words], np.int64)
+                diagonals = [np.zeros((0, 3), np.int64)]
                 for p, k, j in ix.hits(h):
-                    d = int(np.searchsorted(cut, p, "right")) - 1
-                    if p - j + len(ix.words[k]) > cut[d] and (d, k, p - j) not in lines[d, k]:
-                        lines[d, k].add((d, k, p - j))
+                    d = np.searchsorted(cut, p, "right") - 1
+                    own = p - j + length[k] > cut[d]
+                    diagonals.append(np.unique(np.stack([d, k, p - j], 1)[own], axis=0))
+                for d, k, start in np.unique(np.concatenate(diagonals), axis=0).tolist():
+                    lines[d, k].append(start)
                 for (d, k), on in lines.items():
                     item = ix.words[k]
                     there = np.zeros(len(item), bool)
-                    for _, _, start in on:
+                    for start in on:
                         lo, hi = max(0, cut[d] - start), min(len(item), cut[d + 1] - start)
                         if hi <= lo:
                             continue
@@ -136,8 +141,8 @@ def scan(index, min_words: int, share: float):
                     n = int(there.sum())
                     if n >= min(min_words, int(np.ceil(share * len(item)))):
                         ids, best = found[a + d]
-                        found[a + d] = (sorted({*ids, ix.ids[k]}), max(best, n / len(item)))
-            yield pd.DataFrame({"id": pdf["id"], "items": [x[0] for x in found], "matched": [x[1] for x in found]})
+                        found[a + d] = (sorted({*ids, ix.ids[k]}, key=lambda i: (i is None, i or 0)), max(best, n / len(item)))
+            yield pd.DataFrame({"id": pdf["id"], "items": pd.Series([x[0] for x in found], dtype=object), "matched": [x[1] for x in found]})
 
     return run
 
@@ -145,7 +150,7 @@ def scan(index, min_words: int, share: float):
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, share: float = 0.8, min_item: int = 5) -> DataFrame:
     """One row per document: ``id_col, contaminated, n_items, items`` (ids, sorted) and ``matched`` (largest share of an item's words)."""
     spark = docs.sparkSession
-    bench = durable(benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").alias("text")).where("item is not null and text is not null"))
+    bench = durable(benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").alias("text")).where("text is not null"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -153,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         text = durable(text.withColumn("row", F.monotonically_increasing_id()))
     parts = []
     for b in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()  # about BLOCK_BYTES
+        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_BYTES
         index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in rows], min_item))
         of = text if blocks == 1 else text.select(F.col("row").alias("id"), "text")
         parts.append(of.mapInPandas(scan(index, min_words, share), "id long, items array<long>, matched double"))

@@ -2,7 +2,8 @@
 
 The channel writes letters as look-alikes (``1d10t``), repeats them (``stuuupid``) and spaces words out
 (``m o r o n``, ``s.c.u.m``).  A disguised token becomes a lattice of the letters each sign may stand for,
-which Viterbi decodes under a character trigram model counted over the whole corpus.  Tokens of plain
+which Viterbi decodes under a character trigram model counted over the whole corpus; of the pairs of
+letters that a prefix may end with, the ``BEAM`` best go on, which makes long lattices of ``*`` approximate.  Tokens of plain
 letters and plain numbers stand for themselves, so only odd tokens are decoded, once per worker.  A token of
 joined words gives its parts too; parts of more than 40 signs are cut into words in overlapping pieces.
 
@@ -51,6 +52,8 @@ _JOINT = re.compile(r"[^\w@$!|+(*€]+|_+")
 #: A plain number, price, date or time stands for itself.
 _NUMBER = re.compile(r"[$€+(-]*\d[\d.,:/()+%€-]*")
 _KEPT, _LONG = 60_000, 40
+#: States of the decoder kept after each sign.
+BEAM = 24
 #: Score of a text without any toxic feature.
 NO_MARK = 0.01
 
@@ -94,7 +97,7 @@ class Channel:
                         key, val = ((p, q), t - cost) if code < 0 else ((q, code), t - cost + self.log[p][q][code])
                         if key not in new or val > new[key][0]:
                             new[key] = (val, said + x)
-            beam = dict(sorted(new.items(), key=lambda x: -x[1][0])[:24])
+            beam = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
         return max(((s + self.log[a][b][0], text) for (a, b), (s, text) in beam.items()))[1]
 
     def words(self, token: str) -> tuple[str, ...]:
@@ -134,7 +137,7 @@ class Channel:
             for x in parts:
                 if len(x) > 1 and not _NUMBER.fullmatch(x):
                     out += self._pieces(x)
-            out += re.findall(r"[^\W\d_]{2,40}", t)
+            out += re.findall(r"[^\W\d_]{2,}", t)
         return tuple(dict.fromkeys(w for w in map(squeeze, out) if w))
 
     def _one(self, t: str) -> str:
@@ -175,7 +178,7 @@ def squeeze(w: str) -> str:
 
 def features_of(word: str) -> list[str]:
     """The word and its prefixes of 4 to 7 letters."""
-    return ["=" + word[:40], *(word[:k] + "~" for k in range(4, 8) if len(word) > k)]
+    return ["=" + word, *(word[:k] + "~" for k in range(4, 8) if len(word) > k)]
 
 
 def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:

@@ -359,6 +359,82 @@ def test_decontamination(spark):
     assert spaced_seeds.contamination(docs(spark, EDGES), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Items with copies and substitutions in texts, against all alignments of all items; several blocks; items without an id."""
+    g = np.random.Generator(np.random.PCG64(12))
+    words = [f"w{i}" for i in range(60)]
+    items = [[str(x) for x in g.choice(words, int(n))] for n in g.integers(13, 40, 12)]
+    rows = []
+    for i in range(80):
+        text = [str(x) for x in g.choice(words, 60)]
+        if i % 2:
+            own = list(items[i % 12])
+            for k in range(0, len(own), [50, 9, 7][i % 3]):
+                own[k] = "zzz"
+            text[20:20] = own
+        rows.append((i, " ".join(text)))
+    bench = spark.createDataFrame([(None if i == 11 else i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+
+    def found(text, item):
+        t, there = text.split(), np.zeros(len(item), bool)
+        for d in range(-len(item) + 1, len(t)):
+            lo, hi = max(0, -d), min(len(item), len(t) - d)
+            same = np.array([t[d + j] == item[j] for j in range(lo, hi)], bool)
+            for x, y in spaced_seeds.good_runs(same):
+                if any(all(same[x + o + j] for j, c in enumerate(m) if c == "1") for m in spaced_seeds.MASKS for o in range(y - x - len(m) + 1)):
+                    there[lo + x : lo + y] |= same[x:y]
+        return there.sum() >= min(13, -(-8 * len(item) // 10))
+
+    want = {i: [None if k == 11 else k for k, item in enumerate(items) if found(t, item)] for i, t in rows}
+    assert sum(map(len, want.values())) >= 30
+    keep = spaced_seeds.BLOCK_BYTES
+    for size in (keep, 300):
+        spaced_seeds.BLOCK_BYTES = size
+        try:
+            got = {r.doc_id: r["items"] for r in spaced_seeds.contamination(docs(spark, rows), bench).collect()}
+        finally:
+            spaced_seeds.BLOCK_BYTES = keep
+        assert {i: sorted(x, key=str) for i, x in got.items()} == {i: sorted(x, key=str) for i, x in want.items()}
+
+
+def test_fuzzy_lines_keep_the_same_lines_as_brute_force(spark):
+    """Which lines stay, on random edits of lines, and with buckets and joins forced into many small parts."""
+    from skein.llm import common
+
+    g = np.random.Generator(np.random.PCG64(21))
+    base = ["".join(g.choice(list("abcdefgh "), 60)) for _ in range(25)]
+
+    def edit(x):
+        x = list(x)
+        for _ in range(int(g.integers(0, 4))):
+            x[int(g.integers(0, len(x)))] = str(g.choice(list("xyz")))
+        return "".join(x)
+
+    rows = [(i, "\n".join(edit(base[int(k)]) for k in g.integers(0, 25, 8))) for i in range(60)]
+    lines = [(i, p, fuzzy_lines.normal(x)) for i, t in rows for p, x in enumerate(t.split("\n"))]
+    cls = classes({(i, p): {x[j : j + 8] for j in range(max(1, len(x) - 7))} for i, p, x in lines})
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if cls[i, p] == (i, p)) for i, t in rows}
+    keep = (common.SKETCH_BLOCK, common.SET_BLOCK, common.BROADCAST_BYTES, common.FEW_LINKS)
+    for sizes in (keep, (4, 4, 0, 0)):
+        common.SKETCH_BLOCK, common.SET_BLOCK, common.BROADCAST_BYTES, common.FEW_LINKS = sizes
+        try:
+            got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(docs(spark, rows)).collect()}
+        finally:
+            common.SKETCH_BLOCK, common.SET_BLOCK, common.BROADCAST_BYTES, common.FEW_LINKS = keep
+        missed = sum(got[i] != want[i] for i in want)
+        assert missed <= 1  # a pair at the threshold may miss its bands
+
+
+def test_licences_of_other_sentences_and_wrapped_ones():
+    own = license_rules.Recogniser({"x": ["quite another clause"], "y": ["zu teilen erlaubt"]}, (("X", ("x",)), ("Y", ("y",))))
+    assert [r[0] for r in own.licences("So. Quite another\nclause. And zu teilen\nerlaubt.")] == ["X"]
+    assert [r[0] for r in own.licences("So.\nzu teilen\nerlaubt.")] == ["Y"] and license_rules.Recogniser({}, ()).licences("mit") == []
+    for width in (3, 6, 11):
+        parts = [license_rules.SENTENCES[k][0].split() for k in ("mit.grant", "mit.include", "mit.asis")]
+        wrapped = ".\n".join("\n".join(" ".join(p[i : i + width]) for i in range(0, len(p), width)) for p in parts)
+        assert [r[0] for r in license_rules.Recogniser().licences(wrapped)] == ["MIT"]
+
+
 def test_decontamination_of_short_items(spark):
     """Items of 5 to 11 words are found with as many substituted words, anywhere, as the threshold of share leaves."""
     import itertools
