@@ -152,6 +152,28 @@ def test_vectors_exact_on_the_table(spark):
     assert {r.vec_id: r.n_links for r in pivot_vectors.links(v).collect()} == true
 
 
+def test_vectors_of_lists_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pivot_vectors, "BLOCK", 16)
+    g = np.random.default_rng(5)
+    centre = g.normal(size=(12, 24))
+    x = np.concatenate([centre[g.integers(0, 12, 500)] + 0.28 * g.normal(size=(500, 24)), g.normal(size=(100, 24)), centre])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: r for r in pivot_vectors.links(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    true, found = link.sum(1), np.array([got[i].n_links for i in range(len(u))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() > 1000
+    wide = pivot_vectors.links(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), listed=16, shared=1)
+    assert [r.n_links for r in wide.orderBy("vec_id").collect()] == true.tolist()
+
+
+def test_only_candidates_are_verified():
+    g = np.random.default_rng(6)
+    x = g.normal(size=(40, 8))
+    for share in (0.05, 0.9):
+        ok = g.random((40, 40)) < share
+        assert (pivot_vectors.verify(ok.copy(), x, x, 1.0) == (ok & (x @ x.T >= 1.0))).all()
+
+
 def test_surrogates(spark):
     rows = [(1, "Bob.01@mail3.example.com, bob.01@MAIL3.example.com +1 (556) 555-9070"), (2, "4315726095712222 and 4315-7260-9571-2222"), (3, "call +1 (556) 555-9070, Mrs. Anna Miller, госпожа Иванова"), (4, None), (5, "none 1 2 3")]
     got = {r.doc_id: r for r in pii_surrogates.pseudonymise(docs(spark, rows)).collect()}
