@@ -7,8 +7,8 @@ component only the first line stays, by document id and position.  Candidates sh
 bitmaps of their whole sets screen them, and the whole sets confirm them.
 
 A line is named by a 64-bit hash of its normal form, so exact copies need no candidates at all.  Candidate
-lines are read in a second pass over the texts, which a Bloom filter of their names guides, so texts
-are shuffled once only, where lines of a document go.
+lines are read in a second pass over the texts, one document for each line, which Bloom filters of the
+documents and of the lines guide, so texts are shuffled once only, where lines of a document go.
 
 Defined edge cases: null texts stay null with no lines; a line of fewer than 8 characters is one
 shingle; rows that repeat an id and text count as one document and get the same result; ids may be
@@ -278,12 +278,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = shared_buckets(sig)
     nodes = durable(m.select("node").distinct())
     bloom = spark.sparkContext.broadcast(Bloom(nodes))
-    body = text.select("text").mapInArrow(wanted_lines(bloom, bits), "node long, n int, sketch array<long>, grams string")
+    # of the documents that hold a candidate line, the one of the smallest key is read for it
+    homes = semi_by_size(sig.select("node", "dk"), nodes, "node").groupBy("node").agg(F.min("dk").alias("dk"))
+    homes = durable(homes.select("dk").distinct().withColumnRenamed("dk", "node"))
+    home = Bloom(homes).column(spark, "dk")
+    body = text.join(F.broadcast(home.table), home.test, "left_semi").select("text").mapInArrow(wanted_lines(bloom, bits), "node long, n int, sketch array<long>, grams string")
     body = durable(semi_by_size(body, nodes, "node").dropDuplicates(["node"]))
     of = lambda *columns: lambda nodes: semi_by_size(body.select("node", *columns), nodes, "node")
     check = lambda df: df.mapInPandas(pair_check(num, den, distinct_grams), "a long, b long")
     comp = linked_components(m, of("n", "sketch"), of("grams"), num, den, Screen(num, den, bits=bits), check, distinct_grams, star_rounds=1)
-    free(m, nodes, body)
+    free(m, nodes, homes, body)
 
     # places of lines that occur again or have a component; all other lines stay
     lines = sig.select("dk", "id", "pos", "node")
@@ -300,7 +304,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = Bloom(gone.select(F.col("dk").alias("node"))).column(spark, "dk")
     some = text.join(F.broadcast(held.table), held.test, "left_semi").join(gone, "dk", "left")
     out = some.unionByName(text.join(F.broadcast(held.table), held.test, "left_anti").withColumn("gone", F.lit(None).cast("array<int>")))
-    n = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
+    n = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != ""))
     return out.select(
         F.col("id").alias(id_col), keep_lines(F.col("text"), F.col("gone")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),
