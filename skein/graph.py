@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from . import schema as S
 from .functions import text as X
 from .operators import contracts as contract
-from .operators import impact, risks, search, traverse
+from .operators import capability, impact, risks, search, traverse
 from .operators import resolve as R
-from .sources import code, readers
+from .sources import code, git, readers
 
 PARTS = ("services", "files", "nodes", "refs", "edges", "boundaries", "usage_sites", "coverage", "meta")
 
@@ -87,6 +87,8 @@ def purge_file(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame
 #: Searched columns and their weights, and the kinds that an exploration shows, best first.
 SEARCHED = {"name": 10.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
 KIND_RANK = ("class", "interface", "function", "method", "constructor", "property", "module", "contract")
+#: Levels that the readers claim: references and data flow of Python.
+CLAIMS = {"python": "L2"}
 #: What no payload may hold, at any depth.
 FORBIDDEN = ("content", "source", "text", "context_line", "context_before", "context_after")
 
@@ -127,6 +129,7 @@ class LineageGraph:
         if meta is None or meta.schema_version != S.SCHEMA_VERSION:
             raise S.SchemaMismatch(f"{path} holds schema {meta and meta.schema_version}, not {S.SCHEMA_VERSION}")
         self.digest = meta.build_digest
+        self.provenance = git.Provenance(*map(meta.asDict().get, ("commit_sha", "branch", "dirty")))
         for part in PARTS[:-1]:
             setattr(self, part, spark.read.parquet(f"{path}/{part}"))
 
@@ -142,7 +145,7 @@ class LineageGraph:
         raw = _write(code.extract(ledger.withColumn("service_id", F.lit(service))), f"{tmp}/raw")
         broken = raw.where("rec = 'boundary'")
         status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("bad"), "error").otherwise("ok")
-        files = ledger.drop("content").join(broken.select(F.col("file_path").alias("path"), F.lit(True).alias("bad")), "path", "left")
+        files = ledger.drop("content", "manifest").join(broken.select(F.col("file_path").alias("path"), F.lit(True).alias("bad")), "path", "left")
         files = _write(files.withColumn("parse_status", status).drop("bad"), f"{tmp}/files")
         nodes = merge_nodes(raw.where("rec = 'node'").select(*NODE))
         nodes = nodes.join(files.select(F.col("path").alias("file_path"), "service_id"), "file_path", "left")
@@ -163,10 +166,11 @@ class LineageGraph:
         stops = broken.select(F.lit(None).cast("string").alias("node_id"), "file_path", "kind", F.col("name").alias("detail"), F.col("start_line").alias("line"))
         stops = stops.unionByName(loose, allowMissingColumns=True).unionByName(R.boundaries_of(refs), allowMissingColumns=True)
         _write(stops, f"{tmp}/boundaries")
-        _write(raw.where("rec = 'usage'").select(F.col("name").alias("symbol_name"), F.col("kind").alias("usage_type"), "file_path", "start_line", F.col("from_node").alias("calling_symbol_id")), f"{tmp}/usage_sites")
+        _write(raw.where("rec = 'usage'").select(F.col("name").alias("symbol_name"), F.col("kind").alias("usage_type"), "file_path", "start_line", F.col("from_node").alias("calling_symbol_id"), "context_before", "context_line", "context_after"), f"{tmp}/usage_sites")
         _write(R.coverage(refs), f"{tmp}/coverage")
         digest = build_digest(nodes=nodes, edges=edges, refs=refs, boundaries=stops)
-        _write(spark.createDataFrame([(S.SCHEMA_VERSION, digest)], "schema_version int, build_digest string"), f"{tmp}/meta")
+        at = git.provenance(root)
+        _write(spark.createDataFrame([(S.SCHEMA_VERSION, digest, root, at.commit_sha, at.branch, at.dirty)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean"), f"{tmp}/meta")
         path = spark._jvm.org.apache.hadoop.fs.Path
         fs = path(tmp).getFileSystem(spark._jsc.hadoopConfiguration())
         for part in ("raw", "ledger", "observed", "contracts", "contract_edges"):
@@ -175,6 +179,14 @@ class LineageGraph:
         _write(spark.createDataFrame([(tmp.rsplit("/", 1)[-1],)], "version string"), f"{out.rstrip('/')}/{POINTER}-{uuid.uuid4().hex}", stamp=True)
         return cls(spark, out)
 
+    def verify(self, root: str, beside: str) -> bool:
+        """Whether a second build of ``root``, stored at ``beside``, gives the same content."""
+        return type(self).build(self.spark, root, beside).digest == self.digest
+
+    def capabilities(self) -> DataFrame:
+        """What each language of the graph shows against the level that its reader claims."""
+        return capability.matrix(self.nodes, self.edges, CLAIMS)
+
     def node(self, symbol: str) -> str:
         """An id by id, by qualified or dotted name, or by a plain name, if exactly one symbol is meant."""
         hits = self.nodes.where((F.col("id") == symbol) | (F.col("qualified_name") == symbol) | (F.col("dotted") == symbol)).select("id").limit(2).collect()

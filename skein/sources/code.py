@@ -21,10 +21,12 @@ DIALECTS = {"py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "go
             "mjs": "javascript", "cjs": "javascript", "mts": "typescript", "cts": "typescript", "kts": "kotlin", "rake": "ruby", "sh": "bash", "bash": "bash"}
 SHEBANGS = (("python", r"^#!.*\bpython"), ("bash", r"^#!.*\b(?:ba|z|k)?sh\b"), ("javascript", r"^#!.*\bnode\b"), ("ruby", r"^#!.*\bruby\b"))
 GENERATED = r"(?i)(?:@generated|do not edit|code generated by|autogenerated)"
+#: Files whose text names a service; kept in the ledger though no dialect reads them.
+MANIFEST = r"^(?:pom\.xml|package\.json|pyproject\.toml|go\.mod|Cargo\.toml)$"
 RAW = (
     "rec string, file_path string, id string, kind string, name string, qualified_name string, dotted string, signature string, docstring string, flags int, parent_id string,"
     " start_line int, end_line int, from_node string, ref_text string, target string, receiver string, lang string, type_ref string, position int, start_byte int, end_byte int,"
-    " args array<struct<index:int,name:string,text:string>>"
+    " args array<struct<index:int,name:string,text:string>>, context_before string, context_line string, context_after string"
 )
 
 
@@ -48,7 +50,7 @@ def ledger(raw: DataFrame, root: str, service: str = "root") -> DataFrame:
     lang = F.coalesce(by_ext, *[F.when(F.substring(head, 1, 128).rlike(p), F.lit(k)) for k, p in SHEBANGS])
     skip = F.when(F.col("lang").isNull(), "unknown_dialect").when(~small, "too_large").when(F.instr(head, "\0") > 0, "binary").when(F.substring(head, 1, 512).rlike(GENERATED), "generated").when(F.col("lang") != "python", "missing_grammar")
     raw = raw.withColumn("lang", lang).withColumn("skip_reason", skip)
-    return raw.select(F.col("rel").alias("path"), "lang", F.lit(service).alias("service_id"), F.when(small, F.sha2("content", 256)).alias("content_hash"), F.col("length").alias("size_bytes"), "skip_reason", F.when(F.col("skip_reason").isNull(), F.col("content")).alias("content"))
+    return raw.select(F.col("rel").alias("path"), "lang", F.lit(service).alias("service_id"), F.when(small, F.sha2("content", 256)).alias("content_hash"), F.col("length").alias("size_bytes"), "skip_reason", F.when(F.col("skip_reason").isNull(), F.col("content")).alias("content"), F.when(small & F.substring_index("rel", "/", -1).rlike(MANIFEST), F.col("content").cast("string")).alias("manifest"))
 
 
 def digest(*parts: str) -> str:
@@ -84,6 +86,7 @@ class Reader(ast.NodeVisitor):
         self.members: set[tuple[str, str]] = set()
         self.statement: ast.AST | None = None
         self.source, self.starts = source, [0]
+        self.lines = source.decode("utf-8", "replace").splitlines()
         for line in source.splitlines(keepends=True):
             self.starts.append(self.starts[-1] + len(line))
 
@@ -128,7 +131,8 @@ class Reader(ast.NodeVisitor):
         return plain + [{"index": len(call.args) + i, "name": k.arg, "text": self.text(k.value)} for i, k in enumerate(call.keywords) if k.arg]
 
     def usage(self, kind: str, name: str, node: ast.AST) -> None:
-        self.rows.append({"rec": "usage", "kind": kind, "name": name, "from_node": self.stack[-1]["id"], "start_line": node.lineno, "end_line": node.end_lineno})
+        near = [self.lines[i].strip() if 0 <= i < len(self.lines) else None for i in range(node.lineno - 2, node.lineno + 1)]
+        self.rows.append({"rec": "usage", "kind": kind, "name": name, "from_node": self.stack[-1]["id"], "start_line": node.lineno, "end_line": node.end_lineno, "context_before": near[0], "context_line": near[1], "context_after": near[2]})
 
     def visit_Module(self, node: ast.Module) -> None:
         end = max((n.end_lineno for n in node.body), default=1)
@@ -250,7 +254,7 @@ def read_python(path: str, service: str, source: bytes) -> list[dict]:
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.strip().split()[0] for c in RAW.split(",")]
+    columns = [c.split()[0] for c in RAW.split(", ")]
     for pdf in batches:
         for path, service, content in zip(pdf["path"], pdf["service_id"], pdf["content"], strict=True):
             out = pd.DataFrame([r | {"file_path": path} for r in read_python(path, service, bytes(content))], columns=columns, dtype=object)

@@ -6,24 +6,47 @@ message, decoded by one Arrow pass per file.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Build manifests and the kind of service they stand for: fixed values.
-MANIFESTS = {"pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle", "package.json": "npm", "pyproject.toml": "python", "setup.py": "python", "go.mod": "go", "Cargo.toml": "cargo", "composer.json": "composer"}
+#: Build manifests and the kind of service they stand for, the first of a folder counts: fixed values.
+MANIFESTS = {"pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle", "package.json": "npm", "pyproject.toml": "pypi", "setup.py": "pypi", "go.mod": "go", "Cargo.toml": "cargo", "Dockerfile": "docker"}
+#: TOML tables whose ``name`` names a service, by manifest; the first that has one counts.
+NAMED_BY = {"pyproject.toml": ("project", "tool.poetry"), "Cargo.toml": ("package",)}
+
+
+def manifest_name(base: Column, text: Column) -> Column:
+    """The name that a manifest's text gives its service; null where it gives none."""
+
+    def toml(table: str) -> Column:
+        # the lines of one table, up to the next header
+        own = F.regexp_extract(F.concat(F.lit("\n"), text, F.lit("\n[")), rf"(?s)\n\[{re.escape(table)}\][^\n]*\n(.*?)\n\[", 1)
+        return F.nullif(F.regexp_extract(F.concat(F.lit("\n"), own), r"""\n\s*name\s*=\s*["']([^"'\n]+)["']""", 1), F.lit(""))
+
+    found = F.lit(None).cast("string")
+    for name, tables in NAMED_BY.items():
+        found = F.when(base == name, F.coalesce(*map(toml, tables))).otherwise(found)
+    npm = F.regexp_replace(F.regexp_replace(F.get_json_object(text, "$.name"), "^@+", ""), "/", "-")
+    go = F.substring_index(F.trim(F.regexp_extract(text, r"(?m)^module (.*)$", 1)), "/", -1)
+    pom = F.trim(F.regexp_extract(F.substring_index(text, "<dependencies>", 1), "<artifactId>([^<]+)</artifactId>", 1))
+    found = F.when(base == "package.json", npm).when(base == "go.mod", go).when(base == "pom.xml", pom).otherwise(found)
+    return F.nullif(F.when(base.endswith(".csproj"), F.regexp_replace(base, r"\.csproj$", "")).otherwise(found), F.lit(""))
 
 
 def services(paths: DataFrame) -> DataFrame:
-    """Services of a file ledger (``path``): one per folder with a manifest, and the root in any case."""
+    """Services of a file ledger (``path``, and ``manifest``, the text of manifests, if there): one per folder with a manifest, and the root in any case."""
     base, folder = F.substring_index("path", "/", -1), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base), F.when(base.endswith(".csproj"), "dotnet"))
-    found = paths.select(folder.alias("root"), kind.alias("kind"), F.col("path").alias("manifest_path")).where("kind is not null")
-    root = paths.sparkSession.createDataFrame([("", "root", None)], "root string, kind string, manifest_path string")
-    one = found.union(root).groupBy("root").agg(F.min(F.struct(F.col("manifest_path").isNull(), "manifest_path", "kind")).alias("m"))
-    name = F.when(F.col("root") == "", "root").otherwise(F.substring_index("root", "/", -1))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, MANIFESTS)), base), F.lit(0)), F.lit(len(MANIFESTS) + 1))
+    said = manifest_name(base, F.col("manifest")) if "manifest" in paths.columns else F.lit(None).cast("string")
+    found = paths.select(folder.alias("root"), rank.cast("long").alias("rank"), kind.alias("kind"), F.col("path").alias("manifest_path"), said.alias("said")).where("kind is not null")
+    root = paths.sparkSession.createDataFrame([("", len(MANIFESTS) + 2, "directory", None, None)], "root string, rank long, kind string, manifest_path string, said string")
+    one = found.union(root).groupBy("root").agg(F.min(F.struct("rank", "manifest_path", "kind", "said")).alias("m"))
+    name = F.coalesce("m.said", F.when(F.col("root") == "", "root").otherwise(F.substring_index("root", "/", -1)))
     return one.select(F.substring(F.sha2(F.concat_ws("\0", name, "root"), 256), 1, 32).alias("id"), name.alias("name"), "root", F.col("m.kind").alias("kind"), F.col("m.manifest_path").alias("manifest_path"))
 
 

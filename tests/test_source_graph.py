@@ -108,9 +108,18 @@ def test_questions(graph):
         graph.node("same")
 
 
+def test_context_services_and_capabilities(graph):
+    u = graph.find_usage("util.text.clean", "import").first()
+    assert (u.context_before, u.context_line, u.context_after) == ("import util.text as tx", "from util.text import clean", "")
+    assert graph.find_usage("Square", "call").first().context_after == "raise Oops()"
+    assert {r["name"] for r in graph.services.collect()} >= {"root"}
+    (py,) = graph.capabilities().where("lang = 'python'").collect()
+    assert (py.level, py.level_unsupported, py.calls, py.inherits, py.dataflow) == ("L2", None, "true", "true", "true")
+
+
 def test_store(spark, graph, tree, tmp_path):
-    again = LineageGraph.build(spark, str(tree), str(tmp_path / "again"))
-    assert again.digest == graph.digest
+    assert graph.verify(str(tree), str(tmp_path / "again"))
+    again = LineageGraph(spark, str(tmp_path / "again"))
     assert build_digest(x=graph.nodes.repartition(7)) == build_digest(x=graph.nodes) != build_digest(x=graph.nodes.where("kind <> 'class'"))
     spark.createDataFrame([(S.SCHEMA_VERSION + 1, "")], "schema_version int, build_digest string").write.mode("overwrite").parquet(f"{again.path}/meta")
     with pytest.raises(S.SchemaMismatch):
