@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from . import schema as S
 from .functions import text as X
 from .operators import contracts as contract
-from .operators import capability, impact, risks, search, traverse
+from .operators import adjacency, capability, impact, risks, search, traverse
 from .operators import resolve as R
+from .operators.adjacency import Adjacency, Lookup
+from .operators.traverse import together
 from .sources import code, git, readers
 
-PARTS = ("services", "files", "nodes", "refs", "edges", "boundaries", "usage_sites", "coverage", "meta")
+PARTS = ("services", "files", "symbols", "nodes", "refs", "edges", "boundaries", "usage_sites", "coverage", "meta")
 
 
 @dataclass
@@ -48,6 +50,9 @@ def _write(df: DataFrame, path: str, stamp: bool = False) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+OBSERVED = ("file_path", "from_node", "kind", "name", "ref_text", "target", "receiver", "lang", "start_line", "end_line", "start_byte", "end_byte", "args")
+#: Parts that are stored in bins by a key, to be read by it.
+STORED = ("nodes", "edges")
 #: Folders that name the version of a graph; the latest counts.
 POINTER = "current"
 NODE = ("id", "kind", "name", "qualified_name", "dotted", "signature", "docstring", "flags", "parent_id", "file_path", "lang", "type_ref", "position", "start_line", "end_line", "start_byte", "end_byte")
@@ -105,22 +110,83 @@ def payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _data_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """PARAM_BINDS and RETURNS of resolved calls."""
-    calls = refs.where("kind = 'call' and dst is not null").withColumn("call", F.concat_ws(":", "file_path", "start_byte", "end_byte", "ref_text"))
-    hit = calls.select("call", F.col("dst").alias("callee"), "file_path", "start_byte", "end_byte")
+    # calls only: a type that is made binds nothing
+    calls = refs.where("kind = 'call' and dst is not null").where(~F.col("dst_kind").isin(*S.TYPES)).withColumn("call", F.concat_ws(":", "file_path", "start_byte", "end_byte", "ref_text"))
+    hit = calls.select("call", F.col("dst").alias("callee"), "file_path", F.col("start_line").alias("line"), "start_byte", "end_byte")
     args = calls.select("call", "from_node", "file_path", F.col("start_line").alias("line"), F.explode("args").alias("a")).where("a.name is null")
     values = nodes.where("kind in ('parameter', 'variable')").groupBy(F.col("parent_id").alias("from_node"), F.col("name").alias("said")).agg(F.min("id").alias("value"), F.count("*").alias("k")).where("k = 1")
     args = args.withColumn("said", F.col("a.text")).join(values, ["from_node", "said"], "left")
     args = args.select("call", F.col("a.index").alias("position"), F.coalesce("value", "from_node").alias("src"), "file_path", "line")
     params = nodes.where("kind = 'parameter'").select("id", "parent_id", "name", "position")
-    # a call of a type binds the parameters of its constructor
-    made = nodes.where("kind = 'constructor'").select(F.col("parent_id").alias("callee"), F.col("id").alias("init"))
-    bind = hit.select("call", "callee").join(made, "callee", "left").select("call", F.coalesce("init", "callee").alias("callee"))
     writes = refs.where("kind = 'write' and dst is not null").select(F.col("dst").alias("value"), "file_path", "start_byte", "end_byte")
-    out = R.param_binds(bind, args, params).unionByName(R.returns(hit, writes), allowMissingColumns=True)
+    out = R.param_binds(hit.select("call", "callee"), args, params).unionByName(R.returns(hit, writes), allowMissingColumns=True)
     out = out.where("src <> dst").withColumns({"resolution": F.lit("inferred"), "evidence_tier": F.lit("heuristic")})
     return out.withColumn("evidence_label", F.lower("kind"))
 
 
+def _broken(raw: DataFrame) -> DataFrame:
+    return raw.where("rec = 'boundary'").select("file_path", "kind", F.col("name").alias("detail"), F.col("start_line").alias("line"))
+
+
+def _usage(raw: DataFrame) -> DataFrame:
+    return raw.where("rec = 'usage'").select(F.col("name").alias("symbol_name"), F.col("kind").alias("usage_type"), "file_path", "start_line", F.col("from_node").alias("calling_symbol_id"), "context_before", "context_line", "context_after")
+
+
+def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str) -> None:
+    """What follows from symbols and resolved references: services, files, contracts, nodes, edges, boundaries, coverage, digest."""
+    found = _write(readers.services(ledger), f"{tmp}/services")
+    ledger = readers.locate(ledger, found)
+    status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("bad"), "error").otherwise("ok")
+    files = ledger.drop("content", "manifest").join(broken.select(F.col("file_path").alias("path"), F.lit(True).alias("bad")).distinct(), "path", "left")
+    files = _write(files.withColumn("parse_status", status).drop("bad"), f"{tmp}/files")
+    nodes = merge_nodes(symbols).join(files.select(F.col("path").alias("file_path"), "service_id"), "file_path", "left")
+    contracts, contract_edges, loose = contract.detect(refs.withColumnRenamed("name", "ref_name"), contract.adapters(spark))
+    nodes = nodes.unionByName(contracts.select("id", "kind", "name", "qualified_name", "lang", "file_path", "start_line", "end_line", F.lit(0).alias("flags")), allowMissingColumns=True)
+    contract_edges = _write(contract_edges, f"{tmp}/contract_edges")
+    bins = adjacency.bins_for(refs.count())
+    nodes = Lookup.write(contract.entry_flags(nodes, contract_edges), "id", f"{tmp}/nodes", bins).all()
+    edges = R.edges_of(refs, nodes).unionByName(contract_edges, allowMissingColumns=True).unionByName(_data_edges(refs, nodes), allowMissingColumns=True)
+    edges = edges.groupBy("src", "dst", "kind", "line", "start_byte").agg(*[F.min(c).alias(c) for c in ("file_path", "resolution", "evidence_tier", "evidence_label")])
+    stops = broken.select(F.lit(None).cast("string").alias("node_id"), "file_path", "kind", "detail", "line")
+    stops = stops.unionByName(loose, allowMissingColumns=True).unionByName(R.boundaries_of(refs), allowMissingColumns=True)
+    edges, stops, *_ = together(
+        lambda: Lookup.write(edges, "src", f"{tmp}/edges", bins).all(), lambda: _write(stops, f"{tmp}/boundaries"), lambda: Lookup.write(_names(nodes), "said", f"{tmp}/names", bins),
+        lambda: _write(usage, f"{tmp}/usage_sites"), lambda: _write(R.coverage(refs), f"{tmp}/coverage"),
+    )
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    sums, _, held = together(lambda: build_digest(nodes=nodes, edges=edges, refs=refs, boundaries=stops), lambda: Lookup.write(edges, "dst", f"{tmp}/edges_by_dst", bins), lambda: ends.join(nodes, "id", "left_anti").isEmpty())
+    if not held:
+        raise ValueError("an edge ends at no node")
+    at = git.provenance(root)
+    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int"), f"{tmp}/meta")
+    _delete(spark, *[f"{tmp}/{part}" for part in ("raw", "ledger", "touched", "contract_edges")])
+
+
+def _delete(spark: SparkSession, *paths: str) -> None:
+    for x in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(x)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Versions of a graph that stay on disk, for readers that still hold one.
+VERSIONS = 3
+
+
+def _publish(spark: SparkSession, tmp: str, out: str) -> None:
+    """Name the version that counts in one small file, so that a reader sees the old graph or the new one; the oldest versions go."""
+    out, own = out.rstrip("/"), tmp.rsplit("/", 1)[-1]
+    _write(spark.createDataFrame([(own,)], "version string"), f"{out}/{POINTER}-{uuid.uuid4().hex}", stamp=True)
+    past = spark.read.parquet(f"{out}/{POINTER}-*").select("version", "at", F.col("_metadata.file_path").alias("file")).orderBy(F.desc("at"), "version").collect()
+    _delete(spark, *[x for r in past[VERSIONS:] for x in (f"{out}/{r.version}", r.file.rsplit("/", 1)[0])])
+
+
+def _names(nodes: DataFrame) -> DataFrame:
+    """``(said, how, id)``: what a symbol may be called, first by its id or full names, then by its plain name."""
+    said = lambda c, how: F.struct(F.col(c).alias("said"), F.lit(how).alias("how"))
+    plain = F.struct(F.when(F.col("kind") != "parameter", F.col("name")).alias("said"), F.lit(1).alias("how"))
+    return nodes.select("id", F.inline(F.array(said("id", 0), said("qualified_name", 0), said("dotted", 0), plain))).where("said is not null").distinct()
+
+
 class LineageGraph:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.root = spark, path
@@ -131,54 +197,64 @@ class LineageGraph:
         self.digest = meta.build_digest
         self.provenance = git.Provenance(*map(meta.asDict().get, ("commit_sha", "branch", "dirty")))
         for part in PARTS[:-1]:
-            setattr(self, part, spark.read.parquet(f"{path}/{part}"))
+            if part not in STORED:
+                setattr(self, part, spark.read.parquet(f"{path}/{part}"))
+        self.adjacency = Adjacency.open(spark, path, meta.bins)
+        self.by_id = Lookup.open(spark, f"{path}/nodes", "id", meta.bins)
+        self.by_name = Lookup.open(spark, f"{path}/names", "said", meta.bins)
+        self.edges, self.nodes = self.adjacency.edges, self.by_id.all()
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, out: str, service: str = "root") -> LineageGraph:
-        """Read a tree into ``out``: all or nothing, since the version that counts is named when its last table is written."""
+    def build(cls, spark: SparkSession, root: str, out: str, service: str = "root", precise: DataFrame | None = None) -> LineageGraph:
+        """Read a tree into ``out``: all or nothing, since the version that counts is named when its last table is written.
+
+        ``precise`` are answers of an index (see ``readers.precise``), which win over names.
+        """
         tmp = f"{out.rstrip('/')}/v-{uuid.uuid4().hex}"
         # written first, so that files that change meanwhile cannot give a ledger and symbols of different states
         ledger = _write(code.files(spark, root, service), f"{tmp}/ledger")
-        found = readers.services(ledger)
-        found = _write(found, f"{tmp}/services")
-        ledger = readers.locate(ledger, found)
         raw = _write(code.extract(ledger.withColumn("service_id", F.lit(service))), f"{tmp}/raw")
-        broken = raw.where("rec = 'boundary'")
-        status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("bad"), "error").otherwise("ok")
-        files = ledger.drop("content", "manifest").join(broken.select(F.col("file_path").alias("path"), F.lit(True).alias("bad")), "path", "left")
-        files = _write(files.withColumn("parse_status", status).drop("bad"), f"{tmp}/files")
-        nodes = merge_nodes(raw.where("rec = 'node'").select(*NODE))
-        nodes = nodes.join(files.select(F.col("path").alias("file_path"), "service_id"), "file_path", "left")
-        refs = raw.where("rec = 'ref'").select("file_path", "from_node", "kind", "name", "ref_text", "target", "receiver", "lang", "start_line", "end_line", "start_byte", "end_byte", "args")
-        refs = _write(refs, f"{tmp}/observed")
-        contracts, contract_edges, loose = contract.detect(refs.withColumnRenamed("name", "ref_name"), contract.adapters(spark))
-        held = _write(contracts, f"{tmp}/contracts")
-        nodes = nodes.unionByName(held.select("id", "kind", "name", "qualified_name", "lang", "file_path", "start_line", "end_line", F.lit(0).alias("flags")), allowMissingColumns=True)
-        contract_edges = _write(contract_edges, f"{tmp}/contract_edges")
-        nodes = _write(contract.entry_flags(nodes, contract_edges), f"{tmp}/nodes")
-        refs = _write(R.resolve(refs, nodes.where("kind <> 'contract'")), f"{tmp}/refs")
-        edges = R.edges_of(refs, nodes).unionByName(contract_edges, allowMissingColumns=True).unionByName(_data_edges(refs, nodes), allowMissingColumns=True)
-        edges = edges.groupBy("src", "dst", "kind", "line", "start_byte").agg(*[F.min(c).alias(c) for c in ("file_path", "resolution", "evidence_tier", "evidence_label")])
-        edges = _write(edges, f"{tmp}/edges")
-        ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
-        if not ends.join(nodes, "id", "left_anti").isEmpty():
-            raise ValueError("an edge ends at no node")
-        stops = broken.select(F.lit(None).cast("string").alias("node_id"), "file_path", "kind", F.col("name").alias("detail"), F.col("start_line").alias("line"))
-        stops = stops.unionByName(loose, allowMissingColumns=True).unionByName(R.boundaries_of(refs), allowMissingColumns=True)
-        _write(stops, f"{tmp}/boundaries")
-        _write(raw.where("rec = 'usage'").select(F.col("name").alias("symbol_name"), F.col("kind").alias("usage_type"), "file_path", "start_line", F.col("from_node").alias("calling_symbol_id"), "context_before", "context_line", "context_after"), f"{tmp}/usage_sites")
-        _write(R.coverage(refs), f"{tmp}/coverage")
-        digest = build_digest(nodes=nodes, edges=edges, refs=refs, boundaries=stops)
-        at = git.provenance(root)
-        _write(spark.createDataFrame([(S.SCHEMA_VERSION, digest, root, at.commit_sha, at.branch, at.dirty)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean"), f"{tmp}/meta")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(tmp).getFileSystem(spark._jsc.hadoopConfiguration())
-        for part in ("raw", "ledger", "observed", "contracts", "contract_edges"):
-            fs.delete(path(f"{tmp}/{part}"), True)
-        # one small file names the version that counts; a reader sees the old graph or the new one
-        _write(spark.createDataFrame([(tmp.rsplit("/", 1)[-1],)], "version string"), f"{out.rstrip('/')}/{POINTER}-{uuid.uuid4().hex}", stamp=True)
+        symbols = _write(raw.where("rec = 'node'").select(*NODE), f"{tmp}/symbols")
+        refs = _write(R.resolve(raw.where("rec = 'ref'").select(*OBSERVED), merge_nodes(symbols), precise), f"{tmp}/refs")
+        _finish(spark, tmp, ledger, _broken(raw), symbols, refs, _usage(raw), root)
+        _publish(spark, tmp, out)
         return cls(spark, out)
 
+    def update(self, root: str, service: str = "root") -> LineageGraph:
+        """The graph of ``root`` as it is now, from this one: only files that differ are read and only references that they may touch are resolved.
+
+        The new version holds what a build would; this one stays readable.  Without a difference it is returned itself.
+        """
+        spark, out = self.spark, self.root
+        tmp = f"{out.rstrip('/')}/v-{uuid.uuid4().hex}"
+        ledger = code.files(spark, root, service)
+        now = ledger.select("path", "content_hash", "size_bytes", F.lit(True).alias("here"))
+        was = self.files.select("path", F.col("content_hash").alias("h"), F.col("size_bytes").alias("s"), F.lit(True).alias("there"))
+        same = F.col("here") & F.col("there") & F.col("content_hash").eqNullSafe(F.col("h")) & F.col("size_bytes").eqNullSafe(F.col("s"))
+        touched = _write(now.join(was, "path", "full").where(~F.coalesce(same, F.lit(False))).select(F.col("path").alias("file_path"), F.coalesce("here", F.lit(False)).alias("here")), f"{tmp}/touched")
+        if touched.isEmpty():
+            _delete(spark, tmp)
+            return self
+        ledger = _write(ledger, f"{tmp}/ledger")
+        read = ledger.join(touched.where("here").select(F.col("file_path").alias("path")), "path", "left_semi")
+        raw = _write(code.extract(read.withColumn("service_id", F.lit(service))), f"{tmp}/raw")
+        kept = lambda df: df.join(touched.select("file_path"), "file_path", "left_anti").select(*df.columns)
+        symbols = _write(kept(self.symbols).unionByName(raw.where("rec = 'node'").select(*NODE)), f"{tmp}/symbols")
+        old, nodes = merge_nodes(self.symbols), merge_nodes(symbols)
+        stay, new = kept(self.refs), raw.where("rec = 'ref'").select(*OBSERVED)
+        again, inherits = R.affected(self.refs, stay, new, old, nodes)
+        fresh = R.resolve(again.select(*OBSERVED).union(new), nodes, None, inherits)
+        stay = stay.join(again.select(*R.AT), [stay[c].eqNullSafe(again[c]) for c in R.AT], "left_anti").select(*stay.columns)
+        refs = _write(stay.unionByName(fresh), f"{tmp}/refs")
+        broken = kept(self.boundaries.where("kind = 'parse_error'")).select("file_path", "kind", "detail", "line").unionByName(_broken(raw))
+        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root)
+        _publish(spark, tmp, out)
+        return type(self)(spark, out)
+
+    def reopen(self) -> LineageGraph:
+        """This graph, or its newest version if another one counts by now."""
+        return self if current(self.spark, self.root) == self.path else type(self)(self.spark, self.root)
+
     def verify(self, root: str, beside: str) -> bool:
         """Whether a second build of ``root``, stored at ``beside``, gives the same content."""
         return type(self).build(self.spark, root, beside).digest == self.digest
@@ -189,17 +265,18 @@ class LineageGraph:
 
     def node(self, symbol: str) -> str:
         """An id by id, by qualified or dotted name, or by a plain name, if exactly one symbol is meant."""
-        hits = self.nodes.where((F.col("id") == symbol) | (F.col("qualified_name") == symbol) | (F.col("dotted") == symbol)).select("id").limit(2).collect()
-        hits = hits or self.nodes.where((F.col("name") == symbol) & (F.col("kind") != "parameter")).select("id").limit(2).collect()
-        if len(hits) != 1:
-            raise KeyError(f"{symbol}: {'several symbols' if hits else 'no symbol'}")
-        return hits[0].id
+        hits = self.by_name.of(symbol)
+        best = hits.agg(F.min("how")).first()[0]
+        found = [r.id for r in hits.where(F.col("how") == best).select("id").distinct().limit(2).collect()] if best is not None else []
+        if len(found) != 1:
+            raise KeyError(f"{symbol}: {'several symbols' if found else 'no symbol'}")
+        return found[0]
 
     def _walk(self, symbol: str, direction: str, kinds: tuple[str, ...], depth: int, limit: int) -> Answer:
-        start = self.spark.createDataFrame([(self.node(symbol),)], "node string")
-        w = traverse.walk(self.edges, start, direction, kinds, depth).where("depth > 0")
-        rows = w.join(self.nodes.withColumnRenamed("id", "node").select("node", "name", F.col("kind").alias("node_kind"), "qualified_name", "file_path", "start_line"), "node")
-        total = w.count()
+        w = traverse.walk(self.adjacency, [self.node(symbol)], direction, kinds, depth).where("depth > 0")
+        total, bins = self.by_id.touched(w.select("node"))
+        nodes = self.by_id.near(w.select("node"), (total, bins))
+        rows = w.join(nodes.withColumnRenamed("id", "node").select("node", "name", F.col("kind").alias("node_kind"), "qualified_name", "file_path", "start_line"), "node")
         open_ = self.refs.where("status = 'ambiguous'").join(w.select(F.col("node").alias("from_node")), "from_node", "left_semi").count()
         return Answer(rows.orderBy("depth", "qualified_name").limit(limit), total, total > limit, open_)
 
@@ -236,10 +313,10 @@ class LineageGraph:
         return self._walk(symbol, "backward" if direction == "upstream" else "forward", S.DATA_FLOW, depth, limit)
 
     def explain(self, a: str, b: str) -> DataFrame:
-        return self.edges.where((F.col("src") == self.node(a)) & (F.col("dst") == self.node(b))).orderBy("kind", "line")
+        return self.adjacency.forward.of(self.node(a)).where(F.col("dst") == self.node(b)).orderBy("kind", "line")
 
     def trace_flow(self, symbol: str, depth: int = 6, budget: int = 60) -> list[dict]:
-        return traverse.trace_flow(self.edges, self.node(symbol), ("CALLS", "INSTANTIATES"), depth, budget)
+        return traverse.trace_flow(self.adjacency, self.node(symbol), ("CALLS", "INSTANTIATES"), depth, budget)
 
     def contract_map(self) -> DataFrame:
         """Every contract with its exposers and consumers, and whether one side is missing."""
@@ -277,7 +354,7 @@ class LineageGraph:
         return hits.join(called, "id", "left").select("id", "kind", "name", "qualified_name", "hits", "score", F.coalesce("callers", F.lit(0)).alias("callers")).orderBy(F.desc("hits"), rank, "score", "id")
 
     def find_paths(self, start: str, goal: str, depth: int = 6, paths: int = 6) -> DataFrame:
-        return traverse.find_paths(self.edges, self.node(start), self.node(goal), S.CALL_CHAIN, depth, paths)
+        return traverse.find_paths(self.adjacency, self.node(start), self.node(goal), S.CALL_CHAIN, depth, paths)
 
     def search(self, *terms: str, mode: str | None = None, limit: int = 20) -> DataFrame:
         """Symbols by weighted columns: rows with all terms, or with any where none has all."""

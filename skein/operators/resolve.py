@@ -6,6 +6,8 @@ and the only symbol of that name in the same language.  Within a rung the neares
 resolved first, since scopes and members look through the bases of a class.  Several symbols on the winning level
 give no edge but an ``ambiguous`` row.  Candidates of a name are counted before the join and at most ``KEPT`` ids are
 kept for the report, so a name that thousands of symbols share costs one row.
+
+``affected`` names the references that a change of symbols may resolve in another way; the others keep what they have.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .traverse import settle
+from .traverse import settle, together
 
 #: Edge kinds by reference kind: fixed values.
 EDGE_OF = {"call": "CALLS", "import": "IMPORTS", "inherit": "INHERITS", "implement": "IMPLEMENTS", "decorate": "DECORATES", "type": "HAS_TYPE", "instantiate": "INSTANTIATES", "throw": "THROWS", "read": "READS", "write": "WRITES"}
@@ -38,34 +40,41 @@ def _allowed() -> Column:
 
 
 def _held(nodes: DataFrame, *keys: str) -> DataFrame:
-    """One row per key and symbol kind: how many symbols, and the smallest ``KEPT`` ids of them."""
-    w = W.partitionBy(*keys, "kind").orderBy("id")
-    n = nodes.select(*keys, "kind", "id").distinct().withColumn("nth", F.row_number().over(w))
-    return n.groupBy(*keys, F.col("kind").alias("dst_kind")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= KEPT, F.col("id")))).alias("ids"))
-
-
-def ancestors(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """Containers of every symbol, itself first: ``(id, scope, depth)``; a cycle of containers ends at ``depth``."""
-    up = nodes.select(F.col("id").alias("scope"), "parent_id").distinct()
-    level = nodes.select("id", F.col("id").alias("scope"), F.lit(0).alias("depth"))
-    out = level
-    for k in range(1, depth + 1):
-        level = settle(level.join(up, "scope").where("parent_id is not null").select("id", F.col("parent_id").alias("scope"), F.lit(k).alias("depth")))
+    """One row per key and symbol kind: how many symbols, and the smallest ``KEPT`` ids of them.
+
+    Counts are pre-aggregated, and the window keeps its first rows before they are shuffled, so a name that very many symbols
+    share does not bring them together in one task.
+    """
+    n = nodes.select(*keys, "kind", "id").distinct()
+    first = n.withColumn("nth", F.row_number().over(W.partitionBy(*keys, "kind").orderBy("id"))).where(F.col("nth") <= KEPT)
+    first = first.groupBy(*keys, "kind").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    many = n.groupBy(*keys, "kind").agg(F.count("*").alias("n"))
+    return many.join(first, [*keys, "kind"]).withColumnRenamed("kind", "dst_kind")
+
+
+def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Containers of every symbol, or of those ``of(id)``, itself first: ``(id, scope, depth)``, however deep; a cycle ends where a container was seen before."""
+    up = settle(nodes.where("parent_id is not null").select(F.col("id").alias("scope"), "parent_id").distinct())
+    level = settle((nodes if of is None else of).select("id", F.col("id").alias("scope"), F.lit(0).alias("depth")).distinct())
+    out, k = level, 0
+    while True:
+        k += 1
+        level = level.join(up, "scope").select("id", F.col("parent_id").alias("scope"), F.lit(k).alias("depth"))
+        level = settle(level.join(out.select("id", "scope"), ["id", "scope"], "left_anti"))
         if level.isEmpty():
-            break
+            return out
         out = out.union(level)
-    return out
 
 
-def bases(inherits: DataFrame, depth: int = 16) -> DataFrame:
-    """All bases of every type, nearest first: ``(id, base, up)``; cycles end where a base was seen before."""
+def bases(inherits: DataFrame) -> DataFrame:
+    """All bases of every type, nearest first: ``(id, base, up)``, however long the chain; cycles end where a base was seen before."""
     seen = level = settle(inherits.select(F.col("src").alias("id"), F.col("dst").alias("base"), F.lit(1).alias("up")).where("id <> base").distinct())
     step = level.select(F.col("id").alias("base"), F.col("base").alias("next"))
-    for k in range(2, depth + 1):
+    k = 1
+    while not level.isEmpty():
+        k += 1
         level = level.join(step, "base").select("id", F.col("next").alias("base")).where("id <> base").distinct().join(seen, ["id", "base"], "left_anti")
         level = settle(level.select("id", "base", F.lit(k).alias("up")))
-        if level.isEmpty():
-            break
         seen = seen.union(level)
     return seen
 
@@ -81,28 +90,86 @@ def _best(hits: DataFrame) -> DataFrame:
     return h.groupBy("ref").agg(F.min("rung").alias("rung"), F.sum(F.greatest("n", F.size("ids"))).alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, KEPT).alias("ids"), F.min("dst_kind").alias("dst_kind"))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, precise: DataFrame | None = None) -> DataFrame:
-    """``refs`` with ``status`` (exact, inferred, ambiguous, external), ``step``, ``dst``, ``dst_kind``, ``candidates``, ``n_candidates``, ``reason``.
+_OPTIONAL = (("target", "string"), ("receiver", "string"), ("start_byte", "int"), ("end_byte", "int"), ("lang", "string"))
+#: What makes two observations the same reference.
+AT = ("file_path", "from_node", "kind", "ref_text", "start_line", "end_line", "start_byte", "end_byte")
+
+
+def _have(df: DataFrame, *names: tuple[str, str]) -> DataFrame:
+    return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in names if c not in df.columns])
+
+
+def _keyed(refs: DataFrame) -> DataFrame:
+    """One row per reference, with its key ``ref``; arguments that several observations hold are united."""
+    r = _have(refs, *_OPTIONAL)
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) if c == "args" else F.min(c)
+    r = r.groupBy(*AT).agg(*[united(c).alias(c) for c in r.columns if c not in AT])
+    return r.withColumn("ref", F.sha2(F.to_json(F.struct(*AT), {"ignoreNullFields": "false"}), 256))
+
+
+def _known(nodes: DataFrame) -> DataFrame:
+    return _have(nodes, ("dotted", "string"), ("lang", "string"), ("type_ref", "string"))
+
+
+def _tail(c: Column) -> Column:
+    """The last name of a type reference."""
+    return F.regexp_extract(c, r"([\w$]+)\W*$", 1)
+
+
+def _bare(receiver: Column) -> Column:
+    return F.regexp_replace(receiver, r"^(self|this|cls)\.", "")
+
+
+def _tables(nodes: DataFrame, r: DataFrame | None) -> dict[str, DataFrame]:
+    """What the rungs look up, written once and read by every pass; only what ``r`` names, if it is given."""
+    named, full = nodes.where("name is not null"), nodes.where("dotted is not null")
+    if r is not None:
+        named = named.join(r.select("name").distinct(), "name", "left_semi")
+        full = full.join(r.select(F.col("target").alias("dotted")).distinct(), "dotted", "left_semi")
+    language = F.coalesce("lang", F.lit("")).alias("lang")
+    types = nodes.where(F.col("kind").isin(*_TYPES))
+    members, dotted, anywhere, holders = together(
+        lambda: settle(_held(named.where("parent_id is not null"), "parent_id", "name").withColumnRenamed("parent_id", "holder")),
+        lambda: settle(_held(full, "dotted").withColumnRenamed("dotted", "target")),
+        lambda: settle(_held(named.where("kind <> 'parameter'").select("id", "kind", "name", language), "name", "lang")),
+        lambda: settle(types.select(F.col("id").alias("holder")).distinct()),
+    )
+    return {
+        "members": members,
+        "dotted": dotted,
+        "anywhere": anywhere,
+        "types": holders,
+        "named": types.groupBy(F.col("name").alias("type_name"), F.col("lang").alias("type_lang")).agg(F.min("id").alias("holder"), F.countDistinct("id").alias("k")).where("k = 1").drop("k"),
+        "hint": nodes.where("type_ref is not null").select(F.col("parent_id").alias("holder"), F.col("name").alias("receiver"), _tail(F.col("type_ref")).alias("type_name")).distinct(),
+    }
+
+
+def _inherits(r: DataFrame, done: DataFrame) -> DataFrame:
+    """``(src, dst)`` of the references to bases that have one answer."""
+    return r.where("kind in ('inherit', 'implement')").join(done.where("n = 1"), "ref").select(F.col("from_node").alias("src"), F.col("ids")[0].alias("dst"))
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, precise: DataFrame | None = None, inherits: DataFrame | None = None) -> DataFrame:
+    """``refs`` with ``status`` (exact, inferred, ambiguous, external), ``step``, ``dst``, ``dst_kind``, ``candidates``, ``n_candidates``, ``reason``, ``late``.
 
     ``refs`` needs ``from_node, kind, name, ref_text, file_path, start_line, end_line``; ``target`` (imported name), ``receiver``,
     ``start_byte``, ``end_byte`` and ``lang`` may be missing.  ``nodes`` needs ``id, kind, name, parent_id``; ``dotted, lang, type_ref`` may be
     missing.  ``precise(file_path, start_line, name, dst)`` are answers of a precise index; a null ``dst`` says external.
+    ``inherits(src, dst)`` are bases known beforehand, when ``refs`` are some of a graph's.  ``late`` marks a base or import that was only
+    found through the bases of another.
     """
-    have = lambda df, *names: df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in names if c not in df.columns])
-    nodes = have(nodes, ("dotted", "string"), ("lang", "string"), ("type_ref", "string"))
-    r = have(refs, ("target", "string"), ("receiver", "string"), ("start_byte", "int"), ("end_byte", "int"), ("lang", "string"))
-    at = ["file_path", "from_node", "kind", "ref_text", "start_line", "end_line", "start_byte", "end_byte"]
-    r = r.groupBy(*at).agg(*[F.min(c).alias(c) for c in r.columns if c not in at])
-    r = settle(r.withColumn("ref", F.sha2(F.to_json(F.struct(*at), {"ignoreNullFields": "false"}), 256)))
-    scopes = settle(ancestors(nodes.select("id", "parent_id").distinct()))
+    nodes, r = _known(nodes), settle(_keyed(refs))
+    look, scopes = together(lambda: _tables(nodes, None if inherits is None else r), lambda: ancestors(nodes, r.select(F.col("from_node").alias("id"))))
     first = r.where(F.col("kind").isin(*FIRST))
-    done = settle(_pass(first, nodes, scopes, None, precise))
-    inherits = first.where("kind in ('inherit', 'implement')").join(done.where("n = 1"), "ref").select(F.col("from_node").alias("src"), F.col("ids")[0].alias("dst"))
-    own = settle(bases(inherits))
-    rest = settle(_pass(r.where(~F.col("kind").isin(*FIRST)), nodes, scopes, own, precise))
+    done = settle(_pass(first, look, scopes, None, precise, nodes))
+    found = _inherits(first, done)
+    own = bases(found if inherits is None else found.union(inherits))
+    none = own.isEmpty()
+    best = done.union(settle(_pass(r.where(~F.col("kind").isin(*FIRST)), look, scopes, None if none else own, precise, nodes))).withColumn("late", F.lit(False))
     # a base that is a member of another base is found once the first bases are known
-    again = settle(_pass(first.join(done, "ref", "left_anti"), nodes, scopes, own, precise))
-    best = done.union(rest).union(again)
+    again = settle(first.join(done, "ref", "left_anti"))
+    if not none and not again.isEmpty():
+        best = best.union(settle(_pass(again, look, scopes, own, precise, nodes)).withColumn("late", F.lit(True)))
     one = F.col("n") == 1
     rung = F.col("rung")
     status = F.when(rung.isNull() | (F.size("ids") == 0), "external").when(~one, "ambiguous").when(rung.isin(0, 1, 2, 4), "exact").otherwise("inferred")
@@ -111,15 +178,65 @@ def resolve(refs: DataFrame, nodes: DataFrame, precise: DataFrame | None = None)
     return out.select(
         *refs.columns, "status", F.when(F.col("status") != "external", step).alias("step"), F.when(one, F.get("ids", F.lit(0))).alias("dst"), F.when(one, F.col("dst_kind")).alias("dst_kind"),
         F.when(F.col("status") == "ambiguous", F.col("ids")).alias("candidates"), F.when(F.col("status") == "external", 0).otherwise(F.col("n")).cast("int").alias("n_candidates"),
-        F.when(F.col("status") == "ambiguous", F.concat(F.col("n").cast("string"), F.lit(" candidates"))).when(F.col("status") == "external", "no symbol of this project").alias("reason"),
+        F.when(F.col("status") == "ambiguous", F.concat(F.col("n").cast("string"), F.lit(" candidates"))).when(F.col("status") == "external", "no symbol of this project").alias("reason"), F.coalesce("late", F.lit(False)).alias("late"),
     )
 
 
-def _pass(r: DataFrame, nodes: DataFrame, scopes: DataFrame, own: DataFrame | None, precise: DataFrame | None) -> DataFrame:
+#: What of a symbol other symbols' references may depend on.
+SEEN = ("id", "kind", "name", "parent_id", "dotted", "lang", "type_ref")
+
+
+def affected(old: DataFrame, kept: DataFrame, new: DataFrame, old_nodes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(again, inherits)`` after a change: the rows of ``kept`` to resolve anew along with ``new``, and the bases that stay known.
+
+    ``old`` are all references as they were resolved, ``kept`` those of unchanged files, ``new`` the observed ones of changed files; ``old_nodes`` and
+    ``nodes`` the symbols before and after.  A reference depends on the symbols of its name, on its imported name, on the variable that is its
+    receiver and that variable's type, and on the bases of the types around it or of its receiver; one that none of the changed symbols meets
+    keeps its answer.
+    """
+    old_nodes, nodes = _known(old_nodes).select(*SEEN), _known(nodes).select(*SEEN)
+    delta = settle(old_nodes.exceptAll(nodes).union(nodes.exceptAll(old_nodes)).distinct())
+    both = old_nodes.union(nodes)
+    hints = both.where("type_ref is not null").select("name", _tail(F.col("type_ref")).alias("type_name")).distinct()
+
+    def meets(refs: DataFrame, said: DataFrame, receivers: DataFrame) -> DataFrame:
+        """Rows of ``refs`` with a name or receiver among the given ones, or an imported name of a changed symbol."""
+        some = lambda df, c: df.select(F.col(c).alias("_k")).where("_k is not null").distinct()
+        keyed = refs.withColumns({"_name": F.col("name"), "_target": F.col("target"), "_receiver": _bare(F.col("receiver"))})
+        for column, keys in (("_name", said), ("_target", some(delta, "dotted")), ("_receiver", receivers)):
+            keyed = keyed.join(some(keys, keys.columns[0]).withColumn("_hit", F.lit(True)), F.col(column) == F.col("_k"), "left").drop("_k").withColumn(column, F.col("_hit")).drop("_hit")
+        return keyed.where("_name or _target or _receiver").drop("_name", "_target", "_receiver")
+
+    of_types = lambda types: hints.join(types.select(F.col("name").alias("type_name")).distinct(), "type_name", "left_semi").select("name")
+    changed = delta.where(F.col("kind").isin(*_TYPES))
+    held = settle(meets(kept, delta.select("name"), delta.where("type_ref is not null").select("name").union(of_types(changed))))
+    # bases, as they are after the change
+    early_of = lambda df: df.where("kind in ('inherit', 'implement') and dst is not null and not late")
+    early = early_of(kept)
+    stays = settle(early.join(held.select(*AT).distinct(), [early[c].eqNullSafe(held[c]) for c in AT], "left_anti").select(F.col("from_node").alias("src"), "dst"))
+    first = settle(_keyed(held.select(*new.columns).union(new).where(F.col("kind").isin(*FIRST))))
+    look, scopes = together(lambda: _tables(nodes, first), lambda: ancestors(nodes, first.select(F.col("from_node").alias("id"))))
+    done = settle(_pass(first, look, scopes, None, None, nodes))
+    after, before = together(lambda: bases(stays.union(_inherits(first, done))), lambda: bases(early_of(old).select(F.col("from_node").alias("src"), "dst")))
+    moved = settle(before.exceptAll(after).union(after.exceptAll(before)).select("id").distinct())
+    if not moved.isEmpty():
+        inside = level = moved
+        below = both.where("parent_id is not null").select(F.col("parent_id").alias("id"), F.col("id").alias("next")).distinct()
+        while not level.isEmpty():
+            level = settle(level.join(below, "id").select(F.col("next").alias("id")).distinct().join(inside, "id", "left_anti"))
+            inside = inside.union(level)
+        types = both.join(moved, "id", "left_semi")
+        more = kept.join(inside.select(F.col("id").alias("from_node")), "from_node", "left_semi").select(*kept.columns)
+        held = settle(held.union(more).union(meets(kept, delta.select("name").limit(0), of_types(types))).dropDuplicates(list(AT)))
+        early = early.join(held.select(*AT), [early[c].eqNullSafe(held[c]) for c in AT], "left_anti")
+        stays = settle(early.select(F.col("from_node").alias("src"), "dst"))
+    return held, stays
+
+
+def _pass(r: DataFrame, look: dict[str, DataFrame], scopes: DataFrame, own: DataFrame | None, precise: DataFrame | None, nodes: DataFrame) -> DataFrame:
     """Rows ``(ref, rung, n, ids, dst_kind)`` of the references that any rung answers."""
-    hit = lambda df, rung, level: df.select("ref", F.lit(rung).alias("rung"), level.cast("int").alias("level"), "kind", "n", "ids", "dst_kind")
-    members = _held(nodes.where("parent_id is not null and name is not null"), "parent_id", "name").withColumnRenamed("parent_id", "holder")
-    types = nodes.where(F.col("kind").isin(*_TYPES)).select("id").distinct()
+    hit = lambda df, rung, level: df.select("ref", F.lit(rung).alias("rung"), level.cast("long").alias("level"), "kind", "n", "ids", "dst_kind")
+    members = look["members"]
     selfish = F.coalesce(F.col("receiver").isin("self", "this", "cls"), F.lit(False))
     plain = F.col("receiver").isNull()
 
@@ -133,21 +250,18 @@ def _pass(r: DataFrame, nodes: DataFrame, scopes: DataFrame, own: DataFrame | No
 
     scoped = scopes.select(F.col("id").alias("from_node"), F.col("scope").alias("holder"), "depth")
     cols = ["ref", "kind", "name", "holder", "depth"]
-    enclosing = r.where(selfish).join(scoped, "from_node").join(types.withColumnRenamed("id", "holder"), "holder")
+    enclosing = r.where(selfish).join(scoped, "from_node").join(look["types"], "holder")
     nearest = enclosing.groupBy("ref", "kind", "name").agg(F.min_by("holder", "depth").alias("holder"), F.min("depth").alias("depth"))
     a = hit(through_bases(nearest.select(*cols)).join(members, ["holder", "name"]), 0, F.col("up"))
     # a name sees the containers around it, and a type among them sees its bases
     around = r.where(plain).join(scoped, "from_node").select(*cols)
-    b = hit(through_bases(around).join(members, ["holder", "name"]), 1, F.col("depth") * 32 + F.col("up"))
+    b = hit(through_bases(around).join(members, ["holder", "name"]), 1, F.col("depth") * (1 << 32) + F.col("up"))
     # receivers with a declared or constructed type: the type by its name, then its members
-    hint = nodes.where("type_ref is not null").select(F.col("parent_id").alias("holder"), F.col("name").alias("receiver"), F.regexp_extract("type_ref", r"([\w$]+)\W*$", 1).alias("type_name")).distinct()
-    held = r.where(~plain & ~selfish).withColumn("receiver", F.regexp_replace("receiver", r"^(self|this|cls)\.", "")).join(scoped, "from_node").join(hint, ["holder", "receiver"])
+    held = r.where(~plain & ~selfish).withColumn("receiver", _bare(F.col("receiver"))).join(scoped, "from_node").join(look["hint"], ["holder", "receiver"])
     held = held.groupBy("ref", "kind", "name", "lang").agg(F.min_by("type_name", "depth").alias("type_name"))
-    named = nodes.where(F.col("kind").isin(*_TYPES)).groupBy(F.col("name").alias("type_name"), F.col("lang").alias("type_lang")).agg(F.min("id").alias("holder"), F.countDistinct("id").alias("k")).where("k = 1")
-    held = held.join(named, "type_name").where(F.coalesce(F.col("lang") == F.col("type_lang"), F.lit(True))).select("ref", "kind", "name", "holder", F.lit(0).alias("depth"))
+    held = held.join(look["named"], "type_name").where(F.coalesce(F.col("lang") == F.col("type_lang"), F.lit(True))).select("ref", "kind", "name", "holder", F.lit(0).alias("depth"))
     c = hit(through_bases(held).join(members, ["holder", "name"]), 2, F.col("up"))
-    dotted = _held(nodes.where("dotted is not null"), "dotted").withColumnRenamed("dotted", "target")
-    d = hit(r.where("target is not null").select("ref", "kind", "target").join(dotted, "target"), 3, F.lit(0))
+    d = hit(r.where("target is not null").select("ref", "kind", "target").join(look["dotted"], "target"), 3, F.lit(0))
     found = [a, b, c, d]
     if precise is not None:
         p = precise.join(nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")).distinct(), "dst", "left")
@@ -155,9 +269,8 @@ def _pass(r: DataFrame, nodes: DataFrame, scopes: DataFrame, own: DataFrame | No
         found.append(hit(r.join(p, ["file_path", "start_line", "name"]), 4, F.lit(0)))
     # a plain read of a name that no scope holds is a builtin or a local, never a field elsewhere
     bare = r.where("target is null and (kind not in ('read', 'write') or receiver is not null)").select("ref", "kind", "name", F.coalesce("lang", F.lit("")).alias("lang"))
-    anywhere = _held(nodes.where("name is not null and kind <> 'parameter'").withColumn("lang", F.coalesce("lang", F.lit(""))), "name", "lang")
     # each kind of symbol counts for itself here: a name is looked up among those a reference may mean
-    e = bare.join(anywhere, ["name", "lang"]).where(F.array_contains(F.try_element_at(_allowed(), F.col("kind")), F.col("dst_kind")))
+    e = bare.join(look["anywhere"], ["name", "lang"]).where(F.array_contains(F.try_element_at(_allowed(), F.col("kind")), F.col("dst_kind")))
     found.append(hit(e, 5, F.lit(0)))
     return _best(reduce(DataFrame.unionByName, found)).select("ref", "rung", "n", "ids", "dst_kind")
 
@@ -198,12 +311,13 @@ def param_binds(calls: DataFrame, args: DataFrame, params: DataFrame) -> DataFra
 def returns(calls: DataFrame, writes: DataFrame) -> DataFrame:
     """RETURNS edges: from the callee to the value that the smallest assignment around the call writes.
 
-    ``calls(call, callee, file_path, start_byte, end_byte)``, ``writes(value, file_path, start_byte, end_byte)``.
+    ``calls(call, callee, file_path, start_byte, end_byte)`` and perhaps ``line``, which the edges keep; ``writes(value, file_path, start_byte, end_byte)``.
     """
+    keep = ["line"] if "line" in calls.columns else []
     w = writes.select("file_path", F.col("value").alias("dst"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
     j = calls.join(w, "file_path").where("a <= start_byte and b >= end_byte")
-    j = j.groupBy("call", F.col("callee").alias("src"), "file_path").agg(F.min(F.struct(F.expr("b - a").alias("len"), F.col("a"), F.col("dst"))).alias("w"))
-    return j.select("src", F.col("w.dst").alias("dst"), F.lit("RETURNS").alias("kind"), "file_path")
+    j = j.groupBy("call", F.col("callee").alias("src"), "file_path", *keep).agg(F.min(F.struct(F.expr("b - a").alias("len"), F.col("a"), F.col("dst"))).alias("w"))
+    return j.select("src", F.col("w.dst").alias("dst"), F.lit("RETURNS").alias("kind"), "file_path", *keep)
 
 
 def boundaries_of(resolved: DataFrame) -> DataFrame:

@@ -9,9 +9,15 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import logging
+import re
 from collections.abc import Iterator
+from datetime import datetime
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,8 @@ SHEBANGS = (("python", r"^#!.*\bpython"), ("bash", r"^#!.*\b(?:ba|z|k)?sh\b"), (
 GENERATED = r"(?i)(?:@generated|do not edit|code generated by|autogenerated)"
 #: Files whose text names a service; kept in the ledger though no dialect reads them.
 MANIFEST = r"^(?:pom\.xml|package\.json|pyproject\.toml|go\.mod|Cargo\.toml)$"
+#: What stands before the first slash of a path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)"
 RAW = (
     "rec string, file_path string, id string, kind string, name string, qualified_name string, dotted string, signature string, docstring string, flags int, parent_id string,"
     " start_line int, end_line int, from_node string, ref_text string, target string, receiver string, lang string, type_ref string, position int, start_byte int, end_byte int,"
@@ -30,16 +38,60 @@ RAW = (
 )
 
 
+def _hidden(parts: list[str]) -> bool:
+    return any(p.startswith(".") or p in IGNORED for p in parts)
+
+
+def _odd(root: str) -> list[tuple[str, datetime, int]]:
+    """(uri, time, size) of the files that Spark's file source does not show: names that begin with ``_``, such as ``__init__.py``, and empty ones."""
+    try:
+        at, base = fs.FileSystem.from_uri(root if re.match(r"[A-Za-z][\w+.-]*:", root) else f"file://{root}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        logging.getLogger(__name__).warning("%s: empty files and names that begin with _ cannot be listed there", root)
+        return []
+    lead = re.match(r"^(?:[A-Za-z][\w+.-]*:)?", root)[0] or "file:"
+    out = []
+    for x in at.get_file_info(fs.FileSelector(base, recursive=True)):
+        if x.type == fs.FileType.File and (x.base_name.startswith("_") or x.size == 0) and not _hidden(x.path[len(base) :].strip("/").split("/")):
+            out.append((f"{lead}{'' if x.path.startswith('/') else '//'}{x.path}", x.mtime.replace(tzinfo=None), x.size))
+    return out
+
+
+def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        content = []
+        for path, size in zip(pdf["path"], pdf["length"], strict=True):
+            at, name = fs.FileSystem.from_uri(path)
+            content.append(at.open_input_stream(name).read() if 0 < size <= MAX_BYTES else b"" if size == 0 else None)
+        yield pdf.assign(content=pd.Series(content, dtype=object))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, modificationTime, length, content)`` of the files of a tree; ignored folders are left out and large files are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    every = raw.inputFiles()
+    base = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    mine = [x for x in every if not _hidden(re.sub(_SCHEME, "", unquote(x)).removeprefix(base).split("/"))]
+    if len(mine) < len(every):
+        raw = spark.read.format("binaryFile").option("__globPaths__", "false").load([unquote(x) for x in mine]) if mine else raw.limit(0)
+    columns = ["path", "modificationTime", "length", "content"]
+    there = raw.where(F.col("length") <= MAX_BYTES).select(columns).union(raw.where(F.col("length") > MAX_BYTES).select("path", "modificationTime", "length", F.lit(None).cast("binary")))
+    odd = _odd(root)
+    if not odd:
+        return there
+    rows = spark.createDataFrame(odd, "path string, modificationTime timestamp, length long").repartition(max(1, min(200, len(odd) // 64)))
+    return there.union(rows.mapInPandas(_open, "path string, modificationTime timestamp, length long, content binary"))
+
+
 def files(spark: SparkSession, root: str, service: str = "root") -> DataFrame:
     """The ledger of a tree: path, lang, size, hash, parse_status, skip_reason, and the content of files that are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return ledger(raw, root, service)
+    return ledger(listing(spark, root), root, service)
 
 
 def ledger(raw: DataFrame, root: str, service: str = "root") -> DataFrame:
-    """Files by their path below ``root``, a prefix of each path; the content of large or hidden files is not touched."""
+    """Files by their path below ``root``, a prefix of each path; hidden ones and those of ignored folders are left out."""
     base = root.split("://", 1)[-1].rstrip("/") + "/"
-    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
+    plain = F.regexp_replace("path", _SCHEME, "")
     rel = F.when(plain.startswith(base), F.substring(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(plain)
     hidden = F.exists(F.split("rel", "/"), lambda p: p.startswith(".") | p.isin(*IGNORED))
     raw = raw.withColumn("rel", rel).where(~hidden)
