@@ -30,37 +30,38 @@ from .common import durable, small_batches
 SCALE = 1_000_000_000
 #: Bytes to terms: capitals lowered, what belongs to no term a blank.
 _TERMS = bytes(c if c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: Terms or combinations that a task holds before it gives them on.
-_HELD = 1 << 18
+#: Terms and combinations that a task holds before it gives them on.
+_TERMS_HELD, _HELD = 1 << 19, 1 << 18
+_DOCS = 40
+_DOC, _LOW = 1 << _DOCS, (1 << _DOCS) - 1
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to counts of terms and of documents with them, per group; an empty term counts the group itself."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences and, above bit 40, documents
 
     def give() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            k = len(terms)
-            said = pa.array(terms, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array([source] * k), said, pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())], schema=_COUNTS)
+        for (lang, source), n in held.items():
+            k, said = len(n), pa.array(list(n), pa.binary()).cast(pa.string())
+            both = np.fromiter(n.values(), np.int64, k)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array([source] * k), said, pa.array(both & _LOW), pa.array(both >> _DOCS)], schema=_COUNTS)
         held.clear()
 
-    size = 0
+    size = chars = 0
     for b in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             own = Counter(text.encode("utf-8", "surrogatepass").translate(_TERMS).split(b" "))
             own[b""] = 0
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            size -= len(n)
-            n.update(own)
-            docs.update(own.keys())
+            n = held.setdefault((lang, source), {})
+            size, chars, had = size - len(n), chars + len(text), n.get
+            for term, count in own.items():
+                n[term] = had(term, 0) + count + _DOC
             size += len(n)
-        if size >= _HELD:
+        if size >= _TERMS_HELD or chars >= _LOW:
             yield from give()
-            size = 0
+            size = chars = 0
     yield from give()
 
 
