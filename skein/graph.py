@@ -92,8 +92,8 @@ def purge_file(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame
 #: Searched columns and their weights, and the kinds that an exploration shows, best first.
 SEARCHED = {"name": 10.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
 KIND_RANK = ("class", "interface", "function", "method", "constructor", "property", "module", "contract")
-#: Levels that the readers claim: references and data flow of Python.
-CLAIMS = {"python": "L2"}
+#: Levels that the readers claim: references and data flow.
+CLAIMS = {"python": "L2", "java": "L2", "typescript": "L2", "javascript": "L2"}
 #: What no payload may hold, at any depth.
 FORBIDDEN = ("content", "source", "text", "context_line", "context_before", "context_after")
 

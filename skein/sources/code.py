@@ -1,8 +1,8 @@
 """Source trees as DataFrames: files with dialect and skip reason, and Python symbols and references read with ``ast``.
 
 Files are read by Spark's binaryFile source; one Arrow pass parses each readable Python file and
-returns nodes, references and usage sites as rows of one table, told apart by ``rec``.  Other dialects have no
-grammar here and are kept in the file ledger as ``missing_grammar``.
+returns nodes, references and usage sites as rows of one table, told apart by ``rec``.  Java, TypeScript and JavaScript are read
+from tokens (``brace``) into the same table.  Other dialects have no grammar here and are kept in the file ledger as ``missing_grammar``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
+
 MAX_BYTES, NUL_WINDOW = 2_000_000, 8192
 IGNORED = ("node_modules", "__pycache__", "venv", "build", "dist", "target")
 DIALECTS = {"py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "scala": "scala",
@@ -100,7 +102,7 @@ def ledger(raw: DataFrame, root: str, service: str = "root") -> DataFrame:
     head = F.decode(F.substring(F.when(small, F.col("content")), 1, NUL_WINDOW), "iso-8859-1")
     by_ext = F.try_element_at(table, F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)))
     lang = F.coalesce(by_ext, *[F.when(F.substring(head, 1, 128).rlike(p), F.lit(k)) for k, p in SHEBANGS])
-    skip = F.when(F.col("lang").isNull(), "unknown_dialect").when(~small, "too_large").when(F.instr(head, "\0") > 0, "binary").when(F.substring(head, 1, 512).rlike(GENERATED), "generated").when(F.col("lang") != "python", "missing_grammar")
+    skip = F.when(F.col("lang").isNull(), "unknown_dialect").when(~small, "too_large").when(F.instr(head, "\0") > 0, "binary").when(F.substring(head, 1, 512).rlike(GENERATED), "generated").when(~F.col("lang").isin("python", *tokens.BRACES), "missing_grammar")
     raw = raw.withColumn("lang", lang).withColumn("skip_reason", skip)
     return raw.select(F.col("rel").alias("path"), "lang", F.lit(service).alias("service_id"), F.when(small, F.sha2("content", 256)).alias("content_hash"), F.col("length").alias("size_bytes"), "skip_reason", F.when(F.col("skip_reason").isNull(), F.col("content")).alias("content"), F.when(small & F.substring_index("rel", "/", -1).rlike(MANIFEST), F.col("content").cast("string")).alias("manifest"))
 
@@ -315,4 +317,9 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(ledger: DataFrame) -> DataFrame:
     """Rows of ``RAW`` for every file that is read; a file that does not parse gives one boundary row."""
-    return ledger.where("content is not null").select("path", "service_id", "content").mapInPandas(_extract, RAW)
+    python = ledger.where("content is not null and lang = 'python'").select("path", "service_id", "content").mapInPandas(_extract, RAW)
+    if ledger.where(F.col("content").isNotNull() & F.col("lang").isin(*tokens.BRACES)).isEmpty():
+        return python
+    from . import brace
+
+    return python.unionByName(brace.extract(ledger), allowMissingColumns=True)

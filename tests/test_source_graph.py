@@ -55,7 +55,7 @@ def caller(o):
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
-    for path, text in {"app/shapes.py": A, "util/text.py": B, "util/more.py": C, "bad.py": "def (", "x.java": "class X {}", ".hidden/h.py": "a = 1", "data.py": "x\0", "notes.txt": "hi"}.items():
+    for path, text in {"app/shapes.py": A, "util/text.py": B, "util/more.py": C, "bad.py": "def (", "x.java": "class X {}", "x.go": "package x", ".hidden/h.py": "a = 1", "data.py": "x\0", "notes.txt": "hi"}.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
     return root
@@ -72,7 +72,7 @@ def names(df):
 
 def test_ledger(graph):
     got = {r.path: (r.parse_status, r.skip_reason) for r in graph.files.collect()}
-    assert got == {"app/shapes.py": ("ok", None), "util/text.py": ("ok", None), "util/more.py": ("ok", None), "bad.py": ("error", None), "x.java": ("skipped", "missing_grammar"), "data.py": ("skipped", "binary"), "notes.txt": ("skipped", "unknown_dialect")}
+    assert got == {"app/shapes.py": ("ok", None), "util/text.py": ("ok", None), "util/more.py": ("ok", None), "bad.py": ("error", None), "x.java": ("ok", None), "x.go": ("skipped", "missing_grammar"), "data.py": ("skipped", "binary"), "notes.txt": ("skipped", "unknown_dialect")}
 
 
 def test_symbols(graph):
