@@ -132,7 +132,16 @@ def _usage(raw: DataFrame) -> DataFrame:
     return raw.where("rec = 'usage'").select(F.col("name").alias("symbol_name"), F.col("kind").alias("usage_type"), "file_path", "start_line", F.col("from_node").alias("calling_symbol_id"), "context_before", "context_line", "context_after")
 
 
-def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str) -> None:
+def _search_at(version: str) -> str:
+    """The folder of the search index, which the versions of a graph share; each names its segments."""
+    return f"{version.rsplit('/', 1)[0]}/search"
+
+
+def _searched(nodes: DataFrame) -> DataFrame:
+    return nodes.where("kind <> 'parameter'").select("id", *SEARCHED)
+
+
+def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str, last: LineageGraph | None = None) -> None:
     """What follows from symbols and resolved references: services, files, contracts, nodes, edges, boundaries, coverage, digest."""
     found = _write(readers.services(ledger), f"{tmp}/services")
     ledger = readers.locate(ledger, found)
@@ -149,8 +158,9 @@ def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame,
     edges = edges.groupBy("src", "dst", "kind", "line", "start_byte").agg(*[F.min(c).alias(c) for c in ("file_path", "resolution", "evidence_tier", "evidence_label")])
     stops = broken.select(F.lit(None).cast("string").alias("node_id"), "file_path", "kind", "detail", "line")
     stops = stops.unionByName(loose, allowMissingColumns=True).unionByName(R.boundaries_of(refs), allowMissingColumns=True)
-    edges, stops, *_ = together(
-        lambda: Lookup.write(edges, "src", f"{tmp}/edges", bins).all(), lambda: _write(stops, f"{tmp}/boundaries"), lambda: Lookup.write(_names(nodes), "said", f"{tmp}/names", bins),
+    listed = lambda: last.found.change(_searched(last.nodes), _searched(nodes), "id") if last else search.Segments.build(_searched(nodes), "id", SEARCHED, _search_at(tmp))
+    edges, stops, found, *_ = together(
+        lambda: Lookup.write(edges, "src", f"{tmp}/edges", bins).all(), lambda: _write(stops, f"{tmp}/boundaries"), listed, lambda: Lookup.write(_names(nodes), "said", f"{tmp}/names", bins),
         lambda: _write(usage, f"{tmp}/usage_sites"), lambda: _write(R.coverage(refs), f"{tmp}/coverage"),
     )
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
@@ -158,7 +168,7 @@ def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame,
     if not held:
         raise ValueError("an edge ends at no node")
     at = git.provenance(root)
-    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int"), f"{tmp}/meta")
+    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins, found.names)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int, segments array<string>"), f"{tmp}/meta")
     _delete(spark, *[f"{tmp}/{part}" for part in ("raw", "ledger", "touched", "contract_edges")])
 
 
@@ -178,6 +188,10 @@ def _publish(spark: SparkSession, tmp: str, out: str) -> None:
     _write(spark.createDataFrame([(own,)], "version string"), f"{out}/{POINTER}-{uuid.uuid4().hex}", stamp=True)
     past = spark.read.parquet(f"{out}/{POINTER}-*").select("version", "at", F.col("_metadata.file_path").alias("file")).orderBy(F.desc("at"), "version").collect()
     _delete(spark, *[x for r in past[VERSIONS:] for x in (f"{out}/{r.version}", r.file.rsplit("/", 1)[0])])
+    used = {x for r in spark.read.parquet(*[f"{out}/{r.version}/meta" for r in past[:VERSIONS]]).select("segments").collect() for x in r.segments}
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/search")
+    names = [x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    _delete(spark, *[f"{out}/search/{n}" for n in names if n not in used])
 
 
 def _names(nodes: DataFrame) -> DataFrame:
@@ -203,6 +217,7 @@ class LineageGraph:
         self.by_id = Lookup.open(spark, f"{path}/nodes", "id", meta.bins)
         self.by_name = Lookup.open(spark, f"{path}/names", "said", meta.bins)
         self.edges, self.nodes = self.adjacency.edges, self.by_id.all()
+        self.found = search.Segments(spark, _search_at(path), list(meta.segments), SEARCHED)
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, out: str, service: str = "root", precise: DataFrame | None = None) -> LineageGraph:
@@ -247,7 +262,7 @@ class LineageGraph:
         stay = stay.join(again.select(*R.AT), [stay[c].eqNullSafe(again[c]) for c in R.AT], "left_anti").select(*stay.columns)
         refs = _write(stay.unionByName(fresh), f"{tmp}/refs")
         broken = kept(self.boundaries.where("kind = 'parse_error'")).select("file_path", "kind", "detail", "line").unionByName(_broken(raw))
-        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root)
+        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root, self)
         _publish(spark, tmp, out)
         return type(self)(spark, out)
 
@@ -345,8 +360,7 @@ class LineageGraph:
 
     def explore(self, question: str, most: int = 8) -> DataFrame:
         """The best symbols for a question: by terms covered, kind and rank, each with its direct callers."""
-        ix = search.index(self.nodes.where("kind <> 'parameter'"), "id", SEARCHED)
-        hits = search.ranked(ix, question, "or").join(self.nodes.select("id", "kind", "name", "qualified_name"), "id")
+        hits = search.ranked(self.found.index(), question, "or").join(self.nodes.select("id", "kind", "name", "qualified_name"), "id")
         rank = F.coalesce(F.array_position(F.array(*map(F.lit, KIND_RANK)), F.col("kind")), F.lit(0))
         hits = hits.where(rank > 0).orderBy(F.desc("hits"), rank, "score", "id").limit(most)
         near = self.edges.where("kind in ('CALLS', 'INSTANTIATES')").select(F.col("dst").alias("id"), "src").distinct()
@@ -358,8 +372,7 @@ class LineageGraph:
 
     def search(self, *terms: str, mode: str | None = None, limit: int = 20) -> DataFrame:
         """Symbols by weighted columns: rows with all terms, or with any where none has all."""
-        ix = search.index(self.nodes.where("kind <> 'parameter'"), "id", SEARCHED)
-        hits = search.ranked(ix, " ".join(terms), mode)
+        hits = search.ranked(self.found.index(), " ".join(terms), mode)
         return hits.join(self.nodes.select("id", "kind", "name", "qualified_name"), "id").orderBy("score", "id").limit(limit)
 
     def find_usage(self, name: str, kind: str | None = None, limit: int = 200) -> DataFrame:

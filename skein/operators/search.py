@@ -1,15 +1,20 @@
 """Ranked text search with BM25 weights: a one-pass form over one column, and an inverted list over weighted columns.
 
-``index`` is built once and stored: postings ``(term, id, field, positions)`` and one length per row.  A question reads only the
+``index`` is built once and stored: postings ``(term, id, field, positions, length of the row)``.  A question reads only the
 postings of its terms; prefix terms are ranges of the sorted term column, which Parquet's statistics prune.
+
+A stored index is a list of segments.  A change writes a small one: the postings of new and changed rows, and the ids of rows that are gone
+or changed, which hide them in all segments before.  Counts and lengths are kept with the segments, so no question reads all rows.  Beyond
+``MOST`` segments they are merged into one.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -42,28 +47,90 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], mode: st
 
 @dataclass
 class Index:
-    """An inverted list: ``postings(term, id, field, at)``, ``rows(id, len)``, weights by field."""
+    """An inverted list: ``postings(term, id, field, at, len)``, weights by field, and the number of rows with their total length."""
 
     postings: DataFrame
-    rows: DataFrame
     weights: dict[str, float]
+    stats: DataFrame
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total"))
 
-    def write(self, path: str) -> Index:
-        """The list in files sorted by term, so that a question reads the few that hold its terms."""
-        spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), self.weights)
+
+def _terms(docs: DataFrame, weights: dict[str, float]) -> tuple[dict, DataFrame]:
+    t = {c: F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in weights}
+    return t, sum((F.size(x) for x in t.values()), F.lit(0)).alias("len")
 
 
 def index(docs: DataFrame, id_col: str, weights: dict[str, float]) -> Index:
     """The inverted list of some columns; a null column holds no terms."""
-    t = {c: F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in weights}
-    rows = docs.select(F.col(id_col).alias("id"), sum((F.size(x) for x in t.values()), F.lit(0)).alias("len"))
+    t, size = _terms(docs, weights)
     place = lambda c: lambda w, i: F.struct(w.alias("term"), F.lit(c).alias("field"), i.alias("place"))
     each = F.flatten(F.array(*[F.transform(x, place(c)) for c, x in t.items()]))
-    p = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("e")).groupBy("e.term", "id", "e.field")
-    return Index(p.agg(F.array_sort(F.collect_list("e.place")).alias("at")), rows, dict(weights))
+    p = docs.select(F.col(id_col).alias("id"), size, F.explode(each).alias("e")).groupBy("e.term", "id", "e.field", "len")
+    return Index(p.agg(F.array_sort(F.collect_list("e.place")).alias("at")).select("term", "id", "field", "at", "len"), dict(weights), _stats(docs.select(size)))
+
+
+#: Segments that an index may have before they are merged.
+MOST = 6
+
+
+class Segments:
+    """A stored index: folders under ``path``, each with ``postings``, ``gone(id, len)`` and one row of ``stats``, in the order of ``names``."""
+
+    def __init__(self, spark: SparkSession, path: str, names: list[str], weights: dict[str, float]):
+        self.spark, self.path, self.names, self.weights = spark, path, names, weights
+
+    def _read(self, name: str, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/{part}")
+
+    def _write(self, postings: DataFrame, gone: DataFrame | None, stats: DataFrame) -> str:
+        """A new segment; ``stats`` are those of the rows that it adds, less those that it hides."""
+        name = f"s-{uuid.uuid4().hex}"
+        # sorted by term, so that a question reads the few row groups that hold its terms
+        postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/postings")
+        if gone is not None:
+            gone.write.parquet(f"{self.path}/{name}/gone")
+        stats.coalesce(1).write.parquet(f"{self.path}/{name}/stats")
+        return name
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, weights: dict[str, float], path: str) -> Segments:
+        out = cls(docs.sparkSession, path, [], weights)
+        ix = index(docs, id_col, weights)
+        return cls(out.spark, path, [out._write(ix.postings, None, ix.stats)], weights)
+
+    def change(self, old: DataFrame, new: DataFrame, id_col: str) -> Segments:
+        """The index after the rows ``old`` became ``new`` (ids are keys of both): only rows that differ are written."""
+        cols = [id_col, *self.weights]
+        old, new = old.select(cols), new.select(cols)
+        added, gone = new.exceptAll(old), old.exceptAll(new)
+        _, size = _terms(gone, self.weights)
+        gone = gone.select(F.col(id_col).alias("id"), size)
+        ix = index(added, id_col, self.weights)
+        less = _stats(gone).select((-F.col("rows")).alias("rows"), (-F.col("total")).alias("total"))
+        stats = ix.stats.union(less).agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+        out = Segments(self.spark, self.path, [*self.names, self._write(ix.postings, gone, stats)], self.weights)
+        return out.merged() if len(out.names) > MOST else out
+
+    def merged(self) -> Segments:
+        """One segment with what all of them hold; the old ones stay for readers of older lists."""
+        ix = self.index()
+        return Segments(self.spark, self.path, [self._write(ix.postings, None, ix.stats)], self.weights)
+
+    def index(self) -> Index:
+        """The postings that no later segment hides."""
+        parts, gone = None, None
+        for k, name in reversed(list(enumerate(self.names))):
+            p = self._read(name, "postings")
+            p = p if gone is None else p.join(gone, "id", "left_anti")
+            parts = p if parts is None else parts.unionByName(p)
+            if k:
+                own = self._read(name, "gone").select("id")
+                gone = own if gone is None else gone.union(own)
+        stats = self.spark.read.parquet(*[f"{self.path}/{n}/stats" for n in self.names])
+        return Index(parts, self.weights, stats.agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")))
 
 
 def parse(question: str) -> list[list[str]]:
@@ -77,9 +144,9 @@ def ranked(ix: Index, question: str, mode: str | None = None) -> DataFrame:
 
     The last term of a phrase is a prefix, the others are whole; the terms of a phrase stand side by side in one column.
     """
-    spark = ix.rows.sparkSession
+    spark = ix.postings.sparkSession
     phrases = parse(question)
-    none = spark.createDataFrame([], "id " + ix.rows.schema["id"].dataType.simpleString() + ", hits int, score double")
+    none = spark.createDataFrame([], "id " + ix.postings.schema["id"].dataType.simpleString() + ", hits int, score double")
     if not phrases:
         return none
     weight = F.create_map(*[F.lit(x) for kv in ix.weights.items() for x in kv])
@@ -87,16 +154,16 @@ def ranked(ix: Index, question: str, mode: str | None = None) -> DataFrame:
     for i, phrase in enumerate(phrases):
         last = phrase[-1]
         p = ix.postings.where((F.col("term") >= last) & (F.col("term") < last[:-1] + chr(ord(last[-1]) + 1)))
-        places = p.groupBy("id", "field").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+        places = p.groupBy("id", "field", "len").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
         for k, term in enumerate(reversed(phrase[:-1]), 1):
             before = ix.postings.where(F.col("term") == term).select("id", "field", F.transform("at", moved(k)).alias("b"))
-            places = places.join(before, ["id", "field"]).select("id", "field", F.array_intersect("at", "b").alias("at")).where(F.size("at") > 0)
-        f = places.groupBy("id").agg(F.sum(F.size("at") * weight[F.col("field")]).alias("f")).withColumn("nth", F.lit(i))
+            places = places.join(before, ["id", "field"]).select("id", "field", "len", F.array_intersect("at", "b").alias("at")).where(F.size("at") > 0)
+        f = places.groupBy("id", "len").agg(F.sum(F.size("at") * weight[F.col("field")]).alias("f")).withColumn("nth", F.lit(i))
         found = f if found is None else found.union(f)
-    stats = ix.rows.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"))
+    stats = ix.stats.select("rows", (F.col("total") / F.col("rows")).alias("mean"))
     df = found.groupBy("nth").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    j = found.join(F.broadcast(df), "nth").join(ix.rows, "id").crossJoin(F.broadcast(stats))  # a row per phrase, one row
+    j = found.join(F.broadcast(df), "nth").crossJoin(F.broadcast(stats))  # a row per phrase, one row
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     out = j.groupBy("id").agg(F.count("*").cast("int").alias("hits"), F.round(-F.sum(part), 6).alias("score"))
     every = out.where(F.col("hits") == len(phrases))
