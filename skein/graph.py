@@ -26,13 +26,27 @@ PARTS = ("services", "files", "symbols", "nodes", "refs", "edges", "boundaries",
 
 @dataclass
 class Answer:
-    """Rows and their envelope."""
+    """Rows and their envelope.
+
+    ``boundaries(node, kind, detail)`` says where the answer stops short: nodes with neighbours beyond the depth (``depth_limit``), and the
+    stops that were recorded at the nodes it holds (undecided calls, contract keys that are not literal).
+    """
 
     rows: DataFrame
     total: int
     truncated: bool = False
     unresolved: int = 0
     notes: list[str] = field(default_factory=list)
+    boundaries: DataFrame | None = None
+
+    @property
+    def complete(self) -> bool:
+        """Nothing was cut, left undecided, or lies beyond the depth."""
+        return not self.truncated and not self.unresolved and (self.boundaries is None or self.boundaries.isEmpty())
+
+    def stops(self, most: int = 20) -> list[dict]:
+        """The first boundaries, by kind and node."""
+        return [] if self.boundaries is None else [r.asDict() for r in self.boundaries.orderBy("kind", "node", "detail").limit(most).collect()]
 
 
 def build_digest(**tables: DataFrame) -> str:
@@ -124,6 +138,10 @@ def _data_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("evidence_label", F.lower("kind"))
 
 
+def _precise(spark: SparkSession, scip: str | None, tmp: str, ledger: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    return None if scip is None else _write(readers.precise(readers.scip(spark, scip), ledger, nodes), f"{tmp}/precise")
+
+
 def _broken(raw: DataFrame) -> DataFrame:
     return raw.where("rec = 'boundary'").select("file_path", "kind", F.col("name").alias("detail"), F.col("start_line").alias("line"))
 
@@ -141,7 +159,7 @@ def _searched(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind <> 'parameter'").select("id", *SEARCHED)
 
 
-def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str, last: LineageGraph | None = None) -> None:
+def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str, last: LineageGraph | None = None, scip: str | None = None) -> None:
     """What follows from symbols and resolved references: services, files, contracts, nodes, edges, boundaries, coverage, digest."""
     found = _write(readers.services(ledger), f"{tmp}/services")
     ledger = readers.locate(ledger, found)
@@ -168,8 +186,8 @@ def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame,
     if not held:
         raise ValueError("an edge ends at no node")
     at = git.provenance(root)
-    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins, found.names)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int, segments array<string>"), f"{tmp}/meta")
-    _delete(spark, *[f"{tmp}/{part}" for part in ("raw", "ledger", "touched", "contract_edges")])
+    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins, found.names, scip)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int, segments array<string>, scip string"), f"{tmp}/meta")
+    _delete(spark, *[f"{tmp}/{part}" for part in ("raw", "ledger", "touched", "precise", "contract_edges")])
 
 
 def _delete(spark: SparkSession, *paths: str) -> None:
@@ -208,7 +226,7 @@ class LineageGraph:
         meta = spark.read.parquet(f"{path}/meta").first()
         if meta is None or meta.schema_version != S.SCHEMA_VERSION:
             raise S.SchemaMismatch(f"{path} holds schema {meta and meta.schema_version}, not {S.SCHEMA_VERSION}")
-        self.digest = meta.build_digest
+        self.digest, self.scip = meta.build_digest, meta.scip
         self.provenance = git.Provenance(*map(meta.asDict().get, ("commit_sha", "branch", "dirty")))
         for part in PARTS[:-1]:
             if part not in STORED:
@@ -220,18 +238,19 @@ class LineageGraph:
         self.found = search.Segments(spark, _search_at(path), list(meta.segments), SEARCHED)
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, out: str, service: str = "root", precise: DataFrame | None = None) -> LineageGraph:
+    def build(cls, spark: SparkSession, root: str, out: str, service: str = "root", scip: str | None = None) -> LineageGraph:
         """Read a tree into ``out``: all or nothing, since the version that counts is named when its last table is written.
 
-        ``precise`` are answers of an index (see ``readers.precise``), which win over names.
+        ``scip`` is a SCIP index of the tree; what it says wins over a name that is only known somewhere in the project.
         """
         tmp = f"{out.rstrip('/')}/v-{uuid.uuid4().hex}"
         # written first, so that files that change meanwhile cannot give a ledger and symbols of different states
         ledger = _write(code.files(spark, root, service), f"{tmp}/ledger")
         raw = _write(code.extract(ledger.withColumn("service_id", F.lit(service))), f"{tmp}/raw")
         symbols = _write(raw.where("rec = 'node'").select(*NODE), f"{tmp}/symbols")
-        refs = _write(R.resolve(raw.where("rec = 'ref'").select(*OBSERVED), merge_nodes(symbols), precise), f"{tmp}/refs")
-        _finish(spark, tmp, ledger, _broken(raw), symbols, refs, _usage(raw), root)
+        nodes = merge_nodes(symbols)
+        refs = _write(R.resolve(raw.where("rec = 'ref'").select(*OBSERVED), nodes, _precise(spark, scip, tmp, ledger, nodes)), f"{tmp}/refs")
+        _finish(spark, tmp, ledger, _broken(raw), symbols, refs, _usage(raw), root, scip=scip)
         _publish(spark, tmp, out)
         return cls(spark, out)
 
@@ -258,11 +277,14 @@ class LineageGraph:
         old, nodes = merge_nodes(self.symbols), merge_nodes(symbols)
         stay, new = kept(self.refs), raw.where("rec = 'ref'").select(*OBSERVED)
         again, inherits = R.affected(self.refs, stay, new, old, nodes)
-        fresh = R.resolve(again.select(*OBSERVED).union(new), nodes, None, inherits)
+        precise = _precise(spark, self.scip, tmp, ledger, nodes)
+        if precise is not None:  # what the index answered may have gone stale
+            again = again.union(stay.where("step = 'precise_index'").select(*again.columns)).dropDuplicates(list(R.AT))
+        fresh = R.resolve(again.select(*OBSERVED).union(new), nodes, precise, inherits)
         stay = stay.join(again.select(*R.AT), [stay[c].eqNullSafe(again[c]) for c in R.AT], "left_anti").select(*stay.columns)
         refs = _write(stay.unionByName(fresh), f"{tmp}/refs")
         broken = kept(self.boundaries.where("kind = 'parse_error'")).select("file_path", "kind", "detail", "line").unionByName(_broken(raw))
-        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root, self)
+        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root, self, self.scip)
         _publish(spark, tmp, out)
         return type(self)(spark, out)
 
@@ -288,12 +310,24 @@ class LineageGraph:
         return found[0]
 
     def _walk(self, symbol: str, direction: str, kinds: tuple[str, ...], depth: int, limit: int) -> Answer:
-        w = traverse.walk(self.adjacency, [self.node(symbol)], direction, kinds, depth).where("depth > 0")
+        whole = traverse.walk(self.adjacency, [self.node(symbol)], direction, kinds, depth)
+        w = whole.where("depth > 0")
         total, bins = self.by_id.touched(w.select("node"))
         nodes = self.by_id.near(w.select("node"), (total, bins))
         rows = w.join(nodes.withColumnRenamed("id", "node").select("node", "name", F.col("kind").alias("node_kind"), "qualified_name", "file_path", "start_line"), "node")
         open_ = self.refs.where("status = 'ambiguous'").join(w.select(F.col("node").alias("from_node")), "from_node", "left_semi").count()
-        return Answer(rows.orderBy("depth", "qualified_name").limit(limit), total, total > limit, open_)
+        cut = traverse.cut_off(self.adjacency, whole, direction, kinds, depth).select("node", F.lit("depth_limit").alias("kind"), F.concat(F.col("unseen").cast("string"), F.lit(" neighbours beyond")).alias("detail"))
+        known = self.boundaries.select(F.col("node_id").alias("node"), "kind", "detail").join(whole.select("node").distinct(), "node", "left_semi")
+        return Answer(rows.orderBy("depth", "qualified_name").limit(limit), total, total > limit, open_, boundaries=cut.unionByName(known.select("node", "kind", "detail")))
+
+    def boundaries_of(self, symbol: str) -> DataFrame:
+        """The stops recorded at a symbol: ``kind, detail, candidates, line``."""
+        return self.boundaries.where(F.col("node_id") == self.node(symbol)).select("kind", "detail", "candidates", "line").orderBy("line", "kind", "detail")
+
+    def unresolved_of(self, symbol: str) -> DataFrame:
+        """References of a symbol that have no one answer, with the reason."""
+        r = self.refs.where((F.col("from_node") == self.node(symbol)) & F.col("status").isin("ambiguous", "external"))
+        return r.select("kind", "ref_text", "status", "reason", "candidates", "start_line").orderBy("start_line", "ref_text")
 
     def callers_of(self, symbol: str, depth: int = 1, limit: int = 200) -> Answer:
         return self._walk(symbol, "backward", ("CALLS", "INSTANTIATES"), depth, limit)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import frame
+from ..functions.text import frame, suffixes
+from .intervals import stab
 
 #: Kinds of change, strongest first.
 CHANGES = ("contract_key", "annotation", "signature", "type", "declaration", "body")
@@ -18,9 +19,10 @@ VALUES = ("property", "field", "parameter", "variable", "constant", "enum_member
 def innermost(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """``lines(path, line, ..)`` with ``node`` and ``node_kind`` of the smallest span that holds each, the later start on ties."""
     n = nodes.select(F.col("file_path").alias("path"), F.col("id").alias("node"), F.col("kind").alias("node_kind"), "start_line", "end_line")
-    j = lines.join(n, (lines["path"] == n["path"]) & (lines["line"] >= n["start_line"]) & (lines["line"] <= n["end_line"]), "left").drop(n["path"])
+    hits = stab(lines.select("path", "line").distinct(), n, ["path"], "line", "start_line", "end_line")
     best = F.min(F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), "node", "node_kind"))
-    return j.groupBy(*lines.columns).agg(best.alias("x")).select(*lines.columns, "x.node", "x.node_kind")
+    held = hits.groupBy("path", "line").agg(best.alias("x")).select("path", "line", "x.node", "x.node_kind")
+    return lines.join(held, ["path", "line"], "left").select(*lines.columns, "node", "node_kind")
 
 
 def classify(lines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,15 +85,20 @@ def frames(traces: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def match_files(wanted: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
-    """``wanted(path)`` to ``(path, file)``: the file itself, or else the shortest ``most`` paths that end with its name."""
+    """``wanted(path)`` to ``(path, file, is_exact)``: the file itself, or else the shortest ``most`` paths that end with its name.
+
+    A path meets the files that it may be by its suffixes, and for the others the first ``most`` files of each name are
+    kept beforehand, so that the paths and files of a common name (``index.js``) are never paired.
+    """
     base = lambda c: F.substring_index(F.replace(c, F.lit("\\"), F.lit("/")), "/", -1)
-    w = wanted.select("path").distinct().withColumn("base", base(F.col("path")))
-    f = files.select(F.col("path").alias("file")).distinct().withColumn("base", base(F.col("file")))
-    j = w.join(f, "base")
-    same = (F.col("path") == F.col("file")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("file")))
-    nth = F.row_number().over(W.partitionBy("path").orderBy((~same).cast("int"), F.length("file"), "file"))
-    exact = F.max(same).over(W.partitionBy("path"))
-    return j.withColumns({"same": same, "exact": exact, "nth": nth}).where(F.when(F.col("exact"), F.col("same") & (F.col("nth") == 1)).otherwise(F.col("nth") <= most)).select("path", "file", F.col("same").alias("is_exact"))
+    w = wanted.select("path").distinct()
+    f = files.select(F.col("path").alias("file")).where("file is not null").distinct()
+    same = w.withColumn("file", F.explode(suffixes(F.col("path"), "/"))).join(f, "file")
+    same = same.groupBy("path").agg(F.min(F.struct(F.length("file").alias("n"), "file"))["file"].alias("file"))
+    nth = F.row_number().over(W.partitionBy("base").orderBy(F.length("file"), "file"))
+    first = f.withColumn("base", base(F.col("file"))).withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    rest = w.join(same.select("path"), "path", "left_anti").withColumn("base", base(F.col("path"))).join(first, "base")
+    return same.select("path", "file", F.lit(True).alias("is_exact")).union(rest.select("path", "file", F.lit(False)))
 
 
 def map_stacktrace(traces: DataFrame, id_col: str, text_col: str, files: DataFrame, nodes: DataFrame) -> DataFrame:

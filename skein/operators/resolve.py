@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import stab
 from .traverse import settle, together
 
 #: Edge kinds by reference kind: fixed values.
@@ -154,7 +155,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, precise: DataFrame | None = None,
 
     ``refs`` needs ``from_node, kind, name, ref_text, file_path, start_line, end_line``; ``target`` (imported name), ``receiver``,
     ``start_byte``, ``end_byte`` and ``lang`` may be missing.  ``nodes`` needs ``id, kind, name, parent_id``; ``dotted, lang, type_ref`` may be
-    missing.  ``precise(file_path, start_line, name, dst)`` are answers of a precise index; a null ``dst`` says external.
+    missing.  ``precise(file_path, at, dst)`` are answers of a precise index by the byte of a name (or by ``start_line, name``); a null ``dst`` says external.
     ``inherits(src, dst)`` are bases known beforehand, when ``refs`` are some of a graph's.  ``late`` marks a base or import that was only
     found through the bases of another.
     """
@@ -265,8 +266,11 @@ def _pass(r: DataFrame, look: dict[str, DataFrame], scopes: DataFrame, own: Data
     found = [a, b, c, d]
     if precise is not None:
         p = precise.join(nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")).distinct(), "dst", "left")
-        p = p.groupBy("file_path", "start_line", "name").agg(F.count("dst").alias("n"), F.slice(F.array_sort(F.collect_set("dst")), 1, KEPT).alias("ids"), F.min("dst_kind").alias("dst_kind"))
-        found.append(hit(r.join(p, ["file_path", "start_line", "name"]), 4, F.lit(0)))
+        where = ["file_path", "at"] if "at" in precise.columns else ["file_path", "start_line", "name"]
+        p = p.groupBy(*where).agg(F.count("dst").alias("n"), F.slice(F.array_sort(F.collect_set("dst")), 1, KEPT).alias("ids"), F.min("dst_kind").alias("dst_kind"))
+        # where the name of a reference stands: at the end of its text
+        placed = r.withColumn("at", F.col("start_byte") + F.octet_length("ref_text") - F.octet_length("name"))
+        found.append(hit(placed.join(p, where), 4, F.lit(0)))
     # a plain read of a name that no scope holds is a builtin or a local, never a field elsewhere
     bare = r.where("target is null and (kind not in ('read', 'write') or receiver is not null)").select("ref", "kind", "name", F.coalesce("lang", F.lit("")).alias("lang"))
     # each kind of symbol counts for itself here: a name is looked up among those a reference may mean
@@ -315,7 +319,7 @@ def returns(calls: DataFrame, writes: DataFrame) -> DataFrame:
     """
     keep = ["line"] if "line" in calls.columns else []
     w = writes.select("file_path", F.col("value").alias("dst"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
-    j = calls.join(w, "file_path").where("a <= start_byte and b >= end_byte")
+    j = stab(calls, w, ["file_path"], "start_byte", "a", "b").where("b >= end_byte")
     j = j.groupBy("call", F.col("callee").alias("src"), "file_path", *keep).agg(F.min(F.struct(F.expr("b - a").alias("len"), F.col("a"), F.col("dst"))).alias("w"))
     return j.select("src", F.col("w.dst").alias("dst"), F.lit("RETURNS").alias("kind"), "file_path", *keep)
 

@@ -14,7 +14,7 @@ import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .adjacency import Adjacency, Lookup
@@ -23,14 +23,20 @@ from .adjacency import Adjacency, Lookup
 AHEAD = 32
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of ``setCheckpointDir``, or of ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="skein-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -93,6 +99,15 @@ def walk(edges: DataFrame | Adjacency, starts: DataFrame | list[str], direction:
     return seen.drop("keys")
 
 
+def cut_off(edges: DataFrame | Adjacency, walked: DataFrame, direction: str, kinds: tuple[str, ...] | None, max_depth: int) -> DataFrame:
+    """Where a walk of ``max_depth`` stopped though it could go on: ``(start, node, unseen)`` with the number of neighbours that it has not seen."""
+    last = walked.where(F.col("depth") == max_depth).select("start", "node")
+    out = steps(edges.side(direction).near(last.select("node")) if isinstance(edges, Adjacency) else edges, direction, kinds).select("at", "next").distinct()
+    beyond = last.join(out, last["node"] == out["at"]).select("start", "node", "next")
+    beyond = beyond.join(walked.select("start", F.col("node").alias("next")), ["start", "next"], "left_anti")
+    return beyond.groupBy("start", "node").agg(F.count("*").alias("unseen"))
+
+
 def _touched(front: DataFrame, store: Lookup | None) -> tuple[int, list[int]]:
     """Rows of a frontier, and the bins of a store that hold its edges."""
     return store.touched(front.select("node")) if store else (front.count(), [])

@@ -15,7 +15,7 @@ from ..operators import resolve as Z
 from ..operators import risks as K
 from ..operators import search as R
 from ..operators.traverse import find_paths as paths_between
-from ..operators.traverse import steps, trace_flow, walk
+from ..operators.traverse import cut_off, steps, trace_flow, walk
 from ..sources import projection as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,10 +34,6 @@ def query(sql: str | None = None, graph: bool = True):
     return keep
 
 
-def one(spark: SparkSession, *ids: str) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in ids], "node string")
-
-
 # ---------------------------------------------------------------- lookups, filters, aggregates
 
 
@@ -70,12 +66,12 @@ def edges_dedup_identity(spark, d):
 
 @query("SELECT src, dst, kind FROM edges WHERE src = 'c:7' AND kind IN ('CALLS','CONSUMES')")
 def edges_from(spark, d):
-    return P.edges(spark, d).where("src = 'c:7' and kind in ('CALLS','CONSUMES')").select("src", "dst", "kind")
+    return P.stored(spark, d).forward.of("c:7").where("kind in ('CALLS','CONSUMES')").select("src", "dst", "kind")
 
 
 @query("SELECT src, dst, kind FROM edges WHERE dst = 's:3'")
 def edges_to(spark, d):
-    return P.edges(spark, d).where("dst = 's:3'").select("src", "dst", "kind")
+    return P.stored(spark, d).backward.of("s:3").select("src", "dst", "kind")
 
 
 @query("SELECT id, name FROM nodes WHERE flags & 1 <> 0 AND lang = 'ASIA'")
@@ -153,22 +149,29 @@ _BACK = "! w(node, depth) AS (SELECT 's:1', 0 UNION SELECT e.src, w.depth + 1 FR
 
 @query(_BACK.format(k=1))
 def callers_direct(spark, d):
-    return walk(P.edges(spark, d), one(spark, "s:1"), "backward", S.CALL_CHAIN, 1).select("node", "depth")
+    return walk(P.stored(spark, d), ["s:1"], "backward", S.CALL_CHAIN, 1).select("node", "depth")
 
 
 @query(_BACK.format(k=4))
 def callers_transitive(spark, d):
-    return walk(P.edges(spark, d), one(spark, "s:1"), "backward", S.CALL_CHAIN, 4).select("node", "depth")
+    return walk(P.stored(spark, d), ["s:1"], "backward", S.CALL_CHAIN, 4).select("node", "depth")
+
+
+@query(_BACK.format(k=1).replace("SELECT node, min(depth) AS depth FROM w GROUP BY node", ", m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT m.node, count(DISTINCT e.src) AS unseen FROM m JOIN edges e ON e.dst = m.node AND e.kind = 'CALLS' WHERE m.depth = 1 AND e.src NOT IN (SELECT node FROM m) GROUP BY 1"))
+def walk_depth_limit(spark, d):
+    """Nodes at which a walk of depth 1 stops though they have callers that it has not seen."""
+    e = P.stored(spark, d)
+    return cut_off(e, walk(e, ["s:1"], "backward", S.CALL_CHAIN, 1), "backward", S.CALL_CHAIN, 1).select("node", "unseen")
 
 
 @query("! w(node, depth) AS (SELECT 'c:7', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node AND e.kind = 'CALLS' WHERE w.depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def callees_transitive(spark, d):
-    return walk(P.edges(spark, d), one(spark, "c:7"), "forward", S.CALL_CHAIN, 4).select("node", "depth")
+    return walk(P.stored(spark, d), ["c:7"], "forward", S.CALL_CHAIN, 4).select("node", "depth")
 
 
 @query("! w(node, depth) AS (SELECT 'r:1', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node AND e.kind = 'CONTAINS' WHERE w.depth < 6), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT m.depth, nodes.kind, count(*) AS n FROM m JOIN nodes ON nodes.id = m.node GROUP BY 1, 2")
 def walk_distance_histogram(spark, d):
-    w = walk(P.edges(spark, d), one(spark, "r:1"), "forward", ("CONTAINS",), 6)
+    w = walk(P.stored(spark, d), ["r:1"], "forward", ("CONTAINS",), 6)
     n = P.nodes(spark, d).select("id", F.col("kind").alias("k"))
     return w.join(n, w["node"] == n["id"]).groupBy("depth", F.col("k").alias("kind")).agg(F.count("*").alias("n"))
 
@@ -181,14 +184,14 @@ w(node, path, sig) AS (SELECT 'n:' || (SELECT c_nationkey FROM customer WHERE c_
 @query(_PATHS + " SELECT len(sig) AS length, array_to_string(path, ' ') AS path, array_to_string(sig, ' ') AS signature FROM w WHERE node = 's:1'")
 def find_paths(spark, d):
     start = P.table(spark, d, "customer").where("c_custkey = 7").first().c_nationkey
-    p = paths_between(P.edges(spark, d), f"n:{start}", "s:1", ("CONTAINS", "CALLS"), 3, None)
+    p = paths_between(P.stored(spark, d), f"n:{start}", "s:1", ("CONTAINS", "CALLS"), 3, None)
     return p.select("length", F.array_join("path", " ").alias("path"), F.array_join("signature", " ").alias("signature"))
 
 
 @query(_PATHS + " SELECT array_to_string(sig, ' ') AS signature, count(*) AS n FROM w WHERE node = 's:1' GROUP BY 1")
 def paths_kind_signature(spark, d):
     start = P.table(spark, d, "customer").where("c_custkey = 7").first().c_nationkey
-    p = paths_between(P.edges(spark, d), f"n:{start}", "s:1", ("CONTAINS", "CALLS"), 3, None)
+    p = paths_between(P.stored(spark, d), f"n:{start}", "s:1", ("CONTAINS", "CALLS"), 3, None)
     return p.groupBy(F.array_join("signature", " ").alias("signature")).agg(F.count("*").alias("n"))
 
 
@@ -198,7 +201,7 @@ f AS (SELECT node, min(keys) AS keys FROM w GROUP BY node)
 SELECT row_number() OVER (ORDER BY f.keys) - 1 AS "order", w.depth, f.node FROM f JOIN w ON w.node = f.node AND w.keys = f.keys ORDER BY f.keys LIMIT 60""")
 def trace_flow_bounded(spark, d):
     """Depth-first pre-order; calls of this graph end before the depth does, so first visits are the smallest key paths."""
-    rows = trace_flow(P.edges(spark, d), "c:7", S.CALL_CHAIN, 3, 60)
+    rows = trace_flow(P.stored(spark, d), "c:7", S.CALL_CHAIN, 3, 60)
     return spark.createDataFrame([(r["order"], r["depth"], r["node"]) for r in rows], "`order` int, depth int, node string")
 
 
@@ -207,7 +210,7 @@ _IMPACT = "! w(node, depth) AS (SELECT 's:1', 0 UNION SELECT e.src, w.depth + 1
 
 @query(_IMPACT + " SELECT m.depth, n.kind, count(*) AS affected, sum(CASE WHEN n.service_id <> z.service_id THEN 1 ELSE 0 END) AS cross_service FROM m JOIN nodes n ON n.id = m.node, (SELECT service_id FROM nodes WHERE id = 's:1') z WHERE m.depth > 0 GROUP BY 1, 2")
 def impact_symbol(spark, d):
-    w = walk(P.edges(spark, d), one(spark, "s:1"), "backward", S.DEPENDENT, 6).where("depth > 0").select("node", "depth")
+    w = walk(P.stored(spark, d), ["s:1"], "backward", S.DEPENDENT, 6).where("depth > 0").select("node", "depth")
     n = P.nodes(spark, d)
     home = n.where("id = 's:1'").select(F.col("service_id").alias("home"))
     j = w.join(n, w["node"] == n["id"]).crossJoin(F.broadcast(home))
@@ -286,25 +289,25 @@ def stacktrace_frames(spark, d):
 
 @query("! w(node, depth) AS (SELECT 'p:5', 0 UNION SELECT e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.node AND e.kind IN ('READS','WRITES') WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def dataflow_up(spark, d):
-    return walk(P.edges(spark, d), one(spark, "p:5"), "backward", S.DATA_FLOW, 6).select("node", "depth")
+    return walk(P.stored(spark, d), ["p:5"], "backward", S.DATA_FLOW, 6).select("node", "depth")
 
 
 @query("! w(node, depth) AS (SELECT 'o:7', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node AND e.kind IN ('READS','WRITES') WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def dataflow_down(spark, d):
-    return walk(P.edges(spark, d), one(spark, "o:7"), "forward", S.DATA_FLOW, 6).select("node", "depth")
+    return walk(P.stored(spark, d), ["o:7"], "forward", S.DATA_FLOW, 6).select("node", "depth")
 
 
 @query("SELECT src, dst, kind, evidence_tier, n FROM edges WHERE src = 'c:7' AND dst = (SELECT min('o:' || o_orderkey) FROM orders WHERE o_custkey = 7)")
 def explain(spark, d):
     first = P.table(spark, d, "orders").where("o_custkey = 7").agg(F.min(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))).alias("dst"))
-    return P.edges(spark, d).where("src = 'c:7'").join(F.broadcast(first), "dst").select("src", "dst", "kind", "evidence_tier", "n")
+    return P.stored(spark, d).forward.of("c:7").join(F.broadcast(first), "dst").select("src", "dst", "kind", "evidence_tier", "n")
 
 
 @query("""! w(node, sig, path) AS (SELECT 'c:7', '', ['c:7'] UNION ALL SELECT e.dst, w.sig || ' ' || e.kind, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node AND e.kind IN ('CALLS','EXPOSES','CONSUMES') WHERE len(w.path) < 4),
 m AS (SELECT node, min(len(path)) AS k FROM w GROUP BY node), s AS (SELECT w.node, w.sig, row_number() OVER (PARTITION BY w.node ORDER BY w.path, w.sig) AS r FROM w JOIN m ON m.node = w.node AND len(w.path) = m.k WHERE w.sig <> '')
 SELECT trim(sig) AS motif, count(*) AS n FROM s WHERE r = 1 GROUP BY 1""")
 def motifs(spark, d):
-    w = walk(P.edges(spark, d), one(spark, "c:7"), "forward", ("CALLS", "EXPOSES", "CONSUMES"), 3).where("depth > 0")
+    w = walk(P.stored(spark, d), ["c:7"], "forward", ("CALLS", "EXPOSES", "CONSUMES"), 3).where("depth > 0")
     return w.groupBy(F.array_join("signature", " ").alias("motif")).agg(F.count("*").alias("n"))
 
 
@@ -484,9 +487,10 @@ def param_bind_edges(spark, d):
 @query("""SELECT l_orderkey AS file, count(*) AS refs_total, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS refs_exact, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS refs_inferred, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS refs_unresolved,
 round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0 END) / count(*), 3) AS exact_ratio FROM lineitem GROUP BY 1""", graph=False)
 def coverage_ratios(spark, d):
-    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
-    c = lambda f: F.sum((F.col("l_returnflag") == f).cast("long"))
-    return li.groupBy(F.col("l_orderkey").alias("file")).agg(F.count("*").alias("refs_total"), c("A").alias("refs_exact"), c("R").alias("refs_inferred"), c("N").alias("refs_unresolved"), F.round(c("A") / F.count("*"), 3).alias("exact_ratio"))
+    """Counters of references per order file, by the coverage operator."""
+    status = F.when(F.col("l_returnflag") == "A", "exact").when(F.col("l_returnflag") == "R", "inferred").otherwise("external")
+    c = Z.coverage(P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.lit("call").alias("kind"), status.alias("status")))
+    return c.select(F.col("file_path").alias("file"), "refs_total", "refs_exact", "refs_inferred", "refs_unresolved", F.round(F.col("refs_exact") / F.col("refs_total"), 3).alias("exact_ratio"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem), p AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos FROM nation)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.adjacency import Adjacency
+from ..operators.traverse import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +68,27 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("src", "dst", "kind").agg(F.when(F.max("weak") == 1, "heuristic").otherwise("fact").alias("evidence_tier"), F.count("*").alias("n"))
 
 
+#: Tables that the edges come from, and the stores of a session by what their files were when they were read.
+_READ = ("nation", "customer", "supplier", "orders", "lineitem")
+_stores: dict[tuple, Adjacency] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The edges at rest, written at the first question about a data directory and read where later ones touch them; files that change make a new store."""
+    stamp = []
+    for name in _READ:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        stamp += [fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()]
+    key = (spark.sparkContext.applicationId, sf_dir, *stamp)
+    if key not in _stores:
+        at = f"{shared_dir(spark)}/skein-edges-{uuid.uuid4().hex}"
+        rows = edges(spark, sf_dir)
+        rows.write.parquet(f"{at}/rows")
+        _stores[key] = Adjacency.write(spark.read.parquet(f"{at}/rows"), at)
+    return _stores[key]
+
+
 #: The same projection for the oracle.
 SQL = """
 place AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),

@@ -6,13 +6,17 @@ message, decoded by one Arrow pass per file.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.intervals import stab
+
 #: Build manifests and the kind of service they stand for, the first of a folder counts: fixed values.
 MANIFESTS = {"pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle", "package.json": "npm", "pyproject.toml": "pypi", "setup.py": "pypi", "go.mod": "go", "Cargo.toml": "cargo", "Dockerfile": "docker"}
 #: TOML tables whose ``name`` names a service, by manifest; the first that has one counts.
@@ -120,16 +124,18 @@ def _numbers(v: int | bytes) -> list[int]:
 
 
 def occurrences(index: bytes) -> list[dict]:
-    """Occurrences of all documents of an index: path, symbol, role flag of a definition, 1-based lines, 0-based columns."""
+    """Occurrences of all documents of an index: path, symbol, role flag of a definition, 1-based lines, 0-based byte columns, the hash of the text if it is there."""
     out, documents = [], 0
     for number, document in fields(index):
         if number != 2:
             continue
         documents += 1
-        path, found = "", []
+        path, text, found = "", None, []
         for n, v in fields(document):
             if n == 1:
-                path = v.decode()
+                path = re.sub(r"^(?:\./)+", "", v.decode().replace("\\", "/"))
+            elif n == 5:
+                text = hashlib.sha256(v).hexdigest()
             elif n == 2:
                 span, symbol, roles = [], "", 0
                 for k, x in fields(v):
@@ -144,13 +150,13 @@ def occurrences(index: bytes) -> list[dict]:
                 if len(span) != 4:
                     raise Malformed("a range has 3 or 4 numbers")
                 found.append({"symbol": symbol, "definition": bool(roles & 1), "start_line": span[0] + 1, "start_col": span[1], "end_line": span[2] + 1, "end_col": span[3]})
-        out += [f | {"document": path} for f in found]
+        out += [f | {"document": path, "nth": len(out) + k, "text_hash": text} for k, f in enumerate(found)]
     if not documents:
         raise Malformed("no documents")
     return out
 
 
-SCIP = "index_path string, document string, symbol string, definition boolean, start_line int, start_col int, end_line int, end_col int"
+SCIP = "index_path string, document string, symbol string, definition boolean, start_line int, start_col int, end_line int, end_col int, nth int, text_hash string"
 
 
 def scip(spark: SparkSession, path: str) -> DataFrame:
@@ -165,9 +171,48 @@ def scip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCIP)
 
 
-def precise_edges(rows: DataFrame) -> DataFrame:
-    """References of SCIP occurrences joined with the one definition of their symbol; locals match inside their document."""
+def definitions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(references, definitions)`` by ``key``; locals are known inside their document, and of several definitions the first counts."""
     key = F.when(F.col("symbol").startswith("local "), F.concat_ws("\0", "document", "symbol")).otherwise(F.col("symbol"))
     r = rows.withColumn("key", key)
-    d = r.where("definition").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("document", "start_line")).alias("d")).where("n = 1")
-    return r.where("not definition").join(d, "key").select("document", "start_line", "symbol", F.col("d.document").alias("def_document"), F.col("d.start_line").alias("def_line"))
+    d = r.where("definition").groupBy("key").agg(F.min(F.struct("index_path", "nth", "document", "start_line")).alias("d"))
+    return r.where("not definition"), d.select("key", F.col("d.document").alias("def_document"), F.col("d.start_line").alias("def_line"))
+
+
+def precise_edges(rows: DataFrame) -> DataFrame:
+    """References of SCIP occurrences joined with the definition of their symbol."""
+    r, d = definitions(rows)
+    return r.join(d, "key").select("document", "start_line", "symbol", "def_document", "def_line")
+
+
+def stale(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``document``s that were indexed from another text than the file has now; without a text or a hash a document is trusted."""
+    seen = rows.where("text_hash is not null").select("document", "text_hash").distinct()
+    now = ledger.where("content_hash is not null").select(F.col("path").alias("document"), "content_hash")
+    return seen.join(now, "document").where("text_hash <> content_hash").select("document").distinct()
+
+
+def line_starts(ledger: DataFrame) -> DataFrame:
+    """``(path, line, byte)``: where each line of a file begins."""
+    lines = ledger.where("content is not null").select("path", F.posexplode(F.split(F.decode("content", "iso-8859-1"), "\n")).alias("n", "t"))
+    before = W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    return lines.select("path", (F.col("n") + 1).alias("line"), F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)).cast("int").alias("byte"))
+
+
+def precise(rows: DataFrame, ledger: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(file_path, at, dst)``: which symbol the name at a byte means by a SCIP index; a null ``dst`` says that it is outside of the project.
+
+    Documents whose text has changed since say nothing.  A definition is the innermost symbol around its line that bears its name.
+    """
+    rows = rows.join(stale(rows, ledger), "document", "left_anti")
+    r, d = definitions(rows)
+    at = line_starts(ledger.join(r.select(F.col("document").alias("path")).distinct(), "path", "left_semi"))
+    r = r.join(at.select(F.col("path").alias("document"), F.col("line").alias("start_line"), "byte"), ["document", "start_line"])
+    tail = F.regexp_extract("key", r"([\w$]+)`?(?:\([^()]*\))?[.#:/!\])]*$", 1)
+    places = d.select("key", F.col("def_document").alias("file_path"), F.col("def_line").alias("place"), tail.alias("name"))
+    named = nodes.where("kind not in ('parameter', 'variable')").select("file_path", F.col("id").alias("dst"), F.col("name").alias("dst_name"), "start_line", "end_line")
+    near = stab(places, named, ["file_path"], "place", "start_line", "end_line").where("name = dst_name or name in ('', 'new', '__init__', 'constructor')")
+    where = near.groupBy("key").agg(F.min(F.struct(F.expr("end_line - start_line"), -F.col("start_line"), "dst"))["dst"].alias("dst"))
+    known = d.select("key", F.lit(True).alias("defined"))
+    out = r.join(known, "key", "left").join(where, "key", "left").where("defined is null or dst is not null")
+    return out.select(F.col("document").alias("file_path"), (F.col("byte") + F.col("start_col")).alias("at"), "dst").distinct()
