@@ -19,7 +19,7 @@ from .operators import adjacency, capability, impact, risks, search, traverse
 from .operators import resolve as R
 from .operators.adjacency import Adjacency, Lookup
 from .operators.traverse import together
-from .sources import code, git, readers
+from .sources import code, git, packs, readers
 
 PARTS = ("services", "files", "symbols", "nodes", "refs", "edges", "boundaries", "usage_sites", "coverage", "meta")
 
@@ -138,6 +138,20 @@ def _data_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("evidence_label", F.lower("kind"))
 
 
+def _pack(spark: SparkSession, path: str | None, tmp: str) -> tuple[str, DataFrame] | None:
+    return None if path is None else (path, _write(packs.packs(spark, path), f"{tmp}/pack"))
+
+
+def _adapters(spark: SparkSession, pack: tuple[str, DataFrame] | None) -> DataFrame:
+    """The adapters that count: those that are shipped, then those of the project."""
+    own = contract.adapters(spark)
+    return own if pack is None else own.unionByName(packs.adapters(pack[1], len(contract.SHIPPED)))
+
+
+def _adapter_digest(spark: SparkSession, pack: tuple[str, DataFrame] | None) -> str:
+    return build_digest(adapters=_adapters(spark, pack))
+
+
 def _precise(spark: SparkSession, scip: str | None, tmp: str, ledger: DataFrame, nodes: DataFrame) -> DataFrame | None:
     return None if scip is None else _write(readers.precise(readers.scip(spark, scip), ledger, nodes), f"{tmp}/precise")
 
@@ -159,7 +173,7 @@ def _searched(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind <> 'parameter'").select("id", *SEARCHED)
 
 
-def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str, last: LineageGraph | None = None, scip: str | None = None) -> None:
+def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame, symbols: DataFrame, refs: DataFrame, usage: DataFrame, root: str, last: LineageGraph | None = None, scip: str | None = None, pack: tuple[str, DataFrame] | None = None) -> None:
     """What follows from symbols and resolved references: services, files, contracts, nodes, edges, boundaries, coverage, digest."""
     found = _write(readers.services(ledger), f"{tmp}/services")
     ledger = readers.locate(ledger, found)
@@ -167,7 +181,7 @@ def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame,
     files = ledger.drop("content", "manifest").join(broken.select(F.col("file_path").alias("path"), F.lit(True).alias("bad")).distinct(), "path", "left")
     files = _write(files.withColumn("parse_status", status).drop("bad"), f"{tmp}/files")
     nodes = merge_nodes(symbols).join(files.select(F.col("path").alias("file_path"), "service_id"), "file_path", "left")
-    contracts, contract_edges, loose = contract.detect(refs.withColumnRenamed("name", "ref_name"), contract.adapters(spark))
+    contracts, contract_edges, loose = contract.detect(refs.withColumnRenamed("name", "ref_name"), _adapters(spark, pack))
     nodes = nodes.unionByName(contracts.select("id", "kind", "name", "qualified_name", "lang", "file_path", "start_line", "end_line", F.lit(0).alias("flags")), allowMissingColumns=True)
     contract_edges = _write(contract_edges, f"{tmp}/contract_edges")
     bins = adjacency.bins_for(refs.count())
@@ -186,7 +200,7 @@ def _finish(spark: SparkSession, tmp: str, ledger: DataFrame, broken: DataFrame,
     if not held:
         raise ValueError("an edge ends at no node")
     at = git.provenance(root)
-    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins, found.names, scip)], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int, segments array<string>, scip string"), f"{tmp}/meta")
+    _write(spark.createDataFrame([(S.SCHEMA_VERSION, sums, root, at.commit_sha, at.branch, at.dirty, bins, found.names, scip, pack and pack[0], _adapter_digest(spark, pack))], "schema_version int, build_digest string, project_root string, commit_sha string, branch string, dirty boolean, bins int, segments array<string>, scip string, pack string, adapter_digest string"), f"{tmp}/meta")
     _delete(spark, *[f"{tmp}/{part}" for part in ("raw", "ledger", "touched", "precise", "contract_edges")])
 
 
@@ -226,7 +240,8 @@ class LineageGraph:
         meta = spark.read.parquet(f"{path}/meta").first()
         if meta is None or meta.schema_version != S.SCHEMA_VERSION:
             raise S.SchemaMismatch(f"{path} holds schema {meta and meta.schema_version}, not {S.SCHEMA_VERSION}")
-        self.digest, self.scip = meta.build_digest, meta.scip
+        self.digest, self.scip, self.pack, self.adapter_digest = meta.build_digest, meta.scip, meta.pack, meta.adapter_digest
+        self.packed = spark.read.parquet(f"{path}/pack") if meta.pack else None
         self.provenance = git.Provenance(*map(meta.asDict().get, ("commit_sha", "branch", "dirty")))
         for part in PARTS[:-1]:
             if part not in STORED:
@@ -238,10 +253,11 @@ class LineageGraph:
         self.found = search.Segments(spark, _search_at(path), list(meta.segments), SEARCHED)
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, out: str, service: str = "root", scip: str | None = None) -> LineageGraph:
+    def build(cls, spark: SparkSession, root: str, out: str, service: str = "root", scip: str | None = None, pack: str | None = None) -> LineageGraph:
         """Read a tree into ``out``: all or nothing, since the version that counts is named when its last table is written.
 
         ``scip`` is a SCIP index of the tree; what it says wins over a name that is only known somewhere in the project.
+        ``pack`` is a folder with the project's own adapters and rules (see ``packs``), which come after those that are shipped.
         """
         tmp = f"{out.rstrip('/')}/v-{uuid.uuid4().hex}"
         # written first, so that files that change meanwhile cannot give a ledger and symbols of different states
@@ -250,7 +266,7 @@ class LineageGraph:
         symbols = _write(raw.where("rec = 'node'").select(*NODE), f"{tmp}/symbols")
         nodes = merge_nodes(symbols)
         refs = _write(R.resolve(raw.where("rec = 'ref'").select(*OBSERVED), nodes, _precise(spark, scip, tmp, ledger, nodes)), f"{tmp}/refs")
-        _finish(spark, tmp, ledger, _broken(raw), symbols, refs, _usage(raw), root, scip=scip)
+        _finish(spark, tmp, ledger, _broken(raw), symbols, refs, _usage(raw), root, scip=scip, pack=_pack(spark, pack, tmp))
         _publish(spark, tmp, out)
         return cls(spark, out)
 
@@ -265,8 +281,9 @@ class LineageGraph:
         now = ledger.select("path", "content_hash", "size_bytes", F.lit(True).alias("here"))
         was = self.files.select("path", F.col("content_hash").alias("h"), F.col("size_bytes").alias("s"), F.lit(True).alias("there"))
         same = F.col("here") & F.col("there") & F.col("content_hash").eqNullSafe(F.col("h")) & F.col("size_bytes").eqNullSafe(F.col("s"))
+        pack = _pack(spark, self.pack, tmp)
         touched = _write(now.join(was, "path", "full").where(~F.coalesce(same, F.lit(False))).select(F.col("path").alias("file_path"), F.coalesce("here", F.lit(False)).alias("here")), f"{tmp}/touched")
-        if touched.isEmpty():
+        if touched.isEmpty() and _adapter_digest(spark, pack) == self.adapter_digest:
             _delete(spark, tmp)
             return self
         ledger = _write(ledger, f"{tmp}/ledger")
@@ -284,7 +301,7 @@ class LineageGraph:
         stay = stay.join(again.select(*R.AT), [stay[c].eqNullSafe(again[c]) for c in R.AT], "left_anti").select(*stay.columns)
         refs = _write(stay.unionByName(fresh), f"{tmp}/refs")
         broken = kept(self.boundaries.where("kind = 'parse_error'")).select("file_path", "kind", "detail", "line").unionByName(_broken(raw))
-        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root, self, self.scip)
+        _finish(spark, tmp, ledger, broken, symbols, refs, kept(self.usage_sites).unionByName(_usage(raw)), root, self, self.scip, pack)
         _publish(spark, tmp, out)
         return type(self)(spark, out)
 
@@ -379,12 +396,20 @@ class LineageGraph:
         e = self.edges.where("kind = 'EXPOSES'").select(F.col("src").alias("id"), F.col("dst").alias("contract")).distinct()
         return self.nodes.join(e, "id").select("id", "name", "kind", "contract").orderBy("id", "contract")
 
+    def refused(self) -> DataFrame:
+        """Entries of the project's pack that were not taken: ``file, entry, refused``."""
+        none = self.spark.createDataFrame([], "file string, entry int, refused string")
+        return none if self.packed is None else packs.refused(self.packed).orderBy("file", "entry")
+
     def risks(self, markers: tuple[str, ...] = (), rows: tuple = risks.BLOCKING, limit: int = 200) -> Answer:
+        """Forbidden calls from asynchronous frames, by ``rows`` and by the rules of the project's pack."""
+        rule = risks.rules(self.spark, rows)
+        rule = rule if self.packed is None else rule.unionByName(packs.rules(self.packed))
         calls = self.edges.where("kind = 'CALLS'").select("src", "dst", "evidence_tier")
         outside = self.refs.where("kind = 'call' and status = 'external'").select(F.col("from_node").alias("src"), F.coalesce("target", "ref_text").alias("target")).distinct()
         entry = self.nodes.where(F.col("flags").bitwiseAND(F.lit(256)) != 0).select("id")
         named = self.nodes.select("id", F.coalesce("dotted", "qualified_name").alias("qualified_name"), "lang")
-        found = risks.find(risks.async_frames(self.nodes, self.refs, markers), calls, outside, named, risks.rules(self.spark, rows), entry)
+        found = risks.find(risks.async_frames(self.nodes, self.refs, markers), calls, outside, named, rule, entry)
         total = found.count()
         return Answer(found.orderBy(F.desc("severity"), "distance", "at", "target").limit(limit), total, total > limit)
 
