@@ -18,6 +18,7 @@ from .operators import contracts as contract
 from .operators import adjacency, capability, impact, risks, search, traverse
 from .operators import resolve as R
 from .operators.adjacency import Adjacency, Lookup
+from .operators.nested import FORBIDDEN
 from .operators.traverse import together
 from .sources import code, git, packs, readers
 
@@ -108,15 +109,18 @@ SEARCHED = {"name": 10.0, "qualified_name": 5.0, "docstring": 1.0, "signature":
 KIND_RANK = ("class", "interface", "function", "method", "constructor", "property", "module", "contract")
 #: Levels that the readers claim: references and data flow.
 CLAIMS = {"python": "L2", "java": "L2", "typescript": "L2", "javascript": "L2"}
-#: What no payload may hold, at any depth.
-FORBIDDEN = ("content", "source", "text", "context_line", "context_before", "context_after")
 
 
 def payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """JSON lines of a graph without any source text; a column that may hold some is refused."""
+    """JSON lines of a graph without any source text; a field that may hold some, at any depth, is refused."""
+
+    def held(kind) -> set[str]:
+        kind = getattr(kind, "elementType", kind)
+        return {f.name.lower() for f in kind.fields} | {x for f in kind.fields for x in held(f.dataType)} if hasattr(kind, "fields") else set()
+
     for df in (nodes, edges):
-        if bad := sorted(set(FORBIDDEN) & {f.lower() for f in df.columns}):
-            raise ValueError(f"columns with source text: {', '.join(bad)}")
+        if bad := sorted(set(FORBIDDEN) & held(df.schema)):
+            raise ValueError(f"fields with source text: {', '.join(bad)}")
     n = nodes.withColumn("flags", X.flag_names(F.col("flags"))) if "flags" in nodes.columns else nodes
     row = lambda df, kind: df.select(F.lit(kind).alias("type"), F.to_json(F.struct(*sorted(df.columns))).alias("row"))
     return row(n, "node").union(row(edges, "edge"))
