@@ -52,6 +52,8 @@ _JOINT = re.compile(r"[^\w@$!|+(*€]+|_+")
 #: A plain number, price, date or time stands for itself.
 _NUMBER = re.compile(r"[$€+(-]*\d[\d.,:/()+%€-]*")
 _KEPT, _LONG = 60_000, 40
+#: Features that a task gives on at once; longest token that it remembers.
+_GIVEN, _REMEMBERED = 1 << 15, 256
 #: States of the decoder kept after each sign.
 BEAM = 24
 #: Score of a text without any toxic feature.
@@ -69,6 +71,9 @@ class Channel:
         p2 = (c2 + 20 * p1[None]) / (c2.sum(1, keepdims=True) + 20)
         self.log = np.log((c3 + 20 * p2[None]) / (c3.sum(2, keepdims=True) + 20)).tolist()
         self.known: dict[str, tuple[str, ...]] = {}
+        # tokens that scoring has looked at in this worker, and those of them that hold a toxic word, with its strongest feature
+        self.seen: set[str] = set()
+        self.marked: dict[str, dict[str, str]] = {}
 
     def decode(self, signs: str, spaced: bool = False) -> str:
         """Most likely letters (and, if ``spaced``, word boundaries) behind ``signs``."""
@@ -102,7 +107,7 @@ class Channel:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The restored words of a lower-cased token, runs of a letter squeezed."""
-        if len(token) > 256:  # too long to be kept
+        if len(token) > _REMEMBERED:
             return self._words(token)
         if token not in self.known:
             if len(self.known) > _KEPT:
@@ -159,17 +164,22 @@ class Channel:
     def restore(self, text: str | None) -> list[str]:
         """The restored words of a text; a run of four or more single signs is read as spaced-out words too."""
         raw = (text or "").lower().split()
-        out = {w for t in set(raw) for w in self.words(t)}
-        one, run = [len(t) == 1 for t in raw], []
-        if sum(one) >= 4:
-            for t, single in zip([*raw, "  "], [*one, False], strict=True):
-                if single:
+        return sorted({w for t in set(raw) for w in self.words(t)} | self.runs(raw))
+
+    def runs(self, raw: list[str]) -> set[str]:
+        """The words of runs of four or more single signs."""
+        out: set[str] = set()
+        sizes = list(map(len, raw))
+        if sizes.count(1) >= 4:
+            run: list[str] = []
+            for t, size in zip([*raw, "  "], [*sizes, 2], strict=True):
+                if size == 1:
                     run.append(t)
                     continue
                 if len(run) >= 4:
                     out.update(squeeze(w) for w in self.spaced("".join(run)))
                 run = []
-        return sorted(out)
+        return out
 
 
 def squeeze(w: str) -> str:
@@ -252,6 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: st
                 own = {f for w in channel.value.restore(t) for f in features_of(w) if wanted is None or f in wanted}
                 feature += own
                 of += [name] * len(own)
+                if len(feature) >= _GIVEN:
+                    yield pd.DataFrame({"feature": pd.Series(feature, dtype=object), "of": np.array(of, np.int64)})
+                    feature, of = [], []
             yield pd.DataFrame({"feature": pd.Series(feature, dtype=object), "of": np.array(of, np.int64)})
 
     wanted = None
@@ -276,21 +289,35 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = spark.sparkContext.broadcast(train(docs, labels, channel, id_col, text_col, label, max_rows))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odds = model.value
-        known: dict[str, str | None] = {}
+        odds, decoder = model.value, channel.value
+        seen, marked = decoder.seen, decoder.marked
+
+        def strongest(words) -> dict[str, str]:
+            best = ((w, max((f for f in features_of(w) if f in odds), key=lambda f: (odds[f], f), default=None)) for w in words)
+            return {w: f for w, f in best if f}
+
         for pdf in batches:
             scores, marks = [], []
             for t in pdf["text"]:
-                hit, words = set(), []
-                for w in channel.value.restore(t):
-                    if w not in known:
-                        if len(known) > _KEPT:
-                            known.clear()
-                        # a word counts once, by its strongest feature
-                        known[w] = max((f for f in features_of(w) if f in odds), key=lambda f: (odds[f], f), default=None)
-                    if known[w]:
-                        hit.add(known[w])
-                        words.append(w)
+                raw = (t or "").lower().split()
+                tokens, found = set(raw), {}
+                new = tokens - seen
+                if len(seen) + len(new) > _KEPT:
+                    seen.clear()
+                    marked.clear()
+                    new = tokens
+                for token in new:
+                    own = strongest(decoder._words(token))
+                    if len(token) > _REMEMBERED:
+                        found |= own
+                    else:
+                        seen.add(token)
+                        if own:
+                            marked[token] = own
+                for token in tokens & marked.keys():
+                    found |= marked[token]
+                found |= strongest(decoder.runs(raw))
+                hit, words = set(found.values()), sorted(found)  # a word counts once, by its strongest feature
                 # noisy or: each feature alone leaves the text clean with the probability of its odds
                 none = np.log1p(-NO_MARK) - sum(np.log1p(np.exp(odds[f])) for f in sorted(hit))
                 scores.append(-np.expm1(none) if odds else 0.0)
