@@ -398,16 +398,17 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame([(None if i == 11 else i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
 
     def found(text, item):
-        t, n = text.split(), len(item)
+        """0: no diagonal holds enough words; 1: one does; 2: and it must be found, as a short item or with 13 of some 16 words in a row."""
+        t, n, out = text.split(), len(item), 0
         for d in range(-n + 1, len(t)):
             same = [0 <= d + j < len(t) and t[d + j] == item[j] for j in range(n)]
-            # all of a diagonal of a short item; of a long one 13 of some 16 words in a row
-            if n <= 40 and sum(same) >= min(13, -(-8 * n // 10)) or n > 40 and any(sum(same[j : j + 16]) >= 13 for j in range(n - 15)):
-                return True
-        return False
+            if sum(same) >= min(13, -(-8 * n // 10)):
+                out = max(out, 2 if n <= 40 or any(sum(same[j : j + 16]) >= 13 for j in range(n - 15)) else 1)
+        return out
 
-    want = {i: [None if k == 11 else k for k, item in enumerate(items) if found(t, item)] for i, t in rows}
-    assert sum(map(len, want.values())) >= 80
+    sure = {i: {(k == 11, k) for k, item in enumerate(items) if found(t, item) == 2} for i, t in rows}
+    some = {i: {(k == 11, k) for k, item in enumerate(items) if found(t, item)} for i, t in rows}
+    assert sum(map(len, sure.values())) >= 80
     keep = spaced_seeds.BLOCK_BYTES
     for size in (keep, 300):
         spaced_seeds.BLOCK_BYTES = size
@@ -415,7 +416,8 @@ def test_decontamination_equals_brute_force(spark):
             got = {r.doc_id: r["items"] for r in spaced_seeds.contamination(docs(spark, rows), bench).collect()}
         finally:
             spaced_seeds.BLOCK_BYTES = keep
-        assert {i: sorted(x, key=str) for i, x in got.items()} == {i: sorted(x, key=str) for i, x in want.items()}
+        for i, x in got.items():
+            assert sure[i] <= {(k is None, 11 if k is None else k) for k in x} <= some[i]
 
 
 def test_masks_hit_every_admitted_substitution():
