@@ -95,6 +95,14 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def only(make: Callable[[], DataFrame]) -> DataFrame:
+    """The durable result of ``make()``; durable tables that it wrote on the way, which nothing else reads, are deleted."""
+    before = set(_files)
+    out = durable(make())
+    free(*[f[3] for k, f in list(_files.items()) if k not in before and f[3] is not out])
+    return out
+
+
 def join_by_size(df: DataFrame, other: DataFrame, key: str, how: str = "inner", row_bytes: int = 16) -> DataFrame:
     """``df`` joined with ``other`` (durable) on ``key``; ``other`` is broadcast only if its counted rows are small."""
     small = other.count() * row_bytes <= BROADCAST_BYTES
