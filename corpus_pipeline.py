@@ -11,11 +11,13 @@ of their own that its operator carries, so null and repeated ids neither drop no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import minimax_shards, odd_minhash, source_mix, spaced_seeds, toxicity
-from skein.llm.common import durable, join_by_size, table
+from skein.llm.common import durable, join_by_size, only, table
 
 ROW = "_row"
 
@@ -27,33 +29,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``rows`` whose key is not among the few of ``rejected``; the list is broadcast only if its counted size is small."""
-    return join_by_size(rows, durable(rejected.select(ROW)), ROW, "left_anti").drop(ROW)
+def _without(rows: DataFrame, rejected: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of ``rows`` whose key is not among those of ``rejected()``; the list is broadcast only if its counted size is small.
+
+    Once the list is written, what the operator wrote on its way goes.
+    """
+    return join_by_size(rows, only(lambda: rejected().select(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
     rows = _keyed(docs)
-    return _without(rows, toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row_col=ROW).where("predicted = 1")).select(docs.columns)
+    return _without(rows, lambda: toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row_col=ROW).where("predicted = 1")).select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     rows = _keyed(docs)
-    return _without(rows, odd_minhash.near_duplicates(rows, id_col=ROW).where("not kept")).select(docs.columns)
+    return _without(rows, lambda: odd_minhash.near_duplicates(rows, id_col=ROW).where("not kept")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     rows = _keyed(docs)
-    return _without(rows, spaced_seeds.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated")).select(docs.columns)
+    return _without(rows, lambda: spaced_seeds.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     rows = _keyed(docs)
-    copies = durable(source_mix.mix(rows, row_col=ROW).select(ROW, "copies").where("copies > 0"))
+    copies = only(lambda: source_mix.mix(rows, row_col=ROW).select(ROW, "copies").where("copies > 0"))
     taken = join_by_size(rows, copies, ROW, row_bytes=24)
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch")).select(docs.columns)
 
