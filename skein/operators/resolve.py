@@ -32,6 +32,8 @@ SYMBOL_FOR = {
 }
 #: Candidate ids that a report holds at most, and up to how many of them a boundary is noted.
 KEPT, NOTED = 16, 8
+#: Rows of a looked-up table that are broadcast.
+BROADCAST = 400_000
 FIRST = ("inherit", "implement", "import")
 RUNGS = ("self_receiver", "lexical", "declared_receiver_type", "import", "precise_index", "project_wide_name")
 
@@ -81,14 +83,17 @@ def bases(inherits: DataFrame) -> DataFrame:
 
 
 def _best(hits: DataFrame) -> DataFrame:
-    """Per reference the candidates of the first rung and nearest level; those of a fitting kind, or else all of them."""
-    first = hits.groupBy("ref").agg(F.min(F.struct("rung", "level")).alias("first"))
-    h = hits.join(first, "ref").where((F.col("rung") == F.col("first.rung")) & (F.col("level") == F.col("first.level")))
+    """Per reference the candidates of the first rung and nearest level; those of a fitting kind, or else all of them.
+
+    Hits are dealt by reference once; every grouping below finds them in place.
+    """
     fit = F.array_contains(F.try_element_at(_allowed(), F.col("kind")), F.col("dst_kind"))
-    h = h.groupBy("ref", "rung", "kind", "dst_kind").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("fit", F.coalesce(fit, F.lit(False)))
-    some = h.groupBy("ref").agg(F.max("fit").alias("some"))
-    h = h.join(some, "ref").where("fit or not some")
-    return h.groupBy("ref").agg(F.min("rung").alias("rung"), F.sum(F.greatest("n", F.size("ids"))).alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, KEPT).alias("ids"), F.min("dst_kind").alias("dst_kind"))
+    h = hits.repartition("ref").groupBy("ref", "kind", "rung", "level", "dst_kind").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    h = h.withColumn("fit", F.coalesce(fit, F.lit(False))).groupBy("ref", "rung", "level").agg(F.collect_list(F.struct("dst_kind", "n", "ids", "fit")).alias("x"))
+    h = h.groupBy("ref").agg(F.min(F.struct("rung", "level", "x")).alias("h")).select("ref", "h.rung", "h.x")
+    h = h.withColumn("x", F.when(F.exists("x", lambda c: c["fit"]), F.filter("x", lambda c: c["fit"])).otherwise(F.col("x")))
+    n = F.aggregate("x", F.lit(0).cast("long"), lambda s, c: s + F.greatest(c["n"], F.size(c["ids"]).cast("long")))
+    return h.select("ref", "rung", n.alias("n"), F.slice(F.array_sort(F.flatten("x.ids")), 1, KEPT).alias("ids"), F.array_min("x.dst_kind").alias("dst_kind"))
 
 
 _OPTIONAL = (("target", "string"), ("receiver", "string"), ("start_byte", "int"), ("end_byte", "int"), ("lang", "string"))
@@ -101,11 +106,20 @@ def _have(df: DataFrame, *names: tuple[str, str]) -> DataFrame:
 
 
 def _keyed(refs: DataFrame) -> DataFrame:
-    """One row per reference, with its key ``ref``; arguments that several observations hold are united."""
+    """One row per reference; arguments that several observations hold are united."""
     r = _have(refs, *_OPTIONAL)
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) if c == "args" else F.min(c)
-    r = r.groupBy(*AT).agg(*[united(c).alias(c) for c in r.columns if c not in AT])
-    return r.withColumn("ref", F.sha2(F.to_json(F.struct(*AT), {"ignoreNullFields": "false"}), 256))
+    return r.groupBy(*AT).agg(*[united(c).alias(c) for c in r.columns if c not in AT])
+
+
+def _numbered(r: DataFrame) -> DataFrame:
+    """References at rest, each with a number ``ref`` that joins carry in place of what identifies it."""
+    return settle(r.withColumn("ref", F.monotonically_increasing_id()))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table at rest, broadcast if it has few rows, so that what looks it up is not shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _known(nodes: DataFrame) -> DataFrame:
@@ -121,12 +135,12 @@ def _bare(receiver: Column) -> Column:
     return F.regexp_replace(receiver, r"^(self|this|cls)\.", "")
 
 
-def _tables(nodes: DataFrame, r: DataFrame | None) -> dict[str, DataFrame]:
-    """What the rungs look up, written once and read by every pass; only what ``r`` names, if it is given."""
+def _tables(nodes: DataFrame, r: DataFrame) -> dict[str, DataFrame]:
+    """What the rungs look up, written once and read by every pass; of members and names only what ``r`` names."""
     named, full = nodes.where("name is not null"), nodes.where("dotted is not null")
-    if r is not None:
-        named = named.join(r.select("name").distinct(), "name", "left_semi")
-        full = full.join(r.select(F.col("target").alias("dotted")).distinct(), "dotted", "left_semi")
+    # most tables of symbols hold many names that no reference has
+    named = named.join(_few(settle(r.select("name").distinct())), "name", "left_semi")
+    full = full.join(r.where("target is not null").select(F.col("target").alias("dotted")).distinct(), "dotted", "left_semi")
     language = F.coalesce("lang", F.lit("")).alias("lang")
     types = nodes.where(F.col("kind").isin(*_TYPES))
     members, dotted, anywhere, holders = together(
@@ -136,9 +150,9 @@ def _tables(nodes: DataFrame, r: DataFrame | None) -> dict[str, DataFrame]:
         lambda: settle(types.select(F.col("id").alias("holder")).distinct()),
     )
     return {
-        "members": members,
-        "dotted": dotted,
-        "anywhere": anywhere,
+        "members": _few(members),
+        "dotted": _few(dotted),
+        "anywhere": _few(anywhere),
         "types": holders,
         "named": types.groupBy(F.col("name").alias("type_name"), F.col("lang").alias("type_lang")).agg(F.min("id").alias("holder"), F.countDistinct("id").alias("k")).where("k = 1").drop("k"),
         "hint": nodes.where("type_ref is not null").select(F.col("parent_id").alias("holder"), F.col("name").alias("receiver"), _tail(F.col("type_ref")).alias("type_name")).distinct(),
@@ -159,8 +173,8 @@ def resolve(refs: DataFrame, nodes: DataFrame, precise: DataFrame | None = None,
     ``inherits(src, dst)`` are bases known beforehand, when ``refs`` are some of a graph's.  ``late`` marks a base or import that was only
     found through the bases of another.
     """
-    nodes, r = _known(nodes), settle(_keyed(refs))
-    look, scopes = together(lambda: _tables(nodes, None if inherits is None else r), lambda: ancestors(nodes, r.select(F.col("from_node").alias("id"))))
+    nodes, r = _known(nodes), _numbered(_keyed(refs))
+    look, scopes = together(lambda: _tables(nodes, r), lambda: ancestors(nodes, r.select(F.col("from_node").alias("id"))))
     first = r.where(F.col("kind").isin(*FIRST))
     done = settle(_pass(first, look, scopes, None, precise, nodes))
     found = _inherits(first, done)
@@ -215,7 +229,7 @@ def affected(old: DataFrame, kept: DataFrame, new: DataFrame, old_nodes: DataFra
     early_of = lambda df: df.where("kind in ('inherit', 'implement') and dst is not null and not late")
     early = early_of(kept)
     stays = settle(early.join(held.select(*AT).distinct(), [early[c].eqNullSafe(held[c]) for c in AT], "left_anti").select(F.col("from_node").alias("src"), "dst"))
-    first = settle(_keyed(held.select(*new.columns).union(new).where(F.col("kind").isin(*FIRST))))
+    first = _numbered(_keyed(held.select(*new.columns).union(new).where(F.col("kind").isin(*FIRST))))
     look, scopes = together(lambda: _tables(nodes, first), lambda: ancestors(nodes, first.select(F.col("from_node").alias("id"))))
     done = settle(_pass(first, look, scopes, None, None, nodes))
     after, before = together(lambda: bases(stays.union(_inherits(first, done))), lambda: bases(early_of(old).select(F.col("from_node").alias("src"), "dst")))

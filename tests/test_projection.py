@@ -42,3 +42,12 @@ def test_settled_tables_are_packed(spark):
     before = size(shared_dir(spark))
     assert settle(spark.range(100_000).select((F.col("id") % 7).alias("a"), F.lit("the same long text in every row").alias("t"))).count() == 100_000
     assert size(shared_dir(spark)) - before < 400_000  # 5 MB as serialised rows
+
+
+def test_candidates_are_dealt_by_reference_once(spark):
+    from skein.operators import resolve as Z
+
+    hits = spark.createDataFrame([(1, 5, 0, "call", 1, ["x"], "class"), (1, 1, 2, "call", 3, ["b", "a", "c"], "field"), (1, 1, 2, "call", 1, ["d"], "method"), (2, 5, 0, "read", 2, ["f", "e"], "class")], "ref long, rung int, level long, kind string, n long, ids array<string>, dst_kind string")
+    best = Z._best(hits)
+    assert sorted(map(tuple, best.collect())) == [(1, 1, 1, ["d"], "method"), (2, 5, 2, ["e", "f"], "class")]
+    assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
