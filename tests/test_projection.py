@@ -51,3 +51,32 @@ def test_candidates_are_dealt_by_reference_once(spark):
     best = Z._best(hits)
     assert sorted(map(tuple, best.collect())) == [(1, 1, 1, ["d"], "method"), (2, 5, 2, ["e", "f"], "class")]
     assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_points_ask_only_for_sizes_that_spans_have(spark):
+    from skein.operators import intervals as V
+
+    got = spark.range(1).select(V.around(F.lit(5), [0, 2]).alias("x"), F.size(V.blocks(F.lit(3), F.lit(12))).alias("n")).first()
+    assert [tuple(b) for b in got.x] == [(0, 5), (2, 1)] and got.n == 4  # 3, 4-7, 8-11, 12
+
+
+def test_an_index_for_one_question_holds_its_terms_only(spark):
+    from skein.operators import search as R
+
+    docs = spark.createDataFrame([(1, "web", "alpha beta-gamma"), (2, "beta", "gamma alpine"), (3, None, "delta")], "id long, source string, text string")
+    weights = {"source": 5.0, "text": 1.0}
+    for q in ("alp gam", "beta-gam", "zzz", ""):
+        small = R.index(docs, "id", weights, q)
+        assert sorted(map(tuple, R.ranked(small, q, "or").collect())) == sorted(map(tuple, R.ranked(R.index(docs, "id", weights), q, "or").collect()))
+    assert {r.term for r in R.index(docs, "id", weights, "beta-gam").postings.collect()} == {"beta", "gamma"}
+
+
+def test_risks_over_stored_edges_equal_those_over_a_table(spark):
+    from skein.operators import risks as K
+
+    frames = P.table(spark, SF, "customer").where("c_custkey < 20").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("frame"))
+    named = P.nodes(spark, SF).where("id like 's:%'").select("id", F.col("name").alias("qualified_name"), F.lit(None).cast("string").alias("lang"))
+    outside, none = spark.createDataFrame([], "src string, target string"), spark.createDataFrame([], "id string")
+    rule = K.rules(spark, [("rule", None, 2, r["qualified_name"], False) for r in named.limit(3).collect()])
+    a, b = (settle(K.find(frames, c, outside, named, rule, none, 2)) for c in (P.stored(spark, SF), P.edges(spark, SF).where("kind = 'CALLS'")))
+    assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
