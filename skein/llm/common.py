@@ -7,6 +7,7 @@ Text hashing is vectorised numpy over UTF-8 bytes.  A word is a maximal run of b
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -103,6 +104,12 @@ def only(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_by_size(df: DataFrame, other: DataFrame, key: str, how: str = "inner", row_bytes: int = 16) -> DataFrame:
     """``df`` joined with ``other`` (durable) on ``key``; ``other`` is broadcast only if its counted rows are small."""
     small = other.count() * row_bytes <= BROADCAST_BYTES
@@ -467,6 +474,133 @@ def in_bins(df: DataFrame, run, rows: int) -> DataFrame:
     return df.groupBy(bins.alias("bin")).applyInPandas(run, "a long, b long")
 
 
+class Bloom:
+    """A Bloom filter of at most ``1 << most`` bits over the longs ``node``, which are hashes; two probes, each a part of the hash."""
+
+    def __init__(self, nodes: DataFrame, most: int = 27):
+        n = nodes.count()
+        self.log = min(most, max(10, (16 * n).bit_length()))
+        low = F.col("node").bitwiseAND(F.lit((1 << self.log) - 1))
+        high = F.shiftrightunsigned("node", 64 - self.log)
+        word = nodes.select(F.explode(F.array(low, high)).alias("x")).groupBy(F.shiftright("x", 6).cast("int").alias("word"))
+        # at most 1 << (most - 6) rows, whatever the number of hashes
+        rows = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow()
+        self.words = np.zeros(1 << max(0, self.log - 6), U64)
+        self.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(U64)
+
+    def test(self, key: str) -> Column:
+        """Whether the long ``key`` may be held, for rows that are joined with ``table``."""
+        low = F.col(key).bitwiseAND(F.lit((1 << self.log) - 1))
+        test = F.lit(True)
+        for probe in (low, F.shiftrightunsigned(key, 64 - self.log)):
+            word = F.get("bloom", F.shiftright(probe, 6).cast("int"))
+            test = test & (F.getbit(word, probe.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return test
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The filter as one row."""
+        return F.broadcast(spark.createDataFrame(pa.table({"bloom": pa.ListArray.from_arrays([0, len(self.words)], self.words.view(np.int64))})))
+
+    def passing(self, df: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+        """Rows of ``df`` whose long ``key`` may be held (or, with ``left_anti``, is not); ``df`` is not shuffled."""
+        return df.join(self.table(df.sparkSession), self.test(key), how)
+
+    def may_hold(self, node: np.ndarray) -> np.ndarray:
+        x = node.view(U64)
+        out = np.ones(len(x), bool)
+        for probe in (x & U64((1 << self.log) - 1), x >> U64(64 - self.log)):
+            out &= (self.words[probe >> U64(6)] >> (probe & U64(63)) & U64(1)).astype(bool)
+        return out
+
+
+def nearly_semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key``, a hash, is in ``keys`` (durable), and perhaps some more; ``df`` is never shuffled."""
+    if keys.count() * 16 <= BROADCAST_BYTES:
+        return df.join(F.broadcast(keys), key, "left_semi")
+    return Bloom(keys.select(F.col(key).alias("node"))).passing(df, key)
+
+
+#: Keys that are packed at once; rows of ``sig`` for each part of their prints, and the most parts.
+_PACK, _PART_ROWS, _MOST_PARTS = 1 << 19, 1 << 14, 1 << 12
+
+
+def _prints(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key and its 32-bit print there, as one number."""
+    x = mix(keys.view(U64))
+    return (x & U64(0xFFFFFFFF)) % U64(parts) << U64(32) | x >> U64(32)
+
+
+_PACKS = pa.schema([("part", pa.int32()), ("prints", pa.binary())])
+
+
+def _pack(parts: int):
+    """Batches of (bands) to packs of prints by part, in each pack a print twice at most, so that a hot key stays small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            x = np.sort(_prints(np.concatenate(held), parts))
+            first = np.concatenate(([True], x[1:] != x[:-1]))
+            x = x[first | np.append(False, first[:-1])]
+            cut = np.searchsorted(x, np.arange(parts + 1, dtype=U64) << U64(32))
+            data = pa.py_buffer((x & U64(0xFFFFFFFF)).astype(np.uint32))
+            packs = pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer((cut * 4).astype(np.int32)), data])
+            some = pa.array(np.diff(cut) > 0)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)).filter(some), packs.filter(some)], schema=_PACKS)
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size >= _PACK:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return run
+
+
+def _repeated(packs: pa.Table) -> pa.Table:
+    """Packs of one part to the names of the prints that come up again."""
+    x = np.sort(np.frombuffer(b"".join(packs["prints"].to_pylist()), np.uint32))
+    x = np.unique(x[1:][x[1:] == x[:-1]]).astype(U64)
+    return pa.table({"node": mix(x | U64(packs["part"][0].as_py()) << U64(32)).view(np.int64)})
+
+
+_KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+
+def _again(bloom, parts: int):
+    """Batches of (node, bands) to rows (key, node) of the keys whose print comes up again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            key = bands.flatten().to_numpy()
+            ok = bloom.value.may_hold(mix(_prints(key, parts)))
+            node = np.repeat(batch.column("node").to_numpy(), bands.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(node[ok])], schema=_KEYS)
+
+    return run
+
+
+def repeated_keys(sig: DataFrame) -> DataFrame:
+    """Rows ``(key, node)`` of the band keys of ``sig(node, bands)``, without nearly all keys that come up only once.
+
+    Most do, so that only prints of all keys are dealt, four bytes each.  What comes up again goes into a Bloom filter;
+    it may let other keys pass, but keeps all that are shared.
+    """
+    spark, parts = sig.sparkSession, min(_MOST_PARTS, max(8, sig.count() // _PART_ROWS))
+    sig = sig.where("bands is not null")
+    again = durable(sig.select("bands").mapInArrow(_pack(parts), "part int, prints binary").groupBy("part").applyInArrow(_repeated, "node long"))
+    bloom = spark.sparkContext.broadcast(Bloom(again))
+    out = durable(sig.select("node", "bands").mapInArrow(_again(bloom, parts), "key long, node long"))
+    bloom.unpersist()
+    free(again)
+    return out
+
+
 #: One node in so many is looked at for keys that many nodes share, and how often such a key must come up.
 _ONE_IN, _OFTEN = 64, 64
 
@@ -514,20 +648,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_buckets(sig: DataFrame) -> DataFrame:
     """Members of the band keys of ``sig(node, bands)`` that several nodes share, ``(key, node, lo)``; ``lo`` is one of them.
 
-    Band rows are dealt by key once, sorted, and read in runs.  Keys of very many nodes, which a look at one node in
-    ``_ONE_IN`` shows, are kept out of that deal: their smallest member is a pre-aggregated minimum, and their members
-    stay where they are.
+    Band rows of keys that come up again are dealt by key once, sorted, and read in runs.  Keys of very many nodes, which
+    a look at one node in ``_ONE_IN`` shows, are kept out of that deal: their smallest member is a pre-aggregated minimum,
+    and their members stay where they are.
     """
-    of = lambda s: s.select("node", F.explode("bands").alias("key"))
-    sig = sig.where("bands is not null")
-    hot = durable(of(sig.where(F.pmod(F.xxhash64("node"), F.lit(_ONE_IN)) == 0)).groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= _OFTEN).select("key"))
+    b = rows = repeated_keys(sig)
+    hot = durable(rows.where(F.pmod(F.xxhash64("node"), F.lit(_ONE_IN)) == 0).groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= _OFTEN).select("key"))
     none = hot.isEmpty()
-    b = of(sig) if none else join_by_size(of(sig), hot, "key", "left_anti")
+    if not none:
+        b = join_by_size(rows, hot, "key", "left_anti")
     m = b.repartition("key").sortWithinPartitions("key").select("key", "node").mapInArrow(_shared, "key long, node long, lo long")
     if not none:
-        h = durable(join_by_size(of(sig), hot, "key").distinct())
-        m = m.union(join_by_size(h, durable(h.groupBy("key").agg(F.min("node").alias("lo"))), "key").select("key", "node", "lo"))
-    return durable(m)
+        h = durable(join_by_size(rows, hot, "key").distinct())
+        low = durable(h.groupBy("key").agg(F.min("node").alias("lo")))
+        m = m.union(join_by_size(h, low, "key").select("key", "node", "lo"))
+    out = durable(m)
+    free(rows, hot)
+    if not none:
+        free(h, low)
+    return out
 
 
 def native_check(num: int, den: int):
@@ -595,6 +734,7 @@ def linked_components(
         links = new if r == 0 else new.union(comp.where("node <> component"))  # components so far are stars of links
         last, comp = comp, components(links)
         free(pairs, new, last)
+        release(spark)
 
     mc = open_buckets()
     if mc.isEmpty():
@@ -611,6 +751,7 @@ def linked_components(
     if close.isEmpty():
         return comp
     family = components(close)
+    release(spark)
     f = durable(join_by_size(mc.select("node", "c").distinct(), family.select(F.col("node").alias("c"), F.col("component").alias("key")), "c"))
     top = f.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
     top = top.select("key", F.col("top.c").alias("top"), blocks(F.col("size"), SET_BLOCK).alias("nb"), blocks(F.col("size") - F.col("top.k"), SET_BLOCK).alias("na"))

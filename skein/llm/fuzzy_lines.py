@@ -18,15 +18,14 @@ null; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_COEF, MinHash, Screen, durable, free, join_by_size, linked_components, mix, pair_check, power_tables, semi_by_size, shared_buckets
+from .common import U64, WORD_COEF, Bloom, MinHash, Screen, durable, free, join_by_size, linked_components, mix, nearly_semi, pair_check, power_tables, release, shared_buckets
 
 GRAM = 8
 #: Bytes of texts whose lines are read at once.
@@ -179,38 +178,6 @@ def signer(bands: int, rows: int):
     return run
 
 
-class Bloom:
-    """A Bloom filter of at most ``1 << most`` bits over line names; two probes, each a part of the name."""
-
-    def __init__(self, nodes: DataFrame, most: int = 27):
-        n = nodes.count()
-        self.log = min(most, max(10, (16 * n).bit_length()))
-        low = F.col("node").bitwiseAND(F.lit((1 << self.log) - 1))
-        high = F.shiftrightunsigned("node", 64 - self.log)
-        word = nodes.select(F.explode(F.array(low, high)).alias("x")).groupBy(F.shiftright("x", 6).cast("int").alias("word"))
-        # at most 1 << (most - 6) rows, whatever the number of names
-        rows = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toPandas()
-        self.words = np.zeros(1 << max(0, self.log - 6), U64)
-        self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(U64)
-
-    def column(self, spark: SparkSession, key: str) -> SimpleNamespace:
-        """The filter as a one-row ``table`` and the ``test`` of a semi-join with it on the long ``key``."""
-        table = spark.createDataFrame(pa.table({"bloom": pa.ListArray.from_arrays([0, len(self.words)], self.words.view(np.int64))}))
-        low = F.col(key).bitwiseAND(F.lit((1 << self.log) - 1))
-        test = F.lit(True)
-        for probe in (low, F.shiftrightunsigned(key, 64 - self.log)):
-            word = F.get("bloom", F.shiftright(probe, 6).cast("int"))
-            test = test & (F.getbit(word, probe.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return SimpleNamespace(table=table, test=test)
-
-    def may_hold(self, node: np.ndarray) -> np.ndarray:
-        x = node.view(U64)
-        out = np.ones(len(x), bool)
-        for probe in (x & U64((1 << self.log) - 1), x >> U64(64 - self.log)):
-            out &= (self.words[probe >> U64(6)] >> (probe & U64(63)) & U64(1)).astype(bool)
-        return out
-
-
 def distinct_sets(grams: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingles (48 bits of their hashes) of each line, by sorts of (line, hash) over many lines."""
     out: list[np.ndarray] = []
@@ -244,13 +211,14 @@ BODY = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(p
 
 
 def wanted_lines(bloom, bits: int):
-    """Batches of (text) to the normal forms of lines that the filter may hold, with size and odd sketch of their sets, once in a task."""
+    """Batches of (dk, text) to the normal forms of lines that the filter of line and document may hold, with size and odd sketch of their sets, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()
         for batch in batches:
+            dk = batch.column("dk").to_numpy()
             for c in lines_of(batch.column("text")):
-                held = np.flatnonzero(bloom.value.may_hold(c.node))
+                held = np.flatnonzero(bloom.value.may_hold(c.node ^ dk[c.doc]))
                 own = np.zeros(len(c.node), bool)
                 own[held[fresh(c.node[held])]] = True
                 if not own.any():
@@ -276,34 +244,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = durable(text.mapInArrow(signer(bands, rows), "dk long, id long, pos int, node long, bands array<long>"))
 
     m = shared_buckets(sig)
+    lines = durable(sig.select("dk", "id", "pos", "node"))
+    free(sig)
+    release(spark)
     nodes = durable(m.select("node").distinct())
-    bloom = spark.sparkContext.broadcast(Bloom(nodes))
     # of the documents that hold a candidate line, the one of the smallest key is read for it
-    homes = semi_by_size(sig.select("node", "dk"), nodes, "node").groupBy("node").agg(F.min("dk").alias("dk"))
-    homes = durable(homes.select("dk").distinct().withColumnRenamed("dk", "node"))
-    home = Bloom(homes).column(spark, "dk")
-    body = text.join(F.broadcast(home.table), home.test, "left_semi").select("text").mapInArrow(wanted_lines(bloom, bits), "node long, n int, sketch array<long>, grams string")
-    body = durable(semi_by_size(body, nodes, "node").dropDuplicates(["node"]))
-    of = lambda *columns: lambda nodes: semi_by_size(body.select("node", *columns), nodes, "node")
+    homes = nearly_semi(lines.select("node", "dk"), nodes, "node").groupBy("node").agg(F.min("dk").alias("dk"))
+    homes = durable(homes)
+    home, bloom = Bloom(homes.select(F.col("dk").alias("node"))), spark.sparkContext.broadcast(Bloom(homes.select(F.col("node").bitwiseXOR(F.col("dk")).alias("node"))))
+    body = home.passing(text.select("dk", "text"), "dk").mapInArrow(wanted_lines(bloom, bits), "node long, n int, sketch array<long>, grams string")
+    body = durable(body.withColumn("at", F.monotonically_increasing_id()))
+    bloom.unpersist()
+    # a line that the filter let pass in several documents, or of a repeated row, is taken where it came first
+    twice = durable(body.groupBy("node").agg(F.min("at").alias("first"), F.count("*").alias("k")).where("k > 1").select("node", "first"))
+    once = lambda df: join_by_size(df, twice, "node", "left", row_bytes=24).where("first is null or at = first").drop("at", "first")
+    of = lambda *columns: lambda nodes: once(nearly_semi(body.select("node", "at", *columns), nodes, "node"))
     check = lambda df: df.mapInPandas(pair_check(num, den, distinct_grams), "a long, b long")
     comp = linked_components(m, of("n", "sketch"), of("grams"), num, den, Screen(num, den, bits=bits), check, distinct_grams, star_rounds=1)
-    free(m, nodes, homes, body)
+    free(m, nodes, homes, body, twice)
+    release(spark)
 
     # places of lines that occur again or have a component; all other lines stay
-    lines = sig.select("dk", "id", "pos", "node")
     often = lines.groupBy("node").agg(F.count("*").alias("k")).join(comp, "node", "left").where("k > 1 or component is not null")
     often = durable(often.select("node", F.coalesce("component", "node").alias("cls")))
-    places = durable(join_by_size(lines, often, "node").select("dk", "id", "pos", "cls"))
-    free(sig, often)
+    places = durable(join_by_size(nearly_semi(lines, often, "node"), often, "node").select("dk", "id", "pos", "cls"))
+    free(lines, often, comp)
     head = places.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos", "dk")).alias("head"))
     head = durable(head.select("cls", F.col("head.dk").alias("hk"), F.col("head.pos").alias("hp")))
     gone = join_by_size(places, head, "cls", row_bytes=24).where("dk <> hk or pos <> hp").groupBy("dk").agg(F.collect_set("pos").alias("gone"))
     gone = durable(gone)
     free(places, head)
+    release(spark)
     # texts that lose no line need no shuffle; the filter decides which those are, the join what the others lose
-    held = Bloom(gone.select(F.col("dk").alias("node"))).column(spark, "dk")
-    some = text.join(F.broadcast(held.table), held.test, "left_semi").join(gone, "dk", "left")
-    out = some.unionByName(text.join(F.broadcast(held.table), held.test, "left_anti").withColumn("gone", F.lit(None).cast("array<int>")))
+    held = Bloom(gone.select(F.col("dk").alias("node")))
+    some = held.passing(text, "dk").join(gone, "dk", "left")
+    out = some.unionByName(held.passing(text, "dk", "left_anti").withColumn("gone", F.lit(None).cast("array<int>")))
     n = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != ""))
     return out.select(
         F.col("id").alias(id_col), keep_lines(F.col("text"), F.col("gone")).alias("text"),

@@ -483,6 +483,69 @@ def test_fuzzy_lines_keep_the_same_lines_as_brute_force(spark):
         assert missed <= 1  # a pair at the threshold may miss its bands
 
 
+def shuffled(spark):
+    """Rows and bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return np.array([sum(x.shuffleWriteRecords() for x in stages), sum(x.shuffleWriteBytes() for x in stages)])
+
+
+def test_shared_buckets_deal_only_keys_that_come_up_again(spark):
+    """Keys of one node stay where they are; the shared ones, hot ones and those of repeated nodes among them, are all found."""
+    from skein.llm import common
+
+    g = np.random.Generator(np.random.PCG64(5))
+    rows = [(int(n), [int(k) for k in g.integers(-(2**63), 2**63, 10)]) for n in g.integers(-(2**63), 2**63, 3000)]
+    for i in range(0, 600, 2):
+        rows[i][1][3] = rows[i + 1][1][7]
+    for i in range(600, 2600):
+        rows[i][1][0] = 7
+    rows += [(rows[0][0], None), rows[1], rows[2999]]
+    members = {}
+    for n, keys in rows:
+        for k in keys or ():
+            members.setdefault(k, set()).add(n)
+    before = shuffled(spark)
+    m = common.shared_buckets(spark.createDataFrame(rows, "node long, bands array<long>").repartition(4))
+    dealt = (shuffled(spark) - before)[0]
+    assert {(r.key, r.node) for r in m.collect()} == {(k, n) for k, v in members.items() if len(v) > 1 for n in v}
+    assert all(r.lo in members[r.key] for r in m.collect())
+    assert dealt < 15000, dealt  # 30,000 band rows
+
+
+def test_fuzzy_lines_hold_little_on_disk(spark):
+    """Before its result is read, the operator shuffles no texts but those of candidate pairs, and has let go of its shuffle files."""
+    import time
+
+    from skein.llm import common
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    g = np.random.Generator(np.random.PCG64(22))
+    line = lambda n: "".join(g.choice(list("abcdefghijklmnop "), n))
+    common_lines = [line(400) for _ in range(10)]
+    # three of ten lines come up again, once with another end; their texts are read, and only two of them compared
+    rows = [(i, "\n".join([line(400) for _ in range(7)] + [common_lines[(i + j) % 10] + "xyz"[: i % 3] for j in range(3)])) for i in range(400)]
+    size, keep = sum(len(t) for _, t in rows), common.BROADCAST_BYTES
+    old, before, common.BROADCAST_BYTES = files(), shuffled(spark), 0
+    try:
+        out = fuzzy_lines.dedup_lines(docs(spark, rows))
+    finally:
+        common.BROADCAST_BYTES = keep
+    written, left = (shuffled(spark) - before)[1], 0
+    for _ in range(20):
+        left = sum(n for f, n in files().items() if f not in old)
+        if left < size * 0.04:
+            break
+        time.sleep(0.5)
+    print(size, written, left)
+    assert out.agg(F.sum("n_dropped")).first()[0] == 1200 - 10
+    assert written < size * 0.3 and left < size * 0.04, (size, written, left)
+
+
 def test_licences_of_other_sentences_and_wrapped_ones():
     own = license_rules.Recogniser({"x": ["quite another clause"], "y": ["zu teilen erlaubt"]}, (("X", ("x",)), ("Y", ("y",))))
     assert [r[0] for r in own.licences("So. Quite another\nclause. And zu teilen\nerlaubt.")] == ["X"]
