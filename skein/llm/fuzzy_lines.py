@@ -8,7 +8,7 @@ bitmaps of their whole sets screen them, and the whole sets confirm them.
 
 A line is named by a 64-bit hash of its normal form, so exact copies need no candidates at all.  Candidate
 lines are read in a second pass over the texts, one document for each line, which Bloom filters of the
-documents and of the lines guide, so texts are shuffled once only, where lines of a document go.
+documents and of the places of lines guide, so texts are shuffled once only, where lines of a document go.
 
 Defined edge cases: null texts stay null with no lines; a line of fewer than 8 characters is one
 shingle; rows that repeat an id and text count as one document and get the same result; ids may be
@@ -37,28 +37,39 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\
 _LOW = np.array([ord(chr(c).lower()[0]) for c in range(1 << 16)], np.uint32)
 _BLANK = np.zeros(1 << 16, bool)
 _BLANK[[ord(c) for c in BLANKS]] = True
+#: The same for code points below 256, which stay below it.
+_LOW8, _BLANK8 = _LOW[:256].astype(np.uint8).tobytes(), _BLANK[:256].tobytes()
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def low_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased text, one byte each if all are below 256, and which of them are blanks."""
+    try:
+        low = text.encode("latin-1").translate(_LOW8)
+    except UnicodeEncodeError:
+        x = codes(text)
+        wide = x.max(initial=0) >= len(_LOW)
+        x = np.where(x < len(_LOW), _LOW[np.minimum(x, len(_LOW) - 1)], x) if wide else _LOW[x]
+        return x, _BLANK[np.minimum(x, len(_LOW) - 1) if wide else x]
+    return np.frombuffer(low, np.uint8), np.frombuffer(low.translate(_BLANK8), bool)
+
+
 def normal_codes(text: str) -> np.ndarray:
     """Code points of the text with all of its lines in normal form."""
-    x = codes(text)
-    wide = x.max(initial=0) >= len(_LOW)
-    x = np.where(x < len(_LOW), _LOW[np.minimum(x, len(_LOW) - 1)], x) if wide else _LOW[x]
-    blank = _BLANK[np.minimum(x, len(_LOW) - 1) if wide else x]
+    x, blank = low_codes(text)
     line = x == 10
     gap, after, before = blank & ~line, np.append(blank[1:], True), np.concatenate(([True], line[:-1]))
     if (gap & (after | before | (x != 32))).any():
-        x = np.where(gap, np.uint32(32), x)[~(gap & after)]  # the last blank of a run stays, if a word follows
+        x = np.where(gap, x.dtype.type(32), x)[~(gap & after)]  # the last blank of a run stays, if a word follows
         x = x[~((x == 32) & np.concatenate(([True], x[:-1] == 10)))]
     return x
 
 
 def said(x: np.ndarray) -> str:
-    return x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return x.tobytes().decode("latin-1") if x.dtype == np.uint8 else x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def normal(line: str) -> str:
@@ -157,11 +168,18 @@ def doc_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, text)
 
 
-LINE = pa.schema([("dk", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def place(dk, pos):
+    """A hash of a line's place by its document's key and its position (longs of numpy, or columns)."""
+    if isinstance(dk, Column):
+        return dk.bitwiseXOR(pos).bitwiseXOR(F.shiftleft(pos, 41))
+    return dk ^ pos ^ (pos << 41)
+
+
+LINE = pa.schema([("dk", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("node", pa.int64()), ("own", pa.bool_()), ("bands", pa.list_(pa.int64()))])
 
 
 def signer(bands: int, rows: int):
-    """Batches of (dk, id, text) to lines (dk, id, pos, node); the first of a node in a task carries its band keys."""
+    """Batches of (dk, id, text) to lines (dk, id, pos, node, own, bands); the first of a node in a task is its own and carries its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mh, fresh = MinHash(bands, rows), Fresh()
@@ -173,7 +191,7 @@ def signer(bands: int, rows: int):
                 none = pa.array(np.append(~own, False))
                 lists = pa.ListArray.from_arrays(pc.if_else(none, pa.scalar(None, pa.int32()), ends), pa.array(keys))
                 doc = pa.array(c.doc)
-                yield pa.RecordBatch.from_arrays([batch.column("dk").take(doc), batch.column("id").take(doc), pa.array(c.pos, pa.int32()), pa.array(c.node), lists], schema=LINE)
+                yield pa.RecordBatch.from_arrays([batch.column("dk").take(doc), batch.column("id").take(doc), pa.array(c.pos, pa.int32()), pa.array(c.node), pa.array(own), lists], schema=LINE)
 
     return run
 
@@ -211,16 +229,18 @@ BODY = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(p
 
 
 def wanted_lines(bloom, bits: int):
-    """Batches of (dk, text) to the normal forms of lines that the filter of line and document may hold, with size and odd sketch of their sets, once in a task."""
+    """Batches of (dk, text) to the normal forms of lines whose ``place`` the filter may hold, with size and odd sketch of their sets, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()
         for batch in batches:
-            dk = batch.column("dk").to_numpy()
-            for c in lines_of(batch.column("text")):
-                held = np.flatnonzero(bloom.value.may_hold(c.node ^ dk[c.doc]))
-                own = np.zeros(len(c.node), bool)
-                own[held[fresh(c.node[held])]] = True
+            # only the lines asked for are brought to normal form
+            parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), "\n")
+            per, lines = parts.value_lengths().to_numpy(), parts.flatten()
+            pos = np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per)
+            held = bloom.value.may_hold(place(np.repeat(batch.column("dk").to_numpy(), per), pos))
+            for c in lines_of(lines.filter(pa.array(held))):
+                own = fresh(c.node)
                 if not own.any():
                     continue
                 sets = distinct_sets(*c.grams(own))
@@ -237,21 +257,33 @@ def keep_lines(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
+def signed_once(sig: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(node, bands)`` of ``sig``; of a node in ``several(node, first)``, only those of the document ``first``. The second is to be freed."""
+    rows, held = sig.where("own").select("node", "dk", "bands"), Bloom(several)
+    some = join_by_size(held.passing(rows, "node"), several, "node", "left", row_bytes=24).where("first is null or dk = first")
+    some = durable(some.select("node", "bands"))
+    return held.passing(rows, "node", "left_anti").select("node", "bands").union(some), some
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, bands: int = 10, rows: int = 3, bits: int = 512) -> DataFrame:
     """One row per document: ``id_col, text`` without repeated lines, ``n_lines`` (not blank), ``n_dropped``."""
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(doc_key(F.col("id"), F.col("text")).alias("dk"), "id", "text")
-    sig = durable(text.mapInArrow(signer(bands, rows), "dk long, id long, pos int, node long, bands array<long>"))
+    sig = durable(text.mapInArrow(signer(bands, rows), "dk long, id long, pos int, node long, own boolean, bands array<long>"))
 
-    m = shared_buckets(sig)
+    # lines that come up again; where several tasks have signed one, its band keys are taken from one document
+    again = sig.groupBy("node").agg(F.count("*").alias("k"), F.count_if("own").alias("signed"), F.min(F.when(F.col("own"), F.col("dk"))).alias("first"))
+    again = durable(again.where("k > 1").select("node", "signed", "first"))
+    signed, some = signed_once(sig, again.where("signed > 1").select("node", "first"))
+    m = shared_buckets(signed)
     lines = durable(sig.select("dk", "id", "pos", "node"))
-    free(sig)
+    free(sig, some)
     release(spark)
     nodes = durable(m.select("node").distinct())
     # of the documents that hold a candidate line, the one of the smallest key is read for it
-    homes = nearly_semi(lines.select("node", "dk"), nodes, "node").groupBy("node").agg(F.min("dk").alias("dk"))
+    homes = nearly_semi(lines.select("node", "dk", "pos"), nodes, "node").groupBy("node").agg(F.min_by(F.col("pos").cast("long"), "dk").alias("pos"), F.min("dk").alias("dk"))
     homes = durable(homes)
-    home, bloom = Bloom(homes.select(F.col("dk").alias("node"))), spark.sparkContext.broadcast(Bloom(homes.select(F.col("node").bitwiseXOR(F.col("dk")).alias("node"))))
+    home, bloom = Bloom(homes.select(F.col("dk").alias("node"))), spark.sparkContext.broadcast(Bloom(homes.select(place(F.col("dk"), F.col("pos")).alias("node"))))
     body = home.passing(text.select("dk", "text"), "dk").mapInArrow(wanted_lines(bloom, bits), "node long, n int, sketch array<long>, grams string")
     body = durable(body.withColumn("at", F.monotonically_increasing_id()))
     bloom.unpersist()
@@ -265,10 +297,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
 
     # places of lines that occur again or have a component; all other lines stay
-    often = lines.groupBy("node").agg(F.count("*").alias("k")).join(comp, "node", "left").where("k > 1 or component is not null")
-    often = durable(often.select("node", F.coalesce("component", "node").alias("cls")))
+    often = durable(again.select("node").join(comp, "node", "full").select("node", F.coalesce("component", "node").alias("cls")))
     places = durable(join_by_size(nearly_semi(lines, often, "node"), often, "node").select("dk", "id", "pos", "cls"))
-    free(lines, often, comp)
+    free(lines, again, often, comp)
     head = places.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos", "dk")).alias("head"))
     head = durable(head.select("cls", F.col("head.dk").alias("hk"), F.col("head.pos").alias("hp")))
     gone = join_by_size(places, head, "cls", row_bytes=24).where("dk <> hk or pos <> hp").groupBy("dk").agg(F.collect_set("pos").alias("gone"))

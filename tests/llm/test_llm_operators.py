@@ -546,6 +546,35 @@ def test_fuzzy_lines_hold_little_on_disk(spark):
     assert written < size * 0.3 and left < size * 0.04, (size, written, left)
 
 
+def test_fuzzy_lines_do_each_piece_of_work_once(spark, monkeypatch):
+    """The second pass brings only lines asked for to normal form, texts below code point 256 stay bytes, and band keys of a line that several tasks sign are dealt once."""
+    import pyarrow as pa
+
+    text = "\xc0\xc9 \xdf one  TWO\x85\xa0three\n\n  \xff x\x1c y\n" + "z" * 9
+    a, b = fuzzy_lines.Lines(pa.array([text]), 0), fuzzy_lines.Lines(pa.array([text, "\u20ac"]), 0)
+    assert a.x.itemsize == 1 and a.node.tolist() == b.node[:-1].tolist() and a.pos.tolist() == b.pos[:-1].tolist() == [0, 2, 3]
+    assert (a.grams(a.end > 0)[0] == b.grams(np.arange(4) < 3)[0]).all()
+    assert [fuzzy_lines.said(a.x[i:j]) for i, j in zip(a.start, a.end, strict=True)] == ["\xe0\xe9 \xdf one two three", "\xff x y", "z" * 9]
+
+    class Asked:
+        def may_hold(self, x):
+            return np.isin(x, [fuzzy_lines.place(np.int64(5), np.int64(2)), fuzzy_lines.place(np.int64(-7), np.int64(1))])
+
+    read, plain = [], fuzzy_lines.normal_codes
+    monkeypatch.setattr(fuzzy_lines, "normal_codes", lambda t: (read.append(len(t)), plain(t))[1])
+    rows = pa.RecordBatch.from_pydict({"dk": [5, -7, 9], "text": ["first " * 50 + "\n\nThe second  line", "other " * 50 + "\nAnd\tthis", None]})
+    out = [r for batch in fuzzy_lines.wanted_lines(type("V", (), {"value": Asked()}), 512)(iter([rows])) for r in batch.to_pylist()]
+    assert sorted(r["grams"] for r in out) == ["and this", "the second line"] and sum(read) < 40
+    monkeypatch.undo()
+
+    dealt, whole = [], fuzzy_lines.shared_buckets
+    monkeypatch.setattr(fuzzy_lines, "shared_buckets", lambda sig: (dealt.extend(sig.collect()), whole(sig))[1])
+    lines = [f"line number {i} that every document says" for i in range(5)]
+    got = fuzzy_lines.dedup_lines(docs(spark, [(i, "\n".join([*lines, f"{i * 7919:040b}"])) for i in range(40)]).repartition(8)).collect()
+    assert sum(r.n_lines - r.n_dropped for r in got) <= 40 + 5 and {r.text.count("every") for r in got if r.doc_id} == {0}
+    assert len(dealt) == len({r.node for r in dealt}) == 45 and all(len(r.bands) == 10 for r in dealt)
+
+
 def test_licences_of_other_sentences_and_wrapped_ones():
     own = license_rules.Recogniser({"x": ["quite another clause"], "y": ["zu teilen erlaubt"]}, (("X", ("x",)), ("Y", ("y",))))
     assert [r[0] for r in own.licences("So. Quite another\nclause. And zu teilen\nerlaubt.")] == ["X"]
