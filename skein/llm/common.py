@@ -372,20 +372,32 @@ class Screen:
 _SMALL = 32
 
 
+_CLOSE = "key long, one int, two int, node long, c long, root long"
+
+
 def sketch_tile(screen: Screen):
-    """Tiles of (key, one, two, block, c, n, sketch) to a forest of pairs of components with close sketches."""
+    """Tiles of (key, one, two, block, node, c, n, sketch) to their members that are close to one of another component.
+
+    Rows (key, one, two, node, c, root): ``root`` is the smallest of the components that close members of the tile join to ``c``.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two, block, c, n = (pdf[x].to_numpy() for x in ("one", "two", "block", "c", "n"))
         s = np.stack(pdf["sketch"].to_numpy()).view(U64)
         order, cut = _tiles(pdf)
-        size, found = np.diff(cut), []
+        size, found, near = np.diff(cut), [], np.zeros(len(c), bool)
+        tile = np.empty(len(c), np.int64)
+        tile[order] = np.repeat(np.arange(len(size)), size)
+        names, own = np.unique(np.stack((tile, c), 1), axis=0, return_inverse=True)  # components of each tile, numbered in order
+        own = own.reshape(-1)
 
         def close(p: np.ndarray, q: np.ndarray) -> None:
             ok = c[p] != c[q]
             p, q = p[ok], q[ok]
             ok = np.bitwise_count(s[p] ^ s[q]).sum(1, dtype=np.int32) <= screen(n[p], n[q])
-            found.append(np.unique(np.sort(np.stack([c[p[ok]], c[q[ok]]], 1), axis=1), axis=0))
+            p, q = p[ok], q[ok]
+            near[p] = near[q] = True
+            found.append(np.unique(np.minimum(own[p], own[q]) * len(names) + np.maximum(own[p], own[q])))
 
         small = (size > 1) & (size <= _SMALL) & (one[order[cut[:-1]]] == two[order[cut[:-1]]])
         for m in np.unique(size[small]):
@@ -399,12 +411,11 @@ def sketch_tile(screen: Screen):
             x, y = at[block[at] == one[at[0]]], at[block[at] == two[at[0]]]
             for a in range(0, len(x), 64):
                 close(np.repeat(x[a : a + 64], len(y)), np.tile(y, len(x[a : a + 64])))
-        sets, edges = Union(), []
-        for a, b in np.concatenate(found).tolist() if found else ():
-            if sets.find(a) != sets.find(b):
-                sets.join(a, b)
-                edges.append((a, b))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        sets = Union()
+        for x in np.unique(np.concatenate(found)).tolist() if found else ():
+            sets.join(*divmod(x, len(names)))
+        roots = np.array([sets.find(x) for x in own[near].tolist()], np.int64)
+        return pdf.loc[near, ["key", "one", "two", "node", "c"]].assign(root=names[roots, 1])
 
     return run
 
@@ -437,23 +448,29 @@ def pair_check(num: int, den: int, sets: Callable[[list], list[np.ndarray]]):
 
 
 def set_tile(screen: Screen, num: int, den: int, make: Callable[[list], list[np.ndarray]]):
-    """Tiles of (key, one, two, asks, node, c, sketch, grams) to a forest of links confirmed on whole sets."""
+    """Tiles of (key, one, two, side, node, c, sketch, grams) to a forest of links confirmed on whole sets.
+
+    Members that ask (``side`` 1) are compared with those that are told (0); a member may be both (2).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks_, node_, c_ = pdf["asks"].to_numpy(), pdf["node"].to_numpy(), pdf["c"].to_numpy()
+        side_, node_, c_ = pdf["side"].to_numpy(), pdf["node"].to_numpy(), pdf["c"].to_numpy()
         s_, edges = np.stack(pdf["sketch"].to_numpy()).view(U64), []
         _, first, own = np.unique(node_, return_index=True, return_inverse=True)  # a node may lie in several tiles
         bodies = make(pdf["grams"].iloc[first].tolist())
         order, cut = _tiles(pdf)
         for t in range(len(cut) - 1):
             rows = order[cut[t] : cut[t + 1]]
-            asks, node, c, s, grams = asks_[rows], node_[rows], c_[rows].tolist(), s_[rows], [bodies[i] for i in own[rows]]
+            side, node, c, s, grams = side_[rows], node_[rows], c_[rows], s_[rows], [bodies[i] for i in own[rows]]
             size, sets = np.array([len(g) for g in grams]), Union()
-            x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+            some, many = np.unique(c, return_counts=True)
+            asks, told = (side == 1) | (side == 2) & (c != some[many.argmax()]), side != 1
+            x, y, c = np.flatnonzero(asks), np.flatnonzero(told), c.tolist()
             if not len(x) or not len(y):
                 continue
             ones = _ones(s[x], s[y])
             ok = (ones <= screen(size[x][:, None], size[y][None])) & (np.minimum(size[x][:, None], size[y][None]) * den >= np.maximum(size[x][:, None], size[y][None]) * num)
+            ok &= ~(told[x][:, None] & asks[y][None] & (y[None] <= x[:, None]))  # two members that both ask and are told meet once
             for i, p in enumerate(x):
                 at = np.flatnonzero(ok[i])
                 for q in y[at[np.argsort(ones[i, at], kind="stable")]]:
@@ -468,10 +485,10 @@ def set_tile(screen: Screen, num: int, den: int, make: Callable[[list], list[np.
     return run
 
 
-def in_bins(df: DataFrame, run, rows: int) -> DataFrame:
+def in_bins(df: DataFrame, run, rows: int, schema: str = "a long, b long") -> DataFrame:
     """``run`` over whole tiles (key, one, two), many of them in a task's group; ``rows`` of ``df`` give the number of groups."""
     bins = F.pmod(F.xxhash64("key", "one", "two"), F.lit(max(256, rows // 2048))).cast("int")
-    return df.groupBy(bins.alias("bin")).applyInPandas(run, "a long, b long")
+    return df.groupBy(bins.alias("bin")).applyInPandas(run, schema)
 
 
 class Bloom:
@@ -694,9 +711,13 @@ def linked_components(
     1. Members of a bucket are compared with one centre each, for a few rounds.  Pairs inside one
        component need no comparison, so most large buckets are settled by this.
     2. In buckets that still hold several components, tiles of bounded size compare odd sketches of
-       all members and return a forest of close components: their families.
+       all members and return those that are close to one of another component; close components
+       over all buckets are a family.
     3. In each family, tiles compare the whole sets of members outside its largest component with
-       those of all members and return a forest of confirmed links.
+       those of all members and return a forest of confirmed links.  Chains of close components may
+       run through much of a table, and the tiles of such a family grow with its square: where they
+       would deal more rows than step 2 returned of it, whole sets are compared inside the tiles of
+       step 2 instead, which hold all close pairs of a bucket.
     """
     spark, check = m.sparkSession, check or native_check(num, den)
     comp = spark.createDataFrame([], "node long, component long")
@@ -746,24 +767,33 @@ def linked_components(
     rows = t.agg(F.sum("blocks")).first()[0]
     t = join_by_size(t, here, "node", row_bytes=256)
     t = t.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    t = t.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "c", "n", "sketch")
-    close = durable(in_bins(t, sketch_tile(screen), rows))
+    t = t.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "c", "n", "sketch")
+    close = durable(in_bins(t, sketch_tile(screen), rows, _CLOSE))
     if close.isEmpty():
         return comp
-    family = components(close)
+    family = components(close.select(F.col("c").alias("a"), F.col("root").alias("b")))
     release(spark)
-    f = durable(join_by_size(mc.select("node", "c").distinct(), family.select(F.col("node").alias("c"), F.col("component").alias("key")), "c"))
+    by_c = family.select(F.col("node").alias("c"), F.col("component").alias("key"))
+    tiles = durable(join_by_size(close.withColumnRenamed("key", "bucket"), by_c, "c"))
+    f = durable(join_by_size(mc.select("node", "c").distinct(), by_c, "c"))
     top = f.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
-    top = top.select("key", F.col("top.c").alias("top"), blocks(F.col("size"), SET_BLOCK).alias("nb"), blocks(F.col("size") - F.col("top.k"), SET_BLOCK).alias("na"))
-    f = durable(f.join(top, "key"))
-    rows = f.agg(F.sum(F.col("na") + F.when(F.col("c") != F.col("top"), F.col("nb")).otherwise(0))).first()[0]
-    wanted = durable(f.select("node").distinct())
+    top = top.select("key", F.col("top.c").alias("top"), "size", (F.col("size") - F.col("top.k")).alias("rest"), blocks(F.col("size"), SET_BLOCK).alias("nb"), blocks(F.col("size") - F.col("top.k"), SET_BLOCK).alias("na"))
+    top = top.withColumn("whole", F.when(F.col("nb") == 1, F.col("size")).otherwise(F.expr("size * na + rest * nb")))
+    top = durable(top.join(tiles.groupBy("key").agg(F.count("*").alias("dealt")), "key").select("key", "top", "nb", "na", "whole", "dealt"))
+    rows = top.agg(F.sum(F.least("whole", "dealt"))).first()[0]
+    f, last = durable(join_by_size(f, top.where("whole <= dealt").drop("whole", "dealt"), "key", row_bytes=32)), f
+    tiles, tiles_ = join_by_size(tiles, top.where("whole > dealt").select("key"), "key", "left_semi"), tiles
+    cols = ["key", "one", "two", "side", "node", "c"]
+    side = lambda x: F.lit(x).alias("side")
+    alone = f.where("nb = 1").select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), side(2), "node", "c")
+    ask = f.where("nb > 1 and c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1))})
+    told = f.where("nb > 1").withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
+    inside = tiles.select(F.xxhash64("bucket", "root").alias("key"), "one", "two", side(2), "node", "c")
+    t = alone.union(ask.withColumn("side", F.lit(1)).select(cols)).union(told.withColumn("side", F.lit(0)).select(cols)).union(inside)
+    wanted = durable(f.select("node").union(tiles.select("node")).distinct())
     grams = durable(grams_of(wanted))
-    body = f.join(here.select("node", "sketch"), "node").join(grams, "node")
-    ask = body.where("c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), "asks": F.lit(True)})
-    told = body.withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1)), "asks": F.lit(False)})
-    cols = ["key", "one", "two", "asks", "node", "c", "sketch", "grams"]
-    new = durable(in_bins(ask.select(cols).union(told.select(cols)), set_tile(screen, num, den, make), rows))
+    body = nearly_semi(here.select("node", "sketch"), wanted, "node").join(grams, "node")
+    new = durable(in_bins(t.join(body, "node").select(*cols, "sketch", "grams"), set_tile(screen, num, den, make), rows))
     out = comp if new.isEmpty() else components(new.union(comp.where("node <> component")))
-    free(mc, nodes, here, close, family, f, wanted, grams, new)
+    free(mc, nodes, here, close, family, last, top, f, tiles_, wanted, grams, new)
     return out

@@ -546,6 +546,31 @@ def test_fuzzy_lines_hold_little_on_disk(spark):
     assert written < size * 0.3 and left < size * 0.04, (size, written, left)
 
 
+def test_long_families_are_compared_where_their_buckets_are(spark, monkeypatch):
+    """A chain of close sets through many small buckets deals about as many rows as these hold, not the square of its length; all links are found."""
+    from skein.llm import common
+
+    n, step, size, bits = 600, 16, 100, 512
+    start = np.arange(n) * step
+    start[5::20] -= step - 4  # a set in twenty links with the one before it, the other neighbours are only close
+    name = common.mix(np.arange(start[-1] + size, dtype=np.uint64)) >> np.uint64(16)
+    sets = {i: name[a : a + size] for i, a in enumerate(start)}
+    buckets = {k: [k + j for j in range(3) if k + j < n] for k in range(n - 2)}
+    want = {i: i - 1 if i % 20 == 5 else i for i in range(n)}
+    m = spark.createDataFrame([(k, i, v[0]) for k, v in buckets.items() for i in v], "key long, node long, lo long")
+    sketch = fuzzy_lines.parity(list(sets.values()), bits)
+    table = spark.createDataFrame([(i, size, sketch[i].tolist(), sorted(x.view(np.int64).tolist())) for i, x in sets.items()], "node long, n int, sketch array<long>, grams array<long>")
+    of = lambda *columns: lambda nodes: table.select("node", *columns).join(nodes, "node", "left_semi")
+    dealt, held = [], common.in_bins
+    monkeypatch.setattr(common, "in_bins", lambda df, *a: (dealt.append(df.count()), held(df, *a))[1])
+    for block in (128, 4):
+        monkeypatch.setattr(common, "SET_BLOCK", block)
+        comp = common.linked_components(m, of("n", "sketch"), of("grams"), 75, 100, common.Screen(75, 100, bits=bits), star_rounds=1)
+        got = {r.node: r.component for r in comp.collect()}
+        assert {i: got.get(i, i) for i in range(n)} == want
+    assert len(dealt) == 4 and max(dealt[1], dealt[3]) <= 3 * n, dealt
+
+
 def test_fuzzy_lines_do_each_piece_of_work_once(spark, monkeypatch):
     """The second pass brings only lines asked for to normal form, texts below code point 256 stay bytes, and band keys of a line that several tasks sign are dealt once."""
     import pyarrow as pa
