@@ -110,7 +110,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def join_by_size(df: DataFrame, other: DataFrame, key: str, how: str = "inner", row_bytes: int = 16) -> DataFrame:
+def join_by_size(df: DataFrame, other: DataFrame, key: str | list[str], how: str = "inner", row_bytes: int = 16) -> DataFrame:
     """``df`` joined with ``other`` (durable) on ``key``; ``other`` is broadcast only if its counted rows are small."""
     small = other.count() * row_bytes <= BROADCAST_BYTES
     return df.join(F.broadcast(other) if small else other.hint("merge"), key, how)
@@ -372,13 +372,13 @@ class Screen:
 _SMALL = 32
 
 
-_CLOSE = "key long, one int, two int, node long, c long, root long"
+_CLOSE = "key long, a long, b long"
 
 
 def sketch_tile(screen: Screen):
     """Tiles of (key, one, two, block, node, c, n, sketch) to their members that are close to one of another component.
 
-    Rows (key, one, two, node, c, root): ``root`` is the smallest of the components that close members of the tile join to ``c``.
+    Rows (key, node, c) of such members, and rows (null, c, d) with a forest of their components.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -411,11 +411,15 @@ def sketch_tile(screen: Screen):
             x, y = at[block[at] == one[at[0]]], at[block[at] == two[at[0]]]
             for a in range(0, len(x), 64):
                 close(np.repeat(x[a : a + 64], len(y)), np.tile(y, len(x[a : a + 64])))
-        sets = Union()
+        sets, edges = Union(), []
         for x in np.unique(np.concatenate(found)).tolist() if found else ():
-            sets.join(*divmod(x, len(names)))
-        roots = np.array([sets.find(x) for x in own[near].tolist()], np.int64)
-        return pdf.loc[near, ["key", "one", "two", "node", "c"]].assign(root=names[roots, 1])
+            x, y = divmod(x, len(names))
+            if sets.find(x) != sets.find(y):
+                sets.join(x, y)
+                edges.append((names[x, 1], names[y, 1]))
+        links = pd.DataFrame(edges, columns=["a", "b"], dtype="int64").drop_duplicates()
+        members = pdf.loc[near, ["key", "node", "c"]].set_axis(["key", "a", "b"], axis=1).drop_duplicates()
+        return pd.concat([members.astype({"key": "Int64"}), links.assign(key=pd.array([pd.NA] * len(links), "Int64"))])[["key", "a", "b"]]
 
     return run
 
@@ -711,13 +715,12 @@ def linked_components(
     1. Members of a bucket are compared with one centre each, for a few rounds.  Pairs inside one
        component need no comparison, so most large buckets are settled by this.
     2. In buckets that still hold several components, tiles of bounded size compare odd sketches of
-       all members and return those that are close to one of another component; close components
-       over all buckets are a family.
+       all members and return those that are close to one of another component, and a forest of
+       close components: their families.
     3. In each family, tiles compare the whole sets of members outside its largest component with
        those of all members and return a forest of confirmed links.  Chains of close components may
-       run through much of a table, and the tiles of such a family grow with its square: where they
-       would deal more rows than step 2 returned of it, whole sets are compared inside the tiles of
-       step 2 instead, which hold all close pairs of a bucket.
+       run through much of a table, and the tiles of such a family grow with its square: where its
+       close members deal fewer rows bucket by bucket, tiles are made of these instead.
     """
     spark, check = m.sparkSession, check or native_check(num, den)
     comp = spark.createDataFrame([], "node long, component long")
@@ -768,32 +771,33 @@ def linked_components(
     t = join_by_size(t, here, "node", row_bytes=256)
     t = t.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     t = t.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "c", "n", "sketch")
-    close = durable(in_bins(t, sketch_tile(screen), rows, _CLOSE))
+    close = durable(in_bins(t, sketch_tile(screen), rows, _CLOSE).distinct())
     if close.isEmpty():
         return comp
-    family = components(close.select(F.col("c").alias("a"), F.col("root").alias("b")))
+    family = components(close.where("key is null").select("a", "b"))
     release(spark)
-    by_c = family.select(F.col("node").alias("c"), F.col("component").alias("key"))
-    tiles = durable(join_by_size(close.withColumnRenamed("key", "bucket"), by_c, "c"))
-    f = durable(join_by_size(mc.select("node", "c").distinct(), by_c, "c"))
-    top = f.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
-    top = top.select("key", F.col("top.c").alias("top"), "size", (F.col("size") - F.col("top.k")).alias("rest"), blocks(F.col("size"), SET_BLOCK).alias("nb"), blocks(F.col("size") - F.col("top.k"), SET_BLOCK).alias("na"))
-    top = top.withColumn("whole", F.when(F.col("nb") == 1, F.col("size")).otherwise(F.expr("size * na + rest * nb")))
-    top = durable(top.join(tiles.groupBy("key").agg(F.count("*").alias("dealt")), "key").select("key", "top", "nb", "na", "whole", "dealt"))
-    rows = top.agg(F.sum(F.least("whole", "dealt"))).first()[0]
-    f, last = durable(join_by_size(f, top.where("whole <= dealt").drop("whole", "dealt"), "key", row_bytes=32)), f
-    tiles, tiles_ = join_by_size(tiles, top.where("whole > dealt").select("key"), "key", "left_semi"), tiles
-    cols = ["key", "one", "two", "side", "node", "c"]
-    side = lambda x: F.lit(x).alias("side")
-    alone = f.where("nb = 1").select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), side(2), "node", "c")
-    ask = f.where("nb > 1 and c <> top").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("nb") - 1))})
-    told = f.where("nb > 1").withColumns({"two": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
-    inside = tiles.select(F.xxhash64("bucket", "root").alias("key"), "one", "two", side(2), "node", "c")
-    t = alone.union(ask.withColumn("side", F.lit(1)).select(cols)).union(told.withColumn("side", F.lit(0)).select(cols)).union(inside)
-    wanted = durable(f.select("node").union(tiles.select("node")).distinct())
+    by_c = family.select(F.col("node").alias("c"), F.col("component").alias("family"))
+    whole = join_by_size(mc.select("node", "c").distinct(), by_c, "c").select("family", F.lit(True).alias("whole"), F.col("family").alias("key"), "node", "c")
+    parts = join_by_size(close.where("key is not null").select(F.col("key").alias("bucket"), F.col("a").alias("node"), F.col("b").alias("c")), by_c, "c")
+    f = durable(whole.union(parts.select("family", F.lit(False).alias("whole"), F.xxhash64("bucket", "family").alias("key"), "node", "c")))
+    top = f.groupBy("family", "whole", "key", "c").agg(F.count("*").alias("k")).groupBy("family", "whole", "key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
+    top = top.select("family", "whole", "key", F.col("top.c").alias("top"), "size", (F.col("size") - F.col("top.k")).alias("rest"), blocks(F.col("size"), SET_BLOCK).alias("nb"), blocks(F.col("size") - F.col("top.k"), SET_BLOCK).alias("na"))
+    top = top.withColumn("rows", F.when(F.col("nb") == 1, F.col("size")).otherwise(F.expr("size * na + rest * nb")))
+    top = durable(top)
+    both = top.groupBy("family").agg(F.coalesce(F.sum(F.when(F.col("whole"), F.col("rows"))), F.lit(0)).alias("x"), F.coalesce(F.sum(F.when(~F.col("whole"), F.col("rows"))), F.lit(0)).alias("y"))
+    less = durable(top.join(both, "family").where("whole = (x <= y)").select("whole", "key", "top", "nb", "na", "rows"))
+    rows = less.agg(F.sum("rows")).first()[0]
+    g = durable(join_by_size(f, less.drop("rows"), ["whole", "key"], row_bytes=40).select("key", "node", "c", "top", "nb", "na"))
+    wanted = durable(g.select("node").distinct())
     grams = durable(grams_of(wanted))
-    body = nearly_semi(here.select("node", "sketch"), wanted, "node").join(grams, "node")
-    new = durable(in_bins(t.join(body, "node").select(*cols, "sketch", "grams"), set_tile(screen, num, den, make), rows))
+    body = g.join(nearly_semi(here.select("node", "sketch"), wanted, "node"), "node").join(grams, "node")
+    tile = lambda one, two, side: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), F.lit(side).alias("side"))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    ask = F.filter(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: tile(mine("na"), x, 1)), lambda _: F.col("c") != F.col("top"))
+    told = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda x: tile(x, mine("nb"), 0))
+    t = body.withColumn("tile", F.explode(F.when(F.col("nb") == 1, F.array(tile(F.lit(0), F.lit(0), 2))).otherwise(F.concat(ask, told))))
+    t = t.select("key", "tile.one", "tile.two", "tile.side", "node", "c", "sketch", "grams")
+    new = durable(in_bins(t, set_tile(screen, num, den, make), rows))
     out = comp if new.isEmpty() else components(new.union(comp.where("node <> component")))
-    free(mc, nodes, here, close, family, last, top, f, tiles_, wanted, grams, new)
+    free(mc, nodes, here, close, family, f, top, less, g, wanted, grams, new)
     return out
